@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import neardup, suffix, toxicity
+from tessera.llm import bpe, neardup, suffix, toxicity
 from tessera.llm.common import table
 
 
@@ -21,13 +21,19 @@ def op2_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.assign(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), bpe.Params(public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix.remove(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
     return out.select("doc_id", "cut.n_bytes", "cut.n_removed", "cut.n_spans", "cut.kept_sha256")
 
 
 def queries() -> dict:
-    return {"op5_suffix_array": op5_suffix_array, "op2_prob_minhash": op2_prob_minhash, "op10_toxicity": op10_toxicity}
+    return {"op3_chunked_bpe": op3_chunked_bpe, "op5_suffix_array": op5_suffix_array, "op2_prob_minhash": op2_prob_minhash, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict:
