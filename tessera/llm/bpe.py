@@ -254,3 +254,15 @@ def digests(docs: DataFrame, p: Params, text: str = "text") -> DataFrame:
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     return _mapped(docs, fields, row, p, text, True)
+
+
+def encode_checked(docs: DataFrame, p: Params, text: str = "text") -> DataFrame:
+    """docs without the text, with ids, n_tokens and round_trip: whether decoding the ids gives the text (null: empty)."""
+
+    def row(enc: Encoder, values: list) -> list[pa.Array]:
+        ids = enc.encode(values)
+        same = [enc.decode(x.tolist()) == (v or "") for x, v in zip(ids, values, strict=True)]
+        return [pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64()), pa.array(same)]
+
+    fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("round_trip", T.BooleanType())]
+    return _mapped(docs, fields, row, p, text, True)
