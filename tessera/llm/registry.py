@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, mixing, neardup, sharding, suffix, toxicity
+from tessera.llm import bpe, mixing, neardup, quality, sharding, suffix, toxicity
 from tessera.llm.common import table
 
 
@@ -39,13 +39,20 @@ def op3_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), bpe.Params(public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    c = {k: F.col(f"counts.{k}") for k in quality.COUNTS[:5]}
+    failed = (c["n_words"] < 50) | (100 * c["n_repeat_words"] > 50 * c["n_words"])
+    return out.select("doc_id", *[v.alias(k) for k, v in c.items()], failed.alias("base_failed"), (~failed & (F.col("posterior") >= 0.5)).alias("kept"), "posterior")
+
+
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix.remove(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
     return out.select("doc_id", "cut.n_bytes", "cut.n_removed", "cut.n_spans", "cut.kept_sha256")
 
 
 def queries() -> dict:
-    return {"op8_low_discrepancy": op8_low_discrepancy, "op9_hypergeometric": op9_hypergeometric, "op3_chunked_bpe": op3_chunked_bpe, "op5_suffix_array": op5_suffix_array, "op2_prob_minhash": op2_prob_minhash, "op10_toxicity": op10_toxicity}
+    return {"op4_weak_supervision": op4_weak_supervision, "op8_low_discrepancy": op8_low_discrepancy, "op9_hypergeometric": op9_hypergeometric, "op3_chunked_bpe": op3_chunked_bpe, "op5_suffix_array": op5_suffix_array, "op2_prob_minhash": op2_prob_minhash, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict:
