@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, mih, mixing, neardup, quality, sharding, suffix, toxicity
+from tessera.llm import bpe, mih, mixing, neardup, pages, quality, sharding, suffix, toxicity
 from tessera.llm.common import table
 
 
+def op7_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_low_discrepancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select("row.doc_id", "size", "source_size", "target", "taken")
@@ -57,7 +61,7 @@ def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_multi_index_hashing": op1_multi_index_hashing, "op4_weak_supervision": op4_weak_supervision, "op8_low_discrepancy": op8_low_discrepancy, "op9_hypergeometric": op9_hypergeometric, "op3_chunked_bpe": op3_chunked_bpe, "op5_suffix_array": op5_suffix_array, "op2_prob_minhash": op2_prob_minhash, "op10_toxicity": op10_toxicity}
+    return {"op7_site_style_tree": op7_site_style_tree, "op1_multi_index_hashing": op1_multi_index_hashing, "op4_weak_supervision": op4_weak_supervision, "op8_low_discrepancy": op8_low_discrepancy, "op9_hypergeometric": op9_hypergeometric, "op3_chunked_bpe": op3_chunked_bpe, "op5_suffix_array": op5_suffix_array, "op2_prob_minhash": op2_prob_minhash, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict:
