@@ -1,11 +1,573 @@
-"""Registered queries of the assembly operators: name -> query and name -> SQL."""
+"""Registered queries of the assembly operators, over whole tables."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.functions.vector import band, r6
+from tessera.operators import adjacency, assign, contour, graph, grid, histogram, jobs, manifest, masks, raster, sequence, validate, vectors
+from tessera.plans import oracles
+from tessera.plans.views import Views, job
+
+K = 30
+IMAGE = 5_000_000
+QUERIES: dict[str, Callable[[Views], DataFrame]] = {}
+
+
+def query(f: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def rounded(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: r6(F.col(c)) for c in cols})
+
+
+def longs(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("long") for c in cols})
+
+
+# -- Matching -------------------------------------------------------------------------------------------------------
+
+
+def coarse(v: Views) -> DataFrame:
+    return vectors.top_cosine(v.pieces(), v.cells(), K, ["piece_id"], ["row", "col"])
+
+
+def coarse_rot(v: Views) -> DataFrame:
+    return vectors.top_cosine(vectors.rotations(v.pieces()), v.cells(), K, ["piece_id", "rot"], ["row", "col"])
+
+
+def fine(v: Views, short: DataFrame) -> DataFrame:
+    left = vectors.tokens(vectors.rotations(v.pieces()), ["piece_id", "rot"])
+    return vectors.max_sim(short, left, vectors.tokens(v.cells(), ["row", "col"]), ["piece_id", "rot"], ["row", "col"])
+
+
+def candidates(v: Views) -> DataFrame:
+    """piece_id, rot, row, col, coarse, fine, flat, composite."""
+    c = fine(v, coarse_rot(v)).join(v.pieces().select("piece_id", "flat_side_count"), "piece_id")
+    c = grid.classified(c, grid.shape(v.cells())).withColumn("flat", grid.flat_score(F.col("expected"), F.col("flat_side_count")))
+    return c.withColumn("composite", F.round(assign.composite(F.col("fine"), F.col("flat")), 9))
+
+
+@query
+def coarse_topk(v):
+    return longs(rounded(coarse(v), "coarse"), "rk")
+
+
+@query
+def coarse_topk_rot(v):
+    return longs(rounded(coarse_rot(v), "coarse"), "rk")
+
+
+@query
+def l2_normalize(v):
+    t = vectors.normalised(vectors.tokens(v.vectors().select("vec_id", F.col("v").alias("cls")), ["vec_id"]))
+    return longs(rounded(t.select("vec_id", "tok", F.posexplode("vec").alias("dim", "val")), "val"), "dim")
+
+
+@query
+def mean_pool_cls(v):
+    return rounded(vectors.mean_pool(vectors.tokens(v.cells(), ["row", "col"]), ["row", "col"]), "val")
+
+
+@query
+def token_cell_overlap(v):
+    frame = v.spark.range(5).withColumnRenamed("id", "row").join(v.spark.range(6).withColumnRenamed("id", "col"))
+    w = vectors.token_windows(5, 6, 37, 37, frame)
+    return w.withColumn("n_tokens", (F.col("r1") - F.col("r0")) * (F.col("c1") - F.col("c0")))
+
+
+@query
+def fine_maxsim(v):
+    short = coarse(v).withColumn("rot", F.lit(0).cast("long"))
+    return rounded(fine(v, short).select("piece_id", "row", "col", "fine"), "fine")
+
+
+@query
+def coarse_to_fine(v):
+    return rounded(fine(v, coarse_rot(v)).select("piece_id", "rot", "row", "col", "coarse", "fine"), "coarse", "fine")
+
+
+@query
+def pca_reduce(v):
+    e = v.vectors().select("vec_id", "v")
+    mean, axes = vectors.pca(e, "v", 16)
+    return vectors.project(e, "v", mean, axes).select("vec_id", F.size("reduced").cast("long").alias("n_dims"))
+
+
+@query
+def flat_side_score(v):
+    return candidates(v).select("piece_id", "row", "col", "expected", "flat").distinct()
+
+
+@query
+def composite_score(v):
+    return rounded(candidates(v).select("piece_id", "rot", "row", "col", "composite", (1 - F.col("composite")).alias("cost")), "composite", "cost")
+
+
+@query
+def cost_matrix(v):
+    """Sparse: a pair without a row costs 1; row_total is the sum of a piece's dense row."""
+    c = assign.least_costs(candidates(v))
+    n = v.cells().agg(F.count("*").alias("n_cells"))
+    of_piece = Window.partitionBy("piece_id")
+    total = F.sum("cost").over(of_piece) + (F.col("n_cells") - F.count("*").over(of_piece))
+    return rounded(c.join(F.broadcast(n)).withColumn("row_total", total).drop("n_cells"), "cost", "row_total")
+
+
+@query
+def best_rotation(v):
+    return rounded(assign.best_rotations(candidates(v)).drop("composite"), "fine", "flat")
+
+
+@query
+def top3_candidates(v):
+    return longs(rounded(assign.top_cells(candidates(v)).select("piece_id", "rk", "row", "col", "rot", "composite"), "composite"), "rk")
+
+
+def assigned(v: Views) -> DataFrame:
+    costs = assign.least_costs(candidates(v)).withColumn("job_id", job())
+    return assign.assign(costs, v.cells().select(job(), "row", "col"), v.pieces().select(job(), "piece_id"))
+
+
+@query
+def assignment_optimal(v):
+    return rounded(assigned(v).select("piece_id", "row", "col", "confidence"), "confidence")
+
+
+@query
+def unassigned_pieces(v):
+    return v.pieces().select("piece_id").join(v.placed(), "piece_id", "left_anti")
+
+
+def flagged(v: Views) -> DataFrame:
+    return v.matches().withColumn("flagged", F.col("confidence") < 0.55)
+
+
+@query
+def flag_low_confidence(v):
+    return rounded(flagged(v).select("piece_id", "confidence", "flagged"), "confidence")
+
+
+@query
+def confidence_stats(v):
+    return rounded(assign.stats(flagged(v)), "mean", "min", "max", "std_pop", "flagged_fraction")
+
+
+@query
+def confidence_bands(v):
+    return v.matches().groupBy(band(F.col("confidence")).alias("band")).agg(F.count("*").alias("n"))
+
+
+# -- Grid -----------------------------------------------------------------------------------------------------------
+
+
+def typed(v: Views, df: DataFrame) -> DataFrame:
+    return grid.classified(df, grid.shape(v.cells()))
+
+
+@query
+def classify_position(v):
+    return typed(v, v.cells()).select("row", "col", "piece_type", "expected")
+
+
+@query
+def class_counts(v):
+    return typed(v, v.matches()).groupBy("piece_type").agg(F.count("*").alias("n"))
+
+
+@query
+def flat_side_mismatch(v):
+    m = typed(v, v.matches()).filter(F.col("expected") != F.col("flat_side_count"))
+    return m.select("piece_id", "expected", F.col("flat_side_count").alias("actual"))
+
+
+@query
+def grid_shape_search(v):
+    return rounded(grid.best_shapes(v.counts(), 4 / 3).select("key", "rows", "cols", "diff_pct"), "diff_pct")
+
+
+@query
+def grid_override_check(v):
+    rows = v.spark.sql("SELECT * FROM VALUES (27L, 37L, 1000L), (1L, 10L, 10L), (200L, 10L, 2000L), (20L, 20L, 1000L), (25L, 40L, 1000L) AS t(rows, cols, piece_count)")
+    return rounded(grid.override_check(rows).select("rows", "cols", "status", "diff_pct"), "diff_pct")
+
+
+@query
+def infer_grid_shape(v):
+    return grid.shape(v.matches())
+
+
+@query
+def grid_pixel_map(v):
+    at = v.cells().select("row", "col").join(F.broadcast(grid.shape(v.cells())))
+    return grid.pixel_map(at, 1080, 1920).select("row", "col", "x", "y", "back_row", "back_col")
+
+
+@query
+def bbox_clamp(v):
+    return rounded(grid.clamped_boxes(v.boxes(), 1920, 1080, 8).select("box_id", "x1", "y1", "x2", "y2", "area", "aspect"), "aspect")
+
+
+@query
+def rotate_coords(v):
+    at = v.cells().select("row", "col", F.explode(F.array(*[F.lit(d) for d in (0, 90, 180, 270)])).alias("deg")).join(F.broadcast(grid.shape(v.cells())))
+    return grid.rotated(at).select("row", "col", "k", "row2", "col2")
+
+
+# -- Adjacency ------------------------------------------------------------------------------------------------------
+
+FLAT_BELOW = 0.1
+
+
+def side_shares(v: Views) -> DataFrame:
+    s = v.sides().withColumn("bin", F.floor((F.col("k") + 1) * 16).cast("long"))
+    return s.groupBy("vec_id", "side", "bin").agg((F.count("*") / 16).alias("p"))
+
+
+def scored(v: Views) -> DataFrame:
+    """a, b, hist, curv, combined of neighbouring pieces, from the sides that face each other."""
+    pairs = grid.neighbour_pairs(v.matches())
+    h = side_shares(v)
+    ha, hb = (h.select(F.col("vec_id").alias(x), F.col("side").alias(f"side_{x}"), "bin", F.col("p").alias(f"p{x}")) for x in "ab")
+    hist = pairs.join(ha, ["a", "side_a"]).join(hb, ["b", "side_b", "bin"]).groupBy("a", "b").agg(F.least(F.sum(F.least("pa", "pb")), F.lit(1.0)).alias("hist"))
+    out = pairs.join(hist, ["a", "b"], "left").withColumn("hist", F.coalesce("hist", F.lit(0.0))).join(complements(v, pairs), ["a", "b"])
+    return out.withColumn("combined", F.round(adjacency.combined(F.col("hist"), F.col("curv")), 9))
+
+
+def complements(v: Views, pairs: DataFrame) -> DataFrame:
+    s = v.sides()
+    flat = contour.classified(s, ["vec_id", "side"], FLAT_BELOW)
+    ks = s.join(flat, ["vec_id", "side"])
+    a, b = (ks.select(F.col("vec_id").alias(x), F.col("side").alias(f"side_{x}"), "idx", F.col("k").alias(f"k{x}"), F.col("is_flat").alias(f"flat_{x}")) for x in "ab")
+    both = pairs.join(a, ["a", "side_a"]).join(b, ["b", "side_b", "idx"])
+    got = both.groupBy("a", "b").agg(F.first("flat_a").alias("fa"), F.first("flat_b").alias("fb"), F.count("*").alias("n"), F.covar_pop("ka", "kb").alias("cov"), F.stddev_pop("ka").alias("sa"), F.stddev_pop("kb").alias("sb"))
+    return got.select("a", "b", adjacency.complement(F.col("fa"), F.col("fb"), F.col("n"), F.col("cov"), F.col("sa"), F.col("sb")).alias("curv"))
+
+
+@query
+def neighbor_pairs(v):
+    return grid.neighbour_pairs(v.matches())
+
+
+@query
+def neighbor_map(v):
+    return grid.ends(grid.neighbour_pairs(v.matches())).groupBy("piece_id").agg(F.count("*").alias("n_pairs"))
+
+
+@query
+def pair_scores(v):
+    return rounded(scored(v).select("a", "b", "hist", "curv", "combined"), "hist", "curv", "combined")
+
+
+@query
+def attach_scores(v):
+    return rounded(adjacency.attached(v.matches(), scored(v)), "adjacency", "curv", "neighborhood")
+
+
+@query
+def worst_pair(v):
+    return rounded(adjacency.worst(scored(v).select("a", "b", "combined")), "combined")
+
+
+@query
+def swap_step(v):
+    return adjacency.swap_search(v.matches(), scored(v).select(job(), "a", "b", F.col("combined").alias("score")), limit=1, enough=1.0).drop("job_id")
+
+
+@query
+def swap_search(v):
+    """Hill climbing until the worst pair is good enough."""
+    return adjacency.swap_search(v.matches(), scored(v).select(job(), "a", "b", F.col("combined").alias("score")), limit=500, enough=0.4).drop("job_id")
+
+
+@query
+def curvature_complement(v):
+    return rounded(complements(v, grid.neighbour_pairs(v.matches())).withColumnRenamed("curv", "score"), "score")
+
+
+# -- Histograms and pixels ------------------------------------------------------------------------------------------
+
+CHANNEL = ["img", "c"]
+
+
+@query
+def hist256(v):
+    return histogram.levels(v.pixels(), CHANNEL)
+
+
+@query
+def cdf(v):
+    return rounded(histogram.cdf(histogram.levels(v.pixels(), CHANNEL), CHANNEL).select(*CHANNEL, "v", "cdf"), "cdf")
+
+
+def lut_of(v: Views) -> DataFrame:
+    """Levels of image A mapped to those of image R, by channel."""
+    both = histogram.cdf(histogram.levels(v.pixels(), CHANNEL), CHANNEL).withColumn("cdf", F.round("cdf", 12))
+    return histogram.lut(both.filter("img = 'A'").drop("img"), both.filter("img = 'R'").drop("img"), ["c"])
+
+
+@query
+def hist_match_lut(v):
+    return lut_of(v)
+
+
+@query
+def hist_match_apply(v):
+    p = v.pixels().filter("img = 'A'").groupBy("c", F.col("v").alias("i")).agg(F.count("*").alias("n"))
+    return p.join(lut_of(v), ["c", "i"]).groupBy("c", F.col("j").alias("v_new")).agg(F.sum("n").alias("n"))
+
+
+@query
+def hist32_norm(v):
+    return rounded(histogram.bins(v.pixels(), CHANNEL), "p")
+
+
+@query
+def hist_intersection(v):
+    return rounded(histogram.intersection(histogram.bins(v.pixels(), CHANNEL), 2), "score", "score_mean")
+
+
+@query
+def otsu_threshold(v):
+    return histogram.otsu(histogram.levels(v.pixels(), ["img"]), ["img"])
+
+
+@query
+def gray_levels(v):
+    return raster.gray(v.pixels(), {"F": 0.114, "O": 0.587})
+
+
+@query
+def area_downscale(v):
+    return rounded(raster.downscale(v.raster(), 2), "avg")
+
+
+@query
+def gaussian_blur3(v):
+    return rounded(raster.gaussian3(v.raster(), grid.shape(v.cells())), "val")
+
+
+@query
+def alpha_composite(v):
+    return raster.composite(v.raster(), v.raster_mask())
+
+
+@query
+def boundary_strip(v):
+    return rounded(raster.boundary_strips(v.raster(), v.raster_mask(), grid.shape(v.cells())), "mean")
+
+
+# -- Contours -------------------------------------------------------------------------------------------------------
+
+
+@query
+def signed_curvature(v):
+    return rounded(contour.signed_curvature(v.contours(), "user_id"), "kappa")
+
+
+@query
+def corner_angles(v):
+    return rounded(contour.corner_angles(v.contours(), "user_id"), "angle_deg")
+
+
+@query
+def nearest_point(v):
+    p = v.contours()
+    return contour.nearest_points(p, contour.box_corners(p, "user_id"), "user_id")
+
+
+@query
+def side_segments(v):
+    p = v.contours()
+    return contour.side_segments(p, contour.nearest_points(p, contour.box_corners(p, "user_id"), "user_id"), "user_id")
+
+
+@query
+def mean_center(v):
+    return rounded(contour.centred(v.sides(), ["vec_id", "side"]), "k")
+
+
+@query
+def resample_linear(v):
+    return rounded(contour.resampled(v.sides(), ["vec_id", "side"], 16, 32), "k")
+
+
+@query
+def classify_side(v):
+    return rounded(contour.classified(v.sides(), ["vec_id", "side"], FLAT_BELOW), "peak")
+
+
+@query
+def flat_side_count(v):
+    return contour.classified(v.sides(), ["vec_id", "side"], FLAT_BELOW).groupBy("vec_id").agg(F.sum(F.col("is_flat").cast("long")).alias("flat_side_count"))
+
+
+@query
+def polygon_area_perimeter(v):
+    return rounded(contour.polygons(v.contours(), "user_id"), "area", "perimeter", "compactness")
+
+
+@query
+def pca_orientation(v):
+    return rounded(contour.orientation(v.contours(), "user_id"), "angle_mod180")
+
+
+# -- Masks ----------------------------------------------------------------------------------------------------------
+
+
+@query
+def mask_area_filter(v):
+    return masks.judged(v.mask_rows(), IMAGE).select("mask_id", "kept_reason")
+
+
+@query
+def overlap_coefficient(v):
+    return rounded(masks.overlaps(v.mask_sets(), 0.30), "ov")
+
+
+@query
+def dedup_overlap(v):
+    scores = v.mask_rows().select("mask_id", F.col("solidity").alias("score"))
+    return masks.suppressed(scores, masks.overlaps(v.mask_sets(), 0.30)).select("mask_id")
+
+
+@query
+def connected_components(v):
+    """Components of masks that share two pixels or more and half of the smaller one."""
+    edges = masks.overlaps(v.mask_sets(), 0.5).filter("inter >= 2")
+    return graph.components(edges, "a", "b").groupBy("component").agg(F.count("*").alias("n"))
+
+
+@query
+def split_replace_union(v):
+    return masks.split(v.mask_rows().select("mask_id", "area"), v.mask_children(), 30_000).select("mask_id", "parent_id", "refined")
+
+
+# -- Sequence and manifest ------------------------------------------------------------------------------------------
+
+
+def ordered(v: Views) -> DataFrame:
+    return sequence.assembly_order(typed(v, v.placed())).withColumn("flagged", F.col("confidence") < 0.55).withColumn("rot", F.lit(0).cast("long"))
+
+
+@query
+def bfs_levels(v):
+    return ordered(v).filter("level IS NOT NULL").select("piece_id", "level")
+
+
+@query
+def bfs_order(v):
+    return ordered(v).select("step_num", "piece_id")
+
+
+@query
+def assembly_steps(v):
+    return ordered(v).select("step_num", "piece_id", "row", "col", "piece_type", "flagged")
+
+
+@query
+def unreached_anti(v):
+    o = ordered(v)
+    return v.placed().select("piece_id").join(o.filter("level IS NOT NULL"), "piece_id", "left_anti")
+
+
+def by_id(v: Views) -> DataFrame:
+    """Steps in order of ids, for what does not depend on the order of assembly."""
+    s = typed(v, v.placed()).withColumn("flagged", F.col("confidence") < 0.55)
+    return s.withColumn("step_num", F.col("piece_id") + 1)
+
+
+@query
+def manifest_stats(v):
+    return manifest.summary(by_id(v))
+
+
+@query
+def manifest_json(v):
+    lines = manifest.to_json(by_id(v).select("piece_id", "row", "col"))
+    return manifest.from_json(lines, "piece_id long, row long, col long")
+
+
+@query
+def step_labels(v):
+    return manifest.labels(by_id(v))
+
+
+@query
+def asset_urls(v):
+    return manifest.addresses(by_id(v), "job")
+
+
+@query
+def draw_commands(v):
+    return manifest.draw_commands(by_id(v), grid.shape(v.cells()), 1080, 1920)
+
+
+@query
+def asset_guard(v):
+    odd = v.spark.sql("SELECT explode(array('../etc/passwd', 'a/../../b.png', '/abs.png', 'step_cards/step_0001.jpg', 'x.JPEG', 'noext', 'a.svg', 'dir.png/readme', '.jpg', 'C:x.png')) AS path")
+    return validate.guarded(v.files().select("path").unionByName(odd).distinct()).select("path", "allowed", "reason")
+
+
+@query
+def detect_format(v):
+    odd = v.spark.sql("SELECT * FROM VALUES (-1L, X'FFD8FFE0'), (-2L, X'89504E470D0A1A0A'), (-3L, X'524946460000000057454250'), (-4L, X'524946460000000057415645'), (-5L, X''), (-6L, X'424D'), (-7L, X'FFD8') AS t(id, content)")
+    return v.files().select("id", "content").unionByName(odd).select("id", validate.image_format(F.col("content")).alias("fmt"))
+
+
+@query
+def validate_chain(v):
+    """Orders stand in for uploads: price as size in units of 200 bytes, keys as dimensions."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    x = v.table("orders").select(
+        k.alias("id"), F.when(k % 97 == 0, 0).otherwise(F.floor(F.col("o_totalprice") * 200)).cast("long").alias("size"),
+        F.when(k % 5 == 0, F.lit(None)).otherwise(F.lit("png")).alias("fmt"), F.when(k % 7 == 0, 1).otherwise(3).alias("channels"),
+        F.when(k % 11 != 0, c % 400).alias("h"), (k % 17_000).alias("w"),
+    )
+    code = validate.error_code(F.col("size"), F.col("fmt"), F.col("channels"), F.col("h"), F.col("w"))
+    return x.select("id", code.alias("error_code")).withColumn("http_code", validate.http_code(F.col("error_code")))
+
+
+# -- Jobs -----------------------------------------------------------------------------------------------------------
+
+
+@query
+def job_latest_state(v):
+    out = jobs.latest(v.job_events())
+    return out.withColumn("updated_us", F.unix_micros(F.col("updated_at").cast("timestamp"))).drop("updated_at")
+
+
+@query
+def job_stage_progress(v):
+    return jobs.timeline(v.job_events()).select("job_id", F.col("seq").alias("event_id"), "progress", "status")
+
+
+@query
+def job_ttl_expiry(v):
+    return jobs.expiry(v.job_events())
+
+
+@query
+def correction_precondition(v):
+    asked = v.table("customer").select(F.col("c_custkey").alias("job_id"))
+    return jobs.correctable(asked, jobs.latest(v.job_events())).withColumn("http_code", validate.http_code(F.col("error")))
+
+
+@query
+def correction_override(v):
+    return grid.overridden(v.matches().select("piece_id", "row", "col"), v.corrections())
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: (lambda spark, sf_dir, f=f: f(Views(spark, sf_dir))) for name, f in QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: v for k, v in oracles.sql().items() if k in QUERIES}
 
 
-def oracle_sql() -> dict:
-    return {}
