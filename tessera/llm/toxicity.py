@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“”„‟‘’‚«»‹›…–—¿¡·"
-OPEN, CLOSE = "\"“„«‹‘", "\"”“»›’"
+OPEN, CLOSE = "“„«‹‘", "”»›’"
 FEATURES = 7
 
 
@@ -178,11 +178,15 @@ class Scanner:
         return [np.log1p(exact), np.log1p(fuzzy), np.log1p(quoted), np.log1p(close), np.log1p(len(kinds)), min(1.0, 20 * n / max(1, len(words))), 1.0]
 
     def is_quoted(self, low: str, a: int, b: int) -> bool:
-        """Whether the nearest mark before, within the window, opens a quotation that a mark after it closes."""
-        before, after = low[max(0, a - self.p.window) : a + 1], low[max(a, b - 1) : b + self.p.window]
-        opened = max((before.rfind(c) for c in OPEN), default=-1)
-        closed = max((before[:-1].rfind(c + " ") for c in CLOSE), default=-1)
-        return opened >= 0 and opened > closed and any(c in after for c in CLOSE)
+        """Whether the hit stands within a quotation that begins and ends within the window, in its own line."""
+        start = max(low.rfind("\n", 0, a) + 1, a - self.p.window)
+        end = low.find("\n", b)
+        after = low[max(a, b - 1) : min(len(low) if end < 0 else end, b + self.p.window)]
+        before = low[start : a + 1]
+        if before.count('"') % 2 and '"' in after:
+            return True
+        opened, closed = (max(before.rfind(c) for c in marks) for marks in (OPEN, CLOSE))
+        return opened > closed and any(c in after for c in CLOSE)
 
 
 # -- Model ----------------------------------------------------------------------------------------------------------
