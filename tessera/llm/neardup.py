@@ -6,10 +6,9 @@ its earliest point, and a process stops once its next point comes after the late
 agree in a register with their probability Jaccard.  Bands of registers retrieve candidates; pairs are then verified on
 their whole shingle sets.
 
-Links are found by elections: in every bucket of a band the texts that meet most others lead, and all texts of other
-components are compared with them; buckets that still hold several components elect more leaders, geometrically many,
-until every pair across components has been compared.  So pairs inside a group of copies are never listed, and yet the
-components are those of all candidate links.
+Links are found in two steps that list no pairs inside a group of copies: each bucket's leader is compared with its
+other texts, and texts that could still tie components together are compared as blocks of arrays.  So the components
+are those of all candidate links.
 
 Cases: a text of one to four words is a single shingle; a text without words (or null) is alone with its exact copies;
 exact copies always share a class, whatever their ids; repeated rows stay rows; null ids are kept and never the
@@ -45,6 +44,7 @@ class Params:
     bands: int = 48
     rows: int = 7
     est_floor: float = 0.62
+    block: int = 256
     log_weights: bool = True
 
 
@@ -107,7 +107,7 @@ def band_keys(sig: np.ndarray, p: Params) -> np.ndarray:
     return mix64(key + np.arange(p.bands, dtype=U)[None, :] * ROLL[7]).view(np.int64)
 
 
-def _sliced(batches: Iterator[pa.RecordBatch], rows: int, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int, chars: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of at most that many rows and, but for single rows, bytes of text."""
     for b in batches:
         size = pc.fill_null(pc.binary_length(b["text"]), 0).to_pylist()
@@ -176,46 +176,97 @@ def one_each(docs: DataFrame, order: list) -> DataFrame:
     return docs.withColumn("rn_", F.row_number().over(Window.partitionBy("node").orderBy(*order))).filter("rn_ = 1").drop("rn_")
 
 
-def links(docs: DataFrame, p: Params = Params()) -> DataFrame | None:
-    """Verified links (u, v) between distinct texts, enough to span every component; docs: node, text."""
+def _spanning(x: dict, y: dict, p: Params, same: bool) -> list[tuple[bytes, bytes]]:
+    """Verified links between the members of two blocks that tie different components together."""
+    root: dict[bytes, bytes] = {}
+
+    def find(c: bytes) -> bytes:
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
+
+    out = []
+    sizes = [np.array([len(s) for s in z["set"]]) for z in (x, y)]
+    for at in range(0, len(x["node"]), 32):
+        part = slice(at, at + 32)
+        near = (x["sig"][part, None, :] == y["sig"][None, :, :]).mean(axis=2) >= p.est_floor
+        near &= x["comp"][part, None] != y["comp"][None, :]
+        near &= np.minimum(sizes[0][part, None], sizes[1]) >= p.threshold * np.maximum(sizes[0][part, None], sizes[1])
+        for i, j in zip(*np.nonzero(near), strict=True):
+            i += at
+            if same and i >= j:
+                continue
+            a, b = find(x["comp"][i]), find(y["comp"][j])
+            if a == b:
+                continue
+            u, v = x["set"][i], y["set"][j]
+            both = np.count_nonzero(v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u)
+            if both >= p.threshold * (len(u) + len(v) - both):
+                root[max(a, b)] = min(a, b)
+                out.append((x["node"][i], y["node"][j]))
+    return out
+
+
+def _compare_blocks(pairs: DataFrame, p: Params) -> DataFrame:
+    """Rows of two blocks of members (node, comp, sig, set), xs and ys -> links u, v."""
+
+    def opened(rows: pa.StructScalar) -> dict:
+        z = rows.values
+        sets = z.field("set")
+        flat, ends = sets.values.to_numpy(), sets.offsets.to_numpy()
+        return {
+            "node": z.field("node").to_pylist(), "comp": np.array(z.field("comp").to_pylist(), object),
+            "sig": np.frombuffer(b"".join(z.field("sig").to_pylist()), np.uint16).reshape(len(z), -1),
+            "set": [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)],
+        }
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            for i in range(b.num_rows):
+                same = b["i"][i].as_py() == b["j"][i].as_py()
+                found = _spanning(opened(b["xs"][i]), opened(b["ys"][i]), p, same)
+                yield pa.RecordBatch.from_pydict({"u": pa.array([x[0] for x in found], pa.binary()), "v": pa.array([x[1] for x in found], pa.binary())})
+
+    return pairs.mapInArrow(run, "u binary, v binary")
+
+
+def links(docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """Verified links (u, v) between distinct texts, enough to span every component; docs: node, text.
+
+    First every bucket's leader, the text that meets most others, is compared with the bucket's other texts.  Buckets
+    that then still hold several components are gathered into clusters that share texts, the clusters' texts dealt into
+    blocks, and every block compared with every other of its cluster: all pairs across components, held as arrays.
+    """
     small_batches(docs.sparkSession)
     sigs = materialize(signatures(docs, p).groupBy("node").agg(F.first("sig").alias("sig"), F.first("keys").alias("keys")), "signatures")
     exploded = sigs.select("node", F.explode("keys").alias("key"))
     bucket = materialize(exploded.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1"), "buckets")
     weight = bucket.groupBy("node").agg(F.sum("n").alias("met"))
-    bucket = materialize(bucket.join(weight, "node"), "buckets")
     members = bucket.select("node").distinct()
     # A node is the MD5 of its text: copies map to the same set, so any one of them serves.
     sets = materialize(shingle_sets(one_each(docs.join(members, "node", "left_semi"), ["node"]), p), "sets")
-    found, tested, comp, leaders = None, None, None, 1
-    while True:
-        now = bucket if comp is None else bucket.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        if comp is None:
-            now = now.withColumn("comp", F.col("node"))
-        else:
-            open_keys = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
-            now = bucket = materialize(now.join(open_keys, "key", "left_semi"), "buckets")
-            bucket = bucket.drop("comp")
-        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("met"), "node"))
-        lead = now.withColumn("rank_", rank).filter(F.col("rank_") <= leaders).select("key", F.col("node").alias("leader"), F.col("comp").alias("lcomp"))
-        pairs = now.join(lead, "key").filter("comp != lcomp").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        sig = sigs.select("node", "sig")
-        near = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
-        near = _agreement(near, p)
-        both = near.join(sets.select(F.col("node").alias("a"), F.col("set").alias("xa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("xb")), "b")
-        both = both.withColumn("same", F.size(F.array_intersect("xa", "xb"))).withColumn("all", F.size("xa") + F.size("xb") - F.col("same"))
-        new = materialize(both.filter(F.col("same") >= p.threshold * F.col("all")).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-        found = new if found is None else found.unionByName(new)
-        largest = now.groupBy("key").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-        if leaders >= largest:
-            return found
-        if comp is None or new.limit(1).count():
-            comp = materialize(components(found).select("node", F.col("component").alias("comp")), "components")
-        leaders *= 8
+    lead = bucket.join(weight, "node").groupBy("key").agg(F.min(F.struct((-F.col("met")).alias("m"), "node")).alias("x")).select("key", F.col("x.node").alias("leader"))
+    pairs = bucket.join(lead, "key").filter("node != leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    sig = sigs.select("node", "sig")
+    near = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
+    near = _agreement(near, p)
+    both = near.join(sets.select(F.col("node").alias("a"), F.col("set").alias("xa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("xb")), "b")
+    both = both.withColumn("same", F.size(F.array_intersect("xa", "xb"))).withColumn("all", F.size("xa") + F.size("xb") - F.col("same"))
+    first = materialize(both.filter(F.col("same") >= p.threshold * F.col("all")).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+
+    comp = components(first).select("node", F.col("component").alias("comp"))
+    now = bucket.select("key", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    open_keys = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("node").alias("least")).filter("lo != hi").select("key", "least")
+    unsettled = materialize(now.join(open_keys, "key").select("node", "comp", "least").distinct(), "unsettled")
+    cluster = materialize(components(unsettled, "node", "least"), "clusters").withColumnRenamed("component", "cluster")
+    blocks = cluster.groupBy("cluster").agg(F.ceil(F.count("*") / p.block).cast("int").alias("blocks"))
+    dealt = cluster.join(blocks, "cluster").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    full = dealt.join(unsettled.select("node", "comp").distinct(), "node").join(sig, "node").join(sets, "node")
+    packed = materialize(full.groupBy("cluster", "blocks", "i").agg(F.collect_list(F.struct("node", "comp", "sig", "set")).alias("rows")), "blocks")
+    left = packed.select("cluster", "i", F.explode(F.sequence("i", F.col("blocks") - 1)).alias("j"), F.col("rows").alias("xs"))
+    right = packed.select("cluster", F.explode(F.sequence(F.lit(0), "i")).alias("i"), F.col("i").alias("j"), F.col("rows").alias("ys"))
+    second = _compare_blocks(left.join(right, ["cluster", "i", "j"]), p)
+    return first.unionByName(second)
 
 
 def classes(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
