@@ -34,8 +34,8 @@ def shift(a: Column, n: Column) -> Column:
 
 
 def r6(c: Column) -> Column:
-    """Rounded to six places, without a negative zero."""
-    return F.round(c, 6) + F.lit(0.0)
+    """To the nearest millionth by floating-point steps that any engine repeats, without a negative zero."""
+    return F.floor(c * 1e6 + 0.5) / 1e6
 
 
 def on_border(i: Column, n: Column) -> Column:

@@ -28,11 +28,9 @@ job_events AS (SELECT user_id AS job_id, ts, event_id AS seq,
     CASE WHEN event_id % 4 <> 0 THEN CAST(least(100, floor(value)) AS BIGINT) END AS progress, CASE WHEN event_type = 'error' THEN props END AS error FROM events)
 """
 
-R6 = "round({}, 6) + 0.0"
-
-
 def r(expr: str, name: str) -> str:
-    return f"round({expr}, 6) + 0.0 AS {name}"
+    """To the nearest millionth, by the same steps as on the other side."""
+    return f"floor(({expr}) * 1e6 + 0.5) / 1e6 AS {name}"
 
 
 COS = "round(list_inner_product(p.cls, c.cls) / (greatest(sqrt(list_inner_product(p.cls, p.cls)), 1e-8) * greatest(sqrt(list_inner_product(c.cls, c.cls)), 1e-8)), 12)"
@@ -44,7 +42,7 @@ fine AS MATERIALIZED (SELECT s.*, greatest(0.0, least(1.0, list_avg(list_transfo
     FROM coarse_rot s JOIN lt USING (piece_id, rot) JOIN rt USING ("row", col))"""
 CANDIDATES = f"""{COARSE}, {FINE},
 candidates AS MATERIALIZED (SELECT piece_id, rot, "row", col, fine, expected, flat, round(0.70 * fine + 0.30 * flat, 9) AS composite FROM (
-    SELECT f.*, expected, greatest(0.0, 1 - 0.5 * abs(expected - flat_side_count)) AS flat FROM fine f JOIN pieces USING (piece_id)
+    SELECT f.*, expected, greatest(0.0::DOUBLE, 1 - 0.5::DOUBLE * abs(expected - flat_side_count)) AS flat FROM fine f JOIN pieces USING (piece_id)
     JOIN (SELECT "row", col, CASE piece_type WHEN 'corner' THEN 2 WHEN 'edge' THEN 1 ELSE 0 END AS expected FROM typed) USING ("row", col)))"""
 BEST = """best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY piece_id, "row", col ORDER BY composite DESC, rot) AS n FROM candidates) WHERE n = 1)"""
 PAIRS = """pairs AS (SELECT x.piece_id AS a, y.piece_id AS b, 1 AS side_a, 3 AS side_b FROM matches x JOIN matches y ON x."row" = y."row" AND y.col = x.col + 1
