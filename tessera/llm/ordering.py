@@ -24,6 +24,8 @@ def positions(df: DataFrame, group: list[str], order: str, ties: list[str], amou
     amount = F.lit(1).cast("long") if amount is None else amount
     sizes = df.groupBy(*group).agg(F.ceil(F.count("*") / ROWS).alias("parts_"))
     split = df.withColumn("amount_", amount).join(sizes, group).withColumn("part_", F.floor(unit(F.col(order)) * F.col("parts_")).cast("long")).drop("parts_")
+    # Dealt by part: a partitioning by group alone, left over from the join, would do for the windows but keep groups whole.
+    split = split.repartition(*group, "part_")
     sums = split.groupBy(*group, "part_").agg(F.sum("amount_").alias("sum_"))
     before = Window.partitionBy(*group).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before_", F.coalesce(F.sum("sum_").over(before), F.lit(0))).drop("sum_")
