@@ -33,22 +33,25 @@ def overlaps(sets: DataFrame, least: float) -> DataFrame:
 def suppressed(masks: DataFrame, edges: DataFrame) -> DataFrame:
     """mask_id of the masks that stay when, from the highest score down, a mask goes if it overlaps one that stayed.
 
-    masks: mask_id, score; edges: a, b.  Rounds decide every mask that no undecided stronger one touches; each is a pair
-    of equi-joins, and the number of rounds is the longest chain of ever weaker neighbours, not the number of masks.
+    masks: mask_id, score; edges: a, b.  Rounds decide every mask that no undecided stronger one touches, and go on with
+    what is undecided, which shrinks fast; their number is the longest chain of ever weaker neighbours at most.
     """
     key = masks.select("mask_id", F.struct((-F.col("score")).alias("s"), "mask_id").alias("k"))
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     arcs = both.join(key.withColumnsRenamed({"mask_id": "a", "k": "ka"}), "a").join(key.withColumnsRenamed({"mask_id": "b", "k": "kb"}), "b")
     arcs = materialize(arcs.filter("kb < ka").select(F.col("a").alias("weak"), F.col("b").alias("strong")).distinct(), "arcs")
-    state = materialize(masks.select("mask_id").distinct().withColumn("kept", F.lit(None).cast("boolean")), "state")
+    open_ = masks.select("mask_id").distinct()
+    kept = None
     while True:
-        strong = arcs.join(state.withColumnsRenamed({"mask_id": "strong"}), "strong")
-        told = strong.groupBy(F.col("weak").alias("mask_id")).agg(F.coalesce(F.bool_or("kept"), F.lit(False)).alias("hit"), F.max(F.col("kept").isNull().cast("int")).alias("open"))
-        new = state.join(told, "mask_id", "left")
-        kept = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("hit"), False).when(F.coalesce("open", F.lit(0)) == 0, True)
-        state = materialize(new.select("mask_id", kept.alias("kept")), "state")
-        if not state.filter("kept IS NULL").limit(1).count():
-            return state.filter("kept").select("mask_id")
+        # Of the undecided, those without a stronger undecided neighbour stay, and their neighbours go.
+        stay = materialize(open_.join(arcs.select(F.col("weak").alias("mask_id")).distinct(), "mask_id", "left_anti"), "stay")
+        kept = stay if kept is None else kept.unionByName(stay)
+        gone = materialize(arcs.join(stay.withColumnRenamed("mask_id", "strong"), "strong", "left_semi").select(F.col("weak").alias("mask_id")).distinct(), "gone")
+        left = arcs.join(gone.withColumnRenamed("mask_id", "weak"), "weak", "left_anti")
+        arcs = materialize(left.join(gone.withColumnRenamed("mask_id", "strong"), "strong", "left_anti"), "arcs")
+        open_ = materialize(open_.join(stay, "mask_id", "left_anti").join(gone, "mask_id", "left_anti"), "open")
+        if not open_.limit(1).count():
+            return kept
 
 
 def split(masks: DataFrame, children: DataFrame, min_area: int, share: float = 0.15) -> DataFrame:
