@@ -30,7 +30,7 @@ job_events AS (SELECT user_id AS job_id, ts, event_id AS seq,
 
 def r(expr: str, name: str) -> str:
     """To the nearest millionth, by the same steps as on the other side."""
-    return f"floor(({expr}) * 1e6 + 0.5) / 1e6 AS {name}"
+    return f"floor(round(CAST({expr} AS DOUBLE), 11) * 1e6 + 0.5) / 1e6 AS {name}"
 
 
 COS = "round(list_inner_product(p.cls, c.cls) / (greatest(sqrt(list_inner_product(p.cls, p.cls)), 1e-8) * greatest(sqrt(list_inner_product(c.cls, c.cls)), 1e-8)), 12)"
@@ -96,7 +96,7 @@ def sql() -> dict[str, str]:
             CAST(greatest(0, floor(col * 37 / 6) - 1) AS BIGINT) AS c0, CAST(least(37, floor((col + 1) * 37 / 6) + 1) AS BIGINT) AS c1 FROM (SELECT unnest(range(5)) AS "row"), (SELECT unnest(range(6)) AS col))""",
         "fine_maxsim": (f"{COARSE}, {FINE}", f'SELECT piece_id, "row", col, {r("fine", "fine")} FROM fine WHERE rot = 0'),
         "coarse_to_fine": (f"{COARSE}, {FINE}", f'SELECT piece_id, rot, "row", col, {r("coarse", "coarse")}, {r("fine", "fine")} FROM fine'),
-        "flat_side_score": (CANDIDATES, 'SELECT DISTINCT piece_id, "row", col, expected, flat FROM candidates'),
+        "flat_side_score": (CANDIDATES, 'SELECT DISTINCT piece_id, "row", col, CAST(expected AS BIGINT) AS expected, flat FROM candidates'),
         "composite_score": (CANDIDATES, f'SELECT piece_id, rot, "row", col, {r("composite", "composite")}, {r("1 - composite", "cost")} FROM candidates'),
         "cost_matrix": (CANDIDATES, f"""SELECT piece_id, "row", col, {r("cost", "cost")}, {r("sum(cost) OVER p + (SELECT count(*) FROM cells) - count(*) OVER p", "row_total")} FROM (
             SELECT piece_id, "row", col, least(min(1 - composite), 1.0) AS cost FROM candidates GROUP BY ALL) WINDOW p AS (PARTITION BY piece_id)"""),
@@ -106,9 +106,9 @@ def sql() -> dict[str, str]:
         "flag_low_confidence": f"SELECT piece_id, {r('confidence', 'confidence')}, confidence < 0.55 AS flagged FROM matches",
         "confidence_stats": f"SELECT {r('avg(confidence)', 'mean')}, {r('min(confidence)', '\"min\"')}, {r('max(confidence)', '\"max\"')}, {r('stddev_pop(confidence)', 'std_pop')}, CAST(sum(CAST(confidence < 0.55 AS INT)) AS BIGINT) AS flagged_count, {r('avg(CAST(confidence < 0.55 AS INT))', 'flagged_fraction')} FROM matches",
         "confidence_bands": "SELECT CASE WHEN confidence >= 0.75 THEN 'high' WHEN confidence >= 0.55 THEN 'medium' ELSE 'low' END AS band, count(*) AS n FROM matches GROUP BY 1",
-        "classify_position": """SELECT "row", col, piece_type, CASE piece_type WHEN 'corner' THEN 2 WHEN 'edge' THEN 1 ELSE 0 END AS expected FROM typed""",
+        "classify_position": """SELECT "row", col, piece_type, CAST(CASE piece_type WHEN 'corner' THEN 2 WHEN 'edge' THEN 1 ELSE 0 END AS BIGINT) AS expected FROM typed""",
         "class_counts": "SELECT piece_type, count(*) AS n FROM typed GROUP BY 1",
-        "flat_side_mismatch": "SELECT * FROM (SELECT piece_id, CASE piece_type WHEN 'corner' THEN 2 WHEN 'edge' THEN 1 ELSE 0 END AS expected, flat_side_count AS actual FROM typed) WHERE expected <> actual",
+        "flat_side_mismatch": "SELECT * FROM (SELECT piece_id, CAST(CASE piece_type WHEN 'corner' THEN 2 WHEN 'edge' THEN 1 ELSE 0 END AS BIGINT) AS expected, flat_side_count AS actual FROM typed) WHERE expected <> actual",
         "grid_shape_search": (f"""counts AS (SELECT c_mktsegment AS key, count(*) AS n, sqrt(count(*) * {4 / 3!r}) AS cf, count(*) / sqrt(count(*) * {4 / 3!r}) AS rf FROM customer GROUP BY 1),
             tried AS (SELECT key, n, cf, rf, CAST(floor(rf) AS BIGINT) + i AS r, CAST(floor(cf) AS BIGINT) + j AS c, 1 AS seq FROM counts, (SELECT unnest(range(-5, 6)) AS i), (SELECT unnest(range(-5, 6)) AS j)
                 WHERE floor(rf) + i BETWEEN 2 AND 100 AND floor(cf) + j BETWEEN 2 AND 100
@@ -144,7 +144,7 @@ def sql() -> dict[str, str]:
             f"""SELECT l."row", l.col, {r("sum(wt * v)", "val")} FROM looks l JOIN raster x ON x."row" = l.r AND x.col = l.c GROUP BY 1, 2"""),
         "alpha_composite": """SELECT "row", col, CAST(floor(v * m + 128 * (1 - m)) AS BIGINT) AS val FROM raster JOIN raster_mask USING ("row", col)""",
         "boundary_strip": (f"""strip AS (SELECT x.*, n_rows, n_cols, greatest(1, least(10, n_rows // 4, n_cols // 4)) AS wd FROM raster x JOIN raster_mask USING ("row", col), shape WHERE m > 0)""",
-            f"""SELECT side, count(*) AS n, {r("avg(v)", "mean")} FROM (SELECT 0 AS side, v FROM strip WHERE "row" < wd UNION ALL SELECT 1, v FROM strip WHERE col >= n_cols - wd UNION ALL SELECT 2, v FROM strip WHERE "row" >= n_rows - wd UNION ALL SELECT 3, v FROM strip WHERE col < wd) GROUP BY side"""),
+            f"""SELECT CAST(side AS BIGINT) AS side, count(*) AS n, {r("avg(v)", "mean")} FROM (SELECT 0 AS side, v FROM strip WHERE "row" < wd UNION ALL SELECT 1, v FROM strip WHERE col >= n_cols - wd UNION ALL SELECT 2, v FROM strip WHERE "row" >= n_rows - wd UNION ALL SELECT 3, v FROM strip WHERE col < wd) GROUP BY side"""),
         "signed_curvature": f"""SELECT user_id, idx, {r(TURN, "kappa")} FROM (SELECT *, lag(x) OVER w AS lx, lag(y) OVER w AS ly, lead(x) OVER w AS nx, lead(y) OVER w AS nx_y FROM contours WINDOW w AS (PARTITION BY user_id ORDER BY idx)) WHERE lx IS NOT NULL AND nx IS NOT NULL
             UNION ALL SELECT user_id, 0, 0.0 FROM contours GROUP BY user_id HAVING count(*) < 3""",
         "corner_angles": (WRAP, f"""SELECT user_id, idx, {r("degrees(acos(CASE WHEN s > 0 THEN greatest(-1.0, least(1.0, ((xp - x) * (xn - x) + (yp - y) * (yn - y)) / s)) ELSE 1.0 END))", "angle_deg")} FROM (
