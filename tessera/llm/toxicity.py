@@ -211,13 +211,17 @@ def _texts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
 
 
 def _word_counts(p: Params):
+    """word, before, clean, toxic: clean counts documents; a toxic document gives a row for each word and the one before
+    it, so that what near-copies repeat can be counted once."""
+
     def run(batches):
-        seen: dict[str, list[int]] = {}
+        seen: dict[tuple[str, str], list[int]] = {}
         for b in _texts(batches):
             for text, toxic in zip(b["text"].to_pylist(), b["toxic"].to_pylist(), strict=True):
-                for w in {w.strip(EDGE) for w in set((text or "").lower().split())}:
-                    if 2 < len(w) <= 64:
-                        seen.setdefault(w, [0, 0])[toxic] += 1
+                words = [w.strip(EDGE) for w in (text or "").lower().split()]
+                for pair in set(zip(words, ["", *words], strict=False)) if toxic else {(w, "") for w in words}:
+                    if 2 < len(pair[0]) <= 64:
+                        seen.setdefault(pair, [0, 0])[toxic] += 1
             if len(seen) > p.cache_words:
                 yield _counted(seen)
                 seen = {}
@@ -227,7 +231,8 @@ def _word_counts(p: Params):
 
 
 def _counted(seen: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.string()), "clean": pa.array([v[0] for v in seen.values()], pa.int64()), "toxic": pa.array([v[1] for v in seen.values()], pa.int64())})
+    words, before = zip(*seen, strict=True) if seen else ([], [])
+    return pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "before": pa.array(before, pa.string()), "clean": pa.array([v[0] for v in seen.values()], pa.int64()), "toxic": pa.array([v[1] for v in seen.values()], pa.int64())})
 
 
 def _feature_rows(model: Model):
@@ -279,8 +284,9 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
     support = max(p.min_support if n_toxic >= 20 else 2, int(np.ceil(p.min_share * n_toxic)))
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
     words = (
-        rows.mapInArrow(_word_counts(p), "word string, clean long, toxic long")
-        .groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+        rows.mapInArrow(_word_counts(p), "word string, before string, clean long, toxic long")
+        .groupBy("word", "before").agg(F.sum("clean").alias("clean"), F.max(F.least("toxic", F.lit(1))).alias("toxic"))
+        .groupBy("word").agg(F.sum("clean").alias("clean"), F.least(F.sum("toxic"), F.lit(n_toxic)).alias("toxic"))
         .filter(F.col("toxic") >= support).withColumn("odds", odds).filter(F.col("odds") >= p.min_log_odds)
         .orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "word").limit(p.max_terms).collect()
     )
