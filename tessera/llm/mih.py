@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import small_batches
 from tessera.session import materialize
 
 
@@ -147,7 +148,7 @@ def search_block(q: np.ndarray, q_codes: np.ndarray, x: np.ndarray, codes: np.nd
 def search(queries: DataFrame, vectors: DataFrame, p: Params = Params(), model: Model | None = None, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k best by cosine among those found."""
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    small_batches(spark, rows=16)  # rows are blocks of vectors
     data, asked = valid(vectors, vec_id, embedding), valid(queries, vec_id, embedding)
     asked = asked.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     model = model or fit(data, p)
