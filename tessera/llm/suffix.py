@@ -141,24 +141,28 @@ def repeated_offsets(lefts: list[bytes], rights: list[bytes], counts: list[int],
     lefts are reversed; counts above 1 stand for contexts that occur several times.
     """
     n = len(lefts)
-    need = np.arange(side + 1)
-    ids = np.zeros((n, side + 1), np.int64)
-    for strings, least in ((lefts, need), (rights, side - need)):
-        order = deep_shallow(strings, shallow)
-        fresh = agreeing(strings, order)[:, None] < least[None, :]
-        group = np.empty((n, side + 1), np.int64)
-        group[order] = np.cumsum(fresh, axis=0)
-        ids = ids * (n + 1) + group
-    at = np.argsort(ids, axis=0, kind="stable")
-    sorted_ids = np.take_along_axis(ids, at, axis=0)
-    twin = np.zeros_like(ids, bool)
-    equal = sorted_ids[1:] == sorted_ids[:-1]
-    twin[1:] |= equal
-    twin[:-1] |= equal
-    out = np.zeros_like(twin)
-    np.put_along_axis(out, at, twin, axis=0)
-    fits = (np.array([len(x) for x in lefts])[:, None] >= need) & (np.array([len(x) for x in rights])[:, None] >= side - need)
-    return (out | (np.array(counts) > 1)[:, None]) & fits
+    sides = [(order := deep_shallow(strings, shallow), agreeing(strings, order)) for strings in (lefts, rights)]
+    sizes = [np.array([len(x) for x in strings]) for strings in (lefts, rights)]
+    many = np.array(counts) > 1
+    out = np.zeros((n, side + 1), bool)
+    for at in range(0, side + 1, 24):  # a few offsets at a time, so that large groups stay small in memory
+        need = np.arange(at, min(at + 24, side + 1))
+        ids = np.zeros((n, len(need)), np.int64)
+        for (order, lcp), least in zip(sides, (need, side - need), strict=True):
+            group = np.empty_like(ids)
+            group[order] = np.cumsum(lcp[:, None] < least[None, :], axis=0)
+            ids = ids * (n + 1) + group
+        by = np.argsort(ids, axis=0, kind="stable")
+        ordered = np.take_along_axis(ids, by, axis=0)
+        twin = np.zeros_like(ids, bool)
+        equal = ordered[1:] == ordered[:-1]
+        twin[1:] |= equal
+        twin[:-1] |= equal
+        found = np.zeros_like(twin)
+        np.put_along_axis(found, by, twin, axis=0)
+        fits = (sizes[0][:, None] >= need) & (sizes[1][:, None] >= side - need)
+        out[:, need] = (found | many[:, None]) & fits
+    return out
 
 
 # -- Anchors --------------------------------------------------------------------------------------------------------
@@ -302,13 +306,15 @@ def repeated(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """(node, spans): merged byte ranges of each distinct text that repeated strings cover; docs: node, text."""
     small_batches(docs.sparkSession)
     rows = _anchor_rows(docs, p)
-    grams = rows.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
+    # As a table of its own: joined straight to the aggregation, a hot gram's anchors could not be split.
+    grams = materialize(rows.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g"), "grams")
     rows = _anchor_rows(docs, p)
-    spots = materialize(rows.join(grams, "g").groupBy("node", "pos", "g", "c").agg(F.count("*").alias("copies")), "spots")
+    # Dealt by place: a partitioning by gram would do for the counts of copies, but keep the join from being split.
+    spots = materialize(rows.join(grams, "g").repartition("node", "pos").groupBy("node", "pos", "g", "c").agg(F.count("*").alias("copies")), "spots")
     # Contexts per gram: with a single one, all its places repeat in full and nothing is left to sort.
     per = spots.groupBy("g", "c").agg(F.sum("copies").alias("n"), F.min(F.struct("node", "pos")).alias("at"))
     kinds = materialize(per, "contexts")
-    many = kinds.groupBy("g").agg(F.count("*").alias("kinds"))
+    many = materialize(kinds.groupBy("g").agg(F.count("*").alias("kinds")), "kinds")
     kinds = kinds.join(many, "g")
     whole = kinds.filter("kinds = 1 AND n > 1").select("g", "c", F.array(F.array(F.lit(-p.side), F.lit(p.length))).alias("ranges"))
     wanted = kinds.filter("kinds > 1").groupBy("at.node").agg(F.collect_list(F.struct("at.pos", "g", "c")).alias("spots"))
