@@ -3,8 +3,11 @@
 The DOMs of a host's pages are merged: a node of the tree is a path of tags with their classes and ids.  A node's
 presentation matters if its children's styles differ between pages, its contents matter if they do: a text that stands
 on c of a node's m pages has the importance 1 - log c / log m.  Presentation and contents are composed, and branches of
-low importance go from every page of the host.  What the markup itself names (menus, footers, forms, comments, adverts,
-...) is of no importance at the outset, and article and main elements are of full importance but for such parts.
+low importance go from every page of the host, and so do single texts, inside article and main elements as elsewhere.
+What the markup itself names (menus, footers, forms, comments, adverts, ...) is of no importance at the outset.  On a
+page with an article or main element, what stands outside of it stays only by the tree: in a branch of high importance
+that holds a good part of the pages' text.  Where the tree has judged nothing, and where it would leave nothing of an
+article, the markup decides.
 
 Cases: null and empty html gives an empty text; null or unreadable urls have no tree and are judged by their markup;
 markup may be cut off, unclosed or badly nested; repeated rows are pages of their own; an empty table gives no rows.
@@ -29,13 +32,16 @@ from tessera.session import materialize
 @dataclass(frozen=True)
 class Params:
     """threshold: importance below which a branch goes; min_pages: pages a node needs to be judged; attenuation: the
-    share of contents in a node's importance; broadcast_rows: up to so many branches are sent to all tasks."""
+    share of contents in a node's importance; broadcast_rows: up to so many branches are sent to all tasks; strong and
+    share: importance and mean share of its pages' text from which a branch stays against the markup."""
 
     threshold: float = 0.3
     min_pages: int = 5
     attenuation: float = 0.9
     depth: int = 8
     broadcast_rows: int = 100_000
+    strong: float = 0.7
+    share: float = 0.25
 
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?[a-zA-Z][^\s/>]*(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>|[^<]+|<", re.S)
@@ -81,10 +87,10 @@ def is_noise(name: str, attrs: dict[str, str], within_main: bool) -> bool:
     return not NOISE_WORDS.isdisjoint(words)
 
 
-def blocks(text: str | None) -> tuple[list[tuple[str | None, str]], bool]:
-    """((path, text) of every block outside what the markup itself names as noise, in page order; whether an article or
-    main element was met).  Blocks inside such elements have no path (None): they are not judged by the tree."""
-    out: list[tuple[str | None, str]] = []
+def blocks(text: str | None) -> tuple[list[tuple[str, str, bool]], bool]:
+    """((path, text, whether inside an article or main element) of every block outside what the markup itself names as
+    noise, in page order; whether such an element was met)."""
+    out: list[tuple[str, str, bool]] = []
     stack: list[Element] = [Element("", "", False, False)]
     buffer: list[str] = []
     raw: str | None = None
@@ -93,7 +99,7 @@ def blocks(text: str | None) -> tuple[list[tuple[str | None, str]], bool]:
     def flush() -> None:
         if buffer:
             if not (top := stack[-1]).noise and (t := " ".join(entities.unescape("".join(buffer)).split())):
-                out.append((None if top.main else top.path, t))
+                out.append((top.path, t, top.main))
             buffer.clear()
 
     for m in TOKEN.finditer(text or ""):
@@ -172,68 +178,105 @@ def _key(path: str) -> int:
     return xxhash.xxh64_intdigest(path) - 2**63
 
 
-def branch_rows(text: str | None, depth: int) -> list[tuple[int, int, int]]:
-    """(branch, style, content) hashes of a page, one for each branch of the tree above its blocks.  A branch's style is
-    the sequence of its children's marks, its content the text under it."""
+def _branches(path: str, depth: int) -> list[str]:
+    """The branches above a block, outermost first."""
+    parts = path.split(">")[1 : depth + 1]
+    return [">".join(parts[:i]) for i in range(1, len(parts) + 1)]
+
+
+def _leaf(branch: str, text: str) -> int:
+    return _key(f"{branch}\n{text}")
+
+
+def branch_rows(text: str | None, depth: int) -> list[tuple[int, int | None, int, int]]:
+    """(branch, style, content, share) of a page, hashes and millionths of its text: one for each branch of the tree above
+    its blocks, and one without a style for each text in its innermost branch.  A branch's style is the sequence of its
+    children's marks, its content the text under it."""
     below: dict[str, tuple[list[str], list[str]]] = {}
-    for path, t in blocks(text)[0]:
-        if path is None:
-            continue
+    leaves: dict[tuple[str, str], None] = {}
+    found = blocks(text)[0]
+    for path, t, _ in found:
+        above = _branches(path, depth)
         parts = path.split(">")[1 : depth + 1]
-        for i in range(1, len(parts) + 1):
-            styles, texts = below.setdefault(">".join(parts[:i]), ([], []))
+        for i, branch in enumerate(above, 1):
+            styles, texts = below.setdefault(branch, ([], []))
             styles.append(parts[i] if i < len(parts) else "")
             texts.append(t)
-    return [(_key(k), _key("|".join(s)), _key("\n".join(t))) for k, (s, t) in below.items()]
+        if above:
+            leaves[above[-1], t] = None
+    total = sum(len(t) for _, t, _ in found)
+    rows = [(_key(k), _key("|".join(s)), _key("\n".join(t)), 1_000_000 * sum(map(len, t)) // total) for k, (s, t) in below.items()]
+    return rows + [(_key(k), None, _leaf(k, t), 0) for k, t in leaves]
 
 
-def low_importance(pages: DataFrame, p: Params = Params()) -> DataFrame:
-    """host, branches: hashes of each site's branches below the threshold; pages: url, html."""
+def importance(pages: DataFrame, p: Params = Params()) -> DataFrame:
+    """host, branches, strong: hashes of each site's branches and texts below the threshold, and of those branches that
+    stay against the markup; pages: url, html."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             rows = [(h, *x) for h, t in zip(b["host"].to_pylist(), b["html"].to_pylist(), strict=True) for x in branch_rows(t, p.depth)]
-            cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["host", "branch", "style", "content"])
+            cols = list(zip(*rows, strict=True)) or [[], [], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["host", "branch", "style", "content", "share"])
 
-    seen = pages.select(host_of(F.col("url")).alias("host"), "html").filter("host != ''").mapInArrow(run, "host string, branch long, style long, content long")
+    kind = "host string, branch long, style long, content long, share long"
+    seen = pages.select(host_of(F.col("url")).alias("host"), "html").filter("host != ''").mapInArrow(run, kind)
+    seen = materialize(seen, "branch_rows")
+    whole = seen.filter("style IS NOT NULL")
     # Counts of each style and content combine before the shuffle; a hot host is one row a distinct content.
     node = ["host", "branch"]
-    content = seen.groupBy(*node, "content").agg(F.count("*").alias("c")).groupBy(*node).agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
-    style = seen.groupBy(*node, "style").agg(F.count("*").alias("c")).groupBy(*node).agg(F.sum(F.col("c") * F.log("c")).alias("slogs"))
-    both = content.join(style, node).filter(F.col("m") >= p.min_pages)
+    content = whole.groupBy(*node, "content").agg(F.count("*").alias("c"), F.sum("share").alias("share"))
+    content = content.groupBy(*node).agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("clogc"), F.sum("share").alias("share"))
+    style = whole.groupBy(*node, "style").agg(F.count("*").alias("c")).groupBy(*node).agg(F.sum(F.col("c") * F.log("c")).alias("slogs"))
+    content = content.filter(F.col("m") >= p.min_pages)
     log_m = F.log("m")
     own = 1 - F.col("clogc") / (F.col("m") * log_m)
     shown = 1 - F.col("slogs") / (F.col("m") * log_m)
-    importance = (1 - p.attenuation) * shown + p.attenuation * own
-    return both.filter(importance < p.threshold).groupBy("host").agg(F.sort_array(F.collect_set("branch")).alias("branches"))
-
-
-def main_text(text: str | None, low: set[int], depth: int) -> str:
-    """Blocks of the page joined by empty lines; with an article or main element, only those inside of one."""
+    both = content.join(style, node).withColumn("importance", (1 - p.attenuation) * shown + p.attenuation * own)
+    low = F.col("importance") < p.threshold
+    strong = (F.col("importance") >= p.strong) & (F.col("share") >= F.col("m") * int(1_000_000 * p.share))
+    judged = both.select("host", F.when(low, F.col("branch")).alias("low"), F.when(strong, F.col("branch")).alias("strong"))
+    # A text of a judged branch stands on that many pages at least before it can be low, so few come to the join.
+    least = p.min_pages ** (1 - p.threshold)
+    leaf = seen.filter("style IS NULL").groupBy(*node, "content").agg(F.count("*").alias("c")).filter(F.col("c") > least)
+    leaf = leaf.join(content.select(*node, "m"), node).filter(1 - F.log("c") / log_m < p.threshold)
+    judged = judged.unionByName(leaf.select("host", F.col("content").alias("low"), F.lit(None).cast("long").alias("strong")))
+    judged = judged.filter("low IS NOT NULL OR strong IS NOT NULL").groupBy("host")
+    return judged.agg(F.sort_array(F.collect_set("low")).alias("branches"), F.sort_array(F.collect_set("strong")).alias("strong"))
+
+
+def main_text(text: str | None, low: set[int], depth: int, strong: frozenset[int] | set[int] = frozenset()) -> str:
+    """Blocks of the page joined by empty lines, but for those that the tree finds low; with an article or main element,
+    those inside of one and those in a strong branch that holds none."""
     found, has_main = blocks(text)
-    if has_main:
-        return "\n\n".join(t for path, t in found if path is None)
+    above: dict[str, tuple[list[int], str]] = {}
+    for path, _, _ in found:
+        if path not in above and (low or strong):
+            branches = _branches(path, depth)
+            above[path] = [_key(x) for x in branches], branches[-1] if branches else ""
+    holds = {k for path, _, main in found if main and path in above for k in above[path][0]}
     kept = []
-    for path, t in found:
-        parts = path.split(">")[1 : depth + 1]
-        if not low or not any(_key(">".join(parts[:i])) in low for i in range(1, len(parts) + 1)):
+    for path, t, main in found:
+        keys, last = above.get(path, ([], ""))
+        if low and (not low.isdisjoint(keys) or _leaf(last, t) in low):
+            continue
+        if not has_main or main or any(k in strong and k not in holds for k in keys):
             kept.append(t)
-    return "\n\n".join(kept)
+    return "\n\n".join(kept or [t for _, t, main in found if main])
 
 
 def extract(pages: DataFrame, p: Params = Params()) -> DataFrame:
     """pages (page_id, url, html) -> page_id, url, text, n_chars."""
     small_batches(pages.sparkSession)
-    low = materialize(low_importance(pages, p), "branches")
-    size = low.agg(F.coalesce(F.sum(F.size("branches") + 1), F.lit(0))).first()[0]
+    low = materialize(importance(pages, p), "branches")
+    size = low.agg(F.coalesce(F.sum(F.size("branches") + F.size("strong") + 1), F.lit(0))).first()[0]
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    rows = rows.join(F.broadcast(low) if size <= p.broadcast_rows else low, "host", "left").select("page_id", "url", "html", "branches")
+    rows = rows.join(F.broadcast(low) if size <= p.broadcast_rows else low, "host", "left").select("page_id", "url", "html", "branches", "strong")
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            texts = [main_text(h, set(low or ()), p.depth) for h, low in zip(b["html"].to_pylist(), b["branches"].to_pylist(), strict=True)]
+            texts = [main_text(h, set(low or ()), p.depth, set(strong or ())) for h, low, strong in zip(*(b[c].to_pylist() for c in ("html", "branches", "strong")), strict=True)]
             yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, f"page_id {kinds['page_id']}, url string, text string, n_chars long")

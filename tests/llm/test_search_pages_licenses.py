@@ -96,6 +96,21 @@ def test_style_tree_drops_what_a_site_repeats(spark):
     assert {(r["page_id"], r["url"]): r["text"] for r in shuffled.collect()} == got
 
 
+def test_style_tree_judges_articles_too(spark):
+    inside = [(i, f"http://a.example/{i}", f"<article><p>Story {i} begins here</p><div class=app>Get our app</div><p>Read more of this paper</p><p>and story {i} ends</p></article><p>By {i}") for i in range(12)]
+    cards = [(20 + i, f"http://b.example/{i}", f"<article>Card {i}</article><div class=body><p>The body of page {i} is long and told in a plain division</div><div class=end>Same end") for i in range(12)]
+    copies = [(40 + i, "http://c.example/x", "<article>Only one text</article>out") for i in range(8)]
+    few = [(60, "http://d.example/x", "<article>in</article><div>out"), (61, None, "<article>in</article><div>out")]
+    df = spark.createDataFrame([*inside, *cards, *copies, *few], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in pages.extract(df).collect()}
+    for i in range(12):
+        assert got[i] == f"Story {i} begins here\n\nand story {i} ends"
+        assert got[20 + i] == f"Card {i}\n\nThe body of page {i} is long and told in a plain division"
+    assert {got[40 + i] for i in range(8)} == {"Only one text"} and got[60] == got[61] == "in"
+    shuffled = pages.extract(df, pages.Params(broadcast_rows=-1))
+    assert {r["page_id"]: r["text"] for r in shuffled.collect()} == got
+
+
 def test_licences(spark, odd_docs):
     notes = dict((name, text) for name, _, text in licenses.TEMPLATES)
     long = notes["mit"].split()
