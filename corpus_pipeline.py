@@ -31,8 +31,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes passages of 400 bytes or more that stand elsewhere too; no document goes."""
-    out = suffix.remove(docs).drop("cut")
+    """Removes passages of over 50 words, or of 400 bytes or more, that stand elsewhere too; no document goes."""
+    out = suffix.remove(docs, words=suffix.Params(length=51, gram=32, words=True)).drop("cut")
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 

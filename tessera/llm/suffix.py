@@ -10,6 +10,9 @@ Anchors whose whole context occurs twice need no sorting, and equal contexts are
 groups of copies cost one context.  A group of more than `most` distinct contexts is divided by the strings themselves:
 its strings are counted by their hashes, which is exact as well and combines before the shuffle.
 
+Passages may be counted in words as well: a text is then the string of its words' hashes, a symbol of eight bytes each,
+and what repeats are strings of `length` whole words, whatever white space stands between them.
+
 Cases: null and empty texts have no bytes and lose none; texts shorter than `length` lose none; copies and repeated
 rows lose all that is in both; ids may be null or repeated; extra columns keep their values whatever their names.
 """
@@ -22,11 +25,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import mix64, small_batches
+from tessera.llm.common import WHITE, mix64, small_batches
 from tessera.llm.neardup import node_of
 from tessera.session import materialize
 
@@ -38,18 +42,25 @@ BYTE = mix64(np.arange(1, 257).astype(U))
 
 @dataclass(frozen=True)
 class Params:
-    """gram must be a power of two below length; shallow is the depth in bytes at which blind tries take over."""
+    """gram must be a power of two below length; shallow is the depth in bytes at which blind tries take over; with words,
+    length and gram are words rather than bytes."""
 
     length: int = 400
     gram: int = 256
     shallow: int = 16
     most: int = 20_000
+    words: bool = False
 
     @property
     def side(self) -> int:
-        """Bytes of context on either side of a gram."""
+        """Bytes (or words) of context on either side of a gram."""
         return self.length - self.gram
 
+    @property
+    def unit(self) -> int:
+        """Bytes of a symbol."""
+        return 8 if self.words else 1
+
 
 # -- Deep-shallow sorting -------------------------------------------------------------------------------------------
 
@@ -135,14 +146,14 @@ def agreeing(strings: list[bytes], order: list[int]) -> np.ndarray:
     return np.array([0] + [common(strings[a], strings[b]) for a, b in zip(order, order[1:], strict=False)])
 
 
-def repeated_offsets(lefts: list[bytes], rights: list[bytes], counts: list[int], side: int, shallow: int) -> np.ndarray:
-    """Bool [i, d]: whether the string that starts d bytes left of gram i, d from 0 to side, also starts elsewhere.
+def repeated_offsets(lefts: list[bytes], rights: list[bytes], counts: list[int], side: int, shallow: int, unit: int = 1) -> np.ndarray:
+    """Bool [i, d]: whether the string that starts d symbols left of gram i, d from 0 to side, also starts elsewhere.
 
-    lefts are reversed; counts above 1 stand for contexts that occur several times.
+    lefts are reversed; counts above 1 stand for contexts that occur several times; a symbol has `unit` bytes.
     """
     n = len(lefts)
-    sides = [(order := deep_shallow(strings, shallow), agreeing(strings, order)) for strings in (lefts, rights)]
-    sizes = [np.array([len(x) for x in strings]) for strings in (lefts, rights)]
+    sides = [(order := deep_shallow(strings, shallow), agreeing(strings, order) // unit) for strings in (lefts, rights)]
+    sizes = [np.array([len(x) // unit for x in strings]) for strings in (lefts, rights)]
     many = np.array(counts) > 1
     out = np.zeros((n, side + 1), bool)
     for at in range(0, side + 1, 24):  # a few offsets at a time, so that large groups stay small in memory
@@ -169,8 +180,8 @@ def repeated_offsets(lefts: list[bytes], rights: list[bytes], counts: list[int],
 
 
 def gram_hashes(b: np.ndarray, gram: int) -> np.ndarray:
-    """Hash of the gram at each position, by doubling: a gram is its two halves."""
-    h, size, c = BYTE[b], 1, BASE
+    """Hash of the gram at each position of the symbols' hashes, by doubling: a gram is its two halves."""
+    h, size, c = b, 1, BASE
     while size < gram:
         h = h[:-size] * U(c) + h[size:]
         size, c = 2 * size, c * c % 2**64
@@ -186,7 +197,7 @@ def _slide(x: np.ndarray, w: int, op, pad) -> np.ndarray:
 
 
 def anchors(b: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of a text's anchors, hashes of their grams, hashes of their contexts."""
+    """Positions of a text's anchors, hashes of their grams, hashes of their contexts; b: its symbols' hashes."""
     n = len(b)
     if n < p.length:
         return np.empty(0, np.int64), np.empty(0, U), np.empty(0, U)
@@ -196,7 +207,7 @@ def anchors(b: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarra
     edge = np.zeros(w - 1, U)
     at = np.flatnonzero(_slide(np.concatenate([edge, low, edge]), w, np.maximum, U(0)) == h)
     steps = _powers(n)
-    total = np.concatenate([[U(0)], np.cumsum(BYTE[b] * steps[0][:n])])
+    total = np.concatenate([[U(0)], np.cumsum(b * steps[0][:n])])
     lo, hi = np.maximum(at - p.side, 0), np.minimum(at + p.length, n)
     shape = (at - lo).astype(U) * U(0x165667B19E3779F9) + (hi - at).astype(U) * U(0xC2B2AE3D27D4EB4F)
     return at, h[at], mix64((total[hi] - total[lo]) * steps[1][lo] + shape)
@@ -213,8 +224,19 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
-def _bytes(b: pa.RecordBatch, name: str, i: int) -> np.ndarray:
-    return np.frombuffer((b[name][i].as_py() or "").encode(), np.uint8)
+def symbols(text: str | None, p: Params) -> np.ndarray:
+    """Hashes of a text's bytes, or of its words."""
+    t = (text or "").encode()
+    if p.words:
+        words = t.split()
+        return np.fromiter(map(xxhash.xxh64_intdigest, words), U, len(words))
+    return BYTE[np.frombuffer(t, np.uint8)]
+
+
+def word_places(t: bytes) -> np.ndarray:
+    """First byte and end of each word."""
+    white = np.isin(np.frombuffer(t, np.uint8), np.frombuffer(WHITE, np.uint8))
+    return np.flatnonzero(np.diff(np.concatenate([[True], white, [True]]).astype(np.int8))).reshape(-1, 2)
 
 
 def _anchor_rows(docs: DataFrame, p: Params) -> DataFrame:
@@ -224,7 +246,7 @@ def _anchor_rows(docs: DataFrame, p: Params) -> DataFrame:
         for b in batches:
             nodes, pos, g, c, size = [], [], [], [], 0
             for i in range(b.num_rows):
-                a = anchors(_bytes(b, "text", i), p)
+                a = anchors(symbols(b["text"][i].as_py(), p), p)
                 nodes.append(np.full(len(a[0]), i))
                 pos.append(a[0]), g.append(a[1]), c.append(a[2])
                 size += len(a[0])
@@ -243,10 +265,11 @@ def _contexts(docs: DataFrame, p: Params) -> DataFrame:
         for b in batches:
             out: list[tuple] = []
             for i in range(b.num_rows):
-                t = (b["text"][i].as_py() or "").encode()
+                raw = b["text"][i].as_py()
+                t = symbols(raw, p).tobytes() if p.words else (raw or "").encode()
                 for s in b["spots"][i].as_py():
-                    at = s["pos"]
-                    out.append((s["g"], s["c"], t[max(0, at - p.side) : at][::-1], t[at + p.gram : at + p.length]))
+                    left, at, right, end = (p.unit * x for x in (max(0, s["pos"] - p.side), s["pos"], s["pos"] + p.gram, s["pos"] + p.length))
+                    out.append((s["g"], s["c"], t[left:at][::-1], t[right:end]))
                 if len(out) > 20_000 or i == b.num_rows - 1:
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)] if out else [pa.array([], k) for k in (pa.int64(), pa.int64(), pa.binary(), pa.binary())], names=["g", "c", "left", "right"])
                     out = []
@@ -264,7 +287,7 @@ def _sorted_groups(grouped: DataFrame, p: Params) -> DataFrame:
     """Rows g, c, left, right, n, sorted by g within partitions -> g, c, ranges; one group at a time in memory."""
 
     def emit(g: int, rows: list[tuple]) -> list[tuple]:
-        found = repeated_offsets([r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], p.side, p.shallow)
+        found = repeated_offsets([r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], p.side, p.shallow, p.unit)
         return [(g, r[0], x) for r, f in zip(rows, found, strict=True) if (x := _runs(f, p))]
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -295,15 +318,15 @@ def _window_hashes(big: DataFrame, p: Params) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             for g, c, left, right, n in zip(*(b[k].to_pylist() for k in ("g", "c", "left", "right", "n")), strict=True):
-                d = np.arange(max(0, p.side - len(right)), len(left) + 1)
-                h = [int.from_bytes(hashlib.blake2b(left[:k][::-1] + b"|" + right[: p.side - k], digest_size=8).digest(), signed=True) for k in d.tolist()]
+                d = np.arange(max(0, p.side - len(right) // p.unit), len(left) // p.unit + 1)
+                h = [int.from_bytes(hashlib.blake2b(left[: p.unit * k][::-1] + b"|" + right[: p.unit * (p.side - k)], digest_size=8).digest(), signed=True) for k in d.tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), g)), pa.array(np.full(len(d), c)), pa.array(d.astype(np.int32)), pa.array(h, pa.int64()), pa.array(np.full(len(d), n))], names=["g", "c", "d", "h", "n"])
 
     return big.mapInArrow(run, "g long, c long, d int, h long, n long")
 
 
 def repeated(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """(node, spans): merged byte ranges of each distinct text that repeated strings cover; docs: node, text."""
+    """(node, spans): ranges of bytes (or words) of each distinct text that repeated strings cover; docs: node, text."""
     small_batches(docs.sparkSession)
     rows = _anchor_rows(docs, p)
     # As a table of its own: joined straight to the aggregation, a hot gram's anchors could not be split.
@@ -352,15 +375,32 @@ def cut(t: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
     return rest, len(t) - len(rest), runs
 
 
-def remove(docs: DataFrame, p: Params = Params(), text: str = "text", digest: bool = False) -> DataFrame:
+def byte_spans(t: bytes, spans: list[dict], words: list[dict]) -> list[dict]:
+    """Ranges of bytes and ranges of words, which may reach over the ends, as ascending ranges of bytes."""
+    if not words:
+        return spans
+    places, out = word_places(t), list(spans)
+    for s in words:
+        a, b = max(0, s["a"]), min(len(places), s["b"])
+        if a < b:
+            out.append({"a": int(places[a, 0]), "b": int(places[b - 1, 1])})
+    return sorted(out, key=lambda s: (s["a"], s["b"]))
+
+
+def remove(docs: DataFrame, p: Params = Params(), text: str = "text", digest: bool = False, words: Params | None = None) -> DataFrame:
     """docs with the text's remaining bytes (cut characters are dropped), and n_bytes, n_removed, n_spans, kept_sha256
-    in a struct column `cut`; with digest, the text itself is left out."""
+    in a struct column `cut`; with digest, the text itself is left out; with words, repeated strings of so many words go
+    as well."""
     named = docs.select(node_of(F.col(text)).alias("node"), F.col(text).alias("text"))
     spans = repeated(named, p)
+    if words:
+        spans = spans.join(repeated(named, words).withColumnRenamed("spans", "words"), "node", "full")
+    else:
+        spans = spans.withColumn("words", F.lit(None).cast(spans.schema["spans"].dataType))
     info = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())])
     others = [c for c in docs.columns if c != text]
     packed = docs.select(node_of(F.col(text)).alias("node"), F.col(text).alias("text"), F.struct(*(others or [F.lit(0).alias("none")])).alias("row"))
-    joined = packed.join(spans, "node", "left").select("text", "spans", "row")
+    joined = packed.join(spans, "node", "left").select("text", "spans", "words", "row")
     schema = T.StructType([T.StructField("row", joined.schema["row"].dataType), T.StructField("text", T.StringType()), T.StructField("cut", info)])
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -369,7 +409,7 @@ def remove(docs: DataFrame, p: Params = Params(), text: str = "text", digest: bo
             for i in range(b.num_rows):
                 raw = b["text"][i].as_py()
                 t = (raw or "").encode()
-                rest, gone, runs = cut(t, b["spans"][i].as_py() or [])
+                rest, gone, runs = cut(t, byte_spans(t, b["spans"][i].as_py() or [], b["words"][i].as_py() or []))
                 texts.append(None if digest else raw if not gone else rest.decode("utf-8", "ignore"))
                 infos.append({"n_bytes": len(t), "n_removed": gone, "n_spans": runs, "kept_sha256": hashlib.sha256(rest).hexdigest()})
             kinds = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])

@@ -1,9 +1,12 @@
 """The pipeline's stages on odd documents and on the smallest tables."""
 
+import random
+
 import pytest
 
 import __spark_entry__
 import corpus_pipeline
+from tests.llm.conftest import sentence
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,6 +27,23 @@ def test_stages_keep_the_columns(spark, odd_docs):
     assert docs.filter("NOT round_trip").count() == 0
 
 
+def test_passages_of_over_fifty_words_go(spark):
+    rng = random.Random(9)
+    rows, want = [], {}
+    for k, n in enumerate([50, 51, 52, 55, 60, 70]):
+        passage = " ".join(rng.choice("abcdefghij") + str(rng.randint(0, 999)) for _ in range(n))
+        for i in (2 * k, 2 * k + 1):
+            head, tail = sentence(rng, 30), sentence(rng, 30)
+            rows.append((i, f"{head} {passage} {tail}"))
+            want[i] = [*head.split(), *(passage.split() if n == 50 else []), *tail.split()]
+    long = "字" * 140  # few words, but over 400 bytes
+    rows += [(i, f"{i} {long} {i}") for i in (20, 21)]
+    want |= {i: [f"{i}{i}"] for i in (20, 21)}  # the spaces repeat, too
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"].split() for r in corpus_pipeline.cut_repeated_passages(spark, docs, SF).collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("k", range(5))
 def test_stages_take_an_empty_table(spark, odd_docs, k):
     assert corpus_pipeline.STAGES[k][1](spark, odd_docs.limit(0), SF).count() == 0

@@ -61,6 +61,23 @@ def test_columns_and_text_stay(odd_docs):
     assert suffix.remove(odd_docs.limit(0)).count() == 0
 
 
+def test_words(spark, odd_docs):
+    rows = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 6)))
+    for n in [7, 8, 9, 10] * 6:
+        shared, other = [word() for _ in range(n)], [word() for _ in range(n)]
+        rows += [(len(rows), " ".join([word(), *shared, word(), word(), *other, word()])), (len(rows), "\n".join([*shared, word(), *other]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    split = [(t or "").encode().split() for _, t in rows]
+    seen = Counter(tuple(w[i : i + 9]) for w in split for i in range(len(w) - 8))
+    want = [[any(seen[tuple(w[i : i + 9])] > 1 for i in range(max(0, k - 8), min(k, len(w) - 9) + 1)) for k in range(len(w))] for w in split]
+    want = sorted((str(i), tuple(x for x, gone in zip(w, g, strict=True) if not gone)) for (i, _), w, g in zip(rows, split, want, strict=True))
+    for most in (3, 20_000):  # groups of more than three contexts go by the strings' hashes
+        got = suffix.remove(docs, suffix.Params(length=10**6), words=suffix.Params(length=9, gram=4, most=most, words=True))
+        assert sorted((str(r["doc_id"]), tuple((r["text"] or "").encode().split())) for r in got.collect()) == want
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.binary(max_size=40).map(lambda b: bytes(x % 3 + 97 for x in b)), max_size=30))
 def test_order(strings):
