@@ -1,5 +1,6 @@
 """ProbMinHash near-duplicates against all pairs."""
 
+import random
 from collections import defaultdict
 
 import numpy as np
@@ -77,3 +78,14 @@ def test_estimates_follow_probability_jaccard():
 def test_small_sets_fill_every_register():
     sig = neardup.prob_minhash([(np.array([7], np.uint64), np.ones(1)), (np.array([7, 9], np.uint64), np.ones(2))], 128)
     assert (sig[0] == 7).all() and set(sig[1].tolist()) == {7, 9}
+
+
+def test_unequal_repeats(spark):
+    """Equal shingle sets but for a few, of which half is repeated in one text: always found."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(60):
+        words = [f"w{rng.randint(0, 10**9)}" for _ in range(200)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:100] * 100 + words[100:]))]
+    got = neardup.assign(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == {i: i // 2 * 2 for i in range(120)}
