@@ -4,8 +4,10 @@ The DOMs of a host's pages are merged: a node of the tree is a path of tags with
 presentation matters if its children's styles differ between pages, its contents matter if they do: a text that stands
 on c of a node's m pages has the importance 1 - log c / log m.  Presentation and contents are composed, and branches of
 low importance go from every page of the host, and so do single texts, inside article and main elements as elsewhere.
-What the markup itself names (menus, footers, forms, comments, adverts, ...) is of no importance at the outset.  On a
-page with an article or main element, what stands outside of it stays only by the tree: in a branch of high importance
+What the markup itself says to be a menu, footer, form or the like by its element or role is of no importance.  Classes
+and ids that name such parts (comments, adverts, ...) are a prior: the part goes unless the tree finds in it a branch of
+high importance that holds a good part of the pages' text, and stays if it holds a main element, the page's only article
+or most of the page's text.  On a page with an article or main element, what stands outside of it stays only by the tree: in a branch of high importance
 that holds a good part of the pages' text.  Where the tree has judged nothing, and where it would leave nothing of an
 article, the markup decides.
 
@@ -68,38 +70,44 @@ WHOLE = frozenset({"article", "main"})
 
 
 class Element:
-    __slots__ = ("main", "name", "noise", "path")
+    __slots__ = ("main", "name", "named", "noise", "path")
 
-    def __init__(self, name: str, path: str, noise: bool, main: bool):
-        self.name, self.path, self.noise, self.main = name, path, noise, main
+    def __init__(self, name: str, path: str, noise: bool, main: bool, named: tuple[tuple[int, int], ...] = ()):
+        self.name, self.path, self.noise, self.main, self.named = name, path, noise, main, named
 
 
 def is_noise(name: str, attrs: dict[str, str], within_main: bool) -> bool:
     if name in NOISE_TAGS or (name == "header" and not within_main):
         return True
-    if not attrs:
-        return False
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in NOISE_ROLES or "display:none" in attrs.get("style", "").replace(" ", "").lower():
-        return True
-    if name in ("html", "body"):
-        return False
-    words = re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{attrs.get('class', '')} {attrs.get('id', '')}").lower())
-    return not NOISE_WORDS.isdisjoint(words)
+    return bool(attrs) and ("hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in NOISE_ROLES or "display:none" in attrs.get("style", "").replace(" ", "").lower())
 
 
-def blocks(text: str | None) -> tuple[list[tuple[str, str, bool]], bool]:
-    """((path, text, whether inside an article or main element) of every block outside what the markup itself names as
-    noise, in page order; whether such an element was met)."""
-    out: list[tuple[str, str, bool]] = []
+def is_named(name: str, attrs: dict[str, str]) -> bool:
+    """Whether a whole class or id is a name of noise, or made of such names only: cookie-banner, but not no-sidebar."""
+    if not attrs or name in ("html", "body"):
+        return False
+    for token in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
+        words = set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token).lower())) - {""}
+        if words and words <= NOISE_WORDS:
+            return True
+    return False
+
+
+def blocks(text: str | None) -> tuple[list[tuple[str, str, bool, int]], bool]:
+    """((path, text, whether inside an article or main element, level) of every block outside of noise elements, in page
+    order; whether such an element was met outside of named parts).  The level is that of the innermost part above the
+    block that a class or id names as noise, as a number of branches; 0 for none."""
+    out: list[tuple[str, str, bool, tuple[tuple[int, int], ...]]] = []
+    met: list[tuple[str, tuple[tuple[int, int], ...]]] = []
+    parts = 0
     stack: list[Element] = [Element("", "", False, False)]
     buffer: list[str] = []
     raw: str | None = None
-    seen_main = False
 
     def flush() -> None:
         if buffer:
             if not (top := stack[-1]).noise and (t := " ".join(entities.unescape("".join(buffer)).split())):
-                out.append((top.path, t, top.main))
+                out.append((top.path, t, top.main, top.named))
             buffer.clear()
 
     for m in TOKEN.finditer(text or ""):
@@ -121,7 +129,7 @@ def blocks(text: str | None) -> tuple[list[tuple[str, str, bool]], bool]:
             if at and not (name not in BLOCK and any(e.name in BLOCK for e in stack[at:])):
                 if any(e.name in BLOCK for e in stack[at:]):
                     flush()
-                elif stack[at].noise != stack[at - 1].noise:
+                elif stack[at].noise != stack[at - 1].noise or stack[at].named != stack[at - 1].named:
                     flush()
                 del stack[at:]
             elif name in BLOCK:
@@ -154,20 +162,36 @@ def blocks(text: str | None) -> tuple[list[tuple[str, str, bool]], bool]:
         attrs = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(x[n.end() :])} if len(x) > n.end() + 1 else {}
         top = stack[-1]
         noise = top.noise or is_noise(name, attrs, top.main)
-        if noise and not top.noise:
+        named = not noise and is_named(name, attrs)
+        if (noise and not top.noise) or named:
             flush()
-        main = top.main or ((name in WHOLE or attrs.get("role") in WHOLE) and not noise)
-        seen_main |= main
+        whole = name if name in WHOLE else attrs.get("role")
+        main = top.main or (whole in WHOLE and not noise)
         if name in BLOCK:
             mark = f"{name}.{attrs.get('class', '')}#{attrs.get('id', '')}" if attrs else name
             path = f"{top.path}>{mark}" if top.path.count(">") < 8 else top.path
         else:
             path = top.path
-        stack.append(Element(name, path, noise, main))
+        above = top.named
+        if named:
+            parts += 1
+            above = (*above, (parts, path.count(">") if path != top.path else top.path.count(">") + 1))
+        if whole in WHOLE and not noise:
+            met.append((whole, above))
+        stack.append(Element(name, path, noise, main, above))
         if len(stack) > 2_000:  # badly unclosed markup; what is open stays open
             del stack[1:1_000]
     flush()
-    return out, seen_main
+    size: dict[int, int] = {}
+    for _, t, _, named in out:
+        for part, _ in named:
+            size[part] = size.get(part, 0) + len(t)
+    total = sum(len(t) for _, t, _, _ in out)
+    alone = all(named for _, named in met)  # else articles in named parts are comments, teasers and the like
+    stays = {part for part, n in size.items() if 2 * n > total}
+    stays |= {part for kind, named in met if kind == "main" or alone for part, _ in named}
+    found = [(path, t, main, max((level for part, level in named if part not in stays), default=0)) for path, t, main, named in out]
+    return found, any(all(part in stays for part, _ in named) for _, named in met)
 
 
 def host_of(url: Column) -> Column:
@@ -195,7 +219,7 @@ def branch_rows(text: str | None, depth: int) -> list[tuple[int, int | None, int
     below: dict[str, tuple[list[str], list[str]]] = {}
     leaves: dict[tuple[str, str], None] = {}
     found = blocks(text)[0]
-    for path, t, _ in found:
+    for path, t, _, _ in found:
         above = _branches(path, depth)
         parts = path.split(">")[1 : depth + 1]
         for i, branch in enumerate(above, 1):
@@ -204,7 +228,7 @@ def branch_rows(text: str | None, depth: int) -> list[tuple[int, int | None, int
             texts.append(t)
         if above:
             leaves[above[-1], t] = None
-    total = sum(len(t) for _, t, _ in found)
+    total = sum(len(t) for _, t, _, _ in found)
     rows = [(_key(k), _key("|".join(s)), _key("\n".join(t)), 1_000_000 * sum(map(len, t)) // total) for k, (s, t) in below.items()]
     return rows + [(_key(k), None, _leaf(k, t), 0) for k, t in leaves]
 
@@ -247,22 +271,23 @@ def importance(pages: DataFrame, p: Params = Params()) -> DataFrame:
 
 def main_text(text: str | None, low: set[int], depth: int, strong: frozenset[int] | set[int] = frozenset()) -> str:
     """Blocks of the page joined by empty lines, but for those that the tree finds low; with an article or main element,
-    those inside of one and those in a strong branch that holds none."""
+    those inside of one and those in a strong branch that holds none.  Named parts stay by strong branches in them."""
     found, has_main = blocks(text)
     above: dict[str, tuple[list[int], str]] = {}
-    for path, _, _ in found:
+    for path, _, _, _ in found:
         if path not in above and (low or strong):
             branches = _branches(path, depth)
             above[path] = [_key(x) for x in branches], branches[-1] if branches else ""
-    holds = {k for path, _, main in found if main and path in above for k in above[path][0]}
+    holds = {k for path, _, main, level in found if main and not level and path in above for k in above[path][0]}
     kept = []
-    for path, t, main in found:
+    for path, t, main, level in found:
         keys, last = above.get(path, ([], ""))
         if low and (not low.isdisjoint(keys) or _leaf(last, t) in low):
             continue
-        if not has_main or main or any(k in strong and k not in holds for k in keys):
+        plain = not level and (main or not has_main)
+        if plain or any(k in strong and k not in holds for k in keys[max(level - 1, 0) :]):
             kept.append(t)
-    return "\n\n".join(kept or [t for _, t, main in found if main])
+    return "\n\n".join(kept or [t for _, t, main, level in found if main and not level])
 
 
 def extract(pages: DataFrame, p: Params = Params()) -> DataFrame:

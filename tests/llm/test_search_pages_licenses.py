@@ -111,6 +111,24 @@ def test_style_tree_judges_articles_too(spark):
     assert {r["page_id"]: r["text"] for r in shuffled.collect()} == got
 
 
+NAMED = [
+    ("<div id=page class='no-sidebar'><p>all", "all"), ("<div class='hasSidebar'>x <div class=sidebar>y</div>text of it", "x\n\ntext of it"),
+    ("<article><div class='entry-header'>Title</div><p>body</p><div class='share'>s</div></article>", "Title\n\nbody"),
+    ("<div class=notice><main>in</main>a</div>a longer text outside", "in"), ("<div class=banner><article>in</article></div>longer text", "in"),
+    ("<div class=response>most of the text</div><p>little", "most of the text\n\nlittle"), ("<div class='cookie-banner'>c</div><p>text", "text"),
+    ("<article>the story</article><div class=comments><article>I say</article></div>", "the story"), ("<p>some <span class=ad>x</span> text", "some\n\ntext"),
+]
+
+
+def test_named_parts(spark):
+    for html, want in NAMED:
+        assert pages.main_text(html, set(), 8) == want, html
+    half = "<div class=top>The very same long introduction on all of the pages of this site</div>"
+    body = [(i, f"http://e.example/{i}", f"{half}<div class=notice>Notice {i} tells the news of today</div><div class=ad>Ad {i}</div>") for i in range(12)]
+    df = spark.createDataFrame(body, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in pages.extract(df).collect()} == {i: f"Notice {i} tells the news of today" for i in range(12)}
+
+
 def test_licences(spark, odd_docs):
     notes = dict((name, text) for name, _, text in licenses.TEMPLATES)
     long = notes["mit"].split()
