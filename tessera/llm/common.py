@@ -16,10 +16,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 512, megabytes: int = 16) -> None:
-    """Bounds the Arrow batches that carry texts to and from Python, whose default of 10,000 rows suits numbers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
+def small_batches(spark: SparkSession, megabytes: int = 16) -> None:
+    """Bounds the Arrow batches that carry texts to and from Python by their bytes, unless the session has a lower bound.
+    Plans take the limit when they run, so it stays; it changes no result, and batches of numbers hardly reach it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < _bytes(spark.conf.get(key)) <= megabytes << 20:
+        spark.conf.set(key, f"{megabytes}m")
+
+
+def _bytes(size: str) -> int:
+    """A size as Spark's settings write it."""
+    n, unit = size.strip().lower().removesuffix("b"), 0
+    if n[-1:] in "kmgt":
+        n, unit = n[:-1], 1 + "kmgt".index(n[-1])
+    return int(n) << 10 * unit
 
 
 def n_words(text: Column) -> Column:
