@@ -1,20 +1,20 @@
 """License scans with DataFrame operations alone.
 
-Texts become lower-cased words of letters and digits and hashes of every five of them.  Windows over these retrieve
-templates by MinHash bands of one register each:
-
-* templates of fewer than `long` shingles by windows of a single shingle, whose MinHash is the shingle itself, so every
-  shared shingle collides;
-* longer ones by windows of 2 * `stride` shingles that begin every `stride`, against the template's windows at every
-  offset: some window of a verbatim copy equals one of the template's, and at similarity s a window collides with
-  probability 1 - (1 - s) ** `bands`, that is 0.9999974 at 0.8.
+Texts become lower-cased words of letters and digits and hashes of every five of them.  Overlapping windows over these,
+of 1, 2, 4, ... `widest` shingles that begin at every half of their width, retrieve templates by MinHash bands of one
+register each.  A template is indexed by its windows at every offset, of the widest kind of which a verbatim copy of it
+holds one whole wherever it begins; so some window of a copy equals one of the template's, and at similarity s a window
+of eight shingles or more collides with probability 1 - (1 - s) ** `bands`, that is 0.9999974 at 0.8.  (A window of one
+shingle has one band, of two two, of four four: what they lack in bands they make up by their number.)  Minima of a
+window are those of its two halves, so all widths cost three steps a shingle and band.
 
 Retrieved templates are then verified: the share of a template's distinct shingles that stand in one place of the text,
 where a place is a run of hits whose offsets against the template differ by `slack` of its length at most.
 
-Templates are a bounded table, which is sent to all tasks: `templates` holds at most `most` texts.  Cases: null, empty
-and shorter texts match nothing; every place of a template is a row, in very long texts too; repeated rows (equal id
-and text) give their places once; null ids stay null; an empty table gives no rows.
+Templates are a bounded table, which is sent to all tasks: `templates` holds at most `most` texts.  Bands and shingles of
+the texts meet it by a join on keys.  Cases: null, empty and shorter texts match nothing; every place of a template is a
+row, in very long texts too; repeated rows (equal id and text) give their places once; null ids stay null; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -34,6 +34,15 @@ TEMPLATES = (
     ("cc-by-nc-line", "CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("gpl-3-line", "GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
     ("cc-by-line", "CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("cc-by-sa-line", "CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("ofl-line", "OFL-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1."),
+    ("bsd-line", "BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("cc0-line", "CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("epl-2-header", "EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("lgpl-2-header", "LGPL-2.1-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("zlib", "Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("unlicense", "Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("boost", "BSL-1.0", 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.'),
     ("mpl-2-header", "MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("apache-header", "Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
     ("gpl-3-header", "GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
@@ -45,47 +54,102 @@ TEMPLATES = (
 
 @dataclass(frozen=True)
 class Params:
+    """widest must be a power of two."""
+
     shingle: int = 5
     threshold: float = 0.8
-    long: int = 48
-    stride: int = 16
+    widest: int = 32
     bands: int = 8
     slack: float = 0.25
     most: int = 10_000
 
+    @property
+    def widths(self) -> list[int]:
+        return [1 << k for k in range(self.widest.bit_length())]
+
+    def bands_of(self, width: int) -> int:
+        return min(width, self.bands)
+
 
 WORD = r"[\p{L}\p{N}]+"
-KEY = "struct<key:bigint,pos:int>"
+EMPTY = "array<bigint>"
 
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def shingles(w: Column, p: Params) -> Column:
+def shingles(text: Column, p: Params) -> Column:
     """Hashes of every p.shingle neighbouring words; empty if there are fewer."""
-    last = F.size(w) - p.shingle + 1
-    # The first is taken from an index of its own, so that short texts give an empty sequence instead of a falling one.
-    each = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(*[F.get(w, i - 1 + j) for j in range(p.shingle)]))
-    return F.when(last >= 1, each).otherwise(F.array().cast("array<bigint>"))
+
+    def of(w: Column) -> Column:
+        return _each(F.size(w) - p.shingle + 1, lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(p.shingle)]))
+
+    return _given(words(text), of)
+
+
+def _mask(j: int) -> int:
+    """Register j is the least hash after an exclusive or with its mask; multiples of the golden ratio spread them."""
+    return (j * 0x9E3779B97F4A7C15 + 2**63) % 2**64 - 2**63
+
+
+def _key(least: Column, width: int, j: int) -> Column:
+    """Keeps the widths' and bands' registers apart."""
+    return least.bitwiseXOR(F.lit(_mask(1_000 * width + j)))
+
+
+def _given(x: Column, f) -> Column:
+    """f(x) with x computed once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
-def masks(p: Params) -> list[int]:
-    """A register is the least hash after an exclusive or with its mask; multiples of the golden ratio spread them."""
-    return [(x + 2**63) % 2**64 - 2**63 for x in (j * 0x9E3779B97F4A7C15 for j in range(p.bands))]
+def _each(count: Column, f) -> Column:
+    """Array of f(i) for i from 0 to count - 1."""
+    full = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), f)
+    return F.when(count > 0, full).otherwise(F.array().cast(EMPTY))
 
 
-def window_keys(h: Column, p: Params, every: bool) -> Column:
-    """Array of (key, pos): one for each band of each window of 2 * stride shingles that lies within the text."""
-    step = 1 if every else p.stride
-    size = 2 * p.stride
-    count = F.floor((F.size(h) - size) / step).cast("int") + 1
+def text_keys(h: Column, widths: list[int], p: Params) -> Column:
+    """Keys of all bands of a text's windows of these widths above 1, which begin at every half of their width."""
+    last = max(widths, default=1)
 
-    def of(i: Column) -> Column:
-        part = F.slice(h, i * step + 1, size)
-        return F.array(*[F.struct(F.xxhash64(F.lit(j), F.array_min(F.transform(part, lambda x, m=m: x.bitwiseXOR(F.lit(m))))).alias("key"), (i * step).cast("int").alias("pos")) for j, m in enumerate(masks(p))])
+    def above(least: Column, width: int, j: int) -> Column:
+        """Keys of windows twice as wide and wider; least: registers of windows of `width`."""
+        wider = 2 * width
+        if wider > last:
+            return F.array().cast(EMPTY)
+        step = max(1, wider // 2)
+        count = F.floor((F.size(h) - wider) / step).cast("int") + 1
+        # Windows of one and two shingles begin at every shingle, wider ones at every half of their width.
+        at = (lambda i: i) if width == 1 else (lambda i: 2 * i)
+        minima = _each(count, lambda i: F.least(F.get(least, at(i)), F.get(least, at(i) + (1 if width == 1 else 2))))
 
-    return F.when(F.size(h) >= size, F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), of))).otherwise(F.array().cast(f"array<{KEY}>"))
+        def given(m: Column) -> Column:
+            more = above(m, wider, j)
+            return F.concat(F.transform(m, lambda x: _key(x, wider, j)), more) if wider in widths and j < p.bands_of(wider) else more
+
+        return _given(minima, given)
+
+    def chain(j: int) -> Column:
+        return _given(F.transform(h, lambda x: x.bitwiseXOR(F.lit(_mask(j)))), lambda a: above(a, 1, j))
+
+    return F.concat(*[chain(j) for j in range(p.bands_of(last))]) if last > 1 else F.array().cast(EMPTY)
+
+
+def template_width(n: Column, p: Params) -> Column:
+    """Widest window of which any verbatim copy of n shingles holds one that begins at a half of the width."""
+    return F.greatest(*[F.when(n >= (3 * w - 2 + 1) // 2, w).otherwise(1) for w in p.widths], F.lit(1))
+
+
+def template_keys(h: Column, width: int, p: Params) -> Column:
+    """Keys of all bands of a template's windows of this width, at every offset; the shingle itself for width 1."""
+    if width == 1:
+        return h
+
+    def band(j: int) -> Column:
+        return _each(F.size(h) - width + 1, lambda i: _key(F.array_min(F.transform(F.slice(h, i + 1, width), lambda x: x.bitwiseXOR(F.lit(_mask(j))))), width, j))
+
+    return F.concat(*[band(j) for j in range(p.bands_of(width))])
 
 
 def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
@@ -95,40 +159,42 @@ def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     return spark.range(1).select(F.explode(F.from_json(F.lit(rows), kind)).alias("x")).select("x.*")
 
 
-def _known(keys: Column, values: list[int]) -> Column:
-    return keys.isin(values) if values else F.lit(False)
-
-
 def scan(docs: DataFrame, templates: DataFrame | None = None, p: Params = Params(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, template, license, first_word, last_word (counted from 0), containment: a row for each place."""
     spark = docs.sparkSession
     known = template_table(spark) if templates is None else templates
-    h = materialize(known.limit(p.most + 1).select("template", "license", shingles(words(F.col("text")), p).alias("h")), "templates")
+    h = known.limit(p.most + 1).select("template", "license", shingles(F.col("text"), p).alias("h")).withColumn("width", template_width(F.size("h"), p))
+    h = materialize(h.filter(F.size("h") > 0), "templates")
     if h.count() > p.most:
         raise ValueError(f"more than {p.most} templates")
-    pieces = h.select("template", "license", F.size(F.array_distinct("h")).alias("n"), F.posexplode("h").alias("offset", "key"))
-    short = h.filter(F.size("h") < p.long).select("template", F.explode("h").alias("key"))
-    long = h.filter(F.size("h") >= p.long).select("template", F.explode(window_keys(F.col("h"), p, every=True)).alias("x")).select("template", "x.key")
-    # Keys of a bounded number of templates: the filter below tests against them in place.
-    small, large, every = ([r[0] for r in x.select("key").distinct().collect()] for x in (short, long, pieces))
-
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("node"), words(F.col(text)).alias("w"))
-    rows = rows.select("doc_id", "node", shingles(F.col("w"), p).alias("h"))
-    at = F.filter(F.transform("h", lambda x, i: F.struct(x.alias("key"), i.alias("pos"))), lambda s: _known(s["key"], every))
-    bands = F.concat(F.filter("h", lambda x: _known(x, small)), F.filter(F.transform(window_keys(F.col("h"), p, every=False), lambda s: s["key"]), lambda x: _known(x, large)))
-    rows = rows.select("doc_id", "node", F.array_distinct(bands).alias("bands"), at.alias("hits"))
+    widths = sorted(r[0] for r in h.select("width").distinct().collect())  # as many as there are kinds of windows
+    none = F.lit(None)
+    pieces = h.select(F.posexplode("h").alias("offset", "key"), "template", "license", F.size(F.array_distinct("h")).alias("n"), F.lit(True).alias("hit"), (F.col("width") == 1).alias("retrieves"))
+    index = pieces
+    for w in widths[widths[:1] == [1] :]:
+        keys = h.filter(F.col("width") == w).select(F.explode(template_keys(F.col("h"), w, p)).alias("key"), "template").distinct()
+        index = index.unionByName(keys.select(none.cast("int").alias("offset"), "key", "template", none.cast("string").alias("license"), none.cast("int").alias("n"), F.lit(False).alias("hit"), F.lit(True).alias("retrieves")))
+    index = materialize(index, "template-keys")
+
+    node = F.md5(F.coalesce(F.col(text), F.lit("")))
+    rid = F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), node)))
+    rows = docs.select(rid.alias("rid"), F.col(doc_id).alias("doc_id"), shingles(F.col(text), p).alias("h"))
+    # Places up to size(h) hold the shingles, those after them the bands.
+    keys = _given(F.col("h"), lambda a: F.struct(F.size(a).alias("size"), F.concat(a, text_keys(a, widths, p)).alias("keys")))
     # An outer explode keeps the optimiser from computing the arrays once more in an inferred filter.
-    found = rows.select("doc_id", "node", F.explode_outer(F.when(F.size("bands") > 0, F.array(F.struct("bands", "hits")))).alias("x")).filter("x IS NOT NULL")
-    rid = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "node"))
-    found = materialize(found.select(rid.alias("rid"), "doc_id", "x.bands", "x.hits"), "found")
-    tables = F.broadcast(short.unionByName(long).distinct()), F.broadcast(pieces)  # bounded by p.most templates
-    retrieved = found.select("rid", F.explode("bands").alias("key")).join(tables[0], "key").select("rid", "template").distinct()
-    hits = found.select("rid", "doc_id", F.explode("hits").alias("x")).select("rid", "doc_id", "x.key", "x.pos").distinct()
-    hits = hits.join(tables[1], "key").join(retrieved, ["rid", "template"], "left_semi").withColumn("start", F.col("pos") - F.col("offset"))
+    each = rows.select("rid", "doc_id", keys.alias("x")).select("rid", "doc_id", "x.size", F.posexplode_outer("x.keys").alias("pos", "key"))
+    met = each.join(F.broadcast(index), "key").filter(F.col("hit") == (F.col("pos") < F.col("size")))  # bounded by p.most templates
+    found = materialize(met.drop("key", "size"), "found")
+    retrieved = found.filter("retrieves").select("rid", "template").distinct()
+    hits = found.filter("hit").select("rid", "doc_id", "template", "license", "n", "pos", "offset").distinct().join(retrieved, ["rid", "template"], "left_semi")
+    hits = hits.withColumn("start", F.col("pos") - F.col("offset"))
     order = Window.partitionBy("rid", "template").orderBy("start", "pos")
     gap = F.col("start") - F.lag("start").over(order) > F.greatest(F.lit(1.0), p.slack * F.col("n"))
     placed = hits.withColumn("place", F.sum(F.coalesce(gap, F.lit(True)).cast("int")).over(order))
-    per = placed.groupBy("rid", "template", "place").agg(F.first("doc_id").alias("doc_id"), F.first("license").alias("license"), F.min("pos").cast("long").alias("first_word"), (F.max("pos") + p.shingle - 1).cast("long").alias("last_word"), (F.countDistinct("key") / F.first("n")).alias("containment"))
+    # A shingle's places in the template tell shingles apart: the first stands for all of them.
+    first = pieces.groupBy("template", "key").agg(F.min("offset").alias("least"), F.collect_list("offset").alias("offsets")).select("template", "least", F.explode("offsets").alias("offset"))
+    placed = placed.join(F.broadcast(first), ["template", "offset"])
+    per = placed.groupBy("rid", "template", "place").agg(F.first("doc_id").alias("doc_id"), F.first("license").alias("license"), F.min("pos").cast("long").alias("first_word"), (F.max("pos") + p.shingle - 1).cast("long").alias("last_word"), (F.countDistinct("least") / F.first("n")).alias("containment"))
     return per.filter(F.col("containment") >= p.threshold).select("doc_id", "template", "license", "first_word", "last_word", "containment")
 
 

@@ -3,6 +3,7 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import licenses, mih, pages, registry
 from tessera.plans import catalogue  # noqa: F401  (the library stands without this subpackage)
@@ -172,3 +173,26 @@ def test_licences(spark, odd_docs):
     got = licenses.scan(df.unionByName(odd_docs.select("doc_id", "text"))).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
     assert licenses.scan(odd_docs.limit(0)).count() == 0
+
+
+def test_bands_of_all_widths(spark):
+    """Registers by halves against minima over whole windows; copies of a template's part collide wherever they begin."""
+    p = licenses.Params()
+    rng = np.random.default_rng(2)
+    rows = [(n, rng.integers(-(2**63), 2**63, n).tolist()) for n in (0, 1, 2, 3, 4, 5, 11, 23, 31, 32, 33, 47, 48, 100)]
+    df = spark.createDataFrame(rows, "n int, h array<long>")
+    xor = lambda x, m: (x ^ m)
+    for r in df.select("n", "h", licenses._given(F.col("h"), lambda a: licenses.text_keys(a, p.widths, p)).alias("keys")).collect():
+        want = set()
+        for w in p.widths[1:]:
+            for at in range(0, r["n"] - w + 1, w // 2):
+                want |= {xor(min(xor(x, licenses._mask(j)) for x in r["h"][at : at + w]), licenses._mask(1_000 * w + j)) for j in range(p.bands_of(w))}
+        assert set(r["keys"]) == want, r["n"]
+    for n in (2, 5, 11, 23, 47):
+        h = rng.integers(-(2**63), 2**63, n).tolist()
+        texts = [(k, rng.integers(-(2**63), 2**63, k).tolist() + h + [1, 2, 3]) for k in range(34)]
+        one = spark.createDataFrame([(h,)], "h array<long>")
+        width = one.select(licenses.template_width(F.size("h"), p)).first()[0]
+        mine = set(one.select(licenses.template_keys(F.col("h"), width, p)).first()[0])
+        got = spark.createDataFrame(texts, "k int, h array<long>").select("k", licenses._given(F.col("h"), lambda a: licenses.text_keys(a, [width], p)).alias("keys")).collect()
+        assert width > 1 and all(len(mine & set(r["keys"])) >= p.bands_of(width) for r in got)
