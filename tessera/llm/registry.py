@@ -60,8 +60,10 @@ def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = suffix.remove(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
-    return out.select("doc_id", "cut.n_bytes", "cut.n_removed", "cut.n_spans", "cut.kept_sha256")
+    """Strings of 400 bytes are removed; passages of over 50 words that stand elsewhere, too, are counted beside them."""
+    passages = suffix.Params(length=51, gram=32, words=True)
+    out = suffix.remove(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True, report=passages)
+    return out.select("doc_id", "cut.n_bytes", "cut.n_removed", "cut.n_spans", "cut.kept_sha256", "cut.n_passages", "cut.n_passage_bytes")
 
 
 def queries() -> dict:

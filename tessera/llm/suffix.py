@@ -7,8 +7,12 @@ multikey quicksort on eight-byte symbols down to a shallow depth, then blind tri
 Common prefixes of neighbours give how far any two anchors agree on either side, and thereby every repeated string.
 
 Anchors whose whole context occurs twice need no sorting, and equal contexts are sorted once with their count, so
-groups of copies cost one context.  A group of more than `most` distinct contexts is divided by the strings themselves:
-its strings are counted by their hashes, which is exact as well and combines before the shuffle.
+groups of copies cost one context.  A group of more than `most` distinct contexts is divided before it is sorted: strings
+that begin lo to hi symbols left of the gram all hold the lo symbols before it and the side - hi symbols after it, so
+contexts that differ there never meet at these offsets.  Each half of the offsets is a set of smaller groups, by the bytes
+that they share, and is divided again where it is still too large; a single offset is a group of equal strings.  So no
+task sorts more than `most` contexts at a time, and contexts are only taken as equal by their bytes (grams and whole
+contexts by 128 bits of hashes).
 
 Passages may be counted in words as well: a text is then the string of its words' hashes, a symbol of eight bytes each,
 and what repeats are strings of `length` whole words, whatever white space stands between them.
@@ -48,7 +52,7 @@ class Params:
     length: int = 400
     gram: int = 256
     shallow: int = 16
-    most: int = 20_000
+    most: int = 2_000
     words: bool = False
 
     @property
@@ -146,18 +150,22 @@ def agreeing(strings: list[bytes], order: list[int]) -> np.ndarray:
     return np.array([0] + [common(strings[a], strings[b]) for a, b in zip(order, order[1:], strict=False)])
 
 
-def repeated_offsets(lefts: list[bytes], rights: list[bytes], counts: list[int], side: int, shallow: int, unit: int = 1) -> np.ndarray:
-    """Bool [i, d]: whether the string that starts d symbols left of gram i, d from 0 to side, also starts elsewhere.
-
-    lefts are reversed; counts above 1 stand for contexts that occur several times; a symbol has `unit` bytes.
-    """
-    n = len(lefts)
-    sides = [(order := deep_shallow(strings, shallow), agreeing(strings, order) // unit) for strings in (lefts, rights)]
-    sizes = [np.array([len(x) // unit for x in strings]) for strings in (lefts, rights)]
+def repeated_offsets(lefts: list[bytes], rights: list[bytes], counts: list[int], p: Params, lo: int = 0, hi: int | None = None) -> np.ndarray:
+    """Bool [i, d - lo]: whether the string that starts d symbols left of gram i, d from lo to hi (default: all), also
+    starts elsewhere.  lefts are reversed; counts above 1 stand for contexts that occur several times."""
+    n, side = len(lefts), p.side
+    hi = side if hi is None else hi
+    if n == 2 and max(counts) == 1:  # to order two strings is to compare them once
+        far, near = (common(*x) // p.unit for x in (lefts, rights))
+        d = np.arange(lo, hi + 1)
+        return np.tile((d <= far) & (side - d <= near), (2, 1))
+    sides = [(order := deep_shallow(strings, p.shallow), agreeing(strings, order) // p.unit) for strings in (lefts, rights)]
+    sizes = [np.array([len(x) // p.unit for x in strings]) for strings in (lefts, rights)]
     many = np.array(counts) > 1
-    out = np.zeros((n, side + 1), bool)
-    for at in range(0, side + 1, 24):  # a few offsets at a time, so that large groups stay small in memory
-        need = np.arange(at, min(at + 24, side + 1))
+    out = np.zeros((n, hi + 1 - lo), bool)
+    some = max(24, 100_000 // n)  # fewer offsets at a time for large groups, so that they stay small in memory
+    for at in range(lo, hi + 1, some):
+        need = np.arange(at, min(at + some, hi + 1))
         ids = np.zeros((n, len(need)), np.int64)
         for (order, lcp), least in zip(sides, (need, side - need), strict=True):
             group = np.empty_like(ids)
@@ -172,7 +180,7 @@ def repeated_offsets(lefts: list[bytes], rights: list[bytes], counts: list[int],
         found = np.zeros_like(twin)
         np.put_along_axis(found, by, twin, axis=0)
         fits = (sizes[0][:, None] >= need) & (sizes[1][:, None] >= side - need)
-        out[:, need] = (found | many[:, None]) & fits
+        out[:, need - lo] = (found | many[:, None]) & fits
     return out
 
 
@@ -258,8 +266,12 @@ def _anchor_rows(docs: DataFrame, p: Params) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node binary, pos int, g long, c long")
 
 
+ROW = "g long, s long, c long, left binary, right binary"
+
+
 def _contexts(docs: DataFrame, p: Params) -> DataFrame:
-    """node, text, spots (pos, g, c) -> g, c, left (reversed), right."""
+    """node, text, spots (pos, g, c) -> g, s (a second hash of the gram), c, left (reversed), right."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
@@ -267,42 +279,49 @@ def _contexts(docs: DataFrame, p: Params) -> DataFrame:
             for i in range(b.num_rows):
                 raw = b["text"][i].as_py()
                 t = symbols(raw, p).tobytes() if p.words else (raw or "").encode()
-                for s in b["spots"][i].as_py():
-                    left, at, right, end = (p.unit * x for x in (max(0, s["pos"] - p.side), s["pos"], s["pos"] + p.gram, s["pos"] + p.length))
-                    out.append((s["g"], s["c"], t[left:at][::-1], t[right:end]))
+                for x in b["spots"][i].as_py():
+                    left, at, right, end = (p.unit * k for k in (max(0, x["pos"] - p.side), x["pos"], x["pos"] + p.gram, x["pos"] + p.length))
+                    lefts = np.frombuffer(t[left:at], f"V{p.unit}")[::-1].tobytes()
+                    out.append((x["g"], xxhash.xxh3_64_intdigest(t[at:right]) - 2**63, x["c"], lefts, t[right:end]))
                 if len(out) > 20_000 or i == b.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)] if out else [pa.array([], k) for k in (pa.int64(), pa.int64(), pa.binary(), pa.binary())], names=["g", "c", "left", "right"])
+                    cols = list(zip(*out, strict=True)) or [[]] * 5
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=["g", "s", "c", "left", "right"])
                     out = []
 
-    return docs.mapInArrow(run, "g long, c long, left binary, right binary")
+    return docs.mapInArrow(run, ROW)
 
 
-def _runs(flags: np.ndarray, p: Params) -> list[list[int]]:
-    """Runs of offsets d as byte ranges around the gram: [-d of the last, length - d of the first)."""
+def _runs(flags: np.ndarray, p: Params, lo: int) -> list[list[int]]:
+    """Runs of offsets d as ranges of symbols around the gram: [-d of the last, length - d of the first)."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
-    return [[-int(b - 1), p.length - int(a)] for a, b in edge.reshape(-1, 2)]
+    return [[-int(b - 1 + lo), p.length - int(a + lo)] for a, b in edge.reshape(-1, 2)]
+
+
+GROUP = ["g", "s", "lo", "hi", "shared"]
 
 
 def _sorted_groups(grouped: DataFrame, p: Params) -> DataFrame:
-    """Rows g, c, left, right, n, sorted by g within partitions -> g, c, ranges; one group at a time in memory."""
+    """GROUP, c, left, right, n, sorted by GROUP within partitions -> g, c, ranges; one group at a time in memory."""
 
-    def emit(g: int, rows: list[tuple]) -> list[tuple]:
-        found = repeated_offsets([r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], p.side, p.shallow, p.unit)
-        return [(g, r[0], x) for r, f in zip(rows, found, strict=True) if (x := _runs(f, p))]
+    def emit(key: tuple, rows: list[tuple]) -> list[tuple]:
+        if len(rows) == 1 and rows[0][3] == 1:
+            return []
+        found = repeated_offsets([r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], p, key[2], key[3])
+        return [(key[0], r[0], x) for r, f in zip(rows, found, strict=True) if (x := _runs(f, p, key[2]))]
 
     def run(batches: Iterator[pa.RecordBatch]):
-        g, rows, out = None, [], []
+        key, rows, out = None, [], []
         for b in batches:
-            for x in zip(*(b[k].to_pylist() for k in ("g", "c", "left", "right", "n")), strict=True):
-                if x[0] != g:
+            for x in zip(*(b[k].to_pylist() for k in (*GROUP, "c", "left", "right", "n")), strict=True):
+                if x[:5] != key:
                     if rows:
-                        out += emit(g, rows)
-                    g, rows = x[0], []
-                rows.append(x[1:])
+                        out += emit(key, rows)
+                    key, rows = x[:5], []
+                rows.append(x[5:])
             if len(out) > 20_000:
                 yield _ranges(out)
                 out = []
-        yield _ranges(out + (emit(g, rows) if rows else []))
+        yield _ranges(out + (emit(key, rows) if rows else []))
 
     return grouped.mapInArrow(run, "g long, c long, ranges array<array<int>>")
 
@@ -312,26 +331,45 @@ def _ranges(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(c, pa.int64()), pa.array(r, pa.list_(pa.list_(pa.int32())))], names=["g", "c", "ranges"])
 
 
-def _window_hashes(big: DataFrame, p: Params) -> DataFrame:
-    """g, c, left, right, n -> g, c, d, h of every string of a context; for groups too large to be sorted in one task."""
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
-            for g, c, left, right, n in zip(*(b[k].to_pylist() for k in ("g", "c", "left", "right", "n")), strict=True):
-                d = np.arange(max(0, p.side - len(right) // p.unit), len(left) // p.unit + 1)
-                h = [int.from_bytes(hashlib.blake2b(left[: p.unit * k][::-1] + b"|" + right[: p.unit * (p.side - k)], digest_size=8).digest(), signed=True) for k in d.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), g)), pa.array(np.full(len(d), c)), pa.array(d.astype(np.int32)), pa.array(h, pa.int64()), pa.array(np.full(len(d), n))], names=["g", "c", "d", "h", "n"])
-
-    return big.mapInArrow(run, "g long, c long, d int, h long, n long")
+def _halves(rows: DataFrame, p: Params) -> DataFrame:
+    """Rows of groups, once for each half of the group's offsets, with the bytes that strings at these offsets share."""
+    mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+    parts = F.array(F.struct("lo", mid.alias("hi")), F.struct((mid + 1).alias("lo"), "hi"))
+    each = rows.select("g", "s", "c", "left", "right", "n", F.explode(parts).alias("x")).select("g", "s", "c", "left", "right", "n", "x.*")
+    before, after = p.unit * F.col("lo"), p.unit * (p.side - F.col("hi"))
+    each = each.filter((F.octet_length("left") >= before) & (F.octet_length("right") >= after))
+    return each.withColumn("shared", F.concat(F.substring("left", F.lit(1), before), F.substring("right", F.lit(1), after)))
+
+
+def _in_small_groups(contexts: DataFrame, p: Params) -> DataFrame:
+    """g, s, c, left, right, n, kinds (contexts of the gram) -> g, c, ranges, with groups of p.most contexts at most."""
+    rows = contexts.withColumns({"lo": F.lit(0), "hi": F.lit(p.side), "shared": F.lit(b"").cast("binary")})
+    small, large = rows.filter(F.col("kinds") <= p.most).drop("kinds"), rows.filter(F.col("kinds") > p.most).drop("kinds")
+    solved, equal = [small], []
+    # A round halves the offsets of what is still too large: at most log2(side) + 1 of them.
+    while large.limit(1).count():
+        parts = materialize(_halves(large, p), "halves")
+        many = materialize(parts.groupBy(*GROUP).agg(F.count("*").alias("kinds")).filter(F.col("kinds") > p.most).select(*GROUP), "large-groups")
+        solved.append(parts.join(many, GROUP, "left_anti").select(*small.columns))
+        over = parts.join(many, GROUP, "left_semi").select(*small.columns)
+        # Strings of one offset in one group are the same string.
+        equal.append(over.filter("lo = hi").select("g", "c", F.array(F.array(-F.col("lo"), p.length - F.col("lo"))).alias("ranges")))
+        large = materialize(over.filter("lo < hi"), "large")
+    out = None
+    for x in solved:
+        ranges = _sorted_groups(x.repartition(*GROUP).sortWithinPartitions(*GROUP, "c"), p)
+        out = ranges if out is None else out.unionByName(ranges)
+    for x in equal:
+        out = out.unionByName(x)
+    return out
 
 
 def repeated(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """(node, spans): ranges of bytes (or words) of each distinct text that repeated strings cover; docs: node, text."""
     small_batches(docs.sparkSession)
-    rows = _anchor_rows(docs, p)
+    rows = materialize(_anchor_rows(docs, p), "anchors")
     # As a table of its own: joined straight to the aggregation, a hot gram's anchors could not be split.
     grams = materialize(rows.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g"), "grams")
-    rows = _anchor_rows(docs, p)
     # Dealt by place: a partitioning by gram would do for the counts of copies, but keep the join from being split.
     spots = materialize(rows.join(grams, "g").repartition("node", "pos").groupBy("node", "pos", "g", "c").agg(F.count("*").alias("copies")), "spots")
     # Contexts per gram: with a single one, all its places repeat in full and nothing is left to sort.
@@ -343,12 +381,7 @@ def repeated(docs: DataFrame, p: Params = Params()) -> DataFrame:
     wanted = kinds.filter("kinds > 1").groupBy("at.node").agg(F.collect_list(F.struct("at.pos", "g", "c")).alias("spots"))
     texts = docs.join(wanted, "node").withColumn("rn_", F.row_number().over(_by_node())).filter("rn_ = 1").select("node", "text", "spots")
     found = materialize(_contexts(texts, p).join(kinds.select("g", "c", "n", "kinds"), ["g", "c"]), "contexts")
-    small = found.filter(F.col("kinds") <= p.most).repartition("g").sortWithinPartitions("g", "c")
-    ranges = _sorted_groups(small.select("g", "c", "left", "right", "n"), p)
-    strings = _window_hashes(found.filter(F.col("kinds") > p.most).select("g", "c", "left", "right", "n"), p)
-    twice = strings.groupBy("g", "d", "h").agg(F.sum("n").alias("n")).filter("n > 1")
-    big = strings.join(twice.select("g", "d", "h"), ["g", "d", "h"]).select("g", "c", F.array(F.array(-F.col("d"), p.length - F.col("d"))).alias("ranges"))
-    all_ranges = materialize(whole.unionByName(ranges).unionByName(big), "ranges")
+    all_ranges = materialize(whole.unionByName(_in_small_groups(found, p)), "ranges")
     part = spots.select("node", "pos", "g", "c").join(all_ranges, ["g", "c"]).select("node", F.transform("ranges", lambda r: F.struct((F.col("pos") + r[0]).alias("a"), (F.col("pos") + r[1]).alias("b"))).alias("r"))
     return part.groupBy("node").agg(F.array_sort(F.flatten(F.collect_list("r"))).alias("spans"))
 
@@ -387,21 +420,26 @@ def byte_spans(t: bytes, spans: list[dict], words: list[dict]) -> list[dict]:
     return sorted(out, key=lambda s: (s["a"], s["b"]))
 
 
-def remove(docs: DataFrame, p: Params = Params(), text: str = "text", digest: bool = False, words: Params | None = None) -> DataFrame:
+def remove(docs: DataFrame, p: Params = Params(), text: str = "text", digest: bool = False, words: Params | None = None, report: Params | None = None) -> DataFrame:
     """docs with the text's remaining bytes (cut characters are dropped), and n_bytes, n_removed, n_spans, kept_sha256
-    in a struct column `cut`; with digest, the text itself is left out; with words, repeated strings of so many words go
-    as well."""
+    in a struct column `cut`; with digest, the text itself is left out.  With words, repeated strings of so many words go
+    as well; with report, they stay and are counted: n_passages (runs of words that such strings cover), n_passage_bytes
+    (0 without report)."""
+    small_batches(docs.sparkSession)
     named = docs.select(node_of(F.col(text)).alias("node"), F.col(text).alias("text"))
     spans = repeated(named, p)
-    if words:
-        spans = spans.join(repeated(named, words).withColumnRenamed("spans", "words"), "node", "full")
-    else:
-        spans = spans.withColumn("words", F.lit(None).cast(spans.schema["spans"].dataType))
-    info = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())])
+    for name, more in (("words", words), ("report", report)):
+        if more:
+            spans = spans.join(repeated(named, more).withColumnRenamed("spans", name), "node", "full")
+        else:
+            spans = spans.withColumn(name, F.lit(None).cast(spans.schema["spans"].dataType))
+    counts = ["n_bytes", "n_removed", "n_spans", "n_passages", "n_passage_bytes"]
+    info = T.StructType([*(T.StructField(c, T.LongType()) for c in counts), T.StructField("kept_sha256", T.StringType())])
     others = [c for c in docs.columns if c != text]
     packed = docs.select(node_of(F.col(text)).alias("node"), F.col(text).alias("text"), F.struct(*(others or [F.lit(0).alias("none")])).alias("row"))
-    joined = packed.join(spans, "node", "left").select("text", "spans", "words", "row")
+    joined = packed.join(spans, "node", "left").select("text", "spans", "words", "report", "row")
     schema = T.StructType([T.StructField("row", joined.schema["row"].dataType), T.StructField("text", T.StringType()), T.StructField("cut", info)])
+    kinds = pa.struct([*((c, pa.int64()) for c in counts), ("kept_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
@@ -409,10 +447,11 @@ def remove(docs: DataFrame, p: Params = Params(), text: str = "text", digest: bo
             for i in range(b.num_rows):
                 raw = b["text"][i].as_py()
                 t = (raw or "").encode()
-                rest, gone, runs = cut(t, byte_spans(t, b["spans"][i].as_py() or [], b["words"][i].as_py() or []))
+                found, more, told = (b[c][i].as_py() or [] for c in ("spans", "words", "report"))
+                rest, gone, runs = cut(t, byte_spans(t, found, more))
+                _, passage, passages = cut(t, byte_spans(t, [], told))
                 texts.append(None if digest else raw if not gone else rest.decode("utf-8", "ignore"))
-                infos.append({"n_bytes": len(t), "n_removed": gone, "n_spans": runs, "kept_sha256": hashlib.sha256(rest).hexdigest()})
-            kinds = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+                infos.append(dict(zip(counts, (len(t), gone, runs, passages, passage), strict=True)) | {"kept_sha256": hashlib.sha256(rest).hexdigest()})
             yield pa.RecordBatch.from_arrays([b["row"], pa.array(texts, pa.string()), pa.array(infos, kinds)], names=["row", "text", "cut"])
 
     out = joined.mapInArrow(run, schema)

@@ -31,7 +31,7 @@ def brute(texts, n):
 def check(docs, p):
     rows = docs.select("doc_id", "text").collect()
     want = sorted((str(r["doc_id"]), *x) for r, x in zip(rows, brute([r["text"] for r in rows], p.length), strict=True))
-    got = suffix.remove(docs, p, digest=True).select("doc_id", "cut.*")
+    got = suffix.remove(docs, p, digest=True).select("doc_id", "cut.n_bytes", "cut.n_removed", "cut.n_spans", "cut.kept_sha256")
     assert sorted((str(r["doc_id"]), *tuple(r)[1:]) for r in got.collect()) == want
 
 
@@ -40,7 +40,7 @@ def test_odd_documents(odd_docs):
 
 
 def test_small_windows_and_large_groups(spark, odd_docs):
-    check(odd_docs, SMALL)  # groups of more than three contexts go by the strings' hashes
+    check(odd_docs, SMALL)  # groups of more than three contexts are divided
     rng = random.Random(2)
     words = ["".join(rng.choice("ab ") for _ in range(30)) for _ in range(6)]
     rows = [(i, "".join(rng.choice(words) + rng.choice("xyz") for _ in range(5))) for i in range(40)]
@@ -49,6 +49,18 @@ def test_small_windows_and_large_groups(spark, odd_docs):
     check(docs, suffix.Params(length=24, gram=16, shallow=8))
 
 
+def test_one_gram_in_many_contexts(spark):
+    """A common gram, whose contexts share some bytes on one side, on both or none, in groups of at most eight."""
+    rng = random.Random(7)
+    some = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    gram, rows = some(16), []
+    lefts, rights = [some(8) for _ in range(5)], [some(8) for _ in range(5)]
+    for i in range(160):
+        left, right = (rng.choice(lefts)[k:] if i % 4 else some(8 - k) for k in (0, 0)) if i % 3 else (lefts[0], rng.choice(rights)[: rng.randint(0, 8)])
+        rows.append((i, f"{i}{left}{gram}{right}{i}"))
+    check(spark.createDataFrame(rows, "doc_id long, text string"), suffix.Params(length=24, gram=16, shallow=8, most=8))
+
+
 def test_smallest_tables(spark):
     check(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), suffix.Params())
 
@@ -73,11 +85,23 @@ def test_words(spark, odd_docs):
     seen = Counter(tuple(w[i : i + 9]) for w in split for i in range(len(w) - 8))
     want = [[any(seen[tuple(w[i : i + 9])] > 1 for i in range(max(0, k - 8), min(k, len(w) - 9) + 1)) for k in range(len(w))] for w in split]
     want = sorted((str(i), tuple(x for x, gone in zip(w, g, strict=True) if not gone)) for (i, _), w, g in zip(rows, split, want, strict=True))
-    for most in (3, 20_000):  # groups of more than three contexts go by the strings' hashes
+    for most in (3, 20_000):  # groups of more than three contexts are divided
         got = suffix.remove(docs, suffix.Params(length=10**6), words=suffix.Params(length=9, gram=4, most=most, words=True))
         assert sorted((str(r["doc_id"]), tuple((r["text"] or "").encode().split())) for r in got.collect()) == want
 
 
+def test_passages_are_told_apart_from_bytes(spark):
+    """What repeats over so many words is counted but stays, unless it repeats over so many bytes as well."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    short, long = " ".join(word(3) for _ in range(9)), " ".join(word(9) for _ in range(9))
+    rows = [(i, f"{word(8)}{i} {short} {word(8)}{i} {long} {word(8)}{i}") for i in range(3)] + [(3, " ".join(word(5) for _ in range(30))), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffix.remove(docs, suffix.Params(length=60, gram=32), digest=True, report=suffix.Params(length=9, gram=4, words=True))
+    want = {i: (2, len(short) + len(long), 1) for i in range(3)} | {3: (0, 0, 0), 4: (0, 0, 0)}
+    assert {r["doc_id"]: (r["cut"]["n_passages"], r["cut"]["n_passage_bytes"], r["cut"]["n_spans"]) for r in got.collect()} == want
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.binary(max_size=40).map(lambda b: bytes(x % 3 + 97 for x in b)), max_size=30))
 def test_order(strings):
