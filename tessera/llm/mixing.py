@@ -3,23 +3,31 @@
 Each source's documents are put in a hashed order and their words counted through, as often as the target asks; the
 stream is cut into blocks of equal numbers of words.  Slots of the mix draw their sources by the van der Corput
 sequence mapped through the cumulative targets, so that every stretch of the mix has nearly the targets' proportions;
-the slots of a source are ranked, and slot r takes the source's block r.  A source stops with the word that reaches its
+the slots of a source are ranked, and its block r takes the slot of rank r.  A source stops with the word that reaches its
 target, rounded; hence its share is exact.
 
+Slots are not listed: a source's interval is a union of dyadic ones, the slots of a dyadic interval are an arithmetic
+progression, and the slot of rank r is found by counting those below a number.  So a slot follows from the source's
+interval and the block alone, whatever the smallest source, and slots that would belong to used-up sources stay empty.
+
 Cases: null texts have size 0 and are taken 0 times; a null source is a source of its own, last; sources without words
-have target 0; an empty table gives an empty mix; repeated rows are separate documents; extra columns are kept.
+have target 0; an empty table gives an empty mix; repeated rows are separate documents; other columns are kept in a
+struct, whatever their names.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import n_words
-from tessera.llm.ordering import positions
+from tessera.llm.ordering import parts_of, positions
 from tessera.session import materialize
 
 BITS = 48
@@ -27,7 +35,7 @@ BITS = 48
 
 @dataclass(frozen=True)
 class Params:
-    """weights repeat over the sources in code point order; budget and cap are multiples of the sizes."""
+    """weights repeat over the sources in code point order; budget and cap are multiples of the sizes; block is in words."""
 
     weights: tuple[int, ...] = (5, 2, 1)
     budget: float = 1.5
@@ -37,7 +45,8 @@ class Params:
 
 
 def targets(sizes: DataFrame, p: Params = Params()) -> DataFrame:
-    """source, size -> source, sid (from 1), source_size, rows, target, words (the target rounded).
+    """source, size -> source, sid (from 1), source_size, rows, target, words (the target rounded), lo, hi (the share of
+    the mix from lo to hi, in units of 2 ** -BITS).
 
     The level that, times weight, fills the budget once capped sources have left is the largest one met when sources
     leave in the order of their cap per weight.  One row a source is ordered here, not the documents.
@@ -52,68 +61,98 @@ def targets(sizes: DataFrame, p: Params = Params()) -> DataFrame:
     open_weight = F.sum("weight").over(by_cap.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     per = per.withColumn("level", left / open_weight)
     per = per.withColumn("target", F.least(limit, F.col("weight") * F.max("level").over(total)))
-    return per.withColumn("words", F.least(F.round("target").cast("long"), p.cap * F.col("source_size"))).drop("level", "weight")
-
-
-def schedule(per: DataFrame, p: Params = Params()) -> DataFrame:
-    """Slots of the mix: slot, sid, block (the source's own count of slots), for all blocks that the targets ask for."""
-    spark = per.sparkSession
-    total = Window.partitionBy()
-    upto = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    share = per.filter("words > 0").select("sid", "words", F.ceil(F.col("words") / p.block).alias("blocks"), (F.sum("words").over(upto) / F.sum("words").over(total)).alias("hi"))
-    share = materialize(share.withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("sid")), F.lit(0.0))), "shares")
-    most = share.agg(F.max(F.col("blocks") / (F.col("hi") - F.col("lo"))), F.min(F.col("hi") - F.col("lo")), F.count("*")).first()
-    if most[0] is None:
-        return spark.range(0).select(F.col("id").alias("slot"), F.lit(0).alias("sid"), F.lit(0).cast("long").alias("block"))
-    # The sequence's counts in an interval stray from its length by less than log2(n) + 2 slots.
-    n = int(most[0]) + 1
-    n += int((2 * math.log2(n + 2) + 6) / most[1])
-    cells = 4 * most[2]
-    point = F.conv(F.reverse(F.lpad(F.bin("slot"), BITS, "0")), 2, 10).cast("double") / 2.0**BITS
-    slots = spark.range(n).select(F.col("id").alias("slot")).withColumn("u", point).withColumn("cell", F.floor(F.col("u") * cells).cast("long"))
-    spans = share.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * cells).cast("long"), F.floor(F.col("hi") * cells).cast("long"))))
-    drawn = slots.join(spans, "cell").filter("u >= lo AND u < hi").select("slot", "sid", "blocks")
-    # Ranks per source: counts of earlier groups of slots, then a window within the group.
-    drawn = drawn.withColumn("group_", F.floor(F.col("slot") / 1024).cast("long"))
-    before = Window.partitionBy("sid").orderBy("group_").rowsBetween(Window.unboundedPreceding, -1)
-    counts = drawn.groupBy("sid", "group_").agg(F.count("*").alias("n_")).withColumn("before_", F.coalesce(F.sum("n_").over(before), F.lit(0))).drop("n_")
-    rank = F.row_number().over(Window.partitionBy("sid", "group_").orderBy("slot")) - 1
-    ranked = drawn.withColumn("in_", rank).join(counts, ["sid", "group_"]).withColumn("block", F.col("before_") + F.col("in_"))
-    return ranked.filter("block < blocks").select("slot", "sid", "block")
-
-
-def _piece(a: Column, b: Column, turn: int, block: int):
-    """What a block, by number, takes of the words from a to b."""
+    per = per.withColumn("words", F.least(F.round("target").cast("long"), p.cap * F.col("source_size"))).drop("level", "weight")
+    upto = F.coalesce(F.sum("words").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0))
+    edge = lambda words: F.when(F.sum("words").over(total) > 0, F.floor(words / F.sum("words").over(total) * 2.0**BITS)).otherwise(0).cast("long")
+    return per.withColumns({"lo": edge(upto - F.col("words")), "hi": edge(upto)})
+
+
+def progressions(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """First members and periods of the arithmetic progressions that hold the slots whose point lies from lo to hi."""
+    first, period = [], []
+    while lo < hi:
+        size = lo & -lo or 1 << BITS
+        while size > hi - lo:
+            size //= 2
+        bits = BITS + 1 - size.bit_length()
+        first.append(int(format(lo // size, f"0{bits}b")[::-1], 2) if bits else 0)
+        period.append(1 << bits)
+        lo += size
+    return np.array(first, np.int64), np.array(period, np.int64)
+
+
+def slots(lo: int, hi: int, ranks: np.ndarray) -> np.ndarray:
+    """The slots of these ranks (from 0) among those whose van der Corput point lies from lo to hi."""
+    if hi <= lo:  # a share too small to have points comes after all others
+        return ranks + (1 << BITS)
+    first, period = progressions(lo, hi)
+    share = (hi - lo) / 2**BITS
+    # The points in an interval stray from its share by less than one for each progression.
+    low = np.maximum(0, np.floor((ranks - len(first)) / share).astype(np.int64) - 1)
+    high = np.ceil((ranks + 1 + len(first)) / share).astype(np.int64) + 1
+    while (low < high).any():
+        mid = (low + high) // 2
+        below = np.maximum(0, (mid[:, None] - first[None, :] + period) // period).sum(axis=1)  # of slots up to mid
+        low, high = np.where(below > ranks, low, mid + 1), np.where(below > ranks, mid, high)
+    return low
+
+
+def _piece(a: Column, start: Column, b: Column, turn: int, block: int):
+    """What a block, by number, takes of the words from a to b of the source's stream; the document starts at `start`."""
 
     def of(k: Column) -> Column:
-        n = F.least(b, (k + 1) * block) - F.greatest(a, k * block)
-        return F.struct(F.lit(turn).alias("turn"), k.cast("long").alias("block"), n.cast("long").alias("n"))
+        at = F.greatest(a, k * block)
+        n = F.least(b, (k + 1) * block) - at
+        fields = {"slot": k, "place": at - k * block, "turn": F.lit(turn), "first": at - start, "n": n}
+        return F.struct(*[c.cast("int" if name == "turn" else "long").alias(name) for name, c in fields.items()])
 
     return of
 
 
+PIECES = "array<struct<slot:bigint,place:bigint,turn:int,first:bigint,n:bigint>>"
+
+
+def _with_slots(rows: DataFrame) -> DataFrame:
+    """Replaces the block's number in each piece by its slot; rows have lo, hi and pieces."""
+    names = [f.name for f in rows.schema.fields if f.name not in ("lo", "hi", "pieces")]
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            pieces = b["pieces"]
+            flat, ends = pieces.flatten(), pieces.offsets.to_numpy()
+            row = np.repeat(np.arange(b.num_rows), np.diff(ends))
+            lo, hi = (b[c].to_numpy()[row] for c in ("lo", "hi"))
+            block = flat.field("slot").to_numpy()
+            slot = np.empty_like(block)
+            for edge in np.unique(lo[hi > lo]) if len(lo) else []:
+                at = np.flatnonzero((lo == edge) & (hi > lo))
+                ranks, back = np.unique(block[at], return_inverse=True)
+                slot[at] = slots(int(edge), int(hi[at[0]]), ranks)[back]
+            slot[hi <= lo] = block[hi <= lo] + (1 << BITS)
+            kinds = [flat.type.field(k) for k in range(flat.type.num_fields)]
+            filled = pa.StructArray.from_arrays([pa.array(slot) if f.name == "slot" else flat.field(f.name) for f in kinds], fields=kinds)
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), filled)], names=[*names, "pieces"])
+
+    schema = T.StructType([f for f in rows.schema.fields if f.name in names] + [f for f in rows.schema.fields if f.name == "pieces"])
+    return rows.mapInArrow(run, schema)
+
+
 def mix(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """One row per document: row (its other columns as a struct), size, source_size, target, first and second (words
-    taken on the first and second time through), taken, slots (where in the mix, by slot number)."""
+    """One row per document: row (its other columns as a struct), size, source_size, target, taken, and pieces: for each
+    block of the mix that takes words of it, slot (where in the mix), place (word within the block), turn (0 the first
+    time through the source), first (word of the document) and n (words)."""
     others = [c for c in docs.columns if c != text] or [doc_id]
     named = docs.select(F.struct(*others).alias("row"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), F.xxhash64(F.lit(p.seed), F.col(doc_id)).alias("h"), F.xxhash64(F.lit(p.seed + 1), F.col(text)).alias("tie"))
     named = materialize(named, "sizes")
     per = materialize(targets(named, p), "targets")
-    slots = schedule(per, p)
-    rows = named.join(per.select("source", "sid"), named["source"].eqNullSafe(per["source"])).select("row", "size", "h", "tie", "sid")
-    rows = positions(rows, ["sid"], "h", ["tie"], F.col("size"), "start").join(per.select("sid", "source_size", "target", "words"), "sid")
+    rows = named.join(per, named["source"].eqNullSafe(per["source"])).select("row", "size", "h", "tie", "sid", "rows", "source_size", "target", "words", "lo", "hi")
+    rows = positions(rows, ["sid"], parts_of(F.col("rows")), "h", ["tie"], F.col("size"), "start")
     parts = []
     for turn in range(p.cap):
         a = F.col("start") + turn * F.col("source_size")
         b = F.least(a + F.col("size"), F.col("words"))
         blocks = F.sequence(F.floor(a / p.block), F.floor((b - 1) / p.block))
-        parts.append(F.when(b > a, F.transform(blocks, _piece(a, b, turn, p.block))))
-    empty = F.array().cast("array<struct<turn:int,block:bigint,n:bigint>>")
-    # (sid, start, h, tie) tells documents apart, but for equal ones without words.
-    rows = materialize(rows.withColumn("pieces", F.concat(*[F.coalesce(x, empty) for x in parts])), "pieces")
-    key = ["sid", "start", "h", "tie"]
-    flat = rows.filter(F.size("pieces") > 0).select(*key, F.explode("pieces").alias("x")).select(*key, "x.*")
-    got = flat.join(slots, ["sid", "block"]).groupBy(*key).agg(F.sum(F.when(F.col("turn") == 0, F.col("n"))).alias("first"), F.sum(F.when(F.col("turn") > 0, F.col("n"))).alias("second"), F.sum("n").alias("taken"), F.array_sort(F.collect_set("slot")).alias("slots"))
-    zero = F.lit(0).cast("long")
-    out = rows.drop("pieces").join(got, key, "left")
-    return out.select("row", "size", "source_size", "target", *[F.coalesce(c, zero).alias(c) for c in ("first", "second", "taken")], F.coalesce("slots", F.array().cast("array<bigint>")).alias("slots"))
+        parts.append(F.when(b > a, F.transform(blocks, _piece(a, a, b, turn, p.block))).otherwise(F.array().cast(PIECES)))
+    out = _with_slots(rows.select("row", "size", "source_size", "target", "lo", "hi", F.concat(*parts).cast(PIECES).alias("pieces")))
+    taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    return out.select("row", "size", "source_size", "target", taken.alias("taken"), "pieces")

@@ -19,7 +19,7 @@ def op7_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_low_discrepancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return out.select("row.doc_id", "size", "source_size", "target", "taken")
+    return out.select("row.doc_id", "size", "source_size", "target", "taken", F.array_min(F.transform("pieces", lambda x: x["slot"])).alias("first_slot"), F.size("pieces").alias("n_pieces"))
 
 
 def op9_hypergeometric(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.ordering import positions
+from tessera.llm.ordering import parts_of, positions
 
 
 def _log_choose(n: int, k: int) -> float:
@@ -81,15 +81,16 @@ def shard(rows: DataFrame, key: list[Column], shards: int = 16, partitions: int
     local = rows.withColumns({"partition_": F.pmod(h[0], F.lit(partitions)).cast("int"), "first_": h[1], "second_": h[2]})
     counted = local.groupBy("partition_").agg(F.count("*").alias("n")).orderBy("partition_").collect()  # partitions rows
     sent = matrix([r["n"] for r in counted], shards, seed)
-    cuts, names = [], [r["partition_"] for r in counted]
-    for name, row in zip(names, sent, strict=True):
+    cuts = []
+    for r, row in zip(counted, sent, strict=True):
         ends, total = [], 0
         for x in row:
             total += x
             ends.append(total)
-        cuts.append({"partition_": name, "ends_": ends})
-    spec = "array<struct<partition_:int,ends_:array<bigint>>>"
+        cuts.append({"partition_": r["partition_"], "rows_": r["n"], "ends_": ends})
+    spec = "array<struct<partition_:int,rows_:bigint,ends_:array<bigint>>>"
     table = rows.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(cuts)), spec)).alias("x")).select("x.*")
-    placed = positions(local, ["partition_"], "first_", ["second_"], out="rank_").join(F.broadcast(table), "partition_")
-    placed = placed.withColumn("shard", F.size(F.filter("ends_", lambda e: e <= F.col("rank_"))).cast("int")).drop("ends_", "rank_", "partition_")
-    return positions(placed, ["shard"], "second_", ["first_"], out="slot").drop("first_", "second_")
+    placed = positions(local.join(F.broadcast(table), "partition_"), ["partition_"], parts_of(F.col("rows_")), "first_", ["second_"], out="rank_")
+    placed = placed.withColumn("shard", F.size(F.filter("ends_", lambda e: e <= F.col("rank_"))).cast("int")).drop("ends_", "rows_", "rank_", "partition_")
+    each = parts_of(F.lit(sum(r["n"] for r in counted) / shards))
+    return positions(placed, ["shard"], each, "second_", ["first_"], out="slot").drop("first_", "second_")

@@ -2,6 +2,7 @@
 
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,8 +42,23 @@ def check(docs, p):
     for r in out:
         s = r["row"]["source"]
         assert r["target"] == pytest.approx(want[s]) and r["source_size"] == sizes[s]
-        assert 0 <= r["taken"] <= 2 * r["size"] and r["first"] + r["second"] == r["taken"]
+        assert 0 <= r["taken"] <= 2 * r["size"]
         taken[s] += r["taken"]
+    filled, first = defaultdict(list), defaultdict(list)
+    for r in out:
+        for x in r["pieces"]:
+            filled[x["slot"]].append((x["place"], x["place"] + x["n"], r["row"]["source"]))
+            first[x["slot"]].append(r["row"]["source"])
+        for turn in (0, 1):  # each time through, a document's words are taken from the first one on, without gaps
+            at = 0
+            for x in sorted((x for x in r["pieces"] if x["turn"] == turn), key=lambda x: x["first"]):
+                assert x["first"] == at and x["n"] > 0
+                at += x["n"]
+            assert at <= r["size"]
+    for slot, parts in filled.items():  # a slot is one block of one source, filled from its start
+        parts.sort(key=lambda x: x[:2])
+        assert parts[0][0] == 0 and len({x[2] for x in parts}) == 1
+        assert all(x[1] == y[0] for x, y in zip(parts, parts[1:], strict=False)) and parts[-1][1] <= p.block
     for s in want:
         assert abs(taken[s] - want[s]) <= 0.5 + 1e-6
     again = mixing.mix(docs.repartition(3), p).collect()
@@ -58,15 +74,26 @@ def test_smallest_tables(spark):
     check(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), mixing.Params(block=64))
 
 
-def test_schedule_is_even_and_complete(spark):
-    per = spark.createDataFrame([(1, 700), (2, 200), (3, 100), (4, 0)], "sid int, words long")
-    rows = mixing.schedule(per, mixing.Params(block=1)).orderBy("slot").collect()
-    assert Counter(r["sid"] for r in rows) == {1: 700, 2: 200, 3: 100}
-    for sid, n in ((1, 700), (2, 200), (3, 100)):
-        assert [r["block"] for r in rows if r["sid"] == sid] == list(range(n))
+def test_slots_are_those_of_the_sequence():
+    one = 1 << mixing.BITS
+    point = lambda s: int(format(s, f"0{mixing.BITS}b")[::-1], 2)
+    edges = [0, one // 3, one // 3 + 12_345, one // 2, one - one // 7, one]
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        want = [s for s in range(3_000) if lo <= point(s) < hi]
+        assert mixing.slots(lo, hi, np.arange(len(want))).tolist() == want
+    assert mixing.slots(0, one, np.arange(5)).tolist() == [0, 1, 2, 3, 4]
+    tiny = mixing.slots(5, 6, np.arange(2))  # one point in 2 ** BITS
+    assert point(int(tiny[0])) == 5 and tiny[1] - tiny[0] == one
+    assert (mixing.slots(7, 7, np.arange(3)) >= one).all()
+
+
+def test_every_stretch_has_the_targets_proportions():
+    cuts = [int(x * 2**mixing.BITS) for x in (0, 0.7, 0.9, 1)]
+    drawn = sorted((int(s), k) for k, n in enumerate((700, 200, 100)) for s in mixing.slots(cuts[k], cuts[k + 1], np.arange(n)))
+    for k, n in enumerate((700, 200, 100)):
         seen = 0
-        for i, r in enumerate(rows[:900], 1):
-            seen += r["sid"] == sid
+        for i, (_, source) in enumerate(drawn[:900], 1):
+            seen += source == k
             assert abs(seen - n / 1000 * i) < 8
 
 
