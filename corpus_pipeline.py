@@ -37,19 +37,34 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time that the mix goes through a document; the last one of a source may be cut at a word."""
-    key = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit("")))))
-    mixed = mixing.mix(docs.select("doc_id", "text", "source", key.alias("key")))
-    # Repeated rows are told apart by a number within their key, on either side.
-    nth = F.row_number().over(Window.partitionBy("key").orderBy("key"))
-    turns = F.filter(F.array("first", "second"), lambda n: n > 0)
-    taken = mixed.select("row.key", "size", turns.alias("turns")).withColumn("nth", nth).filter(F.size("turns") > 0)
-    whole = docs.select(key.alias("key"), F.struct(*docs.columns).alias("row")).withColumn("nth", nth)
-    rows = whole.join(taken, ["key", "nth"]).select("row", "size", F.explode("turns").alias("n"))
-    words = F.array_join(F.slice(F.split(F.trim(F.regexp_replace("row.text", r"[\x20\x09-\x0D]+", " ")), " "), 1, F.col("n").cast("int")), " ")
-    text = F.when(F.col("n") < F.col("size"), words).otherwise(F.col("row.text"))
+    """A row for each time that the mix goes through a document, in the order of the mix: by the slot of its first block
+    and its place in it.  The last document of a source may be cut after a word; its white space up to there stays.
+
+    Rows that are equal in all columns are interchangeable: one of them carries the text for all, with a row for each.
+    """
+    keys = [F.xxhash64(F.lit(i), *docs.columns).alias(f"k{i}") for i in (1, 2)]
+    mixed = mixing.mix(docs.select(*keys, "doc_id", "text", "source"))
+
+    def time_through(turn: int):
+        of = F.filter("pieces", lambda x: x["turn"] == turn)
+        start = F.array_min(F.transform(of, lambda x: F.struct(x["first"], x["slot"], x["place"])))
+        return F.struct(start["slot"].alias("slot"), start["place"].alias("place"), F.aggregate(of, F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("n"), "size")
+
+    times = F.filter(F.array(time_through(0), time_through(1)), lambda x: x["n"] > 0)
+    taken = materialize(mixed.select("row.k1", "row.k2", F.explode(times).alias("x")).groupBy("k1", "k2").agg(F.collect_list("x").alias("xs")), "taken")
+    # The limit is applied in the map tasks first, and the join takes the rows as they are dealt.
+    nth = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.lit(1)))
+    one = docs.select(*keys, F.struct(*docs.columns).alias("row")).withColumn("nth", nth).filter("nth = 1").drop("nth")
+    rows = one.join(taken, ["k1", "k2"]).select("row", F.explode("xs").alias("x"))
+    some = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.col("x.n").cast("int")), "")
+    text = F.when(F.col("x.n") < F.col("x.size"), some).otherwise(F.col("row.text"))
     new = {"text": text, "n_chars": F.length(text).cast("long")}
-    return rows.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])
+    rows = rows.select(F.struct(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns]).alias("row"), "x.slot", "x.place")
+    # Slots are evenly filled, so equal stretches of them are partitions of about equal size.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    last = taken.select(F.max(F.array_max(F.transform("xs", lambda x: x["slot"])))).first()[0] or 0
+    part = F.least(F.lit(parts - 1), F.floor(F.col("slot") / (last + 1) * parts)).cast("int")
+    return rows.repartitionById(parts, part).sortWithinPartitions("slot", "place").select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
