@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import materialize
+from tessera.session import Scratch, materialize
 
 
 def _larger_to_smallest(sym: DataFrame) -> DataFrame:
@@ -30,14 +30,16 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     e = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).filter(F.col("u") != F.col("v"))
     e = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     seal = (F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
-    e, before = materialize(e, "edges"), None
-    while True:
-        sym = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        star = _larger_to_smallest(sym)
-        e = materialize(_smaller_to_smallest(star.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))), "edges")
-        now = tuple(e.agg(*seal).first())
-        if now == before:
-            break
-        before = now
-    roots = e.select(F.col("v").alias("node")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+    with Scratch(e.sparkSession) as scratch:
+        e, before = scratch.table(e, "edges"), None
+        while True:
+            sym = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            star = _larger_to_smallest(sym)
+            last, e = e, scratch.table(_smaller_to_smallest(star.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))), "edges")
+            scratch.drop(last)
+            now = tuple(e.agg(*seal).first())
+            if now == before:
+                break
+            before = now
+        roots = e.select(F.col("v").alias("node")).distinct()
+        return materialize(e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component"))), "components")

@@ -36,10 +36,42 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+class Scratch:
+    """Tables that a computation needs on its way.  Use as a context: they are removed at its end, when what the
+    computation returns has been written to a table that is not among them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """materialize(df, name), remembered."""
+        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        self.paths.append(path)
+        return _written(df, path)
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Removes these tables (default: all) now."""
+        gone = self.paths if not tables else [p for p in self.paths if any(f"/{p.rpartition('/')[2]}/" in f for t in tables for f in t.inputFiles()[:1])]
+        context = self.spark.sparkContext
+        for p in list(gone):
+            path = context._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+            self.paths.remove(p)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.drop()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet under the shared folder and read it back: the plan starts anew from durable files."""
+    return _written(df, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     # The shuffle files of this write have served once it is done.
     cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(cleanup, "false")
