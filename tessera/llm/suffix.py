@@ -9,9 +9,10 @@ Common prefixes of neighbours give how far any two anchors agree on either side,
 Anchors whose whole context occurs twice need no sorting, and equal contexts are sorted once with their count, so
 groups of copies cost one context.  A group of more than `most` distinct contexts is divided before it is sorted: strings
 that begin lo to hi symbols left of the gram all hold the lo symbols before it and the side - hi symbols after it, so
-contexts that differ there never meet at these offsets.  Each half of the offsets is a set of smaller groups, by the bytes
-that they share, and is divided again where it is still too large; a single offset is a group of equal strings.  So no
-task sorts more than `most` contexts at a time, and contexts are only taken as equal by their bytes (grams and whole
+contexts that differ there never meet at these offsets; and what lies beyond hi symbols to the left and side - lo to the
+right plays no part in them.  So for each half of the offsets contexts are cut to what matters, equal ones become one with
+a count, and groups go by the bytes that strings share; halves that are still too large are divided again.  At a single
+offset a group is one string.  So no task sorts more than `most` contexts at a time, and contexts are only taken as equal by their bytes (grams and whole
 contexts by 128 bits of hashes).
 
 Passages may be counted in words as well: a text is then the string of its words' hashes, a symbol of eight bytes each,
@@ -36,7 +37,7 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import WHITE, mix64, small_batches
 from tessera.llm.neardup import node_of
-from tessera.session import materialize
+from tessera.session import Scratch, materialize
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
@@ -52,7 +53,7 @@ class Params:
     length: int = 400
     gram: int = 256
     shallow: int = 16
-    most: int = 2_000
+    most: int = 4_000
     words: bool = False
 
     @property
@@ -301,17 +302,26 @@ GROUP = ["g", "s", "lo", "hi", "shared"]
 
 
 def _sorted_groups(grouped: DataFrame, p: Params) -> DataFrame:
-    """GROUP, c, left, right, n, sorted by GROUP within partitions -> g, c, ranges; one group at a time in memory."""
+    """GROUP, c, left, right, n, sorted by GROUP within partitions -> GROUP, c, ranges; one group at a time in memory."""
+    kept = [f for f in grouped.schema.fields if f.name in (*GROUP, "c")]
+    schema = T.StructType([*kept, T.StructField("ranges", T.ArrayType(T.ArrayType(T.IntegerType())))])
+    names = [f.name for f in kept]
 
     def emit(key: tuple, rows: list[tuple]) -> list[tuple]:
         if len(rows) == 1 and rows[0][3] == 1:
             return []
         found = repeated_offsets([r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], p, key[2], key[3])
-        return [(key[0], r[0], x) for r, f in zip(rows, found, strict=True) if (x := _runs(f, p, key[2]))]
+        return [(*key, r[0], x) for r, f in zip(rows, found, strict=True) if (x := _runs(f, p, key[2]))]
 
     def run(batches: Iterator[pa.RecordBatch]):
-        key, rows, out = None, [], []
+        key, rows, out, kinds = None, [], [], None
+
+        def table() -> pa.RecordBatch:
+            cols = dict(zip((*GROUP, "c", "ranges"), list(zip(*out, strict=True)) or [[]] * 7, strict=True))
+            return pa.RecordBatch.from_arrays([*(pa.array(cols[n], kinds[n]) for n in names), pa.array(cols["ranges"], pa.list_(pa.list_(pa.int32())))], names=[*names, "ranges"])
+
         for b in batches:
+            kinds = {n: b.schema.field(n).type for n in names}
             for x in zip(*(b[k].to_pylist() for k in (*GROUP, "c", "left", "right", "n")), strict=True):
                 if x[:5] != key:
                     if rows:
@@ -319,71 +329,72 @@ def _sorted_groups(grouped: DataFrame, p: Params) -> DataFrame:
                     key, rows = x[:5], []
                 rows.append(x[5:])
             if len(out) > 20_000:
-                yield _ranges(out)
+                yield table()
                 out = []
-        yield _ranges(out + (emit(key, rows) if rows else []))
-
-    return grouped.mapInArrow(run, "g long, c long, ranges array<array<int>>")
-
+        if kinds:
+            out += emit(key, rows) if rows else []
+            yield table()
 
-def _ranges(out: list[tuple]) -> pa.RecordBatch:
-    g, c, r = zip(*out, strict=True) if out else ([], [], [])
-    return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(c, pa.int64()), pa.array(r, pa.list_(pa.list_(pa.int32())))], names=["g", "c", "ranges"])
+    return grouped.mapInArrow(run, schema)
 
 
 def _halves(rows: DataFrame, p: Params) -> DataFrame:
-    """Rows of groups, once for each half of the group's offsets, with the bytes that strings at these offsets share."""
+    """Contexts of groups, once for each half of the group's offsets: cut to what matters there, with the bytes that
+    strings at these offsets share and a hash of the cut context."""
     mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
     parts = F.array(F.struct("lo", mid.alias("hi")), F.struct((mid + 1).alias("lo"), "hi"))
     each = rows.select("g", "s", "c", "left", "right", "n", F.explode(parts).alias("x")).select("g", "s", "c", "left", "right", "n", "x.*")
     before, after = p.unit * F.col("lo"), p.unit * (p.side - F.col("hi"))
     each = each.filter((F.octet_length("left") >= before) & (F.octet_length("right") >= after))
-    return each.withColumn("shared", F.concat(F.substring("left", F.lit(1), before), F.substring("right", F.lit(1), after)))
+    first = F.lit(1)
+    each = each.withColumn("shared", F.concat(F.substring("left", first, before), F.substring("right", first, after)))
+    left, right = F.substring("left", first, p.unit * F.col("hi")), F.substring("right", first, p.unit * (p.side - F.col("lo")))
+    each = each.withColumns({"near_left": left, "near_right": right})
+    return each.withColumn("k", F.unhex(F.md5(F.concat(F.octet_length("near_left").cast("string").cast("binary"), F.lit(b"|"), "near_left", "near_right"))))
 
 
-def _in_small_groups(contexts: DataFrame, p: Params) -> DataFrame:
-    """g, s, c, left, right, n, kinds (contexts of the gram) -> g, c, ranges, with groups of p.most contexts at most."""
+def _in_small_groups(contexts: DataFrame, p: Params, scratch: Scratch) -> DataFrame:
+    """g, s, c, left, right, n, kinds (contexts of the gram) -> g, c, ranges, from groups of p.most contexts at most."""
     rows = contexts.withColumns({"lo": F.lit(0), "hi": F.lit(p.side), "shared": F.lit(b"").cast("binary")})
-    small, large = rows.filter(F.col("kinds") <= p.most).drop("kinds"), rows.filter(F.col("kinds") > p.most).drop("kinds")
-    solved, equal = [small], []
+    cols = [*GROUP, "c", "left", "right", "n"]
+    spread = lambda df: df.select(*cols).repartition(*GROUP).sortWithinPartitions(*GROUP, "c")
+    out = _sorted_groups(spread(rows.filter(F.col("kinds") <= p.most)), p).select("g", "c", "ranges")
+    large = scratch.table(rows.filter(F.col("kinds") > p.most).select(*cols), "large")
     # A round halves the offsets of what is still too large: at most log2(side) + 1 of them.
     while large.limit(1).count():
-        parts = materialize(_halves(large, p), "halves")
-        many = materialize(parts.groupBy(*GROUP).agg(F.count("*").alias("kinds")).filter(F.col("kinds") > p.most).select(*GROUP), "large-groups")
-        solved.append(parts.join(many, GROUP, "left_anti").select(*small.columns))
-        over = parts.join(many, GROUP, "left_semi").select(*small.columns)
-        # Strings of one offset in one group are the same string.
-        equal.append(over.filter("lo = hi").select("g", "c", F.array(F.array(-F.col("lo"), p.length - F.col("lo"))).alias("ranges")))
-        large = materialize(over.filter("lo < hi"), "large")
-    out = None
-    for x in solved:
-        ranges = _sorted_groups(x.repartition(*GROUP).sortWithinPartitions(*GROUP, "c"), p)
-        out = ranges if out is None else out.unionByName(ranges)
-    for x in equal:
-        out = out.unionByName(x)
+        parts = scratch.table(_halves(large, p), "halves")
+        cut = parts.groupBy(*GROUP, "k").agg(F.first("near_left").alias("left"), F.first("near_right").alias("right"), F.sum("n").alias("n"))
+        cut = scratch.table(cut.withColumnRenamed("k", "c"), "cut-contexts")
+        many = scratch.table(cut.groupBy(*GROUP).agg(F.count("*").alias("kinds")).filter(F.col("kinds") > p.most).select(*GROUP), "large-groups")
+        found = _sorted_groups(spread(cut.join(many, GROUP, "left_anti")), p).withColumnRenamed("c", "k")
+        # Ranges of cut contexts, given to the contexts they were cut from.
+        key = [*GROUP, "k"]
+        out = out.unionByName(parts.select("c", *key).join(scratch.table(found, "cut-ranges"), key).select("g", "c", "ranges"))
+        large = scratch.table(parts.join(many, GROUP, "left_semi").select(*cols), "large")
     return out
 
 
 def repeated(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """(node, spans): ranges of bytes (or words) of each distinct text that repeated strings cover; docs: node, text."""
     small_batches(docs.sparkSession)
-    rows = materialize(_anchor_rows(docs, p), "anchors")
-    # As a table of its own: joined straight to the aggregation, a hot gram's anchors could not be split.
-    grams = materialize(rows.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g"), "grams")
-    # Dealt by place: a partitioning by gram would do for the counts of copies, but keep the join from being split.
-    spots = materialize(rows.join(grams, "g").repartition("node", "pos").groupBy("node", "pos", "g", "c").agg(F.count("*").alias("copies")), "spots")
-    # Contexts per gram: with a single one, all its places repeat in full and nothing is left to sort.
-    per = spots.groupBy("g", "c").agg(F.sum("copies").alias("n"), F.min(F.struct("node", "pos")).alias("at"))
-    kinds = materialize(per, "contexts")
-    many = materialize(kinds.groupBy("g").agg(F.count("*").alias("kinds")), "kinds")
-    kinds = kinds.join(many, "g")
-    whole = kinds.filter("kinds = 1 AND n > 1").select("g", "c", F.array(F.array(F.lit(-p.side), F.lit(p.length))).alias("ranges"))
-    wanted = kinds.filter("kinds > 1").groupBy("at.node").agg(F.collect_list(F.struct("at.pos", "g", "c")).alias("spots"))
-    texts = docs.join(wanted, "node").withColumn("rn_", F.row_number().over(_by_node())).filter("rn_ = 1").select("node", "text", "spots")
-    found = materialize(_contexts(texts, p).join(kinds.select("g", "c", "n", "kinds"), ["g", "c"]), "contexts")
-    all_ranges = materialize(whole.unionByName(_in_small_groups(found, p)), "ranges")
-    part = spots.select("node", "pos", "g", "c").join(all_ranges, ["g", "c"]).select("node", F.transform("ranges", lambda r: F.struct((F.col("pos") + r[0]).alias("a"), (F.col("pos") + r[1]).alias("b"))).alias("r"))
-    return part.groupBy("node").agg(F.array_sort(F.flatten(F.collect_list("r"))).alias("spans"))
+    with Scratch(docs.sparkSession) as scratch:
+        rows = scratch.table(_anchor_rows(docs, p), "anchors")
+        # As a table of its own: joined straight to the aggregation, a hot gram's anchors could not be split.
+        grams = scratch.table(rows.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g"), "grams")
+        # Dealt by place: a partitioning by gram would do for the counts of copies, but keep the join from being split.
+        spots = scratch.table(rows.join(grams, "g").repartition("node", "pos").groupBy("node", "pos", "g", "c").agg(F.count("*").alias("copies")), "spots")
+        # Contexts per gram: with a single one, all its places repeat in full and nothing is left to sort.
+        per = spots.groupBy("g", "c").agg(F.sum("copies").alias("n"), F.min(F.struct("node", "pos")).alias("at"))
+        kinds = scratch.table(per, "contexts")
+        many = scratch.table(kinds.groupBy("g").agg(F.count("*").alias("kinds")), "kinds")
+        kinds = kinds.join(many, "g")
+        whole = kinds.filter("kinds = 1 AND n > 1").select("g", "c", F.array(F.array(F.lit(-p.side), F.lit(p.length))).alias("ranges"))
+        wanted = kinds.filter("kinds > 1").groupBy("at.node").agg(F.collect_list(F.struct("at.pos", "g", "c")).alias("spots"))
+        texts = docs.join(wanted, "node").withColumn("rn_", F.row_number().over(_by_node())).filter("rn_ = 1").select("node", "text", "spots")
+        found = scratch.table(_contexts(texts, p).join(kinds.select("g", "c", "n", "kinds"), ["g", "c"]), "contexts")
+        all_ranges = scratch.table(whole.unionByName(_in_small_groups(found, p, scratch)), "ranges")
+        part = spots.select("node", "pos", "g", "c").join(all_ranges, ["g", "c"]).select("node", F.transform("ranges", lambda r: F.struct((F.col("pos") + r[0]).alias("a"), (F.col("pos") + r[1]).alias("b"))).alias("r"))
+        return materialize(part.groupBy("node").agg(F.array_sort(F.flatten(F.collect_list("r"))).alias("spans")), "spans")
 
 
 def _by_node():
