@@ -44,7 +44,7 @@ class Params:
     bits: int = 256
     sample: int = 8_192
     probes: int = 512
-    cover: float = 0.95
+    cover: float = 0.97
     shortest: int = 8
     longest: int = 20
     most_probes: int = 20_000
@@ -115,7 +115,8 @@ def tune(near: np.ndarray, other: np.ndarray, rows: int, p: Params) -> tuple[int
                 break
             if ((d <= reach[:, None, None]).any(axis=0) & (full <= rerank)).mean() >= p.cover:
                 met = e <= reach[:, None, None]
-                cost = probes + met.sum(axis=0).mean() * rows / 4
+                # A probe is a row to shuffle, a posting that it meets is compared in place.
+                cost = 8 * probes + met.sum(axis=0).mean() * rows
                 if best is None or cost < best[0]:
                     best = cost, radius, reach.tolist(), float(met.any(axis=0).mean())
                 break
@@ -163,8 +164,9 @@ def fit(distinct: DataFrame, p: Params = Params()) -> Model | None:
 
 
 def valid(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """vec_id, embedding (doubles) of the rows that take part."""
-    v = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding")).filter("vec_id IS NOT NULL AND embedding IS NOT NULL")
+    """vec_id, embedding (floats if they are, else doubles) of the rows that take part."""
+    kind = vectors.schema[embedding].dataType.simpleString()
+    v = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast(kind if kind == "array<float>" else "array<double>").alias("embedding")).filter("vec_id IS NOT NULL AND embedding IS NOT NULL")
     v = v.filter(~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
     return v.filter(F.exists("embedding", lambda x: x != 0))
 
@@ -178,7 +180,7 @@ def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Which rows have `dim` components, and those rows."""
     ends = column.offsets.to_numpy()
     keep = np.diff(ends) == dim
-    flat, start = column.values.to_numpy(zero_copy_only=False), ends[:-1][keep]
+    flat, start = column.values.to_numpy(zero_copy_only=False).astype(float), ends[:-1][keep]
     return keep, flat[start[:, None] + np.arange(dim)[None, :]] if len(start) else np.empty((0, dim))
 
 
@@ -194,7 +196,8 @@ def coded(distinct: DataFrame, model: Model) -> DataFrame:
             some = b.filter(pa.array(keep))
             yield pa.RecordBatch.from_arrays([some["node"], some["embedding"], pa.array(list(code), pa.list_(pa.int64())), pa.array(list(model.substrings(bits).astype(np.int32)), pa.list_(pa.int32()))], names=["node", "embedding", "code", "subs"])
 
-    return distinct.select("node", "embedding").mapInArrow(run, "node binary, embedding array<double>, code array<long>, subs array<int>")
+    kind = distinct.schema["embedding"].dataType.simpleString()
+    return distinct.select("node", "embedding").mapInArrow(run, f"node binary, embedding {kind}, code array<long>, subs array<int>")
 
 
 def flips(bits: int, reach: int) -> np.ndarray:
@@ -233,7 +236,7 @@ def retrieved(index: DataFrame, asked: DataFrame, model: Model, p: Params) -> Da
 
 
 def _dot(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
 def _scan(index: DataFrame, asked: DataFrame, k: int, p: Params) -> DataFrame:
@@ -251,7 +254,7 @@ def _scan(index: DataFrame, asked: DataFrame, k: int, p: Params) -> DataFrame:
 
     def opened(rows: pa.StructScalar) -> tuple[list[bytes], np.ndarray]:
         z = rows.values
-        m = z.field("embedding").flatten().to_numpy(zero_copy_only=False).reshape(len(z), -1)
+        m = z.field("embedding").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(z), -1)
         return z.field("node"), m / np.linalg.norm(m, axis=1, keepdims=True)
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -289,7 +292,7 @@ def search(queries: DataFrame, vectors: DataFrame, p: Params = Params(), model:
     few = data.select("node", "vec_id").distinct().withColumn("n", nth).filter(F.col("n") <= p.k + 1)
     ids = materialize(few.groupBy("node").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "ids")
     distinct = materialize(data.groupBy("node").agg(F.first("embedding").alias("embedding")), "vectors")
-    asked = valid(queries, vec_id, embedding).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).select(_node(), F.col("vec_id").alias("query_id"), "embedding")
+    asked = valid(queries, vec_id, embedding).select("vec_id", F.col("embedding").cast(data.schema["embedding"].dataType).alias("embedding")).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).select(_node(), F.col("vec_id").alias("query_id"), "embedding")
     model = model or fit(distinct, p)
     if model is None:
         return spark.range(0).select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
