@@ -34,49 +34,82 @@ def attached(pieces: DataFrame, scored: DataFrame) -> DataFrame:
     return out.select("piece_id", F.coalesce("h", F.lit(0.5)).alias("adjacency"), F.coalesce("c", F.lit(0.5)).alias("curv"), F.coalesce("m", F.lit(1.0)).alias("neighborhood"))
 
 
-def swap_search(places: DataFrame, sims: DataFrame, limit: int = 500, enough: float = 0.4, job: str = "job_id") -> DataFrame:
+def facing(sides: np.ndarray, flat: float = 0.1, bins: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Combined scores of any two pieces side by side [left, right] and one above the other [upper, lower], from their
+    side profiles [piece, side, sample] of values in [-1, 1]; sides: 0 top, 1 right, 2 bottom, 3 left."""
+    n, _, m = sides.shape
+    level = np.clip(np.floor((sides + 1) * bins / 2), 0, bins).astype(int)
+    share = (level[..., None] == np.arange(bins + 1)).mean(axis=2)
+    is_flat, x, std = np.abs(sides).mean(axis=2) < flat, sides - sides.mean(axis=2, keepdims=True), sides.std(axis=2)
+
+    def score(a: int, b: int) -> np.ndarray:
+        hist = np.array([np.minimum(share[i, a], share[:, b]).sum(axis=1) for i in range(n)]).reshape(n, n)
+        spread = std[:, a, None] * std[None, :, b]
+        flatless = (std[:, a, None] < 1e-8) | (std[None, :, b] < 1e-8)
+        rho = np.where(flatless, 0.0, -(x[:, a] @ x[:, b].T) / m / np.where(flatless, 1.0, spread))
+        fit = np.clip((rho + 1) / 2, 0, 1)
+        fa, fb = is_flat[:, a, None], is_flat[None, :, b]
+        curv = np.where(fa & fb, 1.0, np.where(fa | fb, 0.25, fit))
+        return np.round(HIST * np.minimum(hist, 1.0) + CURV * curv, 9)
+
+    return score(1, 3), score(2, 0)
+
+
+def climb(row: np.ndarray, col: np.ndarray, across: np.ndarray, down: np.ndarray, limit: int, enough: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places after local search over pieces in the order of their ids; see swap_search."""
+    place = list(zip(row.tolist(), col.tolist(), strict=True))
+    held = {xy: i for i, xy in enumerate(place)}
+
+    def around(i: int) -> float:
+        r, c = place[i]
+        got = [score[j, i] if first else score[i, j] for z, score, first in (((r - 1, c), down, True), ((r + 1, c), down, False), ((r, c - 1), across, True), ((r, c + 1), across, False)) if (j := held.get(z)) is not None]
+        return float(np.mean(got)) if got else 1.0
+
+    def change(i: int, j: int) -> None:
+        place[i], place[j] = place[j], place[i]
+        held[place[i]], held[place[j]] = i, j
+
+    for _ in range(limit):
+        pairs = [(score[i, j], i, j) for i, (r, c) in enumerate(place) for z, score in (((r, c + 1), across), ((r + 1, c), down)) if (j := held.get(z)) is not None]
+        if not pairs or (worst := min(pairs))[0] >= enough:
+            break
+        i = worst[1]
+        for j in range(len(place)):
+            if j in worst[1:]:
+                continue
+            before = around(i) + around(j)
+            change(i, j)
+            if around(i) + around(j) > before + 1e-12:
+                break
+            change(i, j)
+        else:
+            break
+    return np.array([p[0] for p in place]), np.array([p[1] for p in place])
+
+
+def swap_search(places: DataFrame, profiles: DataFrame, limit: int = 500, enough: float = 0.4, job: str = "job_id") -> DataFrame:
     """Places after local search: job, piece_id, row, col.
 
-    Time and again the worst pair of neighbours is taken; its first piece changes places with the first other piece, in
-    the order of ids, that raises the mean score around the two; the search ends when the worst pair scores `enough`, no
-    change helps, or after `limit` changes.  sims (job, a, b, score; a < b) holds scores of any two pieces next to each
-    other, 0.5 where there is none.  A job is one puzzle and fits one worker.
+    Time and again the worst pair of neighbours is taken (of equals the first by ids); its first piece changes places with
+    the first other piece, in the order of ids and but for the pair's second, that raises the sum of the two pieces' mean
+    scores.  Every trial scores the neighbours that the two would have then, with the sides that would face each other.
+    The search ends when the worst pair scores `enough`, no change helps, or after `limit` changes.  profiles: job,
+    piece_id, sides (array of four arrays of samples).  A job is one puzzle, whose two matrices of scores (some 2,000
+    pieces squared at most) one worker holds.  Pieces without a profile, or on a place that a smaller id holds, stay put
+    and count for nothing; empty tables give no rows.
     """
 
-    def run(key: tuple, place: pd.DataFrame, sim: pd.DataFrame) -> pd.DataFrame:
-        place = place.sort_values("piece_id")
-        ids, at = place.piece_id.to_numpy(), list(zip(place.row, place.col, strict=True))
-        score = {(a, b): s for a, b, s in zip(sim.a, sim.b, sim.score, strict=True)}
-        held = {xy: p for xy, p in zip(at, ids, strict=True)}
-        where = {p: xy for xy, p in held.items()}
-        of = lambda p, q: score.get((min(p, q), max(p, q)), NEUTRAL)
-        near = lambda xy: [(xy[0] + d, xy[1] + e) for d, e in ((-1, 0), (1, 0), (0, -1), (0, 1))]
-
-        def around(p: int, q: int) -> float:
-            got = [of(x, held[z]) for x in (p, q) for z in near(where[x]) if z in held]
-            return float(np.mean(got)) if got else 1.0
-
-        def change(p: int, q: int) -> None:
-            where[p], where[q] = where[q], where[p]
-            held[where[p]], held[where[q]] = p, q
-
-        for _ in range(limit):
-            pairs = [(of(p, held[z]), p, held[z]) for p in ids for z in near(where[p])[1::2] if z in held]
-            if not pairs or (worst := min(pairs))[0] >= enough:
-                break
-            p = worst[1]
-            for q in ids:
-                if q != p:
-                    before = around(p, q)
-                    change(p, q)
-                    if around(p, q) > before + 1e-12:
-                        break
-                    change(p, q)
-            else:
-                break
-        return pd.DataFrame({job: [key[0]] * len(ids), "piece_id": ids, "row": [where[p][0] for p in ids], "col": [where[p][1] for p in ids]})
+    def run(key: tuple, place: pd.DataFrame, prof: pd.DataFrame) -> pd.DataFrame:
+        place = place.sort_values("piece_id", kind="stable").reset_index(drop=True)
+        known = {p: x for p, x in zip(prof.piece_id, prof.sides, strict=True)}
+        move = np.flatnonzero(place.piece_id.isin(list(known)) & ~place.duplicated(["row", "col"]) & ~place.duplicated(["piece_id"]))
+        if len(move):
+            sides = np.array([[list(x) for x in known[p]] for p in place.piece_id.iloc[move]], float)
+            r, c = climb(place.row.to_numpy()[move], place.col.to_numpy()[move], *facing(sides), limit, enough)
+            place.loc[move, "row"], place.loc[move, "col"] = r, c
+        return place[[job, "piece_id", "row", "col"]]
 
-    return places.select(job, "piece_id", "row", "col").groupBy(job).cogroup(sims.select(job, "a", "b", "score").groupBy(job)).applyInPandas(run, f"{job} long, piece_id long, row long, col long")
+    return places.select(job, "piece_id", "row", "col").groupBy(job).cogroup(profiles.select(job, "piece_id", "sides").groupBy(job)).applyInPandas(run, f"{job} long, piece_id long, row long, col long")
 
 
 def worst(scored: DataFrame, n: int = 1) -> DataFrame:
@@ -84,4 +117,4 @@ def worst(scored: DataFrame, n: int = 1) -> DataFrame:
     return scored.orderBy("combined", "a", "b").limit(n)
 
 
-__all__ = ["attached", "combined", "complement", "swap_search", "worst"]
+__all__ = ["attached", "climb", "combined", "complement", "facing", "swap_search", "worst"]

@@ -87,9 +87,10 @@ def assign(costs: DataFrame, cells: DataFrame, pieces: DataFrame, job: str = "jo
         a, b = grid.a.to_numpy()[j], grid.b.to_numpy()[j]
         return pd.DataFrame({job: [key[0]] * len(i), "piece_id": ids[i], "row": a, "col": b, "confidence": 1 - m[i, j]})
 
-    frame = cells.select(job, F.lit(0).alias("kind"), F.col("row").alias("a"), F.col("col").alias("b"))
-    frame = frame.unionByName(pieces.select(job, F.lit(1).alias("kind"), F.col("piece_id").alias("a"), F.lit(0).cast("long").alias("b")))
-    both = costs.select(job, "piece_id", "row", "col", "cost").groupBy(job).cogroup(frame.groupBy(job))
+    # The job under a new name, since costs may come from the same tables.
+    frame = cells.select(F.col(job).alias("job_"), F.lit(0).alias("kind"), F.col("row").alias("a"), F.col("col").alias("b"))
+    frame = frame.unionByName(pieces.select(F.col(job).alias("job_"), F.lit(1).alias("kind"), F.col("piece_id").alias("a"), F.lit(0).cast("long").alias("b")))
+    both = costs.select(job, "piece_id", "row", "col", "cost").groupBy(job).cogroup(frame.groupBy("job_"))
     return both.applyInPandas(run, f"{job} long, piece_id long, row long, col long, confidence double")
 
 

@@ -1,10 +1,18 @@
-"""Ordered point series: curvature, corners, sides, polygons.  Windows run within one contour."""
+"""Ordered point series: curvature, corners, sides, polygons.  Windows run within one contour.
+
+Points come in the order of idx, which is unique within a contour; a contour of few points has an area of 0 and the
+neighbours that it has; points with a null coordinate give null angles; empty tables give no rows.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import kernels
+
 
 def _wrapped(points: DataFrame, id_: str) -> DataFrame:
     """Points with their circular neighbours: xp, yp before and xn, yn after."""
@@ -96,3 +104,31 @@ def orientation(points: DataFrame, id_: str) -> DataFrame:
     got = points.groupBy(id_).agg(F.covar_pop("x", "y").alias("xy"), F.var_pop("x").alias("xx"), F.var_pop("y").alias("yy"))
     angle = F.degrees(0.5 * F.atan2(2 * F.col("xy"), F.col("xx") - F.col("yy")))
     return got.select(id_, F.when(angle < 0, angle + 180).otherwise(angle).alias("angle_mod180"))
+
+
+def largest(points: DataFrame, id_: str, image: str) -> DataFrame:
+    """image, contour (its id), area: the contour of the largest area in each image, the smallest id of equals."""
+    area = polygons(points, id_).select(id_, F.round("area", 6).alias("area")).join(points.select(id_, image).distinct(), id_)
+    best = area.groupBy(image).agg(F.max(F.struct("area", (-F.col(id_)).alias("i"))).alias("x"))
+    return best.select(image, (-F.col("x.i")).alias("contour"), F.col("x.area").alias("area"))
+
+
+def shapes(points: DataFrame, id_: str) -> DataFrame:
+    """id, solidity, merged (whether a dent is deeper than its share of the perimeter), corners (idx of up to four): what
+    needs the hull or the whole outline at once; a contour is one group, bounded by the outline of a piece."""
+
+    def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("idx")
+        xy = p[["x", "y"]].to_numpy(float)
+        at = p.idx.to_numpy()[kernels.corners(xy)] if len(xy) else np.empty(0, int)
+        return pd.DataFrame({id_: [key[0]], "solidity": [kernels.solidity(xy)], "merged": [kernels.has_deep_defect(xy)], "corners": [at.tolist()]})
+
+    return points.select(id_, "idx", "x", "y").groupBy(id_).applyInPandas(run, f"{id_} long, solidity double, merged boolean, corners array<long>")
+
+
+def analysed(sides: DataFrame, ids: list[str], n_in: int, n_out: int, flat: float) -> DataFrame:
+    """ids, is_flat, peak, profile (n_out samples of the centred curve): centring, sampling and class of every side at
+    once; a piece's ids but the last, which numbers its sides, say whose they are."""
+    mid = centred(sides, ids)
+    line = resampled(mid, ids, n_in, n_out).groupBy(*ids).agg(F.transform(F.array_sort(F.collect_list(F.struct("s", "k"))), lambda x: x["k"]).alias("profile"))
+    return classified(sides, ids, flat).join(line, ids)

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.vector import dot, norm, shift, unit
@@ -92,13 +92,14 @@ def max_sim(pairs: DataFrame, left: DataFrame, right: DataFrame, left_ids: list[
     return joined.withColumn("fine", F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean))).drop("l_", "r_")
 
 
-def token_windows(n_rows: int, n_cols: int, height: int, width: int, df: DataFrame) -> DataFrame:
+def token_windows(n_rows: int, n_cols: int, height: int | Column, width: int | Column, df: DataFrame) -> DataFrame:
     """row, col, r0, r1, c0, c1: token ranges of each cell with an overlap of a tenth; df is the frame of row, col."""
-    def ends(i, n: int, size: int):
+    def ends(i, n: int, size: int | Column):
+        size = size if isinstance(size, Column) else F.lit(size)
         step = size / n
-        over = max(1, int(step * 0.10))
+        over = F.greatest(F.lit(1), F.floor(step * 0.10))
         lo = F.greatest(F.lit(0), F.floor(i * step) - over)
-        return lo.cast("long"), F.least(F.lit(size), F.floor((i + 1) * step) + over).cast("long")
+        return lo.cast("long"), F.least(size, F.floor((i + 1) * step) + over).cast("long")
 
     (r0, r1), (c0, c1) = ends(F.col("row"), n_rows, height), ends(F.col("col"), n_cols, width)
     return df.withColumns({"r0": r0, "r1": r1, "c0": c0, "c1": c1})
@@ -123,4 +124,38 @@ def project(df: DataFrame, vec: str, mean: np.ndarray, components: np.ndarray, o
     return df.withColumn("c_", centred).withColumn(out, F.array(*[dot(F.col("c_"), a) for a in axes])).drop("c_")
 
 
-__all__ = ["dot", "max_sim", "mean_pool", "norm", "normalised", "pca", "project", "rotations", "token_windows", "tokens", "top_cosine"]
+def save_pca(spark: SparkSession, mean: np.ndarray, components: np.ndarray, path: str) -> None:
+    """Writes a fitted model as a table of one row an axis, the mean first."""
+    rows = [(-1, mean.tolist())] + [(j, components[:, j].tolist()) for j in range(components.shape[1])]
+    spark.createDataFrame(rows, "axis int, weights array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_pca(spark: SparkSession, path: str) -> tuple[np.ndarray, np.ndarray] | None:
+    """(mean, components) of a saved model; None where there is none."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        rows = spark.read.parquet(path).orderBy("axis").collect()  # one row an axis
+    except AnalysisException:
+        return None
+    return np.array(rows[0]["weights"]), np.array([r["weights"] for r in rows[1:]]).T.reshape(len(rows[0]["weights"]), len(rows) - 1)
+
+
+def cell_vectors(token_grid: DataFrame, cells: DataFrame, n_rows: int, n_cols: int, shape: DataFrame, mean: np.ndarray | None = None, components: np.ndarray | None = None) -> DataFrame:
+    """row, col, n_tokens, cls of each cell: the mean of the unit tokens in its window, made unit length.
+
+    token_grid: y, x, v; shape: one row of n_rows, n_cols of that grid; with a model, tokens are projected first.  A token
+    is sent to the cells whose windows hold it, four at most.
+    """
+    t = token_grid if components is None else project(token_grid, "v", mean, components, "v")
+    t = t.join(F.broadcast(shape.select(F.col("n_rows").alias("h"), F.col("n_cols").alias("w"))))
+    windows = cells.select("row", "col").join(F.broadcast(shape.select(F.col("n_rows").alias("h"), F.col("n_cols").alias("w"))))
+    windows = token_windows(n_rows, n_cols, F.col("h"), F.col("w"), windows)
+    at = windows.select("row", "col", F.explode(F.sequence("r0", F.col("r1") - 1)).alias("y"), "c0", "c1").select("row", "col", "y", F.explode(F.sequence("c0", F.col("c1") - 1)).alias("x"))
+    each = t.select("y", "x", F.posexplode(unit(F.col("v"))).alias("dim", "e")).join(at, ["y", "x"])
+    sums = each.groupBy("row", "col", "dim").agg(F.avg("e").alias("e"), F.count("*").alias("n"))
+    out = sums.groupBy("row", "col").agg(F.max("n").alias("n_tokens"), F.transform(F.array_sort(F.collect_list(F.struct("dim", "e"))), lambda s: s["e"]).alias("cls"))
+    return out.withColumn("cls", unit(F.col("cls")))
+
+
+__all__ = ["cell_vectors", "dot", "load_pca", "max_sim", "mean_pool", "norm", "normalised", "pca", "project", "rotations", "save_pca", "token_windows", "tokens", "top_cosine"]

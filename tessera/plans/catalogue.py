@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.vector import band, r6
+from tessera.functions.vector import band, cosine, expected_flats, r6, shift
 from tessera.operators import adjacency, assign, contour, graph, grid, histogram, jobs, manifest, masks, raster, sequence, validate, vectors
 from tessera.plans import oracles
-from tessera.plans.views import Views, job
+from tessera.plans.views import Views
 
 K = 30
 IMAGE = 5_000_000
@@ -92,11 +92,31 @@ def coarse_to_fine(v):
     return rounded(fine(v, coarse_rot(v)).select("piece_id", "rot", "row", "col", "coarse", "fine"), "coarse", "fine")
 
 
+@query
+def candidate_rank(v):
+    """Best first: by fine score, then by coarse rank."""
+    c = fine(v, coarse(v).withColumn("rot", F.lit(0).cast("long"))).withColumn("fine", F.round("fine", 9))
+    order = Window.partitionBy("piece_id").orderBy(F.desc("fine"), "rk")
+    return longs(c.withColumn("place", F.row_number().over(order)).select("piece_id", "row", "col", "place"), "place")
+
+
 @query
 def pca_reduce(v):
+    """What does not hang on the signs of axes: their variances fall, and add up to that of the vectors."""
     e = v.vectors().select("vec_id", "v")
-    mean, axes = vectors.pca(e, "v", 16)
-    return vectors.project(e, "v", mean, axes).select("vec_id", F.size("reduced").cast("long").alias("n_dims"))
+    mean, axes = vectors.pca(e, "v", 64)
+    parts = vectors.project(e, "v", mean, axes).select(F.posexplode("reduced").alias("axis", "x")).groupBy("axis").agg(F.count("*").alias("n"), F.var_pop("x").alias("var"), F.avg("x").alias("mean"))
+    falls = F.col("var") - F.lag("var").over(Window.orderBy("axis")) < 1e-9
+    parts = parts.withColumn("falls", F.coalesce(falls, F.lit(True)))
+    return rounded(parts.agg(F.count("*").alias("n_dims"), F.max("n").alias("n"), F.sum("var").alias("variance"), F.max(F.abs("mean")).alias("mean"), F.min("falls").alias("falls")), "variance", "mean")
+
+
+@query
+def reference_cells(v):
+    """Tokens of the reference image to cells: windows that overlap, unit lengths, and their mean as the cell's vector."""
+    at = v.spark.range(5).withColumnRenamed("id", "row").join(v.spark.range(6).withColumnRenamed("id", "col"))
+    out = vectors.cell_vectors(v.vectors().select(F.col("row").alias("y"), F.col("col").alias("x"), "v"), at, 5, 6, grid.shape(v.cells()))
+    return rounded(out.select("row", "col", "n_tokens", F.posexplode("cls").alias("dim", "val")), "val").withColumn("dim", F.col("dim").cast("long"))
 
 
 @query
@@ -129,14 +149,17 @@ def top3_candidates(v):
     return longs(rounded(assign.top_cells(candidates(v)).select("piece_id", "rk", "row", "col", "rot", "composite"), "composite"), "rk")
 
 
-def assigned(v: Views) -> DataFrame:
-    costs = assign.least_costs(candidates(v)).withColumn("job_id", job())
-    return assign.assign(costs, v.cells().select(job(), "row", "col"), v.pieces().select(job(), "piece_id"))
-
-
 @query
 def assignment_optimal(v):
-    return rounded(assigned(v).select("piece_id", "row", "col", "confidence"), "confidence")
+    """Each puzzle's cheapest assignment of its pieces to its cells, over all of their costs."""
+    p = v.puzzles()
+    piece = p.select("job_id", "piece_id", shift(F.col("v"), F.size("v") / 4).alias("p"), "flat_side_count")
+    cell = p.select("job_id", "row", "col", F.col("v").alias("c"), expected_flats(F.col("piece_type")).alias("expected"))
+    fine_ = F.greatest(F.lit(0.0), cosine(F.col("p"), F.col("c")))
+    cost = 1 - assign.composite(fine_, grid.flat_score(F.col("expected"), F.col("flat_side_count")))
+    costs = piece.join(cell, "job_id").select("job_id", "piece_id", "row", "col", F.round(cost, 9).alias("cost"))
+    out = assign.assign(costs, p.select("job_id", "row", "col"), p.select("job_id", "piece_id"))
+    return rounded(out, "confidence")
 
 
 @query
@@ -276,13 +299,13 @@ def worst_pair(v):
 
 @query
 def swap_step(v):
-    return adjacency.swap_search(v.matches(), scored(v).select(job(), "a", "b", F.col("combined").alias("score")), limit=1, enough=1.0).drop("job_id")
+    return adjacency.swap_search(v.puzzles(), v.profiles(), limit=1, enough=1.0)
 
 
 @query
 def swap_search(v):
-    """Hill climbing until the worst pair is good enough."""
-    return adjacency.swap_search(v.matches(), scored(v).select(job(), "a", "b", F.col("combined").alias("score")), limit=500, enough=0.4).drop("job_id")
+    """Hill climbing of every puzzle until its worst pair is good enough."""
+    return adjacency.swap_search(v.puzzles(), v.profiles())
 
 
 @query
@@ -362,7 +385,61 @@ def boundary_strip(v):
     return rounded(raster.boundary_strips(v.raster(), v.raster_mask(), grid.shape(v.cells())), "mean")
 
 
-# -- Contours -------------------------------------------------------------------------------------------------------
+def pieces_of(v: Views) -> DataFrame:
+    """Components of the places of label 8 or 9."""
+    mask = v.vectors().filter("label >= 8").select("row", "col")
+    return raster.component_stats(raster.labelled(mask))
+
+
+@query
+def component_stats(v):
+    s = pieces_of(v)
+    return s.withColumn("component", F.col("row0") * 100_000 + F.col("col0"))
+
+
+@query
+def component_area_filter(v):
+    s = raster.area_between(pieces_of(v).join(F.broadcast(grid.shape(v.cells()))), F.col("n_rows") * F.col("n_cols"), low=0.004)
+    return s.select("row0", "col0", "row1", "col1", "area")
+
+
+@query
+def threshold_components(v):
+    """Bright places of the raster, closed by a disc, in 8-connected components that are not tiny."""
+    shape = grid.shape(v.cells())
+    cut = histogram.otsu(histogram.levels(v.raster().select(F.lit(0).alias("img"), F.col("v").cast("long").alias("v")), ["img"]), ["img"])
+    bright = v.raster().join(F.broadcast(cut)).filter(F.col("v") > F.col("t") + 8).select("row", "col")
+    s = raster.component_stats(raster.labelled(raster.closed(bright, raster.ellipse(3), shape)))
+    return s.filter("area >= 2").drop("component")
+
+
+@query
+def extract_pieces(v):
+    return raster.extracted(pieces_of(v), grid.shape(v.cells())).drop("component")
+
+
+@query
+def mask_subtract(v):
+    """Surely background less surely foreground, by morphology."""
+    mask, shape = v.raster_mask().filter("m > 0").select("row", "col"), grid.shape(v.cells())
+    return raster.dilated(mask, raster.box(3), shape).join(raster.eroded(mask, raster.box(3), shape), ["row", "col"], "left_anti")
+
+
+@query
+def area_resize(v):
+    return rounded(raster.resized(v.raster(), grid.shape(v.cells()), 16), "v")
+
+
+@query
+def rotate_raster(v):
+    return raster.rotated(v.raster(), grid.shape(v.cells()), 30)
+
+
+@query
+def watershed_split(v):
+    """Masks of tiles of 16 by 16 places, split at their necks."""
+    tile = F.floor(F.col("row") / 16) * 1_000_000 + F.floor(F.col("col") / 16)
+    return raster.watershed(v.raster_mask().filter("m > 0").select(tile.cast("long").alias("image"), "row", "col"))
 
 
 @query
@@ -407,6 +484,26 @@ def flat_side_count(v):
     return contour.classified(v.sides(), ["vec_id", "side"], FLAT_BELOW).groupBy("vec_id").agg(F.sum(F.col("is_flat").cast("long")).alias("flat_side_count"))
 
 
+@query
+def analyze_sides(v):
+    """Every side's class, peak and profile in one go, and the piece's count of flat sides."""
+    a = contour.analysed(v.sides(), ["vec_id", "side"], 16, 32, FLAT_BELOW)
+    total = F.aggregate("profile", F.lit(0.0), lambda s, x: s + F.abs(x))
+    a = a.withColumn("flat_sides", F.sum(F.col("is_flat").cast("long")).over(Window.partitionBy("vec_id")))
+    return rounded(a.select("vec_id", "side", "is_flat", "peak", total.alias("size"), F.element_at("profile", 32).alias("last"), "flat_sides"), "peak", "size", "last")
+
+
+@query
+def largest_contour(v):
+    p = v.contours()
+    return rounded(contour.largest(p.withColumn("image", F.col("user_id") % 10), "user_id", "image"), "area")
+
+
+@query
+def contour_shapes(v):
+    return rounded(contour.shapes(v.contours(), "user_id"), "solidity")
+
+
 @query
 def polygon_area_perimeter(v):
     return rounded(contour.polygons(v.contours(), "user_id"), "area", "perimeter", "compactness")
@@ -452,28 +549,28 @@ def split_replace_union(v):
 
 
 def ordered(v: Views) -> DataFrame:
-    return sequence.assembly_order(typed(v, v.placed())).withColumn("flagged", F.col("confidence") < 0.55).withColumn("rot", F.lit(0).cast("long"))
+    return sequence.assembly_order(v.seated()).withColumn("flagged", F.col("confidence") < 0.55)
 
 
 @query
 def bfs_levels(v):
-    return ordered(v).filter("level IS NOT NULL").select("piece_id", "level")
+    return ordered(v).filter("level IS NOT NULL").select("job_id", "piece_id", "level")
 
 
 @query
 def bfs_order(v):
-    return ordered(v).select("step_num", "piece_id")
+    return ordered(v).select("job_id", "step_num", "piece_id")
 
 
 @query
 def assembly_steps(v):
-    return ordered(v).select("step_num", "piece_id", "row", "col", "piece_type", "flagged")
+    return ordered(v).select("job_id", "step_num", "piece_id", "row", "col", "piece_type", "flagged")
 
 
 @query
 def unreached_anti(v):
     o = ordered(v)
-    return v.placed().select("piece_id").join(o.filter("level IS NOT NULL"), "piece_id", "left_anti")
+    return v.seated().select("piece_id").join(o.filter("level IS NOT NULL"), "piece_id", "left_anti")
 
 
 def by_id(v: Views) -> DataFrame:
@@ -520,6 +617,13 @@ def detect_format(v):
     return v.files().select("id", "content").unionByName(odd).select("id", validate.image_format(F.col("content")).alias("fmt"))
 
 
+@query
+def missing_files(v):
+    """Paths of a manifest without a file: every seventh page has none."""
+    f = v.files()
+    return validate.missing_files(f.select("id", "path"), f.filter("id % 7 != 0").select("path"))
+
+
 @query
 def validate_chain(v):
     """Orders stand in for uploads: price as size in units of 200 bytes, keys as dimensions."""

@@ -16,6 +16,9 @@ matches AS (SELECT vec_id AS piece_id, "row", col, round((1 + list_inner_product
               / (greatest(sqrt(list_inner_product(v, v)), 1e-8) * greatest(sqrt(list_inner_product(v, v)), 1e-8))) / 2, 9) AS confidence, label % 3 AS flat_side_count FROM vectors),
 typed AS (SELECT *, CASE WHEN "row" IN (0, n_rows - 1) AND col IN (0, n_cols - 1) THEN 'corner' WHEN "row" IN (0, n_rows - 1) OR col IN (0, n_cols - 1) THEN 'edge' ELSE 'interior' END AS piece_type FROM matches, shape),
 placed AS (SELECT *, piece_id + 1 AS step_num, confidence < 0.55 AS flagged FROM typed WHERE confidence >= 0.45),
+puzzles AS (SELECT *, CASE WHEN "row" IN (0, 9) AND col IN (0, 9) THEN 'corner' WHEN "row" IN (0, 9) OR col IN (0, 9) THEN 'edge' ELSE 'interior' END AS piece_type
+            FROM (SELECT piece_id // 100 AS job_id, piece_id, piece_id % 100 // 10 AS "row", piece_id % 10 AS col, confidence, flat_side_count FROM matches)),
+seated AS (SELECT *, CASE piece_type WHEN 'corner' THEN 0 WHEN 'edge' THEN 1 ELSE 2 END AS kind FROM puzzles WHERE confidence >= 0.45),
 sides AS (SELECT vec_id, p // 16 AS side, p % 16 AS idx, v[p + 1] AS k FROM (SELECT vec_id, v, unnest(range(len(v))) AS p FROM vectors)),
 pixels AS (SELECT l_returnflag AS img, l_linestatus AS c, CAST(least(255, floor(l_extendedprice / 105000 * 256)) AS BIGINT) AS v, l_orderkey AS block FROM lineitem),
 raster AS (SELECT "row", col, round(127.5 * (1 + v[1])) AS v FROM vectors),
@@ -69,11 +72,36 @@ WRAP = """wrapped AS (SELECT *, coalesce(lag(x) OVER w, last_value(x) OVER a) AS
 OVERLAP = """sized AS (SELECT mask_id, count(*) AS n FROM mask_sets GROUP BY mask_id),
 met AS (SELECT x.mask_id AS a, y.mask_id AS b, count(*) AS inter FROM mask_sets x JOIN mask_sets y ON x.px = y.px AND x.mask_id < y.mask_id GROUP BY 1, 2),
 over_ AS (SELECT a, b, inter, inter / least(p.n, q.n) AS ov FROM met JOIN sized p ON p.mask_id = a JOIN sized q ON q.mask_id = b)"""
-BFS = """bfs(piece_id, "row", col, level) AS (SELECT * FROM (SELECT piece_id, "row", col, 0 AS level FROM placed
-        ORDER BY ("row" = 0 AND col = 0) DESC, (piece_type = 'corner') DESC, confidence DESC, piece_id LIMIT 1)
-    UNION SELECT p.piece_id, p."row", p.col, b.level + 1 FROM bfs b JOIN placed p ON abs(p."row" - b."row") + abs(p.col - b.col) = 1 WHERE b.level < (SELECT count(*) FROM placed) AND b.level < 400),
-levels AS (SELECT piece_id, min(level) AS level FROM bfs GROUP BY piece_id)"""
+BFS = """bfs(job_id, piece_id, "row", col, level) AS (SELECT job_id, piece_id, "row", col, 0 FROM (SELECT *, row_number() OVER (PARTITION BY job_id
+        ORDER BY ("row" = 0 AND col = 0) DESC, (piece_type = 'corner') DESC, confidence DESC, piece_id) AS n FROM seated) WHERE n = 1
+    UNION SELECT p.job_id, p.piece_id, p."row", p.col, b.level + 1 FROM bfs b JOIN seated p ON p.job_id = b.job_id AND abs(p."row" - b."row") + abs(p.col - b.col) = 1 WHERE b.level < 100),
+    levels AS (SELECT job_id, piece_id, min(level) AS level FROM bfs GROUP BY ALL)"""
+STEPS = BFS + """, ranked(job_id, piece_id, "row", col, level, rk) AS (SELECT job_id, piece_id, "row", col, level, 1::BIGINT FROM bfs WHERE level = 0
+    UNION ALL SELECT job_id, piece_id, "row", col, level, row_number() OVER (PARTITION BY job_id ORDER BY parent, kind, confidence DESC, way) FROM (
+        SELECT s.job_id, s.piece_id, s."row", s.col, r.level + 1 AS level, min(r.rk) AS parent, any_value(s.kind) AS kind, any_value(s.confidence) AS confidence,
+            arg_min(CASE WHEN s."row" < r."row" THEN 0 WHEN s."row" > r."row" THEN 1 WHEN s.col < r.col THEN 2 ELSE 3 END, r.rk) AS way
+        FROM ranked r JOIN seated s ON s.job_id = r.job_id AND abs(s."row" - r."row") + abs(s.col - r.col) = 1 JOIN levels l ON l.piece_id = s.piece_id AND l.level = r.level + 1 GROUP BY ALL)),
+    steps AS (SELECT s.*, row_number() OVER (PARTITION BY s.job_id ORDER BY r.level NULLS LAST, r.rk, s.kind, s.confidence DESC, s.piece_id) AS step_num FROM seated s LEFT JOIN ranked r USING (job_id, piece_id))"""
+REGIONS = """links AS (SELECT p.id AS a, q.id AS b FROM px p JOIN px q ON abs(p."row" - q."row") <= 1 AND abs(p.col - q.col) <= 1),
+    reach(node, root) AS (SELECT id, id FROM px UNION SELECT b, root FROM reach JOIN links ON a = node),
+    stats AS (SELECT component, count(*) AS area, min("row") AS row0, min(col) AS col0, max("row") AS row1, max(col) AS col1, CAST(floor(avg("row")) AS BIGINT) AS c_row, CAST(floor(avg(col)) AS BIGINT) AS c_col
+        FROM (SELECT node, min(root) AS component FROM reach GROUP BY node) JOIN px ON id = node GROUP BY component)"""
+MARKED = 'px AS (SELECT "row", col, "row" * 100000 + col AS id FROM vectors WHERE label >= 8), ' + REGIONS
+PLACES = """places AS (SELECT a AS "row", b AS col FROM (SELECT unnest(range(n_rows)) AS a FROM shape), (SELECT unnest(range(n_cols)) AS b FROM shape))"""
+
+
+def morphed(name: str, of: str, offsets: str) -> str:
+    """Two common tables: `of` dilated, and eroded, by offsets (a, b)."""
+    return f"""{name}_out AS (SELECT "row", col FROM places EXCEPT SELECT "row", col FROM {of}),
+    {name}_wide AS (SELECT DISTINCT p."row", p.col FROM places p JOIN {of} m ON ({offsets.format("p", "m")})),
+    {name}_thin AS (SELECT "row", col FROM {of} EXCEPT SELECT p."row", p.col FROM places p JOIN {name}_out m ON ({offsets.format("p", "m")}))"""
+
+
+CROSS, BOX = 'abs({0}."row" - {1}."row") + abs({0}.col - {1}.col) <= 1', 'greatest(abs({0}."row" - {1}."row"), abs({0}.col - {1}.col)) <= 1'
+OTSU = """SELECT img, v AS t FROM (SELECT img, v, row_number() OVER (PARTITION BY img ORDER BY round(w0 / w * ((w - w0) / w) * (s0 / w0 - (s - s0) / (w - w0)) * (s0 / w0 - (s - s0) / (w - w0)), 6) DESC, v) AS k FROM (
+            SELECT img, v, sum(n) OVER c AS w0, sum(n * v) OVER c AS s0, sum(n) OVER (PARTITION BY img) AS w, sum(n * v) OVER (PARTITION BY img) AS s FROM levels WINDOW c AS (PARTITION BY img ORDER BY v)) WHERE w0 > 0 AND w0 < w) WHERE k = 1"""
 TURN = "atan2((x - lx) * (nx_y - y) - (y - ly) * (nx - x), (x - lx) * (nx - x) + (y - ly) * (nx_y - y))"
+COS30, SIN30 = math.cos(math.radians(30)), math.sin(math.radians(30))
 STAGES = "CASE stage WHEN 'queued' THEN 0 WHEN 'preprocessing' THEN 5 WHEN 'matching' THEN 55 WHEN 'done' THEN 100 END"
 
 
@@ -135,8 +163,7 @@ def sql() -> dict[str, str]:
         "hist_match_apply": (LUT, "SELECT p.c, j AS v_new, CAST(count(*) AS BIGINT) AS n FROM pixels p JOIN lut ON lut.c = p.c AND lut.i = p.v WHERE img = 'A' GROUP BY 1, 2"),
         "hist32_norm": (BINS, f"SELECT img, c, bin, {r('p', 'p')} FROM bins"),
         "hist_intersection": (BINS, f"SELECT x.img AS img_a, y.img AS img_b, {r('least(sum(least(x.p, y.p)), 1.0)', 'score')}, {r('sum(least(x.p, y.p)) / 2', 'score_mean')} FROM bins x JOIN bins y ON x.c = y.c AND x.bin = y.bin AND x.img < y.img GROUP BY 1, 2"),
-        "otsu_threshold": (HIST.format("img"), """SELECT img, v AS t FROM (SELECT img, v, row_number() OVER (PARTITION BY img ORDER BY round(w0 / w * ((w - w0) / w) * (s0 / w0 - (s - s0) / (w - w0)) * (s0 / w0 - (s - s0) / (w - w0)), 6) DESC, v) AS k FROM (
-            SELECT img, v, sum(n) OVER c AS w0, sum(n * v) OVER c AS s0, sum(n) OVER (PARTITION BY img) AS w, sum(n * v) OVER (PARTITION BY img) AS s FROM levels WINDOW c AS (PARTITION BY img ORDER BY v)) WHERE w0 > 0 AND w0 < w) WHERE k = 1"""),
+        "otsu_threshold": (HIST.format("img"), OTSU),
         "gray_levels": """SELECT img, gray, count(*) AS n FROM (SELECT img, block, CAST(floor(round(0.114::DOUBLE * coalesce(avg(v) FILTER (c = 'F'), 0.0) + 0.587::DOUBLE * coalesce(avg(v) FILTER (c = 'O'), 0.0), 6)) AS BIGINT) AS gray FROM pixels GROUP BY img, block) GROUP BY 1, 2""",
         "area_downscale": f"""SELECT "row" // 2 AS "row", col // 2 AS col, {r("avg(v)", "avg")} FROM raster GROUP BY "row" // 2, col // 2""",
         "gaussian_blur3": (f"""looks AS (SELECT s."row", s.col, {weight} AS wt, CASE WHEN s."row" + dr < 0 THEN 1 WHEN s."row" + dr >= n_rows THEN n_rows - 2 ELSE s."row" + dr END AS r, CASE WHEN s.col + dc < 0 THEN 1 WHEN s.col + dc >= n_cols THEN n_cols - 2 ELSE s.col + dc END AS c
@@ -166,8 +193,41 @@ def sql() -> dict[str, str]:
         "split_replace_union": ("""children AS (SELECT DISTINCT l_orderkey AS parent_id, concat_ws('-', l_linenumber, l_partkey, l_suppkey) AS child, CAST(floor(l_extendedprice) AS BIGINT) AS area FROM lineitem),
             valid AS (SELECT c.* FROM children c JOIN mask_rows m ON m.mask_id = parent_id WHERE c.area >= 30000 AND c.area >= 0.15 * m.area), many AS (SELECT parent_id FROM valid GROUP BY 1 HAVING count(*) >= 2)""",
             "SELECT concat_ws('/', parent_id, child) AS mask_id, parent_id, true AS refined FROM valid WHERE parent_id IN (FROM many) UNION ALL SELECT CAST(mask_id AS VARCHAR), NULL, false FROM mask_rows WHERE mask_id NOT IN (FROM many)"),
-        "bfs_levels": (BFS, "SELECT piece_id, CAST(level AS BIGINT) AS level FROM levels"),
-        "unreached_anti": (BFS, "SELECT piece_id FROM placed WHERE piece_id NOT IN (SELECT piece_id FROM levels)"),
+        "bfs_levels": (BFS, "SELECT job_id, piece_id, CAST(level AS BIGINT) AS level FROM levels"),
+        "unreached_anti": (BFS, "SELECT piece_id FROM seated WHERE piece_id NOT IN (SELECT piece_id FROM levels)"),
+        "bfs_order": (STEPS, "SELECT job_id, step_num, piece_id FROM steps"),
+        "assembly_steps": (STEPS, 'SELECT job_id, step_num, piece_id, "row", col, piece_type, confidence < 0.55 AS flagged FROM steps'),
+        "candidate_rank": (f"{COARSE}, {FINE}", 'SELECT piece_id, "row", col, row_number() OVER (PARTITION BY piece_id ORDER BY round(fine, 9) DESC, rk) AS place FROM fine WHERE rot = 0'),
+        "pca_reduce": f"SELECT count(*) AS n_dims, max(n) AS n, {r('sum(var)', 'variance')}, 0.0::DOUBLE AS mean, true AS falls FROM (SELECT d, count(*) AS n, var_pop(v[d + 1]) AS var FROM vectors, (SELECT unnest(range(64)) AS d) GROUP BY d)",
+        "reference_cells": (f"""tokens AS (SELECT "row" AS y, col AS x, list_transform(v, lambda e: e / sqrt(list_inner_product(v, v))) AS u FROM vectors),
+            windows AS (SELECT a AS "row", b AS col, greatest(0, floor(a * (h / 5)) - greatest(1, floor(h / 5 * 0.1::DOUBLE))) AS r0, least(h, floor((a + 1) * (h / 5)) + greatest(1, floor(h / 5 * 0.1::DOUBLE))) AS r1,
+                greatest(0, floor(b * (w / 6)) - greatest(1, floor(w / 6 * 0.1::DOUBLE))) AS c0, least(w, floor((b + 1) * (w / 6)) + greatest(1, floor(w / 6 * 0.1::DOUBLE))) AS c1
+                FROM (SELECT unnest(range(5)) AS a), (SELECT unnest(range(6)) AS b), (SELECT n_rows AS h, n_cols AS w FROM shape)),
+            means AS (SELECT "row", col, d, avg(u[d + 1]) AS e, count(*) AS n FROM windows JOIN tokens ON y >= r0 AND y < r1 AND x >= c0 AND x < c1, (SELECT unnest(range(64)) AS d) GROUP BY "row", col, d)""",
+            f"""SELECT "row", col, n AS n_tokens, d AS dim, {r('e / sqrt(sum(e * e) OVER (PARTITION BY "row", col))', "val")} FROM means"""),
+        "component_stats": (MARKED, "SELECT row0 * 100000 + col0 AS component, * EXCLUDE (component) FROM stats"),
+        "component_area_filter": (MARKED, "SELECT row0, col0, row1, col1, area FROM stats, shape WHERE area BETWEEN floor(n_rows * n_cols * 0.004::DOUBLE) AND floor(n_rows * n_cols * 0.05::DOUBLE)"),
+        "extract_pieces": (MARKED, "SELECT row_number() OVER (ORDER BY component) - 1 AS piece_id, area, greatest(0, row0 - 8) AS y0, greatest(0, col0 - 8) AS x0, least(n_rows, row1 + 9) AS y1, least(n_cols, col1 + 9) AS x1 FROM stats, shape"),
+        "threshold_components": (f"""marks AS (SELECT 0 AS img, CAST(v AS BIGINT) AS v FROM raster), {HIST.format("img").replace("pixels", "marks")}, cut AS ({OTSU}),
+            bright AS (SELECT "row", col FROM raster, cut WHERE raster.v > t + 8), {PLACES}, {morphed("dil", "bright", CROSS)}, {morphed("ero", "dil_wide", CROSS)},
+            px AS (SELECT "row", col, "row" * 100000 + col AS id FROM ero_thin), {REGIONS}""", "SELECT * EXCLUDE (component) FROM stats WHERE area >= 2"),
+        "mask_subtract": (f"""{PLACES}, marked AS (SELECT "row", col FROM raster_mask WHERE m > 0), {morphed("m", "marked", BOX)}""", 'SELECT "row", col FROM m_wide EXCEPT SELECT "row", col FROM m_thin'),
+        "area_resize": (f"""sized AS (SELECT *, CAST(greatest(1, floor(n_rows * least(1.0, 16 / greatest(n_rows, n_cols)) + 0.5)) AS BIGINT) AS h, CAST(greatest(1, floor(n_cols * least(1.0, 16 / greatest(n_rows, n_cols)) + 0.5)) AS BIGINT) AS w FROM shape),
+            parts AS (SELECT k, l, v, (least(("row" + 1) * h / n_rows, k + 1) - greatest("row" * h / n_rows, k)) AS a, (least((col + 1) * w / n_cols, l + 1) - greatest(col * w / n_cols, l)) AS b
+                FROM raster, sized, (SELECT unnest(range(h)) AS k FROM sized), (SELECT unnest(range(w)) AS l FROM sized))""",
+            f"""SELECT k AS "row", l AS col, {r("sum(v * a * b) / sum(a * b)", "v")} FROM parts WHERE a > 1e-9 AND b > 1e-9 GROUP BY k, l"""),
+        "rotate_raster": (f"""canvas AS (SELECT n_rows AS h, n_cols AS w, CAST(ceil(n_rows * {COS30!r} + n_cols * {SIN30!r} - 1e-9) AS BIGINT) AS hh, CAST(ceil(n_rows * {SIN30!r} + n_cols * {COS30!r} - 1e-9) AS BIGINT) AS ww FROM shape),
+            looks AS (SELECT a AS "row", b AS col, {SIN30!r} * (b - (ww - 1) / 2) + {COS30!r} * (a - (hh - 1) / 2) + (h - 1) / 2 AS y, {COS30!r} * (b - (ww - 1) / 2) - {SIN30!r} * (a - (hh - 1) / 2) + (w - 1) / 2 AS x
+                FROM canvas, (SELECT unnest(range(hh)) AS a FROM canvas), (SELECT unnest(range(ww)) AS b FROM canvas))""",
+            'SELECT l."row", l.col, coalesce(v, 128.0::DOUBLE) AS v FROM looks l LEFT JOIN raster p ON p."row" = floor(round(y, 9) + 0.5) AND p.col = floor(round(x, 9) + 0.5)'),
+        "analyze_sides": (FLAT, f"""SELECT vec_id, side, is_flat, {r("peak", "peak")}, {r("size", "size")}, {r("last", "last")}, CAST(sum(CAST(is_flat AS INT)) OVER (PARTITION BY vec_id) AS BIGINT) AS flat_sides FROM flats
+            JOIN (SELECT vec_id, side, k AS peak FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, side ORDER BY round(abs(k), 9) DESC, idx) AS n FROM sides) WHERE n = 1) USING (vec_id, side)
+            JOIN (SELECT vec_id, side, sum(abs(a.k + (b.k - a.k) * (p - lo))) AS size, max(b.k) FILTER (s = 31) AS last FROM (SELECT s, s * 15 / 31.0::DOUBLE AS p, CAST(floor(s * 15 / 31.0::DOUBLE) AS BIGINT) AS lo FROM (SELECT unnest(range(32)) AS s)),
+                (SELECT * REPLACE (k - avg(k) OVER (PARTITION BY vec_id, side) AS k) FROM sides) a JOIN (SELECT * REPLACE (k - avg(k) OVER (PARTITION BY vec_id, side) AS k) FROM sides) b USING (vec_id, side)
+                WHERE a.idx = lo AND b.idx = least(lo + 1, 15) GROUP BY vec_id, side) USING (vec_id, side)"""),
+        "largest_contour": (WRAP, f"""SELECT image, user_id AS contour, {r("area", "area")} FROM (SELECT *, row_number() OVER (PARTITION BY image ORDER BY round(area, 6) DESC, user_id) AS n
+            FROM (SELECT user_id, user_id % 10 AS image, abs(sum(x * yn - xn * y)) / 2 AS area FROM wrapped GROUP BY user_id)) WHERE n = 1"""),
+        "missing_files": """SELECT page_id AS id, regexp_replace(url, '^[a-z]+://[^/]*/?', '') AS path FROM pages WHERE regexp_replace(url, '^[a-z]+://[^/]*/?', '') NOT IN (SELECT regexp_replace(url, '^[a-z]+://[^/]*/?', '') FROM pages WHERE page_id % 7 <> 0)""",
         "manifest_stats": """SELECT count(*) AS total, CAST(sum(CAST(flagged AS INT)) AS BIGINT) AS flagged, round(avg(confidence), 4) AS mean, round(min(confidence), 4) AS "min", round(max(confidence), 4) AS "max",
             count(*) FILTER (piece_type = 'corner') AS corners, count(*) FILTER (piece_type = 'edge') AS edges, count(*) FILTER (piece_type = 'interior') AS interior FROM placed""",
         "manifest_json": 'SELECT piece_id, "row", col FROM placed',

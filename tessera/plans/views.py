@@ -6,15 +6,13 @@ same vector seen turned by a quarter (cyclic shift), so its best place is known.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.vector import cosine, shift
+from tessera.functions.vector import cosine, piece_type, shift
 
 
-def job() -> Column:
-    """All vectors make one puzzle."""
-    return F.lit(0).cast("long").alias("job_id")
+SIDE = 10  # of a puzzle
 
 
 class Views:
@@ -38,12 +36,30 @@ class Views:
     def matches(self) -> DataFrame:
         v = self.vectors()
         conf = (1 + cosine(shift(F.col("v"), F.size("v") / 4), F.col("v"))) / 2
-        return v.select(job(), F.col("vec_id").alias("piece_id"), "row", "col", F.lit(0).cast("long").alias("rot"), F.round(conf, 9).alias("confidence"), (F.col("label") % 3).alias("flat_side_count"))
+        return v.select(F.col("vec_id").alias("piece_id"), "row", "col", F.lit(0).cast("long").alias("rot"), F.round(conf, 9).alias("confidence"), (F.col("label") % 3).alias("flat_side_count"))
 
     def placed(self) -> DataFrame:
         """Matches sure enough to be placed; the others leave holes in the grid."""
         return self.matches().filter("confidence >= 0.45")
 
+    def puzzles(self) -> DataFrame:
+        """job_id, piece_id, row, col, v and the matches' columns: every SIDE * SIDE consecutive ids are a puzzle of their own."""
+        n = SIDE * SIDE
+        k = F.pmod("piece_id", F.lit(n))
+        places = {"row": F.floor(k / SIDE).cast("long"), "col": (k % SIDE).cast("long")}
+        m = self.matches().withColumns(places).withColumn("job_id", F.floor(F.col("piece_id") / n).cast("long"))
+        kind = piece_type(F.col("row"), F.col("col"), F.lit(SIDE), F.lit(SIDE))
+        return m.withColumn("piece_type", kind).join(self.vectors().select(F.col("vec_id").alias("piece_id"), "v"), "piece_id")
+
+    def seated(self) -> DataFrame:
+        """Pieces of puzzles that are sure enough to be placed."""
+        return self.puzzles().drop("v").filter("confidence >= 0.45")
+
+    def profiles(self, n: int = 16) -> DataFrame:
+        """job_id, piece_id, sides: a vector cut in four."""
+        cut = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("v", i * n + 1, n))
+        return self.puzzles().select("job_id", "piece_id", cut.alias("sides"))
+
     def sides(self, n: int = 16) -> DataFrame:
         """vec_id, side, idx, k: a vector cut in four."""
         v = self.vectors().select("vec_id", F.posexplode("v").alias("p", "k"))

@@ -90,15 +90,6 @@ def test_breadth_first_with_a_hole_and_an_island(spark):
     assert sequence.assembly_order(no_origin).orderBy("step_num").first()["piece_id"] == 3
 
 
-def test_swap_improves_the_worst_pair(spark):
-    places = full(spark, 1, 4)
-    sims = spark.createDataFrame([(0, 0, 1, 0.1), (0, 1, 2, 0.9), (0, 2, 3, 0.5), (0, 0, 3, 0.9)], "job_id long, a long, b long, score double")
-    # The first piece of the worst pair (0, 1) gains nothing by changing with 1, but does with 2.
-    at = {r["piece_id"]: r["col"] for r in adjacency.swap_search(places, sims, limit=1).collect()}
-    assert at == {2: 0, 1: 1, 0: 2, 3: 3}
-    assert {r["piece_id"]: r["col"] for r in adjacency.swap_search(places, sims, enough=0.05).collect()} == {i: i for i in range(4)}
-
-
 @settings(max_examples=15, deadline=None)
 @given(edges=st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), min_size=1, max_size=20))
 def test_components(spark, edges):
