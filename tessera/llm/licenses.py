@@ -1,12 +1,12 @@
 """License scans with DataFrame operations alone.
 
 Texts become lower-cased words of letters and digits and hashes of every five of them.  Overlapping windows over these,
-of 1, 2, 4, ... `widest` shingles that begin at every half of their width, retrieve templates by MinHash bands of one
+of 1, 4 and 16 shingles (powers of four up to `widest`) that begin at every half of their width, retrieve templates by MinHash bands of one
 register each.  A template is indexed by its windows at every offset, of the widest kind of which a verbatim copy of it
 holds one whole wherever it begins; so some window of a copy equals one of the template's, and at similarity s a window
-of eight shingles or more collides with probability 1 - (1 - s) ** `bands`, that is 0.9999974 at 0.8.  (A window of one
-shingle has one band, of two two, of four four: what they lack in bands they make up by their number.)  Minima of a
-window are those of its two halves, so all widths cost three steps a shingle and band.
+of the widest kind collides with probability 1 - (1 - s) ** `bands`, that is 0.999936 at 0.8.  (A window of one shingle
+has one band, of four four: what they lack in bands they make up by their number.)  Minima of a window are those of its
+two halves, so all widths cost three steps a shingle and band.
 
 Retrieved templates are then verified: the share of a template's distinct shingles that stand in one place of the text,
 where a place is a run of hits whose offsets against the template differ by `slack` of its length at most.
@@ -54,18 +54,18 @@ TEMPLATES = (
 
 @dataclass(frozen=True)
 class Params:
-    """widest must be a power of two."""
+    """widest must be a power of four."""
 
     shingle: int = 5
     threshold: float = 0.8
-    widest: int = 32
-    bands: int = 8
+    widest: int = 16
+    bands: int = 6
     slack: float = 0.25
     most: int = 10_000
 
     @property
     def widths(self) -> list[int]:
-        return [1 << k for k in range(self.widest.bit_length())]
+        return [1 << k for k in range(0, self.widest.bit_length(), 2)]
 
     def bands_of(self, width: int) -> int:
         return min(width, self.bands)

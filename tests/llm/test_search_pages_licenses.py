@@ -188,7 +188,7 @@ def test_bands_of_all_widths(spark):
             for at in range(0, r["n"] - w + 1, w // 2):
                 want |= {xor(min(xor(x, licenses._mask(j)) for x in r["h"][at : at + w]), licenses._mask(1_000 * w + j)) for j in range(p.bands_of(w))}
         assert set(r["keys"]) == want, r["n"]
-    for n in (2, 5, 11, 23, 47):
+    for n in (5, 11, 22, 23, 47):
         h = rng.integers(-(2**63), 2**63, n).tolist()
         texts = [(k, rng.integers(-(2**63), 2**63, k).tolist() + h + [1, 2, 3]) for k in range(34)]
         one = spark.createDataFrame([(h,)], "h array<long>")
