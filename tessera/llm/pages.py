@@ -22,6 +22,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -34,7 +35,7 @@ from tessera.session import materialize
 @dataclass(frozen=True)
 class Params:
     """threshold: importance below which a branch goes; min_pages: pages a node needs to be judged; attenuation: the
-    share of contents in a node's importance; broadcast_rows: up to so many branches are sent to all tasks; strong and
+    share of contents in a node's importance; depth: of the tree, DEPTH at most; broadcast_rows: up to so many branches are sent to all tasks; strong and
     share: importance and mean share of its pages' text from which a branch stays against the markup."""
 
     threshold: float = 0.3
@@ -68,6 +69,9 @@ NOISE_WORDS = frozenset(
 )
 WHOLE = frozenset({"article", "main"})
 
+#: Elements of a path, the most that a tree can be deep; what lies deeper belongs to the last of them.
+DEPTH = 8
+
 
 class Element:
     __slots__ = ("main", "name", "named", "noise", "path")
@@ -101,6 +105,7 @@ def blocks(text: str | None) -> tuple[list[tuple[str, str, bool, int]], bool]:
     met: list[tuple[str, tuple[tuple[int, int], ...]]] = []
     parts = 0
     stack: list[Element] = [Element("", "", False, False)]
+    opened: dict[str, int] = {}
     buffer: list[str] = []
     raw: str | None = None
 
@@ -110,6 +115,23 @@ def blocks(text: str | None) -> tuple[list[tuple[str, str, bool, int]], bool]:
                 out.append((top.path, t, top.main, top.named))
             buffer.clear()
 
+    def innermost(names: set[str], stop: frozenset[str]) -> int:
+        """Where the innermost open element of these names stands, unless one to stop at is met first; 0 if nowhere.
+        Elements that are not open are not looked for, so deep and unclosed markup takes no longer than other."""
+        if any(opened.get(x) for x in names):
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].name in names:
+                    return i
+                if stack[i].name in stop:
+                    break
+        return 0
+
+    def close(at: int) -> None:
+        for e in stack[at:] if at else ():
+            opened[e.name] -= 1
+        if at:
+            del stack[at:]
+
     for m in TOKEN.finditer(text or ""):
         x = m[0]
         if x[0] != "<" or len(x) == 1:
@@ -125,15 +147,10 @@ def blocks(text: str | None) -> tuple[list[tuple[str, str, bool, int]], bool]:
             if raw is not None:
                 raw = None if name == raw else raw
                 continue
-            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name), 0)
-            if at and not (name not in BLOCK and any(e.name in BLOCK for e in stack[at:])):
-                if any(e.name in BLOCK for e in stack[at:]):
-                    flush()
-                elif stack[at].noise != stack[at - 1].noise or stack[at].named != stack[at - 1].named:
-                    flush()
-                del stack[at:]
-            elif name in BLOCK:
+            at = innermost({name}, frozenset() if name in BLOCK else BLOCK)
+            if name in BLOCK or (at and (stack[at].noise != stack[at - 1].noise or stack[at].named != stack[at - 1].named)):
                 flush()
+            close(at)
             continue
         if raw is not None:
             continue
@@ -143,16 +160,9 @@ def blocks(text: str | None) -> tuple[list[tuple[str, str, bool, int]], bool]:
         if name in BLOCK:
             flush()
             if name in ENDS_P:
-                at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == "p"), 0)
-                if at and not any(e.name in BLOCK for e in stack[at + 1 :]):
-                    del stack[at:]
+                close(innermost({"p"}, BLOCK))
             if name in SAME_ENDS:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].name in SAME_ENDS[name]:
-                        del stack[i:]
-                        break
-                    if stack[i].name in HOLDS or stack[i].name in WHOLE:
-                        break
+                close(innermost(SAME_ENDS[name], HOLDS | WHOLE))
         if name in VOID:
             if name == "br":
                 buffer.append(" ")
@@ -169,7 +179,7 @@ def blocks(text: str | None) -> tuple[list[tuple[str, str, bool, int]], bool]:
         main = top.main or (whole in WHOLE and not noise)
         if name in BLOCK:
             mark = f"{name}.{attrs.get('class', '')}#{attrs.get('id', '')}" if attrs else name
-            path = f"{top.path}>{mark}" if top.path.count(">") < 8 else top.path
+            path = f"{top.path}>{mark}" if top.path.count(">") < DEPTH else top.path
         else:
             path = top.path
         above = top.named
@@ -179,8 +189,7 @@ def blocks(text: str | None) -> tuple[list[tuple[str, str, bool, int]], bool]:
         if whole in WHOLE and not noise:
             met.append((whole, above))
         stack.append(Element(name, path, noise, main, above))
-        if len(stack) > 2_000:  # badly unclosed markup; what is open stays open
-            del stack[1:1_000]
+        opened[name] = opened.get(name, 0) + 1
     flush()
     size: dict[int, int] = {}
     for _, t, _, named in out:
@@ -212,40 +221,78 @@ def _leaf(branch: str, text: str) -> int:
     return _key(f"{branch}\n{text}")
 
 
-def branch_rows(text: str | None, depth: int) -> list[tuple[int, int | None, int, int]]:
-    """(branch, style, content, share) of a page, hashes and millionths of its text: one for each branch of the tree above
-    its blocks, and one without a style for each text in its innermost branch.  A branch's style is the sequence of its
-    children's marks, its content the text under it."""
-    below: dict[str, tuple[list[str], list[str]]] = {}
-    leaves: dict[tuple[str, str], None] = {}
-    found = blocks(text)[0]
+@dataclass
+class Page:
+    """A parsed page: of each block the hashes of the branches above it (outermost first), that of its text in the innermost
+    one, the text, whether it stands in an article or main element, and its level (see blocks)."""
+
+    keys: list[list[int]]
+    leaves: list[int]
+    texts: list[str]
+    main: list[bool]
+    levels: list[int]
+    has_main: bool
+
+
+def parse(text: str | None, depth: int) -> tuple[Page, list[tuple[int, int | None, int, int]]]:
+    """The page, and (branch, style, content, share) for the tree, hashes and millionths of its text: one for each branch
+    above its blocks, and one without a style for each text in its innermost branch.  A branch's style is the sequence of
+    its children's marks, its content the text under it."""
+    found, has_main = blocks(text)
+    page = Page([], [], [t for _, t, _, _ in found], [main for _, _, main, _ in found], [level for _, _, _, level in found], has_main)
+    known: dict[str, tuple[list[str], list[int], list[str]]] = {}
+    below: dict[int, tuple[list[str], list[str]]] = {}
     for path, t, _, _ in found:
-        above = _branches(path, depth)
-        parts = path.split(">")[1 : depth + 1]
-        for i, branch in enumerate(above, 1):
-            styles, texts = below.setdefault(branch, ([], []))
+        if path not in known:
+            branches = _branches(path, depth)
+            known[path] = branches, [_key(x) for x in branches], path.split(">")[1 : depth + 1]
+        branches, keys, parts = known[path]
+        for i, k in enumerate(keys, 1):
+            styles, texts = below.setdefault(k, ([], []))
             styles.append(parts[i] if i < len(parts) else "")
             texts.append(t)
-        if above:
-            leaves[above[-1], t] = None
-    total = sum(len(t) for _, t, _, _ in found)
-    rows = [(_key(k), _key("|".join(s)), _key("\n".join(t)), 1_000_000 * sum(map(len, t)) // total) for k, (s, t) in below.items()]
-    return rows + [(_key(k), None, _leaf(k, t), 0) for k, t in leaves]
+        page.keys.append(keys)
+        page.leaves.append(_leaf(branches[-1] if branches else "", t))
+    total = sum(map(len, page.texts))
+    rows: list[tuple[int, int | None, int, int]] = [(k, _key("|".join(x)), _key("\n".join(t)), 1_000_000 * sum(map(len, t)) // total) for k, (x, t) in below.items()]
+    return page, rows + [(keys[-1], None, leaf, 0) for keys, leaf in dict.fromkeys((tuple(k), x) for k, x in zip(page.keys, page.leaves, strict=True)) if keys]
 
 
-def importance(pages: DataFrame, p: Params = Params()) -> DataFrame:
-    """host, branches, strong: hashes of each site's branches and texts below the threshold, and of those branches that
-    stay against the markup; pages: url, html."""
+BLOCKS = "array<struct<keys:array<bigint>,leaf:bigint,text:string,main:boolean,level:int>>"
+ROWS = "array<struct<branch:bigint,style:bigint,content:bigint,share:bigint>>"
+
+
+def parsed(pages: DataFrame, p: Params) -> DataFrame:
+    """page_id, url, host, has_main, blocks and rows of every page: html is read once."""
+    kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
+
+    def lists(sizes: list[int], values: pa.Array) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            rows = [(h, *x) for h, t in zip(b["host"].to_pylist(), b["html"].to_pylist(), strict=True) for x in branch_rows(t, p.depth)]
-            cols = list(zip(*rows, strict=True)) or [[], [], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["host", "branch", "style", "content", "share"])
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                got = [parse(h.as_py(), p.depth) for h in part["html"]]
+                flat = lambda name: [x for page, _ in got for x in getattr(page, name)]
+                keys = flat("keys")
+                of = pa.StructArray.from_arrays(
+                    [lists([len(k) for k in keys], pa.array([x for k in keys for x in k], pa.int64())), pa.array(flat("leaves"), pa.int64()), pa.array(flat("texts"), pa.string()), pa.array(flat("main"), pa.bool_()), pa.array(flat("levels"), pa.int32())],
+                    names=["keys", "leaf", "text", "main", "level"],
+                )
+                rows = list(zip(*(x for _, r in got for x in r), strict=True)) or [[]] * 4
+                tree = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in rows], names=["branch", "style", "content", "share"])
+                cols = [part["page_id"], part["url"], part["host"], pa.array([page.has_main for page, _ in got], pa.bool_()), lists([len(page.texts) for page, _ in got], of), lists([len(r) for _, r in got], tree)]
+                yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "host", "has_main", "blocks", "rows"])
+
+    named = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html")
+    return named.mapInArrow(run, f"page_id {kinds['page_id']}, url string, host string, has_main boolean, blocks {BLOCKS}, rows {ROWS}")
 
-    kind = "host string, branch long, style long, content long, share long"
-    seen = pages.select(host_of(F.col("url")).alias("host"), "html").filter("host != ''").mapInArrow(run, kind)
-    seen = materialize(seen, "branch_rows")
+
+def importance(pages: DataFrame, p: Params = Params()) -> DataFrame:
+    """host, branches, strong: hashes of each site's branches and texts below the threshold, and of those branches that
+    stay against the markup; pages: as parsed."""
+    seen = pages.filter("host != ''").select("host", F.explode("rows").alias("x")).select("host", "x.*")
     whole = seen.filter("style IS NOT NULL")
     # Counts of each style and content combine before the shuffle; a hot host is one row a distinct content.
     node = ["host", "branch"]
@@ -269,39 +316,45 @@ def importance(pages: DataFrame, p: Params = Params()) -> DataFrame:
     return judged.agg(F.sort_array(F.collect_set("low")).alias("branches"), F.sort_array(F.collect_set("strong")).alias("strong"))
 
 
-def main_text(text: str | None, low: set[int], depth: int, strong: frozenset[int] | set[int] = frozenset()) -> str:
+def chosen(page: Page, low: set[int], strong: set[int]) -> str:
     """Blocks of the page joined by empty lines, but for those that the tree finds low; with an article or main element,
     those inside of one and those in a strong branch that holds none.  Named parts stay by strong branches in them."""
-    found, has_main = blocks(text)
-    above: dict[str, tuple[list[int], str]] = {}
-    for path, _, _, _ in found:
-        if path not in above and (low or strong):
-            branches = _branches(path, depth)
-            above[path] = [_key(x) for x in branches], branches[-1] if branches else ""
-    holds = {k for path, _, main, level in found if main and not level and path in above for k in above[path][0]}
+    blocks_ = list(zip(page.keys, page.leaves, page.texts, page.main, page.levels, strict=True))
+    holds = {k for keys, _, _, main, level in blocks_ if main and not level for k in keys} if strong else set()
     kept = []
-    for path, t, main, level in found:
-        keys, last = above.get(path, ([], ""))
-        if low and (not low.isdisjoint(keys) or _leaf(last, t) in low):
+    for keys, leaf, t, main, level in blocks_:
+        if low and (leaf in low or not low.isdisjoint(keys)):
             continue
-        plain = not level and (main or not has_main)
+        plain = not level and (main or not page.has_main)
         if plain or any(k in strong and k not in holds for k in keys[max(level - 1, 0) :]):
             kept.append(t)
-    return "\n\n".join(kept or [t for _, t, main, level in found if main and not level])
+    return "\n\n".join(kept or [t for _, _, t, main, level in blocks_ if main and not level])
+
+
+def main_text(text: str | None, low: set[int], depth: int, strong: set[int] = frozenset()) -> str:
+    return chosen(parse(text, depth)[0], low, strong)
 
 
 def extract(pages: DataFrame, p: Params = Params()) -> DataFrame:
     """pages (page_id, url, html) -> page_id, url, text, n_chars."""
     small_batches(pages.sparkSession)
-    low = materialize(importance(pages, p), "branches")
+    whole = materialize(parsed(pages, p), "parsed-pages")
+    low = materialize(importance(whole, p), "branches")
     size = low.agg(F.coalesce(F.sum(F.size("branches") + F.size("strong") + 1), F.lit(0))).first()[0]
-    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    rows = rows.join(F.broadcast(low) if size <= p.broadcast_rows else low, "host", "left").select("page_id", "url", "html", "branches", "strong")
+    rows = whole.drop("rows").join(F.broadcast(low) if size <= p.broadcast_rows else low, "host", "left").select("page_id", "url", "has_main", "blocks", "branches", "strong")
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            texts = [main_text(h, set(low or ()), p.depth, set(strong or ())) for h, low, strong in zip(*(b[c].to_pylist() for c in ("html", "branches", "strong")), strict=True)]
+            ends = b["blocks"].offsets.to_pylist()
+            flat = b["blocks"].values
+            bounds, values = flat.field("keys").offsets.to_pylist(), flat.field("keys").values.to_pylist()
+            cols = [flat.field(c).to_pylist() for c in ("leaf", "text", "main", "level")]
+            texts = []
+            for i, (has_main, low, strong) in enumerate(zip(b["has_main"].to_pylist(), b["branches"], b["strong"], strict=True)):
+                at = range(ends[i], ends[i + 1])
+                page = Page([values[bounds[k] : bounds[k + 1]] for k in at], *([c[k] for k in at] for c in cols), has_main)
+                texts.append(chosen(page, set(low.as_py() or ()), set(strong.as_py() or ())))
             yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, f"page_id {kinds['page_id']}, url string, text string, n_chars long")

@@ -1,5 +1,7 @@
 """Neighbours against all pairs, pages with known articles, licences against DuckDB and planted notices."""
 
+import time
+
 import duckdb
 import numpy as np
 import pytest
@@ -106,6 +108,11 @@ def test_markup():
     for html, want in CASES:
         assert pages.main_text(html, set(), 8) == want, html
     assert pages.main_text("<div>" * 5000 + "deep", set(), 8) == "deep"
+    began = time.monotonic()
+    for open_, end in (("<div>", "</div>"), ("<p><div>", "</p>"), ("<b>", "</i>"), ("<ul><li>", "</li>"), ("<i><p>", "</b>")):
+        deep = "<nav>menu" + open_ * 60_000 + "x" + end * 60_000 + "</nav><p>text"
+        assert pages.main_text(deep, set(), 8) in ("text", "")  # in time, whatever is left open
+    assert time.monotonic() - began < 60
 
 
 def test_style_tree_drops_what_a_site_repeats(spark):
