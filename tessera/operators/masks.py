@@ -1,4 +1,8 @@
-"""Masks as sets: filters, overlaps, suppression, splitting."""
+"""Masks as sets: filters, overlaps, suppression, splitting.
+
+Sets hold a place once; masks without places overlap nothing; null ids meet nothing; repeated edges and masks count once;
+empty tables give no rows.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.grid import aspect
-from tessera.session import materialize
+from tessera.session import Scratch, materialize
 
 
 def judged(masks: DataFrame, image_area: int, low: float = 0.0002, high: float = 0.04, solidity: float = 0.60, aspects: tuple[float, float] = (0.20, 5.0)) -> DataFrame:
@@ -33,25 +37,25 @@ def overlaps(sets: DataFrame, least: float) -> DataFrame:
 def suppressed(masks: DataFrame, edges: DataFrame) -> DataFrame:
     """mask_id of the masks that stay when, from the highest score down, a mask goes if it overlaps one that stayed.
 
-    masks: mask_id, score; edges: a, b.  Rounds decide every mask that no undecided stronger one touches, and go on with
-    what is undecided, which shrinks fast; their number is the longest chain of ever weaker neighbours at most.
+    masks: mask_id, score; edges: a, b.  Every round takes the masks that no undecided stronger one touches, lets their
+    neighbours go, and goes on with the links between masks that are left, which shrink fast; what never goes stays.  The
+    number of rounds is that of the longest chain of ever weaker neighbours at most.
     """
     key = masks.select("mask_id", F.struct((-F.col("score")).alias("s"), "mask_id").alias("k"))
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     arcs = both.join(key.withColumnsRenamed({"mask_id": "a", "k": "ka"}), "a").join(key.withColumnsRenamed({"mask_id": "b", "k": "kb"}), "b")
-    arcs = materialize(arcs.filter("kb < ka").select(F.col("a").alias("weak"), F.col("b").alias("strong")).distinct(), "arcs")
-    open_ = masks.select("mask_id").distinct()
-    kept = None
-    while True:
-        # Of the undecided, those without a stronger undecided neighbour stay, and their neighbours go.
-        stay = materialize(open_.join(arcs.select(F.col("weak").alias("mask_id")).distinct(), "mask_id", "left_anti"), "stay")
-        kept = stay if kept is None else kept.unionByName(stay)
-        gone = materialize(arcs.join(stay.withColumnRenamed("mask_id", "strong"), "strong", "left_semi").select(F.col("weak").alias("mask_id")).distinct(), "gone")
-        left = arcs.join(gone.withColumnRenamed("mask_id", "weak"), "weak", "left_anti")
-        arcs = materialize(left.join(gone.withColumnRenamed("mask_id", "strong"), "strong", "left_anti"), "arcs")
-        open_ = materialize(open_.join(stay, "mask_id", "left_anti").join(gone, "mask_id", "left_anti"), "open")
-        if not open_.limit(1).count():
-            return kept
+    with Scratch(masks.sparkSession) as scratch:
+        arcs = scratch.table(arcs.filter("kb < ka").select(F.col("a").alias("weak"), F.col("b").alias("strong")).distinct(), "arcs")
+        gone = None
+        while arcs.limit(1).count():
+            lead = arcs.select("strong").distinct().join(arcs.select(F.col("weak").alias("strong")).distinct(), "strong", "left_anti")
+            now = scratch.table(arcs.join(lead, "strong", "left_semi").select("weak").distinct(), "gone")
+            gone = now if gone is None else gone.unionByName(now)
+            left = arcs.join(now, "weak", "left_anti").join(now.withColumnRenamed("weak", "strong"), "strong", "left_anti").select("weak", "strong")
+            last, arcs = arcs, scratch.table(left, "arcs")
+            scratch.drop(last)
+        out = masks.select("mask_id").distinct()
+        return out if gone is None else out.join(materialize(gone, "gone").withColumnRenamed("weak", "mask_id"), "mask_id", "left_anti")
 
 
 def split(masks: DataFrame, children: DataFrame, min_area: int, share: float = 0.15) -> DataFrame:

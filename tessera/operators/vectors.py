@@ -1,4 +1,8 @@
-"""Coarse and fine matching of vectors and token sets."""
+"""Coarse and fine matching of vectors and token sets.
+
+Vectors of a table have one length and no null components; vectors of length 0 have cosine 0 with all; equal scores are
+ordered by ids; repeated rows are rows of their own; empty tables give no rows.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.vector import dot, norm, shift, unit
 
@@ -81,15 +86,27 @@ def mean_pool(token_rows: DataFrame, ids: list[str]) -> DataFrame:
 def max_sim(pairs: DataFrame, left: DataFrame, right: DataFrame, left_ids: list[str], right_ids: list[str]) -> DataFrame:
     """pairs with `fine`: mean over the left set's tokens of the largest cosine with a token of the right set, in [0, 1].
 
-    Token sets are gathered once a side and meet only for the shortlisted pairs.
+    Token sets are gathered once a side and meet only for the shortlisted pairs; a batch of pairs is one product of
+    matrices.  A side's sets hold the same number of tokens, of the same length.  Pairs without a token set give no row.
     """
+
     def gathered(df: DataFrame, ids: list[str], name: str) -> DataFrame:
-        return normalised(df).groupBy(*ids).agg(F.transform(F.array_sort(F.collect_list(F.struct("tok", "vec"))), lambda s: s["vec"]).alias(name))
+        return normalised(df).groupBy(*ids).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("tok", "vec"))), lambda s: s["vec"])).alias(name), F.max(F.size("vec")).alias(f"{name}dim"))
+
+    joined = pairs.join(gathered(left, left_ids, "l_"), left_ids).join(gathered(right, right_ids, "r_").drop("r_dim"), right_ids)
+    kept = [f for f in joined.schema.fields if f.name not in ("l_", "l_dim", "r_")]
+    schema = T.StructType([*kept, T.StructField("fine", T.DoubleType())])
 
-    joined = pairs.join(gathered(left, left_ids, "l_"), left_ids).join(gathered(right, right_ids, "r_"), right_ids)
-    best = F.transform("l_", lambda a: F.array_max(F.transform("r_", lambda b: dot(a, b))))
-    mean = F.aggregate(best, F.lit(0.0), lambda s, x: s + x) / F.size("l_")
-    return joined.withColumn("fine", F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean))).drop("l_", "r_")
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            dim = b["l_dim"][0].as_py()
+            x, y = (b[c].flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1, dim) for c in ("l_", "r_"))
+            fine = np.clip(np.matmul(x, y.transpose(0, 2, 1)).max(axis=2).mean(axis=1), 0.0, 1.0)
+            yield pa.RecordBatch.from_arrays([*(b[f.name] for f in kept), pa.array(fine)], names=[*(f.name for f in kept), "fine"])
+
+    return joined.mapInArrow(run, schema)
 
 
 def token_windows(n_rows: int, n_cols: int, height: int | Column, width: int | Column, df: DataFrame) -> DataFrame:
