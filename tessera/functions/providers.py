@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tessera.functions import kernels
+
 
 class TokenProvider(Protocol):
     dim: int
@@ -21,6 +23,28 @@ class TokenProvider(Protocol):
         """(rows, cols, dim) tokens of an image."""
 
 
+class MaskProvider(Protocol):
+    def masks(self, image: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
+        """(mask, confidence) of each part of an image; a mask is as large as the image."""
+
+
+class ThresholdMasks:
+    """Stands in for a segmentation model: 8-connected regions that are brighter than the image's mean, of `least` pixels
+    or more; the confidence is the share of a region in its bounding box."""
+
+    def __init__(self, least: int = 4):
+        self.least = least
+
+    def masks(self, image: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
+        gray = image.reshape(*image.shape[:2], -1).mean(axis=2)
+        labels = kernels.labelled(gray > gray.mean())
+        for i in range(1, labels.max() + 1):
+            m = labels == i
+            y, x = np.nonzero(m)
+            if len(y) >= self.least:
+                yield m, len(y) / ((np.ptp(y) + 1) * (np.ptp(x) + 1))
+
+
 class BlockTokens:
     """Mean colours of a grid of blocks, repeated to `dim` and centred."""
 
@@ -37,11 +61,33 @@ class BlockTokens:
 _LOADED: dict = {}
 
 
+def _model(kind: str, make):
+    """One model a worker, made when its first image comes."""
+    if kind not in _LOADED:
+        _LOADED[kind] = make()
+    return _LOADED[kind]
+
+
+def segment(files: DataFrame, make, decode) -> DataFrame:
+    """path, mask_id (from 0 within an image), row, col, confidence: a row for each place of a mask; make() builds the
+    provider, decode reads bytes.  Null contents give no rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        model = _model("masks", make)
+        for b in batches:
+            for path, data in zip(b["path"].to_pylist(), b["content"].to_pylist(), strict=True):
+                for i, (m, confidence) in enumerate(model.masks(decode(data)) if data else ()):
+                    y, x = np.nonzero(m)
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(y)), pa.array(np.full(len(y), i, np.int32)), pa.array(y.astype(np.int64)), pa.array(x.astype(np.int64)), pa.array(np.full(len(y), float(confidence)))], names=["path", "mask_id", "row", "col", "confidence"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, mask_id int, row long, col long, confidence double")
+
+
 def embed(files: DataFrame, make, decode) -> DataFrame:
     """path, rot, tok, vec of each image in its four orientations; make() builds the provider, decode reads bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        model = _LOADED.setdefault("tokens", None) or _LOADED.update(tokens=make()) or _LOADED["tokens"]
+        model = _model("tokens", make)
         for b in batches:
             for path, data in zip(b["path"].to_pylist(), b["content"].to_pylist(), strict=True):
                 image = decode(data)

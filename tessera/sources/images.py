@@ -61,6 +61,22 @@ def checked(files: DataFrame) -> DataFrame:
     return files.withColumn("error_code", code).withColumn("http_code", http_code(F.col("error_code")))
 
 
+#: Content types of uploads that are taken.
+CONTENT_TYPES = ("image/jpeg", "image/jpg", "image/png", "image/webp")
+
+
+def land(uploads: DataFrame, folder: str) -> DataFrame:
+    """Uploads (job_id, name, content_type, content) through the checks of type, size and format: those that pass are
+    appended to a table of files by job in `folder`; returned are all, without contents, with error_code and http_code."""
+    u = uploads.withColumns({"length": F.coalesce(F.octet_length("content"), F.lit(0)).cast("long"), "fmt": image_format(F.col("content"))})
+    bad_type = ~F.coalesce(F.lower("content_type"), F.lit("")).isin(*CONTENT_TYPES)
+    u = checked(u).withColumn("error_code", F.when(bad_type, "format").otherwise(F.col("error_code")))
+    u = u.withColumn("http_code", http_code(F.col("error_code")))
+    passed = u.filter("error_code IS NULL").select("job_id", "name", "length", "fmt", "content")
+    passed.write.mode("append").partitionBy("job_id").parquet(folder)
+    return u.drop("content")
+
+
 def pixels(files: DataFrame, rows: int = 65_536) -> DataFrame:
     """path, y, x, c, v of every pixel; files that no decoder takes give none."""
 

@@ -21,6 +21,20 @@ def exists(spark: SparkSession, path: str, job_id: int) -> bool:
     return bool(read(spark, path, job_id).limit(1).count())
 
 
+def cleanup(spark: SparkSession, path: str, job_id: int) -> bool:
+    """Removes a job's partition; whether there was one."""
+    context = spark.sparkContext
+    part = context._jvm.org.apache.hadoop.fs.Path(f"{path}/job_id={job_id}")
+    return bool(part.getFileSystem(context._jsc.hadoopConfiguration()).delete(part, True))
+
+
+def write_tokens(tokens: DataFrame, path: str) -> None:
+    """Token tables of references (row, col, tok, vec) or pieces (piece_id, rot, tok, vec), per job, in place of archives:
+    a job's rows are sorted by what identifies a set, so that readers of few sets skip the rest."""
+    ids = [c for c in tokens.columns if c not in ("job_id", "vec")]
+    write(tokens.repartition("job_id", ids[0]).sortWithinPartitions("job_id", *ids), path)
+
+
 def write_manifest(steps: DataFrame, path: str) -> None:
     steps.write.mode("overwrite").json(path)
 

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import kernels
-from tessera.functions.providers import BlockTokens, embed
+from tessera.functions.providers import BlockTokens, ThresholdMasks, embed, segment
 from tessera.operators import adjacency, assign, contour, graph, grid, histogram, jobs, masks, sequence, validate, vectors
 from tessera.plans.views import events_of
 from tessera.sources import images, layout
@@ -185,3 +185,36 @@ def test_windowed_streams_run_on_batches(spark):
     assert stream.throughput(raw).agg(F.sum("n")).first()[0] == raw.count()
     gaps = jobs.expiry(raw).agg(F.sum("expiry_gaps"), F.count("*")).first()
     assert stream.lifetimes(raw).count() == gaps[0] + gaps[1]
+
+
+def test_masks_uploads_tokens_and_models(spark, tmp_path):
+    image = np.zeros((12, 12, 3), np.uint8)
+    image[1:4, 1:4], image[6:11, 5:11] = 200, 250
+    files = spark.createDataFrame([("a", images.encode_ppm(image)), ("b", None)], "path string, content binary")
+    got = segment(files, ThresholdMasks, images.decode_ppm).groupBy("path", "mask_id").agg(F.count("*").alias("n"), F.max("confidence").alias("c")).orderBy("mask_id").collect()
+    assert [tuple(r) for r in got] == [("a", 0, 9, 1.0), ("a", 1, 30, 1.0)]
+
+    jpeg = b"\xff\xd8\xff" + b"x" * 40
+    rows = [(1, "ok", "image/jpeg", jpeg), (1, "type", "text/plain", jpeg), (2, "bytes", "image/png", b"BM"), (2, "none", "image/png", None)]
+    told = images.land(spark.createDataFrame(rows, "job_id long, name string, content_type string, content binary"), str(tmp_path / "up"))
+    assert {r["name"]: r["http_code"] for r in told.collect()} == {"ok": 200, "type": 422, "bytes": 422, "none": 422}
+    landed = spark.read.parquet(str(tmp_path / "up")).collect()
+    assert [(r["job_id"], r["name"], bytes(r["content"])) for r in landed] == [(1, "ok", jpeg)]
+
+    tokens = spark.createDataFrame([(j, p, t, [float(p), float(t)]) for j in (1, 2) for p in range(3) for t in range(2)], "job_id long, piece_id long, tok int, vec array<double>")
+    layout.write_tokens(tokens, str(tmp_path / "tok"))
+    back = layout.read(spark, str(tmp_path / "tok"))
+    assert sorted(map(tuple, back.select(tokens.columns).collect())) == sorted(map(tuple, tokens.collect()))
+    assert layout.cleanup(spark, str(tmp_path / "tok"), 1) and not layout.exists(spark, str(tmp_path / "tok"), 1) and layout.exists(spark, str(tmp_path / "tok"), 2)
+
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((60, 5)) * [5, 4, 3, 2, 1]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i int, v array<double>")
+    mean, axes = vectors.pca(df, "v", 8)
+    vectors.save_pca(spark, mean, axes, str(tmp_path / "pca"))
+    again = vectors.load_pca(spark, str(tmp_path / "pca"))
+    assert np.allclose(again[0], mean) and np.allclose(again[1], axes) and axes.shape == (5, 5)
+    assert vectors.load_pca(spark, str(tmp_path / "nothing")) is None
+    got = np.array([r["reduced"] for r in vectors.project(df, "v", *again).orderBy("i").collect()])
+    want = (x - x.mean(axis=0)) @ np.linalg.eigh(np.cov(x.T))[1][:, ::-1]
+    assert np.allclose(np.abs(got), np.abs(want))
