@@ -249,7 +249,7 @@ def word_places(t: bytes) -> np.ndarray:
 
 
 def _anchor_rows(docs: DataFrame, p: Params) -> DataFrame:
-    """node, text -> node, pos, g, c."""
+    """node, text, copies -> node, pos, g, c, copies."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
@@ -260,11 +260,12 @@ def _anchor_rows(docs: DataFrame, p: Params) -> DataFrame:
                 pos.append(a[0]), g.append(a[1]), c.append(a[2])
                 size += len(a[0])
                 if size > 200_000 or i == b.num_rows - 1:
-                    cols = [b["node"].take(pa.array(np.concatenate(nodes))), pa.array(np.concatenate(pos).astype(np.int32)), pa.array(np.concatenate(g).view(np.int64)), pa.array(np.concatenate(c).view(np.int64))]
-                    yield pa.RecordBatch.from_arrays(cols, names=["node", "pos", "g", "c"])
+                    row = pa.array(np.concatenate(nodes))
+                    cols = [b["node"].take(row), pa.array(np.concatenate(pos).astype(np.int32)), pa.array(np.concatenate(g).view(np.int64)), pa.array(np.concatenate(c).view(np.int64)), b["copies"].take(row)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["node", "pos", "g", "c", "copies"])
                     nodes, pos, g, c, size = [], [], [], [], 0
 
-    return docs.select("node", "text").mapInArrow(run, "node binary, pos int, g long, c long")
+    return docs.select("node", "text", "copies").mapInArrow(run, "node binary, pos int, g long, c long, copies long")
 
 
 ROW = "g long, s long, c long, left binary, right binary"
@@ -374,15 +375,21 @@ def _in_small_groups(contexts: DataFrame, p: Params, scratch: Scratch) -> DataFr
     return out
 
 
-def repeated(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """(node, spans): ranges of bytes (or words) of each distinct text that repeated strings cover; docs: node, text."""
-    small_batches(docs.sparkSession)
-    with Scratch(docs.sparkSession) as scratch:
-        rows = scratch.table(_anchor_rows(docs, p), "anchors")
+def distinct_texts(docs: DataFrame, text: str) -> DataFrame:
+    """node, text (empty for null), copies: one row a text; map tasks send a text once."""
+    named = docs.select(node_of(F.col(text)).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return named.groupBy("node").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+
+
+def repeated(texts: DataFrame, p: Params = Params()) -> DataFrame:
+    """(node, spans): ranges of bytes (or words) of each text that repeated strings cover; texts: as distinct_texts."""
+    small_batches(texts.sparkSession)
+    with Scratch(texts.sparkSession) as scratch:
+        rows = scratch.table(_anchor_rows(texts, p), "anchors")
         # As a table of its own: joined straight to the aggregation, a hot gram's anchors could not be split.
-        grams = scratch.table(rows.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g"), "grams")
-        # Dealt by place: a partitioning by gram would do for the counts of copies, but keep the join from being split.
-        spots = scratch.table(rows.join(grams, "g").repartition("node", "pos").groupBy("node", "pos", "g", "c").agg(F.count("*").alias("copies")), "spots")
+        grams = scratch.table(rows.groupBy("g").agg(F.sum("copies").alias("n")).filter("n > 1").select("g"), "grams")
+        spots = scratch.table(rows.join(grams, "g"), "spots")
+        scratch.drop(rows)
         # Contexts per gram: with a single one, all its places repeat in full and nothing is left to sort.
         per = spots.groupBy("g", "c").agg(F.sum("copies").alias("n"), F.min(F.struct("node", "pos")).alias("at"))
         kinds = scratch.table(per, "contexts")
@@ -390,19 +397,12 @@ def repeated(docs: DataFrame, p: Params = Params()) -> DataFrame:
         kinds = kinds.join(many, "g")
         whole = kinds.filter("kinds = 1 AND n > 1").select("g", "c", F.array(F.array(F.lit(-p.side), F.lit(p.length))).alias("ranges"))
         wanted = kinds.filter("kinds > 1").groupBy("at.node").agg(F.collect_list(F.struct("at.pos", "g", "c")).alias("spots"))
-        texts = docs.join(wanted, "node").withColumn("rn_", F.row_number().over(_by_node())).filter("rn_ = 1").select("node", "text", "spots")
-        found = scratch.table(_contexts(texts, p).join(kinds.select("g", "c", "n", "kinds"), ["g", "c"]), "contexts")
+        found = scratch.table(_contexts(texts.join(wanted, "node").select("text", "spots"), p).join(kinds.select("g", "c", "n", "kinds"), ["g", "c"]), "contexts")
         all_ranges = scratch.table(whole.unionByName(_in_small_groups(found, p, scratch)), "ranges")
         part = spots.select("node", "pos", "g", "c").join(all_ranges, ["g", "c"]).select("node", F.transform("ranges", lambda r: F.struct((F.col("pos") + r[0]).alias("a"), (F.col("pos") + r[1]).alias("b"))).alias("r"))
         return materialize(part.groupBy("node").agg(F.array_sort(F.flatten(F.collect_list("r"))).alias("spans")), "spans")
 
 
-def _by_node():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("node").orderBy("node")
-
-
 def cut(t: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
     """Remaining bytes, removed bytes, maximal removed runs; spans ascend, may overlap and reach over the ends."""
     kept, at, runs, end = [], 0, 0, -1
@@ -437,34 +437,34 @@ def remove(docs: DataFrame, p: Params = Params(), text: str = "text", digest: bo
     as well; with report, they stay and are counted: n_passages (runs of words that such strings cover), n_passage_bytes
     (0 without report)."""
     small_batches(docs.sparkSession)
-    named = docs.select(node_of(F.col(text)).alias("node"), F.col(text).alias("text"))
-    spans = repeated(named, p)
+    texts = materialize(distinct_texts(docs, text), "texts")
+    spans = repeated(texts, p)
     for name, more in (("words", words), ("report", report)):
         if more:
-            spans = spans.join(repeated(named, more).withColumnRenamed("spans", name), "node", "full")
+            spans = spans.join(repeated(texts, more).withColumnRenamed("spans", name), "node", "full")
         else:
             spans = spans.withColumn(name, F.lit(None).cast(spans.schema["spans"].dataType))
     counts = ["n_bytes", "n_removed", "n_spans", "n_passages", "n_passage_bytes"]
     info = T.StructType([*(T.StructField(c, T.LongType()) for c in counts), T.StructField("kept_sha256", T.StringType())])
-    others = [c for c in docs.columns if c != text]
-    packed = docs.select(node_of(F.col(text)).alias("node"), F.col(text).alias("text"), F.struct(*(others or [F.lit(0).alias("none")])).alias("row"))
-    joined = packed.join(spans, "node", "left").select("text", "spans", "words", "report", "row")
-    schema = T.StructType([T.StructField("row", joined.schema["row"].dataType), T.StructField("text", T.StringType()), T.StructField("cut", info)])
+    schema = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("rest", T.StringType()), T.StructField("cut", info)])
     kinds = pa.struct([*((c, pa.int64()) for c in counts), ("kept_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            texts, infos = [], []
+            rests, infos = [], []
             for i in range(b.num_rows):
-                raw = b["text"][i].as_py()
-                t = (raw or "").encode()
+                t = b["text"][i].as_py().encode()
                 found, more, told = (b[c][i].as_py() or [] for c in ("spans", "words", "report"))
                 rest, gone, runs = cut(t, byte_spans(t, found, more))
                 _, passage, passages = cut(t, byte_spans(t, [], told))
-                texts.append(None if digest else raw if not gone else rest.decode("utf-8", "ignore"))
+                rests.append(None if digest else rest.decode("utf-8", "ignore"))
                 infos.append(dict(zip(counts, (len(t), gone, runs, passages, passage), strict=True)) | {"kept_sha256": hashlib.sha256(rest).hexdigest()})
-            yield pa.RecordBatch.from_arrays([b["row"], pa.array(texts, pa.string()), pa.array(infos, kinds)], names=["row", "text", "cut"])
+            yield pa.RecordBatch.from_arrays([b["node"], pa.array(rests, pa.string()), pa.array(infos, kinds)], names=["node", "rest", "cut"])
 
-    out = joined.mapInArrow(run, schema)
-    back = [F.col("text").alias(text) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns if not (digest and c == text)]
+    done = texts.join(spans, "node", "left").select("node", "text", "spans", "words", "report").mapInArrow(run, schema)
+    # Each text is cut once and joined to its rows, which need not carry it.
+    others = [c for c in docs.columns if c != text]
+    rows = docs.select(node_of(F.col(text)).alias("node"), F.col(text).isNull().alias("none"), F.struct(*(others or [F.lit(0).alias("none")])).alias("row"))
+    out = rows.join(done, "node")
+    back = [F.when(~F.col("none"), F.col("rest")).alias(text) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns if not (digest and c == text)]
     return out.select(*back, "cut")
