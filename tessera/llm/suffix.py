@@ -53,7 +53,7 @@ class Params:
     length: int = 400
     gram: int = 256
     shallow: int = 16
-    most: int = 4_000
+    most: int = 20_000
     words: bool = False
 
     @property
