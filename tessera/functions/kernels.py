@@ -77,10 +77,11 @@ def simplified(p: np.ndarray, eps: float) -> np.ndarray:
 
 
 def sharpest(angles: np.ndarray, count: int, apart: int) -> np.ndarray:
-    """Indexes of up to `count` smallest inner angles, no two closer than `apart` along the closed contour."""
-    n, out = len(angles), []
+    """Indexes of up to `count` smallest inner angles, no two of which stand `apart` or less from each other; the ends of
+    the list are not neighbours."""
+    out: list[int] = []
     for i in np.argsort(angles, kind="stable"):
-        if all(min(abs(i - j), n - abs(i - j)) > apart for j in out):
+        if all(abs(i - j) > apart for j in out):
             out.append(int(i))
             if len(out) == count:
                 break
