@@ -3,8 +3,8 @@
 Texts are cut where a rolling hash of the last 16 bytes hits a pattern, so equal passages give equal chunks wherever
 they stand.  A worker encodes each chunk once and keeps its ids (least recently added go first, within `cache_mb`).
 Joins of chunks are then repaired: from the last place before the cut where the tokenizer must begin a new word to the
-first one after it, the text is encoded again; the chunks' ids must end and begin exactly there, else the stretch grows
-until they do.  The result is that of encoding the whole text.
+first one after it, the text is encoded again; the chunks' ids must end and begin exactly there, else the segment (a text
+between special tokens) is encoded whole.  The result is that of encoding the whole text.
 
 Cases: null and empty texts have no ids; very long texts are cut like others; special tokens' strings become their ids
 and come back on decoding; repeated rows are encoded each.

@@ -30,13 +30,16 @@ FEATURES = 7
 
 @dataclass(frozen=True)
 class Params:
-    """sample_rows bounds the labelled rows that a fit reads; max_terms the lexicon; window is in characters a side."""
+    """sample_rows bounds the labelled rows that a fit reads; max_terms the lexicon, whose words have `shortest` to `longest`
+    characters; words of fuzzy_from and more are found misspelled, too; window is in characters a side."""
 
     sample_rows: int = 20_000
     min_support: int = 3
     min_share: float = 0.008
     min_log_odds: float = 2.5
     max_terms: int = 2_000
+    shortest: int = 3
+    longest: int = 64
     fuzzy_from: int = 5
     window: int = 64
     cache_words: int = 400_000
@@ -223,7 +226,7 @@ def _word_counts(p: Params):
             for text, toxic in zip(b["text"].to_pylist(), b["toxic"].to_pylist(), strict=True):
                 words = [w.strip(EDGE) for w in (text or "").lower().split()]
                 for pair in set(zip(words, ["", *words], strict=False)) if toxic else {(w, "") for w in words}:
-                    if 2 < len(pair[0]) <= 64:
+                    if p.shortest <= len(pair[0]) <= p.longest:
                         seen.setdefault(pair, [0, 0])[toxic] += 1
             if len(seen) > p.cache_words:
                 yield _counted(seen)
