@@ -248,7 +248,9 @@ def links(docs: DataFrame, p: Params = Params()) -> DataFrame:
     small_batches(docs.sparkSession)
     sigs = materialize(signatures(docs, p).groupBy("node").agg(F.first("sig").alias("sig"), F.first("keys").alias("keys")), "signatures")
     exploded = sigs.select("node", F.explode("keys").alias("key"))
-    bucket = materialize(exploded.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1"), "buckets")
+    # Counted apart and joined, so that a bucket with a third of all texts is split like any other skewed join.
+    full = materialize(exploded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "full-buckets")
+    bucket = materialize(exploded.join(full, "key"), "buckets")
     weight = bucket.groupBy("node").agg(F.sum("n").alias("met"))
     members = bucket.select("node").distinct()
     # A node is the MD5 of its text: copies map to the same set, so any one of them serves.
@@ -269,8 +271,8 @@ def links(docs: DataFrame, p: Params = Params()) -> DataFrame:
     cluster = materialize(components(unsettled, "node", "least"), "clusters").withColumnRenamed("component", "cluster")
     blocks = cluster.groupBy("cluster").agg(F.ceil(F.count("*") / p.block).cast("int").alias("blocks"))
     dealt = cluster.join(blocks, "cluster").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    full = dealt.join(unsettled.select("node", "comp").distinct(), "node").join(sig, "node").join(sets, "node")
-    packed = materialize(full.groupBy("cluster", "blocks", "i").agg(F.collect_list(F.struct("node", "comp", "sig", "set")).alias("rows")), "blocks")
+    whole = dealt.join(unsettled.select("node", "comp").distinct(), "node").join(sig, "node").join(sets, "node")
+    packed = materialize(whole.groupBy("cluster", "blocks", "i").agg(F.collect_list(F.struct("node", "comp", "sig", "set")).alias("rows")), "blocks")
     left = packed.select("cluster", "i", F.explode(F.sequence("i", F.col("blocks") - 1)).alias("j"), F.col("rows").alias("xs"))
     right = packed.select("cluster", F.explode(F.sequence(F.lit(0), "i")).alias("i"), F.col("i").alias("j"), F.col("rows").alias("ys"))
     second = _compare_blocks(left.join(right, ["cluster", "i", "j"]), p)
