@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, licenses, mih, mixing, neardup, pages, quality, sharding, suffix, toxicity
+from tessera.llm import bpe, dialogue, licenses, mih, mixing, neardup, pages, quality, sharding, suffix, toxicity
 from tessera.llm.common import table
 
 
@@ -66,9 +66,14 @@ def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "cut.n_bytes", "cut.n_removed", "cut.n_spans", "cut.kept_sha256", "cut.n_passages", "cut.n_passage_bytes")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hurt = dialogue.damaged(table(spark, sf_dir, "conversations"))
+    return dialogue.report(dialogue.digests(dialogue.repair(hurt, F.col("copies"))))
+
+
 def queries() -> dict:
-    return {"op6_license_scan": op6_license_scan, "op7_site_style_tree": op7_site_style_tree, "op1_multi_index_hashing": op1_multi_index_hashing, "op4_weak_supervision": op4_weak_supervision, "op8_low_discrepancy": op8_low_discrepancy, "op9_hypergeometric": op9_hypergeometric, "op3_chunked_bpe": op3_chunked_bpe, "op5_suffix_array": op5_suffix_array, "op2_prob_minhash": op2_prob_minhash, "op10_toxicity": op10_toxicity}
+    return {"op6_license_scan": op6_license_scan, "op7_site_style_tree": op7_site_style_tree, "op1_multi_index_hashing": op1_multi_index_hashing, "op4_weak_supervision": op4_weak_supervision, "op8_low_discrepancy": op8_low_discrepancy, "op9_hypergeometric": op9_hypergeometric, "op3_chunked_bpe": op3_chunked_bpe, "op5_suffix_array": op5_suffix_array, "op2_prob_minhash": op2_prob_minhash, "op10_toxicity": op10_toxicity, "op12_conversation_repair": op12_conversation_repair}
 
 
 def oracle_sql() -> dict:
-    return {"op6_license_scan": licenses.oracle()}
+    return {"op6_license_scan": licenses.oracle(), "op12_conversation_repair": dialogue.oracle()}
