@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, dialogue, licenses, mih, mixing, neardup, pages, quality, sharding, suffix, toxicity
+from tessera.llm import bpe, dialogue, hardneg, licenses, mih, mixing, neardup, pages, quality, sharding, suffix, toxicity
 from tessera.llm.common import table
 
 
@@ -71,9 +71,14 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.report(dialogue.digests(dialogue.repair(hurt, F.col("copies"))))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hardneg.mine(rows, F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict:
-    return {"op6_license_scan": op6_license_scan, "op7_site_style_tree": op7_site_style_tree, "op1_multi_index_hashing": op1_multi_index_hashing, "op4_weak_supervision": op4_weak_supervision, "op8_low_discrepancy": op8_low_discrepancy, "op9_hypergeometric": op9_hypergeometric, "op3_chunked_bpe": op3_chunked_bpe, "op5_suffix_array": op5_suffix_array, "op2_prob_minhash": op2_prob_minhash, "op10_toxicity": op10_toxicity, "op12_conversation_repair": op12_conversation_repair}
+    return {"op6_license_scan": op6_license_scan, "op7_site_style_tree": op7_site_style_tree, "op1_multi_index_hashing": op1_multi_index_hashing, "op4_weak_supervision": op4_weak_supervision, "op8_low_discrepancy": op8_low_discrepancy, "op9_hypergeometric": op9_hypergeometric, "op3_chunked_bpe": op3_chunked_bpe, "op5_suffix_array": op5_suffix_array, "op2_prob_minhash": op2_prob_minhash, "op10_toxicity": op10_toxicity, "op12_conversation_repair": op12_conversation_repair, "op13_hard_negatives": op13_hard_negatives}
 
 
 def oracle_sql() -> dict:
-    return {"op6_license_scan": licenses.oracle(), "op12_conversation_repair": dialogue.oracle()}
+    return {"op6_license_scan": licenses.oracle(), "op12_conversation_repair": dialogue.oracle(), "op13_hard_negatives": hardneg.oracle()}
