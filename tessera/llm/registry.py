@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, dialogue, hardneg, licenses, mih, mixing, neardup, pages, quality, sharding, suffix, toxicity
+from tessera.llm import bpe, dialogue, hardneg, langid, licenses, mih, mixing, neardup, pages, quality, sharding, suffix, toxicity
 from tessera.llm.common import table
 
 
@@ -66,6 +66,14 @@ def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "cut.n_bytes", "cut.n_removed", "cut.n_spans", "cut.kept_sha256", "cut.n_passages", "cut.n_passage_bytes")
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    model = langid.fit(docs.filter(fold != 0))
+    told = langid.predict(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return told.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     hurt = dialogue.damaged(table(spark, sf_dir, "conversations"))
     return dialogue.report(dialogue.digests(dialogue.repair(hurt, F.col("copies"))))
@@ -77,7 +85,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op6_license_scan": op6_license_scan, "op7_site_style_tree": op7_site_style_tree, "op1_multi_index_hashing": op1_multi_index_hashing, "op4_weak_supervision": op4_weak_supervision, "op8_low_discrepancy": op8_low_discrepancy, "op9_hypergeometric": op9_hypergeometric, "op3_chunked_bpe": op3_chunked_bpe, "op5_suffix_array": op5_suffix_array, "op2_prob_minhash": op2_prob_minhash, "op10_toxicity": op10_toxicity, "op12_conversation_repair": op12_conversation_repair, "op13_hard_negatives": op13_hard_negatives}
+    return {"op6_license_scan": op6_license_scan, "op7_site_style_tree": op7_site_style_tree, "op1_multi_index_hashing": op1_multi_index_hashing, "op4_weak_supervision": op4_weak_supervision, "op8_low_discrepancy": op8_low_discrepancy, "op9_hypergeometric": op9_hypergeometric, "op3_chunked_bpe": op3_chunked_bpe, "op5_suffix_array": op5_suffix_array, "op2_prob_minhash": op2_prob_minhash, "op10_toxicity": op10_toxicity, "op11_language_id": op11_language_id, "op12_conversation_repair": op12_conversation_repair, "op13_hard_negatives": op13_hard_negatives}
 
 
 def oracle_sql() -> dict:
