@@ -1,8 +1,11 @@
 """Toxicity scores from a fuzzy lexicon.
 
-A lexicon of terms is learned from labelled texts; its trie is intersected with the Levenshtein automaton of each
-unseen word, so that misspelled terms are found as well.  Each hit is weighed in its context window: inside quotation
-marks it counts as quoted, next to other hits as abuse.  A logistic model over these sums gives the score.
+A lexicon of terms is learned from labelled texts; the trie of its well supported terms is intersected with the Levenshtein
+automaton of each unseen word, so that misspelled terms are found as well.  A term's support is the lesser of the toxic
+documents and of the contexts that hold it, and its weight is a lower bound of its log odds.  Stems stand for inflected
+terms: words that begin alike count where a document repeats them.  Each hit is weighed in its context window: inside
+quotation marks it counts as quoted, next to other hits as abuse.  A logistic model over these sums gives the score; in it
+a misspelled hit counts no less than nothing and, like a quoted one, no more than an exact one.
 
 Cases: a null or empty text has no hits and gets the score of a text without hits; null labels are ignored; repeated
 rows are scored one by one; without a single toxic (or clean) label every score is the smoothed share of toxic labels.
@@ -11,6 +14,7 @@ rows are scored one by one; without a single toxic (or clean) label every score
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,6 +28,8 @@ from tessera.llm.common import small_batches
 from tessera.session import materialize
 
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“”„‟‘’‚«»‹›…–—¿¡·"
+#: Marks a stem among counted words.
+STEM = "\0"
 OPEN, CLOSE = "“„«‹‘", "”»›’"
 FEATURES = 7
 
@@ -31,16 +37,24 @@ FEATURES = 7
 @dataclass(frozen=True)
 class Params:
     """sample_rows bounds the labelled rows that a fit reads; max_terms the lexicon, whose words have `shortest` to `longest`
-    characters; words of fuzzy_from and more are found misspelled, too; window is in characters a side."""
+    characters.  A term's log odds are a lower bound, `doubt` standard deviations of both counts below the point value; it
+    is kept from min_log_odds; a stem, which is stem_from to stem_to characters long and counts in documents that repeat it,
+    from min_stem_odds.  Terms of fuzzy_from characters and fuzzy_odds are found misspelled, too.  window is in
+    characters a side."""
 
     sample_rows: int = 20_000
     min_support: int = 3
     min_share: float = 0.008
-    min_log_odds: float = 2.5
+    min_log_odds: float = 2.0
+    min_stem_odds: float = 1.6
+    doubt: float = 1.0
+    fuzzy_odds: float = 3.0
     max_terms: int = 2_000
     shortest: int = 3
     longest: int = 64
     fuzzy_from: int = 5
+    stem_from: int = 5
+    stem_to: int = 8
     window: int = 64
     cache_words: int = 400_000
     ridge: float = 0.5
@@ -114,11 +128,14 @@ def nearest_term(word: str, trie: dict, most: int) -> tuple[int, int] | None:
 class Scanner:
     """Finds terms in texts; remembers which words are clean, up to a bound."""
 
-    def __init__(self, terms: list[str], weights: list[float], p: Params):
-        self.terms, self.weights, self.p = terms, weights, p
+    def __init__(self, terms: list[str], weights: list[float], p: Params, stems: dict[str, float] | None = None, fuzzy: list[int] | None = None):
+        """fuzzy: the terms to be found misspelled (default: all that are long enough)."""
+        self.terms, self.weights, self.p, self.stems = terms, weights, p, stems or {}
+        self.stem_sizes = sorted({len(t) for t in self.stems}, reverse=True)
         self.index = {t: i for i, t in enumerate(terms)}
-        long = [t for t in terms if len(t) >= p.fuzzy_from]
-        self.trie = build_trie(terms)
+        self.fuzzy = [i for i in (range(len(terms)) if fuzzy is None else fuzzy) if len(terms[i]) >= p.fuzzy_from]
+        long = [terms[i] for i in self.fuzzy]
+        self.trie = build_trie(long)
         # One edit leaves one half of a term as it was: either the word begins with the first or it ends with the second.
         # By the word's possible lengths, and the half's.
         self.halves: dict[int, dict[int, tuple[set, set]]] = {}
@@ -128,20 +145,21 @@ class Scanner:
                 self.halves.setdefault(size, {}).setdefault(cut, (set(), set()))[0].add(t[:cut])
                 self.halves[size].setdefault(len(t) - cut, (set(), set()))[1].add(t[cut:])
         self.clean: set[str] = set()
-        self.found: dict[str, tuple[int, int]] = {}
+        self.found: dict[str, tuple[int, int, str]] = {}
 
-    def lookup(self, raw: str) -> tuple[int, int] | None:
-        """(term index, edits) for a word as it stands in a lower-cased text."""
+    def lookup(self, raw: str) -> tuple[int, int, str] | None:
+        """(term index or -1, edits, stem or "") for a word as it stands in a lower-cased text."""
         w = raw.strip(EDGE)
+        stem = next((w[:n] for n in self.stem_sizes if w[:n] in self.stems), "") if self.stems else ""
         if (i := self.index.get(w)) is not None:
-            return i, 0
+            return i, 0, stem
         for n, (heads, tails) in self.halves.get(len(w), {}).items():
             if w[:n] in heads or w[-n:] in tails:
                 near = nearest_term(w, self.trie, 1)
-                if near is not None and len(self.terms[near[1]]) >= self.p.fuzzy_from:
-                    return near[1], near[0]
+                if near is not None:
+                    return self.fuzzy[near[1]], near[0], stem
                 break
-        return None
+        return (-1, 0, stem) if stem else None
 
     def features(self, text: str | None) -> list[float]:
         """Sums of weights of exact, misspelled and quoted hits, closeness of hits, distinct terms, density, 1."""
@@ -165,20 +183,25 @@ class Scanner:
         if not hits:
             return [0.0] * (FEATURES - 1) + [1.0]
         exact = fuzzy = quoted = close = 0.0
-        n, last, kinds = 0, -(10**9), set()
+        n, last, kinds, begun = 0, -(10**9), set(), set()
         for m in re.finditer("|".join(re.escape(w) for w in sorted(hits, key=len, reverse=True)), low):
             a, b = m.span()
             if (a and not low[a - 1].isspace()) or (b < len(low) and not low[b].isspace()):
                 continue
-            i, edits = self.found[m[0]]
-            weight = self.weights[i]
-            if self.is_quoted(low, a, b):
+            i, edits, stem = self.found[m[0]]
+            said = self.is_quoted(low, a, b)
+            if i < 0 and (said or stem not in begun):  # a stem speaks from its second time on
+                begun |= set() if said else {stem}
+                continue
+            weight = self.weights[i] if i >= 0 else self.stems[stem]
+            if said:
                 quoted += weight
             elif edits:
                 fuzzy += weight
             else:
                 exact += weight
-                kinds.add(i)
+                kinds.add(i if i >= 0 else stem)
+                begun.add(stem)
             close += a - last <= self.p.window
             last, n = b, n + 1
         return [np.log1p(exact), np.log1p(fuzzy), np.log1p(quoted), np.log1p(close), np.log1p(len(kinds)), min(1.0, 20 * n / max(1, len(words))), 1.0]
@@ -204,6 +227,11 @@ class Model:
     weights: list[float]
     beta: list[float]
     params: Params = field(default_factory=Params)
+    stems: dict[str, float] = field(default_factory=dict)
+
+    def scanner(self) -> Scanner:
+        # Only terms of real support lend their neighbours a weight.
+        return Scanner(self.terms, self.weights, self.params, self.stems, [i for i, w in enumerate(self.weights) if w >= self.params.fuzzy_odds])
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip(x @ np.asarray(self.beta), -30, 30)))
@@ -217,15 +245,18 @@ def _texts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
 
 
 def _word_counts(p: Params):
-    """word, before, clean, toxic: clean counts documents; a toxic document gives a row for each word and the one before
-    it, so that what near-copies repeat can be counted once."""
+    """word, before, clean, toxic: rows without `before` count documents; a toxic document also gives a row for each word
+    and the one before it, so that what near-copies repeat can be counted once.  The same for stems (word + STEM) that a document repeats."""
 
     def run(batches):
-        seen: dict[tuple[str, str], list[int]] = {}
+        seen: dict[tuple[str, str | None], list[int]] = {}
         for b in _texts(batches):
             for text, toxic in zip(b["text"].to_pylist(), b["toxic"].to_pylist(), strict=True):
                 words = [w.strip(EDGE) for w in (text or "").lower().split()]
-                for pair in set(zip(words, ["", *words], strict=False)) if toxic else {(w, "") for w in words}:
+                stems = Counter(w[:n] for w in words if len(w) <= p.longest for n in range(p.stem_from, min(p.stem_to, len(w)) + 1))
+                for pair in {(t + STEM, None) for t, n in stems.items() if n >= 2} | ({(t + STEM, before) for w, before in zip(words, ["", *words], strict=False) for n in range(p.stem_from, min(p.stem_to, len(w)) + 1) if stems[t := w[:n]] >= 2} if toxic else set()):
+                    seen.setdefault(pair, [0, 0])[toxic] += 1
+                for pair in {(w, None) for w in words} | (set(zip(words, ["", *words], strict=False)) if toxic else set()):
                     if p.shortest <= len(pair[0]) <= p.longest:
                         seen.setdefault(pair, [0, 0])[toxic] += 1
             if len(seen) > p.cache_words:
@@ -243,7 +274,7 @@ def _counted(seen: dict) -> pa.RecordBatch:
 
 def _feature_rows(model: Model):
     def run(batches):
-        scan = Scanner(model.terms, model.weights, model.params)
+        scan = model.scanner()
         for b in _texts(batches):
             x = [scan.features(t) for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_pydict({"x": pa.array(x, pa.list_(pa.float64())), "toxic": b["toxic"]})
@@ -251,11 +282,15 @@ def _feature_rows(model: Model):
     return run
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 50) -> np.ndarray:
-    """Newton's method with a ridge on all but the last column, the constant."""
+def penalty(columns: int, ridge: float) -> np.ndarray:
+    """A ridge on all but the last column, the constant."""
+    return np.array([ridge] * (columns - 1) + [1e-3])
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 50, pen: np.ndarray | None = None) -> np.ndarray:
+    """Newton's method with penalty(), or with weights `pen` on the squares."""
     beta = np.zeros(x.shape[1])
-    pen = np.full(x.shape[1], ridge)
-    pen[-1] = 1e-3
+    pen = penalty(x.shape[1], ridge) if pen is None else pen
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(pen), x.T @ (y - p) - pen * beta)
@@ -265,6 +300,34 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 50) -> np
     return beta
 
 
+def meaningful(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
+    """logistic() under the features' meaning: 0 <= misspelled <= exact and quoted <= exact.
+
+    The likelihood is concave, so its best point under these is that of one set of active bounds: each bound is left out,
+    or holds as an equality (a column that is dropped, or added to that of the exact hits), and the likeliest result that
+    meets all of them is taken.
+    """
+    exact, fuzzy, quoted = 0, 1, 2
+    pen = penalty(x.shape[1], ridge)
+    best, least = None, np.inf
+    for f in ("free", "zero", "exact"):
+        for q in ("free", "exact"):
+            join = np.eye(x.shape[1])
+            if f == "exact":
+                join[fuzzy, exact] = 1
+            if q == "exact":
+                join[quoted, exact] = 1
+            drop = [fuzzy] * (f != "free") + [quoted] * (q == "exact")
+            join = np.delete(join, drop, axis=1)
+            beta = join @ logistic(x @ join, y, ridge, pen=pen @ join)
+            z = x @ beta
+            loss = np.logaddexp(0, z).sum() - y @ z + 0.5 * pen @ beta**2
+            meets = -1e-9 <= beta[fuzzy] <= beta[exact] + 1e-9 and beta[quoted] <= beta[exact] + 1e-9
+            if meets and loss < least:
+                best, least = beta, loss
+    return logistic(x[:, -1:], y, ridge) * np.eye(x.shape[1])[-1] if best is None else best
+
+
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
     """Learn lexicon and weights from labelled rows.
 
@@ -287,17 +350,26 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
         share = (n_toxic + 0.5) / (n_clean + n_toxic + 1)
         return Model([], [], [0.0] * (FEATURES - 1) + [float(np.log(share / (1 - share)))], p)
     support = max(p.min_support if n_toxic >= 20 else 2, int(np.ceil(p.min_share * n_toxic)))
-    odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
+    # What the counts allow: the toxic one lower, the clean one higher by so many standard deviations.
+    few, many = F.greatest(F.col("toxic") - p.doubt * F.sqrt("toxic"), F.lit(0.0)), F.col("clean") + p.doubt * F.sqrt(F.col("clean") + 1)
+    odds = F.log((few + 0.5) / (n_toxic + 1)) - F.log((many + 0.5) / (n_clean + 1))
     words = (
         rows.mapInArrow(_word_counts(p), "word string, before string, clean long, toxic long")
-        .groupBy("word", "before").agg(F.sum("clean").alias("clean"), F.max(F.least("toxic", F.lit(1))).alias("toxic"))
-        .groupBy("word").agg(F.sum("clean").alias("clean"), F.least(F.sum("toxic"), F.lit(n_toxic)).alias("toxic"))
-        .filter(F.col("toxic") >= support).withColumn("odds", odds).filter(F.col("odds") >= p.min_log_odds)
+        .groupBy("word", "before").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+        .groupBy("word").agg(F.sum("clean").alias("clean"), F.least(F.max(F.when(F.isnull("before"), F.col("toxic"))), F.count("before")).alias("toxic"))
+        .filter(F.col("toxic") >= support).withColumn("odds", odds).filter(F.col("odds") >= F.when(F.col("word").endswith(STEM), p.min_stem_odds).otherwise(p.min_log_odds))
         .orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "word").limit(p.max_terms).collect()
     )
-    model = Model([r["word"] for r in words], [float(r["odds"]) for r in words], [], p)
+    terms = {r["word"]: float(r["odds"]) for r in words if not r["word"].endswith(STEM)}
+    support = {r["word"]: r["toxic"] for r in words}
+    stems: dict[str, float] = {}
+    for r in words:  # the strongest first: of stems that begin alike one stays, and none that one term explains
+        t = r["word"].removesuffix(STEM)
+        if r["word"].endswith(STEM) and not any(k.startswith(t) or t.startswith(k) for k in stems) and not any(k.startswith(t) and support[k] >= r["toxic"] for k in terms):
+            stems[t] = float(r["odds"])
+    model = Model(list(terms), list(terms.values()), [], p, stems)
     seen = rows.mapInArrow(_feature_rows(model), "x array<double>, toxic int").collect()
-    model.beta = logistic(np.array([r["x"] for r in seen]), np.array([r["toxic"] for r in seen], float), p.ridge).tolist()
+    model.beta = meaningful(np.array([r["x"] for r in seen]), np.array([r["toxic"] for r in seen], float), p.ridge).tolist()
     return model
 
 
@@ -307,7 +379,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
 
     def run(batches):
-        scan = Scanner(model.terms, model.weights, model.params)
+        scan = model.scanner()
         for b in _texts(batches):
             x = np.array([scan.features(t) for t in b[text].to_pylist()]).reshape(b.num_rows, FEATURES)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(x), pa.float64())], names=[*b.schema.names, out])

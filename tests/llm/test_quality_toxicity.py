@@ -103,3 +103,28 @@ def test_scores(spark, odd_docs):
     none = toxicity.fit(odd_docs, labels.limit(0))
     assert {r["score"] for r in toxicity.score(odd_docs, none).collect()} == {0.5}
     assert toxicity.score(odd_docs.limit(0), model).count() == 0
+
+
+def test_stems_speak_when_they_are_repeated():
+    scan = toxicity.Scanner(["scum"], [4.0], toxicity.Params(), {"achli": 3.0})
+    assert scan.features("ein achlichb wort")[:6] == [0.0] * 6
+    assert scan.features("ein achlichb wort achlige mit scum")[0] == np.log1p(7.0)
+    assert scan.features('er sagte "achlichb" und achlige wort')[:6] == [0.0] * 6
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10_000))
+def test_weights_keep_their_meaning(seed):
+    rng = np.random.default_rng(seed)
+    x = np.column_stack([rng.exponential(1, (60, 4)) * (rng.random((60, 4)) < 0.5), np.ones(60)])
+    y = (x @ rng.normal(0, 2, 5) + rng.normal(0, 1, 60) > 0).astype(float)
+    beta = toxicity.meaningful(x, y, 0.5)
+    assert -1e-6 <= beta[1] <= beta[0] + 1e-6 and beta[2] <= beta[0] + 1e-6 or not beta[:-1].any()
+    free = toxicity.logistic(x, y, 0.5)
+    if 0 <= free[1] <= free[0] and free[2] <= free[0]:
+        assert np.allclose(beta, free)
+
+
+def test_only_supported_terms_lend_their_neighbours_weight():
+    scan = toxicity.Model(["idiot", "eronhe", "scum"], [4.0, 2.1, 4.0], []).scanner()
+    assert scan.lookup("idiit") == (0, 1, "") and scan.lookup("eronhx") is None and scan.lookup("eronhe") == (1, 0, "")
