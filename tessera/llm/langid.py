@@ -6,8 +6,8 @@ n-grams (TF) times ln((1 + texts) / (1 + texts that have it)) + 1 (IDF, counted
 The weights are learned by follow-the-regularised-leader with an elastic net (FTRL-proximal: L1 keeps most of them at
 exactly 0, L2 shrinks the rest), and a temperature, fitted on sampled rows that training has not seen, divides the logits.
 
-IDF and the languages' shares are counted over all training rows.  The regression reads a bounded sample: per language the
-rows with the smallest hashes of their ids; shares correct the bias for it.
+IDF and the languages' shares are counted over all training rows.  The regression reads a bounded sample: per language
+those rows whose hashed ids lie below what gives about as many of each; shares correct the bias for it.
 
 Cases: texts that are null or have no letter are `und` with score 0, and so is every text where nothing could be learned;
 training rows with a null or empty language or a null text teach nothing; with one language all others' texts get it, with
@@ -23,7 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,7 +38,7 @@ PLANES = 0x33500
 
 @dataclass(frozen=True)
 class Params:
-    """sample bounds the rows that the regression reads, languages how many there may be; alpha and beta set the steps of
+    """sample is about how many rows the regression reads (never over four times that), languages how many there may be; alpha and beta set the steps of
     FTRL, l1 and l2 the elastic net; stretch is how many characters are hashed at once."""
 
     orders: int = 4
@@ -256,8 +256,11 @@ def fit(docs: DataFrame, p: Params = Params(), text: str = "text", lang: str = "
         df[r["feature"]] = r["n"]
     idf = np.log((1 + sum(shares.values())) / (1 + df)) + 1
     with Scratch(spark) as scratch:
-        nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-        picked = rows.withColumn("nth", nth).filter(F.col("nth") <= max(1, p.sample // len(languages))).drop("nth")
+        # A language's rows are taken by a bound on their hash, which its count gives: nothing is shuffled.
+        most = max(1, p.sample // len(languages))
+        bound = F.create_map(*[F.lit(x) for k, n in shares.items() for x in (k, most / n)])[F.col("lang")]
+        unit = (F.shiftrightunsigned("h", 11) / F.lit(2.0**53)).cast("double")
+        picked = rows.filter(unit < bound).limit(4 * p.sample)
         sample = scratch.table(picked.mapInArrow(_counted(p), "lang string, h long, feature array<int>, n array<int>"), "sample").toArrow().sort_by([("h", "ascending"), ("lang", "ascending")])
     label = np.array([languages.index(x) for x in sample["lang"].to_pylist()])
     at, x = [], []
