@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.vector import band, cosine, expected_flats, r6, shift
-from tessera.operators import adjacency, assign, contour, graph, grid, histogram, jobs, manifest, masks, raster, sequence, validate, vectors
+from tessera.operators import adjacency, assign, contour, graph, grid, histogram, jobs, manifest, masks, outline, raster, sequence, validate, vectors
 from tessera.plans import oracles
 from tessera.plans.views import Views
 
@@ -418,6 +418,35 @@ def extract_pieces(v):
     return raster.extracted(pieces_of(v), grid.shape(v.cells())).drop("component")
 
 
+def marked(v: Views) -> DataFrame:
+    """Places of label 8 or 9 in their components."""
+    return raster.labelled(v.vectors().filter("label >= 8").select("row", "col"))
+
+
+@query
+def piece_outlines(v):
+    """Ordered borders of the raster's mask, holes included."""
+    o = outline.outlines(raster.labelled(v.raster_mask().filter("m > 0").select("row", "col")))
+    first = o.filter("idx = 0").select("loop", F.col("row").alias("row0"), F.col("col").alias("col0"))
+    return o.join(first, "loop").select("row0", "col0", (F.col("loop") % 4).alias("side0"), "outer", "idx", "y", "x")
+
+
+@query
+def piece_descriptors(v):
+    """Contour area, length, compactness, solidity and holes of every piece, with its id and crop box."""
+    m = marked(v)
+    boxes = raster.extracted(raster.component_stats(m), grid.shape(v.cells())).drop("area")
+    d = boxes.join(outline.described(m), "component").drop("component")
+    return rounded(d, "area", "perimeter", "compactness", "solidity")
+
+
+@query
+def crop_pixels(v):
+    """Every piece's crop, pixel by pixel, with its mask."""
+    m = marked(v)
+    return outline.crops(v.raster(), m, raster.extracted(raster.component_stats(m), grid.shape(v.cells())))
+
+
 @query
 def mask_subtract(v):
     """Surely background less surely foreground, by morphology."""

@@ -86,6 +86,12 @@ REGIONS = """links AS (SELECT p.id AS a, q.id AS b FROM px p JOIN px q ON abs(p.
     reach(node, root) AS (SELECT id, id FROM px UNION SELECT b, root FROM reach JOIN links ON a = node),
     stats AS (SELECT component, count(*) AS area, min("row") AS row0, min(col) AS col0, max("row") AS row1, max(col) AS col1, CAST(floor(avg("row")) AS BIGINT) AS c_row, CAST(floor(avg(col)) AS BIGINT) AS c_col
         FROM (SELECT node, min(root) AS component FROM reach GROUP BY node) JOIN px ON id = node GROUP BY component)"""
+#: Sides of places on a border, each with its successor; see the outlines.  px and DIRS give cracks (e, nxt).
+CRACKS = """dirs(side, nr, nc, lr, lc, ar, ac) AS (VALUES (0, -1, 0, -1, 1, 0, 1), (1, 0, 1, 1, 1, 1, 0), (2, 1, 0, 1, -1, 0, -1), (3, 0, -1, -1, -1, -1, 0)),
+    cracks AS (SELECT p.id * 4 + side AS e, p."row" AS "row", p.col AS col, side, p.id AS id, CASE WHEN l.id IS NOT NULL THEN l.id * 4 + (side + 3) % 4 WHEN a.id IS NOT NULL THEN a.id * 4 + side ELSE p.id * 4 + (side + 1) % 4 END AS nxt
+        FROM px p CROSS JOIN dirs LEFT JOIN px o ON o."row" = p."row" + nr AND o.col = p.col + nc LEFT JOIN px l ON l."row" = p."row" + lr AND l.col = p.col + lc LEFT JOIN px a ON a."row" = p."row" + ar AND a.col = p.col + ac WHERE o.id IS NULL),
+    walk(start, e, idx) AS (SELECT e, e, 0 FROM cracks UNION ALL SELECT start, nxt, idx + 1 FROM walk JOIN cracks USING (e) WHERE nxt <> start),
+    loops AS (SELECT * FROM (SELECT *, min(e) OVER (PARTITION BY start) AS least FROM walk) JOIN cracks USING (e) WHERE start = least)"""
 MARKED = 'px AS (SELECT "row", col, "row" * 100000 + col AS id FROM vectors WHERE label >= 8), ' + REGIONS
 PLACES = """places AS (SELECT a AS "row", b AS col FROM (SELECT unnest(range(n_rows)) AS a FROM shape), (SELECT unnest(range(n_cols)) AS b FROM shape))"""
 
@@ -208,6 +214,23 @@ def sql() -> dict[str, str]:
         "component_stats": (MARKED, "SELECT row0 * 100000 + col0 AS component, * EXCLUDE (component) FROM stats"),
         "component_area_filter": (MARKED, "SELECT row0, col0, row1, col1, area FROM stats, shape WHERE area BETWEEN floor(n_rows * n_cols * 0.004::DOUBLE) AND floor(n_rows * n_cols * 0.05::DOUBLE)"),
         "extract_pieces": (MARKED, "SELECT row_number() OVER (ORDER BY component) - 1 AS piece_id, area, greatest(0, row0 - 8) AS y0, greatest(0, col0 - 8) AS x0, least(n_rows, row1 + 9) AS y1, least(n_cols, col1 + 9) AS x1 FROM stats, shape"),
+        "piece_outlines": (f"""px AS (SELECT "row", col, "row" * 100000 + col AS id FROM raster_mask WHERE m > 0), {CRACKS}""", """SELECT start // 4 // 100000 AS row0, start // 4 % 100000 AS col0, start % 4 AS side0,
+            sum(CASE side WHEN 0 THEN -("row") WHEN 2 THEN "row" + 1 ELSE 0 END) OVER (PARTITION BY start) > 0 AS "outer", idx, "row" + CAST(side IN (2, 3) AS BIGINT) AS y, col + CAST(side IN (1, 2) AS BIGINT) AS x FROM loops"""),
+        "piece_descriptors": (f"""{MARKED}, {CRACKS},
+            steps AS (SELECT l.start, l.id, l."row" AS r, l.col AS c, l.side, l.nxt // 4 // 100000 AS r2, l.nxt // 4 % 100000 AS c2 FROM loops l),
+            named AS (SELECT node, min(root) AS component FROM reach GROUP BY node),
+            rings AS (SELECT component, start, sum(CASE side WHEN 0 THEN -r WHEN 2 THEN r + 1 ELSE 0 END) AS crack, abs(sum(c * r2 - c2 * r)) / 2 AS area, sum(sqrt((r2 - r) ** 2 + (c2 - c) ** 2)) AS perimeter FROM steps JOIN named ON node = id GROUP BY component, start),
+            outers AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY area DESC, start) AS n FROM rings WHERE crack > 0) WHERE n = 1),
+            pts AS (SELECT DISTINCT component, r, c FROM steps JOIN named ON node = id),
+            hull_edges AS (SELECT p.component, p.r AS r1, p.c AS c1, q.r AS r2, q.c AS c2 FROM pts p JOIN pts q ON p.component = q.component AND (p.r, p.c) <> (q.r, q.c)
+                WHERE NOT EXISTS (SELECT 1 FROM pts z WHERE z.component = p.component AND ((q.c - p.c) * (z.r - p.r) - (q.r - p.r) * (z.c - p.c) < 0
+                    OR ((q.c - p.c) * (z.r - p.r) - (q.r - p.r) * (z.c - p.c) = 0 AND ((z.r - p.r) * (q.r - p.r) + (z.c - p.c) * (q.c - p.c) < 0 OR (z.r - p.r) ** 2 + (z.c - p.c) ** 2 > (q.r - p.r) ** 2 + (q.c - p.c) ** 2))))),
+            hull AS (SELECT component, sum(c1 * r2 - c2 * r1) / 2 AS hull_area FROM hull_edges GROUP BY component)""", f"""SELECT row_number() OVER (ORDER BY component) - 1 AS piece_id, greatest(0, row0 - 8) AS y0, greatest(0, col0 - 8) AS x0, least(n_rows, row1 + 9) AS y1, least(n_cols, col1 + 9) AS x1,
+            stats.area AS pixels, (SELECT count(*) FROM rings g WHERE g.component = stats.component AND crack < 0) AS holes, {r("o.area", "area")}, {r("perimeter", "perimeter")},
+            {r("CASE WHEN perimeter > 0 THEN 4 * pi() * o.area / perimeter / perimeter ELSE 0 END", "compactness")}, {r("CASE WHEN hull_area > 0 THEN o.area / hull_area ELSE 0 END", "solidity")}
+            FROM stats JOIN outers o USING (component) LEFT JOIN hull USING (component), shape"""),
+        "crop_pixels": (f"""{MARKED}, named AS (SELECT node, min(root) AS component FROM reach GROUP BY node), boxes AS (SELECT component, row_number() OVER (ORDER BY component) - 1 AS piece_id, greatest(0, row0 - 8) AS y0, greatest(0, col0 - 8) AS x0, least(n_rows, row1 + 9) AS y1, least(n_cols, col1 + 9) AS x1 FROM stats, shape)""",
+            """SELECT piece_id, "row" - y0 AS y, col - x0 AS x, v, CASE WHEN n.component = b.component THEN 255 ELSE 0 END AS alpha FROM boxes b JOIN raster p ON "row" >= y0 AND "row" < y1 AND col >= x0 AND col < x1 LEFT JOIN named n ON n.node = "row" * 100000 + col"""),
         "threshold_components": (f"""marks AS (SELECT 0 AS img, CAST(v AS BIGINT) AS v FROM raster), {HIST.format("img").replace("pixels", "marks")}, cut AS ({OTSU}),
             bright AS (SELECT "row", col FROM raster, cut WHERE raster.v > t + 8), {PLACES}, {morphed("dil", "bright", CROSS)}, {morphed("ero", "dil_wide", CROSS)},
             px AS (SELECT "row", col, "row" * 100000 + col AS id FROM ero_thin), {REGIONS}""", "SELECT * EXCLUDE (component) FROM stats WHERE area >= 2"),
