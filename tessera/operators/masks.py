@@ -21,17 +21,44 @@ def judged(masks: DataFrame, image_area: int, low: float = 0.0002, high: float =
     return masks.withColumn("kept_reason", reason)
 
 
+def gathered(sets: DataFrame) -> DataFrame:
+    """mask_id, n, tokens (freq, px) of each set, its rarest pixels first."""
+    freq = sets.groupBy("px").agg(F.count("*").alias("freq"))
+    return sets.join(freq, "px").groupBy("mask_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("freq", "px"))).alias("tokens"))
+
+
+def candidates(sets: DataFrame, least: float, hot: int = 20_000) -> DataFrame:
+    """a, b, pairs that can overlap by more than `least` of the smaller one, a; sets: gathered().
+
+    If a shares w pixels or more, one of its n - w + 1 rarest is in b (prefix), and from the first shared pixel on, the
+    rarest, both sets have w left (position).  So the common pixels of large sets are not joined on.  A pixel of many masks
+    is split by the larger set, and the few prefixes that hold it are sent to every part.
+    """
+    n = F.col("n")
+    # The least number of shared pixels, by the very division that decides in the end.
+    low = F.floor(n * least)
+    sized = sets.withColumn("w", F.when(low / n > least, low).otherwise(low + 1))
+    parts = F.ceil(F.col("t.freq") / hot).cast("int")
+    small = sized.select(F.col("mask_id").alias("a"), F.col("n").alias("na"), "w", F.posexplode(F.slice("tokens", F.lit(1), (F.col("n") - F.col("w") + 1).cast("int"))).alias("i", "t")).filter("t.freq > 1")
+    small = small.select("a", "na", "w", "i", F.col("t.px").alias("px"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    large = sets.select(F.col("mask_id").alias("b"), F.col("n").alias("nb"), F.posexplode("tokens").alias("j", "t")).filter("t.freq > 1")
+    large = large.select("b", "nb", "j", F.col("t.px").alias("px"), F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"))
+    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    left = F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j")) >= F.col("w")
+    return small.join(large, ["px", "part"]).filter(smaller & left).select("a", "b")
+
+
 def overlaps(sets: DataFrame, least: float) -> DataFrame:
     """a, b (a < b), inter, ov: pairs of masks that share pixels with an overlap coefficient above `least`.
 
-    sets: mask_id, px (distinct).  Pairs come from an equi-join on pixels, so masks that share nothing never meet.
+    sets: mask_id, px (distinct).  candidates() tells which pairs can, and these are counted exactly.
     """
-    size = sets.groupBy("mask_id").agg(F.count("*").alias("n"))
-    a = sets.select(F.col("mask_id").alias("a"), "px")
-    b = sets.select(F.col("mask_id").alias("b"), "px")
-    met = a.join(b, "px").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("inter"))
-    met = met.join(size.select(F.col("mask_id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("mask_id").alias("b"), F.col("n").alias("nb")), "b")
-    return met.withColumn("ov", F.col("inter") / F.least("na", "nb")).filter(F.col("ov") > least).select("a", "b", "inter", "ov")
+    g = materialize(gathered(sets.filter("mask_id IS NOT NULL AND px IS NOT NULL")), "sets")
+    pairs = candidates(g, least).distinct()
+    of = g.select("mask_id", "n", F.transform("tokens", lambda t: t["px"]).alias("px"))
+    met = pairs.join(of.toDF("a", "na", "pa"), "a").join(of.toDF("b", "nb", "pb"), "b")
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.size(F.array_intersect("pa", "pb")).cast("long").alias("inter"), F.least("na", "nb").alias("n"))
+    return met.withColumn("ov", F.col("inter") / F.col("n")).filter(F.col("ov") > least).select("a", "b", "inter", "ov")
 
 
 def suppressed(masks: DataFrame, edges: DataFrame) -> DataFrame:

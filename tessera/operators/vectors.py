@@ -15,48 +15,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.vector import dot, norm, shift, unit
+from tessera.operators import pivots
 
 
-def _packed(df: DataFrame, ids: list[str], vec: str, size: int, name: str) -> DataFrame:
-    """Blocks of some `size` rows: ids as arrays, vectors as one flat array."""
-    n = df.count()
-    block = F.pmod(F.xxhash64(*ids), F.lit(max(1, -(-n // size)))).alias("block_")
-    rows = df.select(block, F.struct(*ids, F.col(vec).alias("vec_")).alias("r"))
-    return rows.groupBy("block_").agg(F.collect_list("r").alias(name)).drop("block_")
-
-
-def top_cosine(queries: DataFrame, keys: DataFrame, k: int, query_ids: list[str], key_ids: list[str], query_vec: str = "cls", key_vec: str = "cls", block: int = 2048) -> DataFrame:
+def top_cosine(queries: DataFrame, keys: DataFrame, k: int, query_ids: list[str], key_ids: list[str], query_vec: str = "cls", key_vec: str = "cls", p: pivots.Params = pivots.Params()) -> DataFrame:
     """Each query's k nearest keys by cosine: query_ids, key_ids, coarse, rk; ties by key_ids.
 
-    Queries and keys meet as blocks through a shard key; a meeting is a matrix product and returns k rows a query, so
-    neither rows nor memory follow the number of pairs.  Vectors of length 0 have cosine 0.
+    Queries meet the cells of keys that their bounds leave, see pivots.  Vectors of length 0 have cosine 0.
     """
-    shards = max(1, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    q = _packed(queries, query_ids, query_vec, block, "q").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    x = _packed(keys, key_ids, key_vec, block, "x").withColumn("shard", F.pmod(F.xxhash64(F.element_at("x", 1)[key_ids[0]]), F.lit(shards)).cast("int"))
-    both = x.join(q, "shard").drop("shard")
-    out = [f for f in queries.schema.fields if f.name in query_ids] + [f for f in keys.schema.fields if f.name in key_ids]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out) + ", coarse double"
-
-    def matrix(rows: pa.StructScalar) -> tuple[pa.StructArray, np.ndarray]:
-        values = rows.values
-        vec = values.field("vec_")
-        m = vec.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
-        return values, m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-8)
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
-            for i in range(b.num_rows):
-                (qs, qm), (xs, xm) = matrix(b["q"][i]), matrix(b["x"][i])
-                cos = np.round(qm @ xm.T, 12)
-                rank = np.lexsort([xs.field(c).to_numpy() for c in reversed(key_ids)])
-                best = rank[np.argsort(-cos[:, rank], axis=1, kind="stable")[:, :k]]
-                row = np.repeat(np.arange(len(qm)), best.shape[1])
-                cols = [qs.field(c).take(pa.array(row)) for c in query_ids] + [xs.field(c).take(pa.array(best.ravel())) for c in key_ids]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(cos[row, best.ravel()])], names=[*query_ids, *key_ids, "coarse"])
-
-    order = Window.partitionBy(*query_ids).orderBy(F.desc("coarse"), *key_ids)
-    return both.mapInArrow(run, schema).withColumn("rk", F.row_number().over(order)).filter(F.col("rk") <= k)
+    return pivots.top(queries, keys, k, query_ids, key_ids, query_vec, key_vec, p)
 
 
 def rotations(pieces: DataFrame, vec: str = "cls") -> DataFrame:
