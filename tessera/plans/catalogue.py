@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.vector import band, cosine, expected_flats, r6, shift
-from tessera.operators import adjacency, assign, contour, graph, grid, histogram, jobs, manifest, masks, outline, raster, sequence, validate, vectors
+from tessera.operators import adjacency, assign, contour, drawing, graph, grid, histogram, jobs, manifest, masks, outline, raster, sequence, validate, vectors
 from tessera.plans import oracles
 from tessera.plans.views import Views
+from tessera.sources import images
 
 K = 30
 IMAGE = 5_000_000
@@ -46,10 +47,15 @@ def fine(v: Views, short: DataFrame) -> DataFrame:
     return vectors.max_sim(short, left, vectors.tokens(v.cells(), ["row", "col"]), ["piece_id", "rot"], ["row", "col"])
 
 
+def flat_scored(v: Views, short: DataFrame) -> DataFrame:
+    """short (piece_id, row, col and more) with expected and flat."""
+    c = short.join(v.pieces().select("piece_id", "flat_side_count"), "piece_id")
+    return grid.classified(c, grid.shape(v.cells())).withColumn("flat", grid.flat_score(F.col("expected"), F.col("flat_side_count")))
+
+
 def candidates(v: Views) -> DataFrame:
     """piece_id, rot, row, col, coarse, fine, flat, composite."""
-    c = fine(v, coarse_rot(v)).join(v.pieces().select("piece_id", "flat_side_count"), "piece_id")
-    c = grid.classified(c, grid.shape(v.cells())).withColumn("flat", grid.flat_score(F.col("expected"), F.col("flat_side_count")))
+    c = flat_scored(v, fine(v, coarse_rot(v)))
     return c.withColumn("composite", F.round(assign.composite(F.col("fine"), F.col("flat")), 9))
 
 
@@ -121,7 +127,9 @@ def reference_cells(v):
 
 @query
 def flat_side_score(v):
-    return candidates(v).select("piece_id", "row", "col", "expected", "flat").distinct()
+    """The shortlist's pairs: what the cell expects and how the piece's flat sides suit it."""
+    short = coarse_rot(v).select("piece_id", "row", "col").distinct()
+    return flat_scored(v, short).select("piece_id", "row", "col", "expected", "flat")
 
 
 @query
@@ -634,6 +642,52 @@ def draw_commands(v):
     return manifest.draw_commands(by_id(v), grid.shape(v.cells()), 1080, 1920)
 
 
+@query
+def draw_pixels(v):
+    """The overlay of draw_commands as pixels."""
+    return drawing.drawn(manifest.draw_commands(by_id(v), grid.shape(v.cells()), 1080, 1920), 1080, 1920)
+
+
+def tiles(v: Views, size: int = 16) -> DataFrame:
+    """path, y, x, c, v: the raster as images of size by size places; red and blue have the level, green tells what is set."""
+    place = [F.floor(F.col(c) / size).cast("string") for c in ("row", "col")]
+    path, at = F.concat_ws("-", *place), [F.pmod(c, F.lit(size)).cast("int").alias(n) for c, n in (("row", "y"), ("col", "x"))]
+    level = F.col("v").cast("int")
+    return v.raster().select(path.alias("path"), *at, F.posexplode(F.array(level, F.lit(255), level)).alias("c", "v"))
+
+
+def files_of(v: Views, fmt: str, quality: int = 92) -> DataFrame:
+    return images.encoded(tiles(v), fmt, quality)
+
+
+@query
+def png_pixels(v):
+    """The raster, written to PNG files, tile by tile, and read from them."""
+    p = images.pixels(files_of(v, "png")).groupBy("path", "y", "x").agg(*[F.max(F.when(F.col("c") == c, F.col("v"))).alias(f"c{c}") for c in range(3)])
+    tile = F.split("path", "-")
+    place = lambda i, at: (tile[i].cast("long") * 16 + F.col(at)).alias("row" if i == 0 else "col")
+    return p.filter("c1 = 255").select(place(0, "y"), place(1, "x"), F.col("c0").cast("double").alias("v"))
+
+
+@query
+def jpeg_tiles(v):
+    """Every tile as a JPEG file: its pixels, and whether none strays by more than what rounding costs at full quality."""
+    got = images.pixels(files_of(v, "jpeg", 100)).withColumnRenamed("v", "got")
+    both = tiles(v).join(got, ["path", "y", "x", "c"])
+    return both.groupBy("path").agg(F.count("*").alias("n"), (F.max(F.abs(F.col("v") - F.col("got"))) <= 4).alias("close"))
+
+
+@query
+def inspect_images(v):
+    """Tiles as files of three formats, every fifth cut short and every seventh empty, through the checks of an upload."""
+    rows = None
+    for i, fmt in enumerate(("png", "jpeg", "ppm")):
+        f = files_of(v, fmt).select(F.concat_ws(".", "path", F.lit(fmt)).alias("path"), "content", (F.split("path", "-")[0].cast("long") * 3 + F.split("path", "-")[1].cast("long") + i).alias("k"))
+        rows = f if rows is None else rows.unionByName(f)
+    cut = F.when(F.col("k") % 7 == 0, F.lit(b"")).when(F.col("k") % 5 == 0, F.substring("content", 1, 60)).otherwise(F.col("content"))
+    return images.inspected(rows.select("path", cut.alias("content"))).select("path", "fmt", "error_code", "http_code")
+
+
 @query
 def asset_guard(v):
     odd = v.spark.sql("SELECT explode(array('../etc/passwd', 'a/../../b.png', '/abs.png', 'step_cards/step_0001.jpg', 'x.JPEG', 'noext', 'a.svg', 'dir.png/readme', '.jpg', 'C:x.png')) AS path")

@@ -86,6 +86,13 @@ REGIONS = """links AS (SELECT p.id AS a, q.id AS b FROM px p JOIN px q ON abs(p.
     reach(node, root) AS (SELECT id, id FROM px UNION SELECT b, root FROM reach JOIN links ON a = node),
     stats AS (SELECT component, count(*) AS area, min("row") AS row0, min(col) AS col0, max("row") AS row1, max(col) AS col1, CAST(floor(avg("row")) AS BIGINT) AS c_row, CAST(floor(avg(col)) AS BIGINT) AS c_col
         FROM (SELECT node, min(root) AS component FROM reach GROUP BY node) JOIN px ON id = node GROUP BY component)"""
+COMMANDS = """SELECT 'line' AS kind, 0 AS x0, y AS y0, 1920 AS x1, y AS y1, CAST(NULL AS VARCHAR) AS text, 'grid' AS colour FROM (SELECT CAST(floor(k * (1080.0::DOUBLE / n_rows)) AS BIGINT) AS y FROM (SELECT n_rows, unnest(range(n_rows + 1)) AS k FROM shape))
+            UNION ALL SELECT 'line', x, 0, x, 1080, NULL, 'grid' FROM (SELECT CAST(floor(k * (1920.0::DOUBLE / n_cols)) AS BIGINT) AS x FROM (SELECT n_cols, unnest(range(n_cols + 1)) AS k FROM shape))
+            UNION ALL SELECT 'dot', x, y, x, y, NULL, CASE WHEN confidence >= 0.75 THEN 'green' WHEN confidence >= 0.55 THEN 'yellow' ELSE 'red' END FROM (SELECT *, CAST(floor((col + 1) * (1920.0::DOUBLE / n_cols)) AS BIGINT) - 9 AS x, CAST(floor("row" * (1080.0::DOUBLE / n_rows)) AS BIGINT) + 9 AS y FROM placed)
+            UNION ALL SELECT 'text', x, y, x, y, CAST(step_num AS VARCHAR), 'white' FROM (SELECT *, CAST(floor(col * (1920.0::DOUBLE / n_cols) + 1920.0::DOUBLE / n_cols / 2) AS BIGINT) AS x, CAST(floor("row" * (1080.0::DOUBLE / n_rows) + 1080.0::DOUBLE / n_rows / 2) AS BIGINT) AS y FROM placed)"""
+#: Ends of a digit's strokes in halves of its size, and which strokes it has.
+STROKES = """strokes(s, a0, b0, a1, b1) AS (VALUES ('a', 0, 0, 2, 0), ('b', 2, 0, 2, 1), ('c', 2, 1, 2, 2), ('d', 0, 2, 2, 2), ('e', 0, 1, 0, 2), ('f', 0, 0, 0, 1), ('g', 0, 1, 2, 1)),
+    digits(ch, segs) AS (VALUES ('0', 'abcdef'), ('1', 'bc'), ('2', 'abged'), ('3', 'abgcd'), ('4', 'fgbc'), ('5', 'afgcd'), ('6', 'afgedc'), ('7', 'abc'), ('8', 'abcdefg'), ('9', 'abcdfg'))"""
 #: Sides of places on a border, each with its successor; see the outlines.  px and DIRS give cracks (e, nxt).
 CRACKS = """dirs(side, nr, nc, lr, lc, ar, ac) AS (VALUES (0, -1, 0, -1, 1, 0, 1), (1, 0, 1, 1, 1, 1, 0), (2, 1, 0, 1, -1, 0, -1), (3, 0, -1, -1, -1, -1, 0)),
     cracks AS (SELECT p.id * 4 + side AS e, p."row" AS "row", p.col AS col, side, p.id AS id, CASE WHEN l.id IS NOT NULL THEN l.id * 4 + (side + 3) % 4 WHEN a.id IS NOT NULL THEN a.id * 4 + side ELSE p.id * 4 + (side + 1) % 4 END AS nxt
@@ -256,10 +263,20 @@ def sql() -> dict[str, str]:
         "manifest_json": 'SELECT piece_id, "row", col FROM placed',
         "step_labels": """SELECT step_num, format('Step {} ({},{}) R0 {} conf:{:.2f}', step_num, "row", col, piece_type, round(confidence, 2)) AS label FROM placed""",
         "asset_urls": "SELECT step_num, format('/assets/job/step_cards/step_{:04d}.jpg', step_num) AS card_url, format('/assets/job/pieces/piece_{:04d}.jpg', piece_id) AS crop_url FROM placed",
-        "draw_commands": """SELECT 'line' AS kind, 0 AS x0, y AS y0, 1920 AS x1, y AS y1, NULL AS text, 'grid' AS colour FROM (SELECT CAST(floor(k * (1080.0::DOUBLE / n_rows)) AS BIGINT) AS y FROM (SELECT n_rows, unnest(range(n_rows + 1)) AS k FROM shape))
-            UNION ALL SELECT 'line', x, 0, x, 1080, NULL, 'grid' FROM (SELECT CAST(floor(k * (1920.0::DOUBLE / n_cols)) AS BIGINT) AS x FROM (SELECT n_cols, unnest(range(n_cols + 1)) AS k FROM shape))
-            UNION ALL SELECT 'dot', x, y, x, y, NULL, CASE WHEN confidence >= 0.75 THEN 'green' WHEN confidence >= 0.55 THEN 'yellow' ELSE 'red' END FROM (SELECT *, CAST(floor((col + 1) * (1920.0::DOUBLE / n_cols)) AS BIGINT) - 9 AS x, CAST(floor("row" * (1080.0::DOUBLE / n_rows)) AS BIGINT) + 9 AS y FROM placed)
-            UNION ALL SELECT 'text', x, y, x, y, CAST(step_num AS VARCHAR), 'white' FROM (SELECT *, CAST(floor(col * (1920.0::DOUBLE / n_cols) + 1920.0::DOUBLE / n_cols / 2) AS BIGINT) AS x, CAST(floor("row" * (1080.0::DOUBLE / n_rows) + 1080.0::DOUBLE / n_rows / 2) AS BIGINT) AS y FROM placed)""",
+        "draw_commands": COMMANDS,
+        "draw_pixels": (f"""cmds AS ({COMMANDS}), {STROKES}, chars AS (SELECT *, unnest(range(len(text))) AS k FROM cmds WHERE kind = 'text'),
+            ends AS (SELECT 1 AS z, x0, y0, x1, y1, '' AS text, y0 AS zy, x0 AS zx, y1 AS zy1, x1 AS zx1, colour FROM cmds WHERE kind = 'line' UNION ALL
+                SELECT 3, x0 + k * 6 + a0 * 2, y0 + b0 * 4, x0 + k * 6 + a1 * 2, y0 + b1 * 4, text, y0, x0, y1, x1, colour FROM chars JOIN digits ON ch = text[k + 1] JOIN strokes ON contains(segs, s)),
+            stepped AS (SELECT *, greatest(abs(x1 - x0), abs(y1 - y0)) AS n, unnest(range(greatest(abs(x1 - x0), abs(y1 - y0)) + 1)) AS t FROM ends),
+            covered AS (SELECT CASE WHEN n = 0 THEN y0 ELSE y0 + CAST(floor((2 * (y1 - y0) * t + n) / (2 * n)) AS BIGINT) END AS "row", CASE WHEN n = 0 THEN x0 ELSE x0 + CAST(floor((2 * (x1 - x0) * t + n) / (2 * n)) AS BIGINT) END AS col, (z, zy, zx, zy1, zx1, text, colour) AS o, colour FROM stepped UNION ALL
+                SELECT y0 + a, x0 + b, (2, y0, x0, y1, x1, '', colour), colour FROM cmds, (SELECT unnest(range(-6, 7)) AS a), (SELECT unnest(range(-6, 7)) AS b) WHERE kind = 'dot' AND a * a + b * b <= 36)""",
+            'SELECT "row", col, arg_max(colour, o) AS colour FROM covered WHERE "row" BETWEEN 0 AND 1079 AND col BETWEEN 0 AND 1919 GROUP BY "row", col'),
+        "png_pixels": 'SELECT "row", col, v FROM raster',
+        "jpeg_tiles": """SELECT ("row" // 16) || '-' || (col // 16) AS path, count(*) * 3 AS n, TRUE AS "close" FROM raster GROUP BY ALL""",
+        "inspect_images": ("""tiled AS (SELECT DISTINCT ("row" // 16) || '-' || (col // 16) AS path, "row" // 16 * 3 + col // 16 AS k FROM raster),
+            kinds(i, fmt) AS (VALUES (0, 'png'), (1, 'jpeg'), (2, 'ppm'))""",
+            """SELECT path || '.' || fmt AS path, CASE WHEN (k + i) % 7 <> 0 AND fmt <> 'ppm' THEN fmt END AS fmt, error_code, CAST(422 AS BIGINT) AS http_code FROM (SELECT *,
+            CASE WHEN (k + i) % 7 = 0 THEN 'empty' WHEN fmt = 'ppm' THEN 'format' WHEN (k + i) % 5 = 0 THEN 'decode' ELSE 'too_small' END AS error_code FROM tiled, kinds)"""),
         "asset_guard": ("""paths AS (SELECT regexp_replace(url, '^[a-z]+://[^/]*/?', '') AS path FROM pages UNION
             SELECT unnest(['../etc/passwd', 'a/../../b.png', '/abs.png', 'step_cards/step_0001.jpg', 'x.JPEG', 'noext', 'a.svg', 'dir.png/readme', '.jpg', 'C:x.png'])),
             parts AS (SELECT path, string_split(replace(path, chr(92), '/'), '/') AS s FROM paths)""",
