@@ -599,6 +599,12 @@ def bfs_order(v):
     return ordered(v).select("job_id", "step_num", "piece_id")
 
 
+@query
+def bfs_frontier(v):
+    """The same order, a level of all puzzles at a time."""
+    return sequence.frontier_order(v.seated()).select("job_id", "step_num", "piece_id", "level")
+
+
 @query
 def assembly_steps(v):
     return ordered(v).select("job_id", "step_num", "piece_id", "row", "col", "piece_type", "flagged")

@@ -208,6 +208,7 @@ def sql() -> dict[str, str]:
             "SELECT concat_ws('/', parent_id, child) AS mask_id, parent_id, true AS refined FROM valid WHERE parent_id IN (FROM many) UNION ALL SELECT CAST(mask_id AS VARCHAR), NULL, false FROM mask_rows WHERE mask_id NOT IN (FROM many)"),
         "bfs_levels": (BFS, "SELECT job_id, piece_id, CAST(level AS BIGINT) AS level FROM levels"),
         "unreached_anti": (BFS, "SELECT piece_id FROM seated WHERE piece_id NOT IN (SELECT piece_id FROM levels)"),
+        "bfs_frontier": (STEPS, "SELECT job_id, step_num, piece_id, level FROM steps LEFT JOIN (SELECT piece_id, any_value(level) AS level FROM ranked GROUP BY piece_id) USING (piece_id)"),
         "bfs_order": (STEPS, "SELECT job_id, step_num, piece_id FROM steps"),
         "assembly_steps": (STEPS, 'SELECT job_id, step_num, piece_id, "row", col, piece_type, confidence < 0.55 AS flagged FROM steps'),
         "candidate_rank": (f"{COARSE}, {FINE}", 'SELECT piece_id, "row", col, row_number() OVER (PARTITION BY piece_id ORDER BY round(fine, 9) DESC, rk) AS place FROM fine WHERE rot = 0'),
