@@ -173,6 +173,29 @@ def rotated(raster: DataFrame, shape: DataFrame, degrees: float, ground: float =
     return to.join(raster.select(F.col("row").alias("y"), F.col("col").alias("x"), "v"), ["y", "x"], "left").select("row", "col", F.coalesce("v", F.lit(ground)).alias("v"))
 
 
+def inner_distance(masks: DataFrame, image: str = "image") -> DataFrame:
+    """image, row, col, distance: the city-block distance of each set place to the nearest one that is not.
+
+    Two passes of windows: along the rows the distance to the ends of a run, then along the columns the least of these
+    with the way to them, upwards and downwards; a column's own ends count as well.  No window is larger than a row or a
+    column of an image.
+    """
+    m = masks.select(image, "row", "col").dropna().distinct()
+
+    def runs(df: DataFrame, along: str, across: str) -> tuple[DataFrame, Window]:
+        """Gapless runs along one axis."""
+        nth = F.row_number().over(Window.partitionBy(image, across).orderBy(along))
+        return df.withColumn("run", F.col(along) - nth), Window.partitionBy(image, across, "run")
+
+    m, w = runs(m, "col", "row")
+    m = m.withColumn("d", F.least(F.col("col") - F.min("col").over(w), F.max("col").over(w) - F.col("col")) + 1)
+    m, w = runs(m, "row", "col")
+    up, down = (w.orderBy(o).rowsBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.asc("row"), F.desc("row")))
+    ends = F.least(F.col("row") - F.min("row").over(w), F.max("row").over(w) - F.col("row")) + 1
+    near = F.least(F.min(F.col("d") - F.col("row")).over(up) + F.col("row"), F.min(F.col("d") + F.col("row")).over(down) - F.col("row"))
+    return m.select(image, "row", "col", F.least(ends, near).cast("long").alias("distance"))
+
+
 def watershed(masks: DataFrame, image: str = "image", share: float = 0.4) -> DataFrame:
     """image, row, col, part (from 1; 0 for islands that no core reaches): masks split at their necks; rows of an image are
     one piece's mask, which is bounded by the piece, and one worker floods it."""

@@ -472,11 +472,21 @@ def rotate_raster(v):
     return raster.rotated(v.raster(), grid.shape(v.cells()), 30)
 
 
+def tiled_mask(v: Views) -> DataFrame:
+    tile = F.floor(F.col("row") / 16) * 1_000_000 + F.floor(F.col("col") / 16)
+    return v.raster_mask().filter("m > 0").select(tile.cast("long").alias("image"), "row", "col")
+
+
 @query
 def watershed_split(v):
     """Masks of tiles of 16 by 16 places, split at their necks."""
-    tile = F.floor(F.col("row") / 16) * 1_000_000 + F.floor(F.col("col") / 16)
-    return raster.watershed(v.raster_mask().filter("m > 0").select(tile.cast("long").alias("image"), "row", "col"))
+    return raster.watershed(tiled_mask(v))
+
+
+@query
+def inner_distances(v):
+    """How deep each place lies in the mask of its tile."""
+    return raster.inner_distance(tiled_mask(v))
 
 
 @query

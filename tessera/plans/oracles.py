@@ -208,6 +208,10 @@ def sql() -> dict[str, str]:
             "SELECT concat_ws('/', parent_id, child) AS mask_id, parent_id, true AS refined FROM valid WHERE parent_id IN (FROM many) UNION ALL SELECT CAST(mask_id AS VARCHAR), NULL, false FROM mask_rows WHERE mask_id NOT IN (FROM many)"),
         "bfs_levels": (BFS, "SELECT job_id, piece_id, CAST(level AS BIGINT) AS level FROM levels"),
         "unreached_anti": (BFS, "SELECT piece_id FROM seated WHERE piece_id NOT IN (SELECT piece_id FROM levels)"),
+        "inner_distances": ("""px AS (SELECT "row" // 16 * 1000000 + col // 16 AS image, "row", col FROM raster_mask WHERE m > 0),
+            free AS (SELECT t.image, a + t.r0 AS "row", b + t.c0 AS col FROM (SELECT DISTINCT image, "row" // 16 * 16 AS r0, col // 16 * 16 AS c0 FROM px) t, (SELECT unnest(range(-1, 17)) AS a), (SELECT unnest(range(-1, 17)) AS b)
+                EXCEPT SELECT image, "row", col FROM px)""",
+            'SELECT p.image, p."row", p.col, min(abs(p."row" - f."row") + abs(p.col - f.col)) AS distance FROM px p JOIN free f USING (image) GROUP BY ALL'),
         "bfs_frontier": (STEPS, "SELECT job_id, step_num, piece_id, level FROM steps LEFT JOIN (SELECT piece_id, any_value(level) AS level FROM ranked GROUP BY piece_id) USING (piece_id)"),
         "bfs_order": (STEPS, "SELECT job_id, step_num, piece_id FROM steps"),
         "assembly_steps": (STEPS, 'SELECT job_id, step_num, piece_id, "row", col, piece_type, confidence < 0.55 AS flagged FROM steps'),
