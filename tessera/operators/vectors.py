@@ -76,9 +76,9 @@ def max_sim(pairs: DataFrame, left: DataFrame, right: DataFrame, left_ids: list[
     return joined.mapInArrow(run, schema)
 
 
-def token_windows(n_rows: int, n_cols: int, height: int | Column, width: int | Column, df: DataFrame) -> DataFrame:
+def token_windows(n_rows: int | Column, n_cols: int | Column, height: int | Column, width: int | Column, df: DataFrame) -> DataFrame:
     """row, col, r0, r1, c0, c1: token ranges of each cell with an overlap of a tenth; df is the frame of row, col."""
-    def ends(i, n: int, size: int | Column):
+    def ends(i, n: int | Column, size: int | Column):
         size = size if isinstance(size, Column) else F.lit(size)
         step = size / n
         over = F.greatest(F.lit(1), F.floor(step * 0.10))

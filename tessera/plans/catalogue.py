@@ -82,9 +82,10 @@ def mean_pool_cls(v):
 
 @query
 def token_cell_overlap(v):
-    frame = v.spark.range(5).withColumnRenamed("id", "row").join(v.spark.range(6).withColumnRenamed("id", "col"))
-    w = vectors.token_windows(5, 6, 37, 37, frame)
-    return w.withColumn("n_tokens", (F.col("r1") - F.col("r0")) * (F.col("c1") - F.col("c0")))
+    """Windows of every place of the grid on a token grid of some more than three tokens a place."""
+    at = v.cells().select("row", "col").join(F.broadcast(grid.shape(v.cells())))
+    w = vectors.token_windows(F.col("n_rows"), F.col("n_cols"), 3 * F.col("n_rows") + 7, 3 * F.col("n_cols") + 5, at)
+    return w.withColumn("n_tokens", (F.col("r1") - F.col("r0")) * (F.col("c1") - F.col("c0"))).drop("n_rows", "n_cols")
 
 
 @query
@@ -224,8 +225,10 @@ def grid_shape_search(v):
 
 @query
 def grid_override_check(v):
-    rows = v.spark.sql("SELECT * FROM VALUES (27L, 37L, 1000L), (1L, 10L, 10L), (200L, 10L, 2000L), (20L, 20L, 1000L), (25L, 40L, 1000L) AS t(rows, cols, piece_count)")
-    return rounded(grid.override_check(rows).select("rows", "cols", "status", "diff_pct"), "diff_pct")
+    """Every customer's wish for a grid, against a number of pieces."""
+    k = F.col("c_custkey")
+    wish = v.table("customer").select(k.alias("id"), (1 + k % 110).cast("long").alias("rows"), (1 + (k * 7) % 40).cast("long").alias("cols"), (10 + (k * 13) % 1500).cast("long").alias("piece_count"))
+    return rounded(grid.override_check(wish).select("id", "rows", "cols", "status", "diff_pct"), "diff_pct")
 
 
 @query

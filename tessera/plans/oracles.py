@@ -133,8 +133,9 @@ def sql() -> dict[str, str]:
         "l2_normalize": f"SELECT vec_id, t AS tok, d AS dim, {r('u[t + 1][d + 1]', 'val')} FROM (SELECT vec_id, {UNIT.format('v')} AS u FROM vectors), (SELECT unnest(range(8)) AS t), (SELECT unnest(range(8)) AS d)",
         "mean_pool_cls": f"""SELECT "row", col, dim, {r("CASE WHEN l > 0 THEN x / l ELSE x END", "val")} FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY "row", col)) AS l FROM (
             SELECT "row", col, d AS dim, avg(cls[8 * t + d + 1]) AS x FROM cells, (SELECT unnest(range(8)) AS t), (SELECT unnest(range(8)) AS d) GROUP BY ALL))""",
-        "token_cell_overlap": """SELECT "row", col, (r1 - r0) * (c1 - c0) AS n_tokens, r0, r1, c0, c1 FROM (SELECT "row", col, CAST(greatest(0, floor("row" * 37 / 5) - 1) AS BIGINT) AS r0, CAST(least(37, floor(("row" + 1) * 37 / 5) + 1) AS BIGINT) AS r1,
-            CAST(greatest(0, floor(col * 37 / 6) - 1) AS BIGINT) AS c0, CAST(least(37, floor((col + 1) * 37 / 6) + 1) AS BIGINT) AS c1 FROM (SELECT unnest(range(5)) AS "row"), (SELECT unnest(range(6)) AS col))""",
+        "token_cell_overlap": ("""steps AS (SELECT *, (3 * n_rows + 7) / n_rows AS sr, (3 * n_cols + 5) / n_cols AS sc FROM cells, shape)""", """SELECT "row", col, (r1 - r0) * (c1 - c0) AS n_tokens, r0, r1, c0, c1 FROM (SELECT "row", col,
+            CAST(greatest(0, floor("row" * sr) - greatest(1, floor(sr * 0.1::DOUBLE))) AS BIGINT) AS r0, CAST(least(3 * n_rows + 7, floor(("row" + 1) * sr) + greatest(1, floor(sr * 0.1::DOUBLE))) AS BIGINT) AS r1,
+            CAST(greatest(0, floor(col * sc) - greatest(1, floor(sc * 0.1::DOUBLE))) AS BIGINT) AS c0, CAST(least(3 * n_cols + 5, floor((col + 1) * sc) + greatest(1, floor(sc * 0.1::DOUBLE))) AS BIGINT) AS c1 FROM steps)"""),
         "fine_maxsim": (f"{COARSE}, {FINE}", f'SELECT piece_id, "row", col, {r("fine", "fine")} FROM fine WHERE rot = 0'),
         "coarse_to_fine": (f"{COARSE}, {FINE}", f'SELECT piece_id, rot, "row", col, {r("coarse", "coarse")}, {r("fine", "fine")} FROM fine'),
         "flat_side_score": (CANDIDATES, 'SELECT DISTINCT piece_id, "row", col, CAST(expected AS BIGINT) AS expected, flat FROM candidates'),
@@ -155,8 +156,8 @@ def sql() -> dict[str, str]:
                 WHERE floor(rf) + i BETWEEN 2 AND 100 AND floor(cf) + j BETWEEN 2 AND 100
                 UNION ALL SELECT key, n, cf, rf, CAST(round_even(rf, 0) AS BIGINT), CAST(round_even(cf, 0) AS BIGINT), 0 FROM counts)""",
             f"""SELECT key, r AS rows, c AS cols, {r("abs(r * c - n) / n * 100", "diff_pct")} FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY abs(r * c - n), abs(CASE WHEN r > 0 THEN c / r ELSE 0 END - cf / rf), seq, r, c) AS k FROM tried) WHERE k = 1"""),
-        "grid_override_check": f"""SELECT rows, cols, CASE WHEN rows NOT BETWEEN 2 AND 100 OR cols NOT BETWEEN 2 AND 100 THEN 'out_of_range' WHEN d > 15 THEN 'high_deviation' ELSE 'ok' END AS status, {r("d", "diff_pct")} FROM (
-            SELECT *, abs(rows * cols - n) / n * 100 AS d FROM (VALUES (27::BIGINT, 37::BIGINT, 1000), (1, 10, 10), (200, 10, 2000), (20, 20, 1000), (25, 40, 1000)) AS t(rows, cols, n))""",
+        "grid_override_check": f"""SELECT id, rows, cols, CASE WHEN rows NOT BETWEEN 2 AND 100 OR cols NOT BETWEEN 2 AND 100 THEN 'out_of_range' WHEN d > 15 THEN 'high_deviation' ELSE 'ok' END AS status, {r("d", "diff_pct")} FROM (
+            SELECT *, abs(rows * cols - n) / n * 100 AS d FROM (SELECT c_custkey AS id, 1 + c_custkey % 110 AS rows, 1 + c_custkey * 7 % 40 AS cols, 10 + c_custkey * 13 % 1500 AS n FROM customer))""",
         "infer_grid_shape": "SELECT n_rows, n_cols FROM shape",
         "grid_pixel_map": """SELECT "row", col, x, y, CAST(greatest(0, least(floor(y / (1080.0::DOUBLE / n_rows)), n_rows - 1)) AS BIGINT) AS back_row, CAST(greatest(0, least(floor(x / (1920.0::DOUBLE / n_cols)), n_cols - 1)) AS BIGINT) AS back_col
             FROM (SELECT *, CAST(floor(col * (1920.0::DOUBLE / n_cols)) AS BIGINT) AS x, CAST(floor("row" * (1080.0::DOUBLE / n_rows)) AS BIGINT) AS y FROM vectors, shape)""",
@@ -201,6 +202,10 @@ def sql() -> dict[str, str]:
         "pca_orientation": f"SELECT user_id, {r('CASE WHEN a < 0 THEN a + 180 ELSE a END', 'angle_mod180')} FROM (SELECT user_id, degrees(0.5 * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y))) AS a FROM contours GROUP BY 1)",
         "mask_area_filter": "SELECT mask_id, CASE WHEN area NOT BETWEEN 1000 AND 200000 THEN 'area' WHEN solidity < 0.60 THEN 'solidity' WHEN (CASE WHEN h > 0 THEN w / h ELSE 0 END) NOT BETWEEN 0.20 AND 5.0 THEN 'aspect' ELSE 'kept' END AS kept_reason FROM mask_rows",
         "overlap_coefficient": (OVERLAP, f"SELECT a, b, inter, {r('ov', 'ov')} FROM over_ WHERE ov > 0.30"),
+        "dedup_overlap": (f"""{OVERLAP}, scored AS (SELECT DISTINCT mask_id, -solidity AS s FROM mask_rows), links AS MATERIALIZED (SELECT a, b FROM over_ WHERE ov > 0.30 UNION ALL SELECT b, a FROM over_ WHERE ov > 0.30),
+            arcs AS MATERIALIZED (SELECT a AS weak, b AS strong FROM links JOIN scored x ON x.mask_id = a JOIN scored y ON y.mask_id = b WHERE (y.s, b) < (x.s, a)),
+            rounds(k, m, st) AS (SELECT 0, mask_id, 0 FROM scored UNION ALL SELECT r.k + 1, r.m, CASE WHEN r.st <> 0 THEN r.st WHEN bool_or(coalesce(s.st = 1, FALSE)) THEN 2 WHEN bool_or(coalesce(s.st = 0, FALSE)) THEN 0 ELSE 1 END
+                FROM rounds r LEFT JOIN arcs ON weak = r.m LEFT JOIN rounds s ON s.m = strong WHERE (SELECT count(*) FROM rounds WHERE st = 0) > 0 GROUP BY r.k, r.m, r.st)""", "SELECT m AS mask_id FROM rounds WHERE k = (SELECT max(k) FROM rounds) AND st = 1"),
         "connected_components": (f"""{OVERLAP}, links AS MATERIALIZED (SELECT a, b FROM over_ WHERE ov > 0.5 AND inter >= 2 UNION SELECT b, a FROM over_ WHERE ov > 0.5 AND inter >= 2),
             reach(node, root) AS (SELECT a, a FROM links UNION SELECT b, root FROM reach JOIN links ON a = node)""", "SELECT component, count(*) AS n FROM (SELECT node, min(root) AS component FROM reach GROUP BY node) GROUP BY component"),
         "split_replace_union": ("""children AS (SELECT DISTINCT l_orderkey AS parent_id, concat_ws('-', l_linenumber, l_partkey, l_suppkey) AS child, CAST(floor(l_extendedprice) AS BIGINT) AS area FROM lineitem),

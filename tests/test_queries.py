@@ -38,7 +38,7 @@ def test_matches_sql(spark, duck, name):
 
 
 def test_every_query_has_sql_or_a_test_of_its_own():
-    own = {"assignment_optimal", "swap_step", "swap_search", "dedup_overlap", "contour_shapes", "watershed_split"}
+    own = {"assignment_optimal", "swap_step", "swap_search", "contour_shapes", "watershed_split"}
     assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == own
 
 
