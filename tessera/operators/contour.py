@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import kernels
+from tessera.operators.outline import hull_corners, hulls
 
 
 def _wrapped(points: DataFrame, id_: str) -> DataFrame:
@@ -126,6 +127,29 @@ def shapes(points: DataFrame, id_: str) -> DataFrame:
     return points.select(id_, "idx", "x", "y").groupBy(id_).applyInPandas(run, f"{id_} long, solidity double, merged boolean, corners array<long>")
 
 
+def dents(points: DataFrame, id_: str, share: float = 0.08) -> DataFrame:
+    """id, solidity (area over that of the hull), dent (the deepest point below an edge of the hull that bridges it), merged
+    (whether that is deeper than its share of the perimeter).
+
+    Hulls are put together from partial ones; along the outline every point finds the hull's corners before and after it,
+    round the end of the list as well, so no worker holds an outline.
+    """
+    corner = hull_corners(points, id_, "x", "y").withColumn("hull", F.lit(True))
+    w = Window.partitionBy(id_).orderBy("idx")
+    past, ahead = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    p = points.select(F.col(id_).cast("long").alias(id_), "idx", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).join(corner, [id_, "x", "y"], "left")
+    on = F.when(F.col("hull"), F.struct("x", "y"))
+    p = p.withColumns({"a": F.coalesce(F.last(on, True).over(past), F.last(on, True).over(whole)), "b": F.coalesce(F.first(on, True).over(ahead), F.first(on, True).over(whole))})
+    ex, ey, mx, my = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y"), F.col("x") - F.col("a.x"), F.col("y") - F.col("a.y")
+    n = F.sqrt(ex * ex + ey * ey)
+    deep = F.when(n > 0, F.abs(ex * my - ey * mx) / F.when(n > 0, n)).otherwise(F.sqrt(mx * mx + my * my))
+    dent = p.groupBy(id_).agg(F.max(F.when(F.col("hull").isNull(), deep)).alias("dent"))
+    out = polygons(points, id_).join(hulls(points, id_, "x", "y"), id_).join(dent, id_)
+    depth = F.when(F.col("hull_area") > 0, F.coalesce("dent", F.lit(0.0))).otherwise(0.0)
+    return out.select(id_, F.when(F.col("hull_area") > 0, F.col("area") / F.col("hull_area")).otherwise(0.0).alias("solidity"), depth.alias("dent"), (depth > share * F.col("perimeter")).alias("merged"))
+
+
 def analysed(sides: DataFrame, ids: list[str], n_in: int, n_out: int, flat: float) -> DataFrame:
     """ids, is_flat, peak, profile (n_out samples of the centred curve): centring, sampling and class of every side at
     once; a piece's ids but the last, which numbers its sides, say whose they are."""

@@ -87,25 +87,37 @@ def outlines(mask: DataFrame) -> DataFrame:
     return at.join(area, "loop").select("component", "loop", (F.col("area") > 0).alias("outer"), "idx", "y", "x", "row", "col")
 
 
-def hulls(points: DataFrame, id_: str) -> DataFrame:
-    """id, hull_area of the points (row, col) of each id.
+def hull_corners(points: DataFrame, id_: str, x: str = "col", y: str = "row") -> DataFrame:
+    """id, x, y of the corners of the convex hull of each id's points.
 
     A hull of hulls is the hull: every batch of rows sends only the corners of its own, so what meets is a few points a
     task however many an outline has.
     """
+    schema = f"{id_} long, {x} double, {y} double"
+
+    def of(key, p: pd.DataFrame) -> pd.DataFrame:
+        h = kernels.convex_hull(p[[x, y]].to_numpy(float))
+        return pd.DataFrame({id_: np.full(len(h), key), x: h[:, 0], y: h[:, 1]})
 
     def corners(batches):
         for p in batches:
-            parts = [pd.DataFrame({id_: key, "row": h[:, 0], "col": h[:, 1]}) for key, q in p.groupby(id_) if len(h := kernels.convex_hull(q[["row", "col"]].to_numpy(float)))]
-            if parts:
-                yield pd.concat(parts)
-
-    def merged(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        hull = kernels.convex_hull(p[["row", "col"]].to_numpy(float))
-        return pd.DataFrame({id_: [key[0]], "hull_area": [kernels.polygon_area(hull) if len(hull) > 2 else 0.0]})
-
-    some = points.select(F.col(id_).cast("long").alias(id_), F.col("row").cast("double").alias("row"), F.col("col").cast("double").alias("col")).distinct()
-    return some.mapInPandas(corners, f"{id_} long, row double, col double").groupBy(id_).applyInPandas(merged, f"{id_} long, hull_area double")
+            if len(p):
+                yield pd.concat([of(key, q) for key, q in p.groupby(id_)])
+
+    some = points.select(F.col(id_).cast("long").alias(id_), F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)).dropna().distinct()
+    return some.mapInPandas(corners, schema).groupBy(id_).applyInPandas(lambda key, p: of(key[0], p), schema)
+
+
+def hulls(points: DataFrame, id_: str, x: str = "col", y: str = "row") -> DataFrame:
+    """id, hull_area of the points of each id: the corners' polygon, in order of their angle around their mean."""
+    c = hull_corners(points, id_, x, y)
+    mean = c.groupBy(id_).agg(F.avg(x).alias("mx"), F.avg(y).alias("my"))
+    at = c.join(mean, id_).select(id_, (F.col(x) - F.col("mx")).alias("u"), (F.col(y) - F.col("my")).alias("v"))
+    ring = at.groupBy(id_).agg(F.array_sort(F.collect_list(F.struct(F.atan2("v", "u").alias("t"), "u", "v"))).alias("p"))
+    nxt = lambda i: F.element_at("p", (i + 1) % F.size("p") + 1)
+    parts = F.transform("p", lambda a, i: a["u"] * nxt(i)["v"] - nxt(i)["u"] * a["v"])
+    area = F.aggregate(parts, F.lit(0.0), lambda s, z: s + z) / 2
+    return ring.select(id_, F.when(F.size("p") > 2, F.abs(area)).otherwise(0.0).alias("hull_area"))
 
 
 def described(mask: DataFrame) -> DataFrame:

@@ -554,6 +554,12 @@ def contour_shapes(v):
     return rounded(contour.shapes(v.contours(), "user_id"), "solidity")
 
 
+@query
+def contour_dents(v):
+    """Solidity and the deepest dent of every contour, and whether it is deep enough for two merged pieces."""
+    return rounded(contour.dents(v.contours(), "user_id"), "solidity", "dent")
+
+
 @query
 def polygon_area_perimeter(v):
     return rounded(contour.polygons(v.contours(), "user_id"), "area", "perimeter", "compactness")

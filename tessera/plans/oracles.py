@@ -265,6 +265,18 @@ def sql() -> dict[str, str]:
             JOIN (SELECT vec_id, side, sum(abs(a.k + (b.k - a.k) * (p - lo))) AS size, max(b.k) FILTER (s = 31) AS last FROM (SELECT s, s * 15 / 31.0::DOUBLE AS p, CAST(floor(s * 15 / 31.0::DOUBLE) AS BIGINT) AS lo FROM (SELECT unnest(range(32)) AS s)),
                 (SELECT * REPLACE (k - avg(k) OVER (PARTITION BY vec_id, side) AS k) FROM sides) a JOIN (SELECT * REPLACE (k - avg(k) OVER (PARTITION BY vec_id, side) AS k) FROM sides) b USING (vec_id, side)
                 WHERE a.idx = lo AND b.idx = least(lo + 1, 15) GROUP BY vec_id, side) USING (vec_id, side)"""),
+        "contour_dents": (WRAP + """, pts AS (SELECT DISTINCT user_id, x, y FROM contours),
+            edges AS (SELECT p.user_id, p.x AS x1, p.y AS y1, q.x AS x2, q.y AS y2 FROM pts p JOIN pts q ON p.user_id = q.user_id AND (p.x, p.y) <> (q.x, q.y)
+                WHERE NOT EXISTS (SELECT 1 FROM pts z WHERE z.user_id = p.user_id AND ((q.x - p.x) * (z.y - p.y) - (q.y - p.y) * (z.x - p.x) < 0
+                    OR ((q.x - p.x) * (z.y - p.y) - (q.y - p.y) * (z.x - p.x) = 0 AND ((z.x - p.x) * (q.x - p.x) + (z.y - p.y) * (q.y - p.y) < 0 OR (z.x - p.x) ** 2 + (z.y - p.y) ** 2 > (q.x - p.x) ** 2 + (q.y - p.y) ** 2))))),
+            hull AS (SELECT user_id, sum(x1 * y2 - x2 * y1) / 2 AS hull_area, count(*) AS n FROM edges GROUP BY user_id),
+            marked AS (SELECT c.user_id, idx, c.x, c.y, CASE WHEN e.user_id IS NOT NULL THEN idx END AS h FROM contours c LEFT JOIN (SELECT DISTINCT user_id, x1, y1 FROM edges) e ON e.user_id = c.user_id AND x1 = c.x AND y1 = c.y),
+            between_ AS (SELECT *, coalesce(last_value(h IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), max(h) OVER (PARTITION BY user_id)) AS i, coalesce(first_value(h IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), min(h) OVER (PARTITION BY user_id)) AS j FROM marked WINDOW w AS (PARTITION BY user_id ORDER BY idx)),
+            depths AS (SELECT m.user_id, max(CASE WHEN (b.x - a.x) ** 2 + (b.y - a.y) ** 2 > 0 THEN abs((b.x - a.x) * (m.y - a.y) - (b.y - a.y) * (m.x - a.x)) / sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) ELSE sqrt((m.x - a.x) ** 2 + (m.y - a.y) ** 2) END) AS d
+                FROM between_ m JOIN contours a ON a.user_id = m.user_id AND a.idx = m.i JOIN contours b ON b.user_id = m.user_id AND b.idx = m.j WHERE h IS NULL GROUP BY m.user_id),
+            shaped AS (SELECT user_id, abs(sum(x * yn - xn * y)) / 2 AS area, sum(sqrt((xn - x) ** 2 + (yn - y) ** 2)) AS perimeter FROM wrapped GROUP BY user_id),
+            full_ AS (SELECT *, CASE WHEN n > 2 AND hull_area > 0 THEN area / hull_area ELSE 0 END AS so, CASE WHEN n > 2 AND hull_area > 0 THEN coalesce(d, 0) ELSE 0 END AS de FROM shaped LEFT JOIN hull USING (user_id) LEFT JOIN depths USING (user_id))""",
+            f"""SELECT user_id, {r("so", "solidity")}, {r("de", "dent")}, de > 0.08 * perimeter AS merged FROM full_"""),
         "largest_contour": (WRAP, f"""SELECT image, user_id AS contour, {r("area", "area")} FROM (SELECT *, row_number() OVER (PARTITION BY image ORDER BY round(area, 6) DESC, user_id) AS n
             FROM (SELECT user_id, user_id % 10 AS image, abs(sum(x * yn - xn * y)) / 2 AS area FROM wrapped GROUP BY user_id)) WHERE n = 1"""),
         "missing_files": """SELECT page_id AS id, regexp_replace(url, '^[a-z]+://[^/]*/?', '') AS path FROM pages WHERE regexp_replace(url, '^[a-z]+://[^/]*/?', '') NOT IN (SELECT regexp_replace(url, '^[a-z]+://[^/]*/?', '') FROM pages WHERE page_id % 7 <> 0)""",

@@ -115,3 +115,19 @@ def test_crops_hold_their_piece_alone(spark):
     assert len(got) == 3 * 4 + 3 * 3
     assert got[0, 1, 1] == (22, 255) and got[0, 1, 2] == (23, 255) and got[0, 0, 0] == (11, 0) and got[1, 1, 1] == (44, 255) and got[1, 0, 0] == (33, 0)
     assert sum(a > 0 for _, a in got.values()) == 3
+
+
+def test_dents_against_the_kernel(spark):
+    from tessera.operators import contour
+
+    rng = np.random.default_rng(8)
+    shapes = {1: [(0, 0), (10, 0), (10, 10), (5, 4), (0, 10)], 2: [(0, 0), (4, 0), (4, 4), (0, 4)], 3: [(0, 0), (1, 1)], 4: [(2, 2)], 5: [(0, 0), (1, 1), (2, 2)], 6: [(5, 4), (0, 10), (0, 0), (10, 0), (10, 10)]}
+    shapes |= {10 + i: [tuple(x) for x in rng.integers(0, 30, (rng.integers(3, 40), 2)).tolist()] for i in range(30)}
+    rows = [(k, i, float(x), float(y)) for k, p in shapes.items() for i, (x, y) in enumerate(p)]
+    got = {r["id"]: r for r in contour.dents(spark.createDataFrame(rows, "id long, idx long, x double, y double").repartition(7), "id").collect()}
+    assert set(got) == set(shapes)
+    for k, p in shapes.items():
+        p = np.array(p, float)
+        assert got[k]["solidity"] == pytest.approx(kernels.solidity(p)), k
+        assert got[k]["merged"] == kernels.has_deep_defect(p), k
+    assert got[1]["dent"] == got[6]["dent"] == pytest.approx(6.0)
