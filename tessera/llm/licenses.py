@@ -54,7 +54,8 @@ TEMPLATES = (
 
 @dataclass(frozen=True)
 class Params:
-    """widest must be a power of four."""
+    """widest must be a power of four; up to broadcast_keys keys of templates are sent to all tasks, more are joined by a
+    shuffle."""
 
     shingle: int = 5
     threshold: float = 0.8
@@ -62,6 +63,7 @@ class Params:
     bands: int = 6
     slack: float = 0.25
     most: int = 10_000
+    broadcast_keys: int = 500_000
 
     @property
     def widths(self) -> list[int]:
@@ -175,6 +177,7 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, p: Params = Params
         keys = h.filter(F.col("width") == w).select(F.explode(template_keys(F.col("h"), w, p)).alias("key"), "template").distinct()
         index = index.unionByName(keys.select(none.cast("int").alias("offset"), "key", "template", none.cast("string").alias("license"), none.cast("int").alias("n"), F.lit(False).alias("hit"), F.lit(True).alias("retrieves")))
     index = materialize(index, "template-keys")
+    near = F.broadcast if index.count() <= p.broadcast_keys else lambda df: df
 
     node = F.md5(F.coalesce(F.col(text), F.lit("")))
     rid = F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), node)))
@@ -183,7 +186,7 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, p: Params = Params
     keys = _given(F.col("h"), lambda a: F.struct(F.size(a).alias("size"), F.concat(a, text_keys(a, widths, p)).alias("keys")))
     # An outer explode keeps the optimiser from computing the arrays once more in an inferred filter.
     each = rows.select("rid", "doc_id", keys.alias("x")).select("rid", "doc_id", "x.size", F.posexplode_outer("x.keys").alias("pos", "key"))
-    met = each.join(F.broadcast(index), "key").filter(F.col("hit") == (F.col("pos") < F.col("size")))  # bounded by p.most templates
+    met = each.join(near(index), "key").filter(F.col("hit") == (F.col("pos") < F.col("size")))
     found = materialize(met.drop("key", "size"), "found")
     retrieved = found.filter("retrieves").select("rid", "template").distinct()
     hits = found.filter("hit").select("rid", "doc_id", "template", "license", "n", "pos", "offset").distinct().join(retrieved, ["rid", "template"], "left_semi")
@@ -193,7 +196,7 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, p: Params = Params
     placed = hits.withColumn("place", F.sum(F.coalesce(gap, F.lit(True)).cast("int")).over(order))
     # A shingle's places in the template tell shingles apart: the first stands for all of them.
     first = pieces.groupBy("template", "key").agg(F.min("offset").alias("least"), F.collect_list("offset").alias("offsets")).select("template", "least", F.explode("offsets").alias("offset"))
-    placed = placed.join(F.broadcast(first), ["template", "offset"])
+    placed = placed.join(near(first), ["template", "offset"])  # no more rows than the index has
     per = placed.groupBy("rid", "template", "place").agg(F.first("doc_id").alias("doc_id"), F.first("license").alias("license"), F.min("pos").cast("long").alias("first_word"), (F.max("pos") + p.shingle - 1).cast("long").alias("last_word"), (F.countDistinct("least") / F.first("n")).alias("containment"))
     return per.filter(F.col("containment") >= p.threshold).select("doc_id", "template", "license", "first_word", "last_word", "containment")
 

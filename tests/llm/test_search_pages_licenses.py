@@ -182,6 +182,27 @@ def test_licences(spark, odd_docs):
     assert licenses.scan(odd_docs.limit(0)).count() == 0
 
 
+def test_long_templates_come_through_windows_of_sixteen(spark):
+    """Full texts of hundreds of words, copied with an edit every 40 words and with parts left out; a shuffled index finds
+    the same."""
+    rng = np.random.default_rng(11)
+    vocabulary = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(3000)]
+    texts = [rng.choice(vocabulary, n).tolist() for n in (400, 900, 2500)]
+    known = licenses.template_table(spark, [(f"full-{i}", "X", " ".join(w)) for i, w in enumerate(texts)])
+    docs, want = [], set()
+    for i, w in enumerate(texts):
+        edited = [x if k % 40 else "edited" for k, x in enumerate(w)]  # 5 of 40 shingles differ
+        docs += [(10 * i, "before " + " ".join(edited) + " after"), (10 * i + 1, " ".join(w[: len(w) // 2])), (10 * i + 2, " ".join(w[: int(0.9 * len(w))]))]
+        want |= {(10 * i, f"full-{i}"), (10 * i + 2, f"full-{i}")}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    p = licenses.Params()
+    assert {r[0] for r in known.select(licenses.template_width(F.size(licenses.shingles(F.col("text"), p)), p)).collect()} == {16}
+    rows = licenses.scan(df, known)
+    assert {(r["doc_id"], r["template"]) for r in rows.collect()} == want
+    again = licenses.scan(df, known, licenses.Params(broadcast_keys=0))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, rows.collect()))
+
+
 def test_bands_of_all_widths(spark):
     """Registers by halves against minima over whole windows; copies of a template's part collide wherever they begin."""
     p = licenses.Params()
