@@ -7,6 +7,7 @@ ordered by ids; repeated rows are rows of their own; empty tables give no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +19,13 @@ from tessera.functions.vector import dot, norm, shift, unit
 from tessera.operators import pivots
 
 
-def top_cosine(queries: DataFrame, keys: DataFrame, k: int, query_ids: list[str], key_ids: list[str], query_vec: str = "cls", key_vec: str = "cls", p: pivots.Params = pivots.Params()) -> DataFrame:
+def top_cosine(queries: DataFrame, keys: DataFrame, k: int, query_ids: list[str], key_ids: list[str], query_vec: str = "cls", key_vec: str = "cls", block: int | None = None, p: pivots.Params = pivots.Params()) -> DataFrame:
     """Each query's k nearest keys by cosine: query_ids, key_ids, coarse, rk; ties by key_ids.
 
-    Queries meet the cells of keys that their bounds leave, see pivots.  Vectors of length 0 have cosine 0.
+    Queries meet the cells of keys that their bounds leave, see pivots; block: keys of a block, if not p's.  Vectors of
+    length 0 have cosine 0.
     """
+    p = p if block is None else replace(p, block=block, least_block=min(block, p.least_block))
     return pivots.top(queries, keys, k, query_ids, key_ids, query_vec, key_vec, p)
 
 
