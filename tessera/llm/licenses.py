@@ -6,7 +6,7 @@ register each.  A template is indexed by its windows at every offset, of the wid
 holds one whole wherever it begins; so some window of a copy equals one of the template's, and at similarity s a window
 of the widest kind collides with probability 1 - (1 - s) ** `bands`, that is 0.999936 at 0.8.  (A window of one shingle
 has one band, of four four: what they lack in bands they make up by their number.)  Minima of a window are those of its
-two halves, so all widths cost three steps a shingle and band.
+two halves.  Blocks of half the widest window are rows, whose minima compiled code takes.
 
 Retrieved templates are then verified: the share of a template's distinct shingles that stand in one place of the text,
 where a place is a run of hits whose offsets against the template differ by `slack` of its length at most.
@@ -111,31 +111,48 @@ def _each(count: Column, f) -> Column:
     return F.when(count > 0, full).otherwise(F.array().cast(EMPTY))
 
 
-def text_keys(h: Column, widths: list[int], p: Params) -> Column:
-    """Keys of all bands of a text's windows of these widths above 1, which begin at every half of their width."""
+def block(widths: list[int]) -> tuple[int, int]:
+    """Shingles from one block of a text to the next, and shingles that a block's windows reach over."""
     last = max(widths, default=1)
+    step = max(8, last // 2)
+    return step, step + last // 2
+
+
+def block_starts(h: Column, widths: list[int]) -> Column:
+    """First shingle of each block; empty without shingles."""
+    step = block(widths)[0]
+    return F.when(F.size(h) > 0, F.sequence(F.lit(0), F.greatest(F.size(h) - 1, F.lit(0)), F.lit(step))).otherwise(F.array().cast("array<int>"))
+
 
-    def above(least: Column, width: int, j: int) -> Column:
-        """Keys of windows twice as wide and wider; least: registers of windows of `width`."""
-        wider = 2 * width
-        if wider > last:
-            return F.array().cast(EMPTY)
-        step = max(1, wider // 2)
-        count = F.floor((F.size(h) - wider) / step).cast("int") + 1
-        # Windows of one and two shingles begin at every shingle, wider ones at every half of their width.
-        at = (lambda i: i) if width == 1 else (lambda i: 2 * i)
-        minima = _each(count, lambda i: F.least(F.get(least, at(i)), F.get(least, at(i) + (1 if width == 1 else 2))))
+def block_keys(x: list[Column], widths: list[int], p: Params) -> list[tuple[int, Column]]:
+    """Keys of all bands of the windows of these widths above 1 that begin in a block, each with the shingles that the
+    block must have for it; x: the block's shingles, whatever number where the text has ended."""
+    last, step, keys = max(widths, default=1), block(widths)[0], []
+    for j in range(p.bands_of(last) if last > 1 else 0):
+        # Least of every `width` / 2 neighbours; windows begin at every half of their width.
+        least, width = [c.bitwiseXOR(F.lit(_mask(j))) for c in x], 2
+        while width <= last:
+            half = width // 2
+            if width in widths and j < p.bands_of(width):
+                keys += [(i * half + width, _key(F.least(least[i], least[i + 1]), width, j)) for i in range(step // half)]
+            least, width = [F.least(*y) for y in zip(least[::2], least[1::2], strict=False)], 2 * width
+    return keys
 
-        def given(m: Column) -> Column:
-            more = above(m, wider, j)
-            return F.concat(F.transform(m, lambda x: _key(x, wider, j)), more) if wider in widths and j < p.bands_of(wider) else more
 
-        return _given(minima, given)
+def _block_at(h: Column, at: Column, widths: list[int]) -> list[Column]:
+    return [F.coalesce(F.get(h, at + k), F.lit(0).cast("long")) for k in range(block(widths)[1])]
+
+
+def text_keys(h: Column, widths: list[int], p: Params) -> Column:
+    """Keys of all blocks of a text in one array."""
+    if max(widths, default=1) == 1:
+        return F.array().cast(EMPTY)
 
-    def chain(j: int) -> Column:
-        return _given(F.transform(h, lambda x: x.bitwiseXOR(F.lit(_mask(j)))), lambda a: above(a, 1, j))
+    def of(at: Column) -> Column:
+        keys = block_keys(_block_at(h, at, widths), widths, p)
+        return F.array_compact(F.array(*[F.when(need <= F.size(h) - at, key) for need, key in keys]))
 
-    return F.concat(*[chain(j) for j in range(p.bands_of(last))]) if last > 1 else F.array().cast(EMPTY)
+    return F.flatten(F.transform(block_starts(h, widths), of))
 
 
 def template_width(n: Column, p: Params) -> Column:
@@ -182,12 +199,19 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, p: Params = Params
     node = F.md5(F.coalesce(F.col(text), F.lit("")))
     rid = F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), node)))
     rows = docs.select(rid.alias("rid"), F.col(doc_id).alias("doc_id"), shingles(F.col(text), p).alias("h"))
-    # Places up to size(h) hold the shingles, those after them the bands.
-    keys = _given(F.col("h"), lambda a: F.struct(F.size(a).alias("size"), F.concat(a, text_keys(a, widths, p)).alias("keys")))
+    # A row a block: compiled code takes a block's minima, where functions of whole arrays are interpreted by element.
     # An outer explode keeps the optimiser from computing the arrays once more in an inferred filter.
-    each = rows.select("rid", "doc_id", keys.alias("x")).select("rid", "doc_id", "x.size", F.posexplode_outer("x.keys").alias("pos", "key"))
-    met = each.join(near(index), "key").filter(F.col("hit") == (F.col("pos") < F.col("size")))
-    found = materialize(met.drop("key", "size"), "found")
+    step = block(widths)[0]
+    blocks = rows.select("rid", "doc_id", "h", F.explode_outer(block_starts(F.col("h"), widths)).alias("at"))
+    x = _block_at(F.col("h"), F.col("at"), widths)
+    keys = [*((k + 1, x[k]) for k in range(step)), *block_keys(x, widths, p)]  # the block's shingles, then its bands
+    blocks = blocks.select("rid", "doc_id", "at", (F.size("h") - F.col("at")).alias("left"), F.array(*[key for _, key in keys]).alias("keys"))
+    each = blocks.select("rid", "doc_id", "at", "left", F.posexplode_outer("keys").alias("k", "key"))
+    each = each.filter(F.get(F.array(*[F.lit(need) for need, _ in keys]), F.col("k")) <= F.col("left"))
+    # Written as an equality, the kind would become a second key of the join, whose table is slower than one of numbers.
+    same = (F.col("hit") & (F.col("k") < step)) | (~F.col("hit") & (F.col("k") >= step))
+    met = each.join(near(index), "key").filter(same).withColumn("pos", F.col("at") + F.col("k"))
+    found = materialize(met.drop("key", "at", "left", "k"), "found")
     retrieved = found.filter("retrieves").select("rid", "template").distinct()
     hits = found.filter("hit").select("rid", "doc_id", "template", "license", "n", "pos", "offset").distinct().join(retrieved, ["rid", "template"], "left_semi")
     hits = hits.withColumn("start", F.col("pos") - F.col("offset"))

@@ -224,3 +224,26 @@ def test_bands_of_all_widths(spark):
         mine = set(one.select(licenses.template_keys(F.col("h"), width, p)).first()[0])
         got = spark.createDataFrame(texts, "k int, h array<long>").select("k", licenses._given(F.col("h"), lambda a: licenses.text_keys(a, [width], p)).alias("keys")).collect()
         assert width > 1 and all(len(mine & set(r["keys"])) >= p.bands_of(width) for r in got)
+
+
+def test_bands_are_compiled(spark, monkeypatch):
+    """Bands of blocks, a row each, are those of whole texts; nothing interpreted takes minima, and one number joins."""
+    p, plans, write = licenses.Params(), [], licenses.materialize
+
+    def kept(df, name):
+        plans.extend([df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))] if name == "found" else [])
+        return write(df, name)
+
+    monkeypatch.setattr(licenses, "materialize", kept)
+    long = " ".join(f"w{i}" for i in range(40))
+    known = [(f"t{n}", "X", " ".join(long.split()[:n])) for n in (6, 12, 40)]  # of all widths
+    docs = spark.createDataFrame([(n, "x " * (n % 9) + " ".join(long.split()[:n])) for n in range(44)], "doc_id long, text string")
+    rows = licenses.scan(docs, licenses.template_table(spark, known)).collect()
+    assert {(r["doc_id"], r["template"]) for r in rows if r["containment"] == 1.0} == {(n, t) for n in range(44) for t, _, w in known if n >= len(w.split())}
+    assert " ^ " in plans[0] and not any("lambdafunction" in line and " ^ " in line for line in plans[0].splitlines())
+    assert "HashJoin" in plans[0] and "Left keys [1]" in plans[0]
+    h = list(range(1000, 1037))
+    x = [F.lit(v) for v in h[8 : 8 + licenses.block(p.widths)[1]]]
+    mine = spark.range(1).select(F.array(*[k for _, k in licenses.block_keys(x, p.widths, p)]).alias("k")).first()["k"]
+    whole = spark.createDataFrame([(h,)], "h array<long>").select(licenses.text_keys(F.col("h"), p.widths, p).alias("k")).first()["k"]
+    assert set(mine) <= set(whole)
