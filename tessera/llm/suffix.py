@@ -30,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -156,10 +157,6 @@ def repeated_offsets(lefts: list[bytes], rights: list[bytes], counts: list[int],
     starts elsewhere.  lefts are reversed; counts above 1 stand for contexts that occur several times."""
     n, side = len(lefts), p.side
     hi = side if hi is None else hi
-    if n == 2 and max(counts) == 1:  # to order two strings is to compare them once
-        far, near = (common(*x) // p.unit for x in (lefts, rights))
-        d = np.arange(lo, hi + 1)
-        return np.tile((d <= far) & (side - d <= near), (2, 1))
     sides = [(order := deep_shallow(strings, p.shallow), agreeing(strings, order) // p.unit) for strings in (lefts, rights)]
     sizes = [np.array([len(x) // p.unit for x in strings]) for strings in (lefts, rights)]
     many = np.array(counts) > 1
@@ -188,38 +185,39 @@ def repeated_offsets(lefts: list[bytes], rights: list[bytes], counts: list[int],
 # -- Anchors --------------------------------------------------------------------------------------------------------
 
 
-def gram_hashes(b: np.ndarray, gram: int) -> np.ndarray:
-    """Hash of the gram at each position of the symbols' hashes, by doubling: a gram is its two halves."""
-    h, size, c = b, 1, BASE
-    while size < gram:
-        h = h[:-size] * U(c) + h[size:]
-        size, c = 2 * size, c * c % 2**64
-    return mix64(h)
-
-
-def _slide(x: np.ndarray, w: int, op, pad) -> np.ndarray:
-    """op over every w neighbours, from running results in blocks of w."""
-    n = len(x)
-    y = np.concatenate([x, np.full(-n % w, pad, x.dtype)]).reshape(-1, w)
-    ahead, back = op.accumulate(y, axis=1).ravel(), op.accumulate(y[:, ::-1], axis=1)[:, ::-1].ravel()
-    return op(back[: n - w + 1], ahead[w - 1 : n])
-
-
-def anchors(b: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of a text's anchors, hashes of their grams, hashes of their contexts; b: its symbols' hashes."""
-    n = len(b)
-    if n < p.length:
-        return np.empty(0, np.int64), np.empty(0, U), np.empty(0, U)
-    w = p.side + 1
-    h = gram_hashes(b, p.gram)
-    low = _slide(h, w, np.minimum, U(2**64 - 1))
-    edge = np.zeros(w - 1, U)
-    at = np.flatnonzero(_slide(np.concatenate([edge, low, edge]), w, np.maximum, U(0)) == h)
+def _slide(x: np.ndarray, w: int, op) -> np.ndarray:
+    """op over every w neighbours, by doubling."""
+    y, size = x, 1
+    while 2 * size <= w:
+        y, size = op(y[:-size], y[size:]), 2 * size
+    return op(y[: len(x) - w + 1], y[w - size :]) if size < w else y
+
+
+def anchors(texts: list[np.ndarray], p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts' places in the list, positions of their anchors, hashes of the grams, hashes of the contexts; texts: their
+    symbols' hashes.  Hashes are differences of the running sums over all texts, which are taken as one string; windows
+    that reach over a text's end choose nothing."""
+    which = np.array([i for i, b in enumerate(texts) if len(b) >= p.length], np.int64)
+    if not len(which):
+        return which, which, np.empty(0, U), np.empty(0, U)
+    ends = np.cumsum([len(texts[i]) for i in which])
+    starts = np.concatenate([[0], ends[:-1]])
+    b = np.concatenate([texts[i] for i in which])
+    n, w = len(b), p.side + 1
     steps = _powers(n)
     total = np.concatenate([[U(0)], np.cumsum(b * steps[0][:n])])
-    lo, hi = np.maximum(at - p.side, 0), np.minimum(at + p.length, n)
+    h = mix64((total[p.gram :] - total[: -p.gram]) * steps[1][: n - p.gram + 1])
+    low = _slide(h, w, np.minimum)
+    for end in ends[:-1]:
+        low[end - p.length + 1 : end] = 0
+    edge = np.zeros(w - 1, U)
+    at = np.flatnonzero(_slide(np.concatenate([edge, low, edge]), w, np.maximum) == h)
+    of = np.searchsorted(ends, at, side="right")
+    inside = at + p.gram <= ends[of]
+    at, of = at[inside], of[inside]
+    lo, hi = np.maximum(at - p.side, starts[of]), np.minimum(at + p.length, ends[of])
     shape = (at - lo).astype(U) * U(0x165667B19E3779F9) + (hi - at).astype(U) * U(0xC2B2AE3D27D4EB4F)
-    return at, h[at], mix64((total[hi] - total[lo]) * steps[1][lo] + shape)
+    return which[of], at - starts[of], h[at], mix64((total[hi] - total[lo]) * steps[1][lo] + shape)
 
 
 _POWERS: list[np.ndarray] = []
@@ -236,16 +234,26 @@ def _powers(n: int) -> list[np.ndarray]:
 def symbols(text: str | None, p: Params) -> np.ndarray:
     """Hashes of a text's bytes, or of its words."""
     t = (text or "").encode()
-    if p.words:
-        words = t.split()
-        return np.fromiter(map(xxhash.xxh64_intdigest, words), U, len(words))
-    return BYTE[np.frombuffer(t, np.uint8)]
+    b = BYTE[np.frombuffer(t, np.uint8)]
+    if not p.words:
+        return b
+    first, end = word_places(t).T
+    steps = _powers(len(b))
+    total = np.concatenate([[U(0)], np.cumsum(b * steps[0][: len(b)])])
+    return mix64((total[end] - total[first]) * steps[1][first] + (end - first).astype(U) * U(0x165667B19E3779F9))
+
+
+IS_WHITE = np.isin(np.arange(256), np.frombuffer(WHITE, np.uint8))
 
 
 def word_places(t: bytes) -> np.ndarray:
     """First byte and end of each word."""
-    white = np.isin(np.frombuffer(t, np.uint8), np.frombuffer(WHITE, np.uint8))
-    return np.flatnonzero(np.diff(np.concatenate([[True], white, [True]]).astype(np.int8))).reshape(-1, 2)
+    white = IS_WHITE[np.frombuffer(t, np.uint8)]
+    return np.flatnonzero(np.diff(np.concatenate([[True], white, [True]]))).reshape(-1, 2)
+
+
+#: Symbols whose hashes are computed at a time: as many as stay in a core's cache.
+AT_ONCE = 32_768
 
 
 def _anchor_rows(docs: DataFrame, p: Params) -> DataFrame:
@@ -253,17 +261,22 @@ def _anchor_rows(docs: DataFrame, p: Params) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            nodes, pos, g, c, size = [], [], [], [], 0
+            some, size, start, out, found = [], 0, 0, [], 0
             for i in range(b.num_rows):
-                a = anchors(symbols(b["text"][i].as_py(), p), p)
-                nodes.append(np.full(len(a[0]), i))
-                pos.append(a[0]), g.append(a[1]), c.append(a[2])
-                size += len(a[0])
-                if size > 200_000 or i == b.num_rows - 1:
-                    row = pa.array(np.concatenate(nodes))
-                    cols = [b["node"].take(row), pa.array(np.concatenate(pos).astype(np.int32)), pa.array(np.concatenate(g).view(np.int64)), pa.array(np.concatenate(c).view(np.int64)), b["copies"].take(row)]
+                some.append(symbols(b["text"][i].as_py(), p))
+                size += len(some[-1])
+                end = i == b.num_rows - 1
+                if size > AT_ONCE or end:
+                    which, *rest = anchors(some, p)
+                    out.append((which + start, *rest))
+                    found += len(which)
+                    some, size, start = [], 0, i + 1
+                if found > 100_000 or end:
+                    which, pos, g, c = map(np.concatenate, zip(*out, strict=True))
+                    row = pa.array(which)
+                    cols = [b["node"].take(row), pa.array(pos.astype(np.int32)), pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), b["copies"].take(row)]
                     yield pa.RecordBatch.from_arrays(cols, names=["node", "pos", "g", "c", "copies"])
-                    nodes, pos, g, c, size = [], [], [], [], 0
+                    out, found = [], 0
 
     return docs.select("node", "text", "copies").mapInArrow(run, "node binary, pos int, g long, c long, copies long")
 
@@ -271,24 +284,35 @@ def _anchor_rows(docs: DataFrame, p: Params) -> DataFrame:
 ROW = "g long, s long, c long, left binary, right binary"
 
 
+def _flat(lists: pa.ListArray, *fields: str) -> tuple[np.ndarray, list[pa.Array]]:
+    """Where each row's structs begin and end, and these fields of all structs; null lists are empty."""
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    values = lists.flatten()
+    return np.concatenate([[0], np.cumsum(lengths)]), [pc.struct_field(values, f) for f in fields]
+
+
 def _contexts(docs: DataFrame, p: Params) -> DataFrame:
     """node, text, spots (pos, g, c) -> g, s (a second hash of the gram), c, left (reversed), right."""
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    names = ["g", "s", "c", "left", "right"]
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            out: list[tuple] = []
+            bounds, (spots, grams, contexts) = _flat(b["spots"], "pos", "g", "c")
+            places, done, out = spots.to_pylist(), 0, ([], [], [])
             for i in range(b.num_rows):
                 raw = b["text"][i].as_py()
                 t = symbols(raw, p).tobytes() if p.words else (raw or "").encode()
-                for x in b["spots"][i].as_py():
-                    left, at, right, end = (p.unit * k for k in (max(0, x["pos"] - p.side), x["pos"], x["pos"] + p.gram, x["pos"] + p.length))
-                    lefts = np.frombuffer(t[left:at], f"V{p.unit}")[::-1].tobytes()
-                    out.append((x["g"], xxhash.xxh3_64_intdigest(t[at:right]) - 2**63, x["c"], lefts, t[right:end]))
-                if len(out) > 20_000 or i == b.num_rows - 1:
-                    cols = list(zip(*out, strict=True)) or [[]] * 5
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=["g", "s", "c", "left", "right"])
-                    out = []
+                # Bytes backwards; words keep theirs in order, their number backwards.
+                back = np.frombuffer(t, U)[::-1].tobytes() if p.words else t[::-1]
+                for pos in places[bounds[i] : bounds[i + 1]]:
+                    at, right, end = p.unit * pos, p.unit * (pos + p.gram), p.unit * (pos + p.length)
+                    out[0].append(xxhash.xxh3_64_intdigest(t[at:right]) - 2**63)
+                    out[1].append(back[len(t) - at : len(t) - at + p.unit * p.side])
+                    out[2].append(t[right:end])
+                if len(out[0]) > 20_000 or i == b.num_rows - 1:
+                    g, c = (x.slice(done, len(out[0])) for x in (grams, contexts))
+                    yield pa.RecordBatch.from_arrays([g, pa.array(out[0], pa.int64()), c, pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=names)
+                    done, out = done + len(out[0]), ([], [], [])
 
     return docs.mapInArrow(run, ROW)
 
@@ -299,6 +323,13 @@ def _runs(flags: np.ndarray, p: Params, lo: int) -> list[list[int]]:
     return [[-int(b - 1 + lo), p.length - int(a + lo)] for a, b in edge.reshape(-1, 2)]
 
 
+def pair_ranges(lefts: list[bytes], rights: list[bytes], p: Params, lo: int, hi: int) -> list[list[int]]:
+    """The same runs for two contexts that occur once each: to order two strings is to compare them once."""
+    far, near = (common(*x) // p.unit for x in (lefts, rights))
+    first, last = max(lo, p.side - near), min(hi, far)
+    return [[-last, p.length - first]] if first <= last else []
+
+
 GROUP = ["g", "s", "lo", "hi", "shared"]
 
 
@@ -311,7 +342,11 @@ def _sorted_groups(grouped: DataFrame, p: Params) -> DataFrame:
     def emit(key: tuple, rows: list[tuple]) -> list[tuple]:
         if len(rows) == 1 and rows[0][3] == 1:
             return []
-        found = repeated_offsets([r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], p, key[2], key[3])
+        lefts, rights, counts = ([r[k] for r in rows] for k in (1, 2, 3))
+        if len(rows) == 2 and max(counts) == 1:
+            ranges = pair_ranges(lefts, rights, p, key[2], key[3])
+            return [(*key, r[0], ranges) for r in rows] if ranges else []
+        found = repeated_offsets(lefts, rights, counts, p, key[2], key[3])
         return [(*key, r[0], x) for r, f in zip(rows, found, strict=True) if (x := _runs(f, p, key[2]))]
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -400,35 +435,29 @@ def repeated(texts: DataFrame, p: Params = Params()) -> DataFrame:
         found = scratch.table(_contexts(texts.join(wanted, "node").select("text", "spots"), p).join(kinds.select("g", "c", "n", "kinds"), ["g", "c"]), "contexts")
         all_ranges = scratch.table(whole.unionByName(_in_small_groups(found, p, scratch)), "ranges")
         part = spots.select("node", "pos", "g", "c").join(all_ranges, ["g", "c"]).select("node", F.transform("ranges", lambda r: F.struct((F.col("pos") + r[0]).alias("a"), (F.col("pos") + r[1]).alias("b"))).alias("r"))
-        return materialize(part.groupBy("node").agg(F.array_sort(F.flatten(F.collect_list("r"))).alias("spans")), "spans")
-
-
-def cut(t: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
-    """Remaining bytes, removed bytes, maximal removed runs; spans ascend, may overlap and reach over the ends."""
-    kept, at, runs, end = [], 0, 0, -1
-    for s in spans:
-        a, b = max(0, s["a"]), min(len(t), s["b"])
-        if b <= a:
-            continue
-        if a > end:
-            runs += 1
-            kept.append(t[at:a])
-        end = at = max(end, b)
-    kept.append(t[at:])
-    rest = b"".join(kept)
-    return rest, len(t) - len(rest), runs
-
-
-def byte_spans(t: bytes, spans: list[dict], words: list[dict]) -> list[dict]:
-    """Ranges of bytes and ranges of words, which may reach over the ends, as ascending ranges of bytes."""
-    if not words:
-        return spans
-    places, out = word_places(t), list(spans)
-    for s in words:
-        a, b = max(0, s["a"]), min(len(places), s["b"])
-        if a < b:
-            out.append({"a": int(places[a, 0]), "b": int(places[b - 1, 1])})
-    return sorted(out, key=lambda s: (s["a"], s["b"]))
+        return materialize(part.groupBy("node").agg(F.flatten(F.collect_list("r")).alias("spans")), "spans")
+
+
+def runs_of(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs that ranges in any order cover between 0 and n; they may overlap and reach over both."""
+    a, b = np.maximum(a, 0), np.minimum(b, n)
+    some = b > a
+    a, b = a[some], b[some]
+    by = np.argsort(a, kind="stable")
+    a, b = a[by], np.maximum.accumulate(b[by])
+    apart = a[1:] > b[:-1]
+    edge = [True] if len(a) else []
+    return a[np.concatenate([edge, apart]).astype(bool)], b[np.concatenate([apart, edge]).astype(bool)]
+
+
+def byte_runs(t: bytes, a: np.ndarray, b: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs of bytes that ranges of bytes, from a to b, and ranges of words, from first to last, cover."""
+    if len(first):
+        places = word_places(t)
+        first, last = np.maximum(first, 0), np.minimum(last, len(places))
+        some = last > first
+        a, b = np.concatenate([a, places[first[some], 0]]), np.concatenate([b, places[last[some] - 1, 1]])
+    return runs_of(a, b, len(t)) if len(a) else (a, b)
 
 
 def remove(docs: DataFrame, p: Params = Params(), text: str = "text", digest: bool = False, words: Params | None = None, report: Params | None = None) -> DataFrame:
@@ -451,14 +480,21 @@ def remove(docs: DataFrame, p: Params = Params(), text: str = "text", digest: bo
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            rests, infos = [], []
+            rests, infos, none = [], [], np.empty(0, np.int64)
+            spans = []
+            for c in ("spans", "words", "report"):
+                bounds, (a, e) = _flat(b[c], "a", "b")
+                spans.append((bounds, a.to_numpy(), e.to_numpy()))
             for i in range(b.num_rows):
                 t = b["text"][i].as_py().encode()
-                found, more, told = (b[c][i].as_py() or [] for c in ("spans", "words", "report"))
-                rest, gone, runs = cut(t, byte_spans(t, found, more))
-                _, passage, passages = cut(t, byte_spans(t, [], told))
+                found, more, told = ([x[bounds[i] : bounds[i + 1]] for x in ranges] for bounds, *ranges in spans)
+                starts, ends = byte_runs(t, *found, *more)
+                kept = zip([0, *ends.tolist()], [*starts.tolist(), len(t)], strict=True)
+                rest = b"".join([t[x:y] for x, y in kept])
+                passages, stops = byte_runs(t, none, none, *told)
+                numbers = (len(t), len(t) - len(rest), len(starts), len(passages), int((stops - passages).sum()))
                 rests.append(None if digest else rest.decode("utf-8", "ignore"))
-                infos.append(dict(zip(counts, (len(t), gone, runs, passages, passage), strict=True)) | {"kept_sha256": hashlib.sha256(rest).hexdigest()})
+                infos.append(dict(zip(counts, numbers, strict=True)) | {"kept_sha256": hashlib.sha256(rest).hexdigest()})
             yield pa.RecordBatch.from_arrays([b["node"], pa.array(rests, pa.string()), pa.array(infos, kinds)], names=["node", "rest", "cut"])
 
     done = texts.join(spans, "node", "left").select("node", "text", "spans", "words", "report").mapInArrow(run, schema)

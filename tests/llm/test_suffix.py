@@ -111,3 +111,43 @@ def test_order(strings):
     for k in range(1, len(order)):
         a, b = strings[order[k - 1]], strings[order[k]]
         assert lcp[k] == next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+def test_anchors_of_many_texts_are_those_of_each():
+    """Texts taken as one string choose what each alone would: every least gram of a window, and nothing over an end."""
+    rng = np.random.default_rng(4)
+    for words in (False, True):
+        p = suffix.Params(length=24, gram=16, words=words)
+        texts = ["".join(rng.choice(list("ab c"), n)) * k for n, k in ((0, 1), (23, 1), (24, 1), (200, 1), (3, 40), (1, 90), (25, 2), (60, 3))] * 2
+        symbols = [suffix.symbols(t, p) for t in texts]
+        which, at, g, c = suffix.anchors(symbols, p)
+        for i, b in enumerate(symbols):
+            alone = suffix.anchors([b], p)
+            assert all((x[which == i] == y).all() for x, y in zip((at, g, c), alone[1:], strict=True))
+            # The guarantee: each string of `length` holds an anchor whose gram no other gram of the string is below.
+            hashes = {a: h for a, h in zip(at[which == i].tolist(), g[which == i].tolist(), strict=True)}
+            for s in range(len(b) - p.length + 1):
+                inner = [hashes[a] for a in range(s, s + p.side + 1) if a in hashes]
+                grams = [b[a : a + p.gram].tobytes() for a in range(s, s + p.side + 1)]
+                assert inner and all(grams[a - s] in {grams[x - s] for x in hashes if s <= x <= s + p.side and hashes[x] == hashes[a]} for a in hashes if s <= a <= s + p.side)
+        assert len(np.unique(suffix.symbols("a b ab ba a\tb", suffix.Params(words=True)))) == 4
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(-5, 45), st.integers(0, 12)), max_size=12), st.integers(0, 40))
+def test_runs_of_ranges(ranges, n):
+    covered = np.zeros(n + 60, bool)
+    for a, k in ranges:
+        covered[max(a, 0) : max(a + k, 0)] = True
+    covered[n:] = False
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(int), [0]]))).reshape(-1, 2)
+    a, b = suffix.runs_of(np.array([a for a, _ in ranges], int), np.array([a + k for a, k in ranges], int), n)
+    assert [[x, y] for x, y in zip(a.tolist(), b.tolist(), strict=True)] == edge.tolist()
+
+
+@settings(max_examples=200, deadline=None)
+@given(*[st.binary(max_size=8).map(lambda b: bytes(x % 2 + 97 for x in b))] * 4)
+def test_a_pair_needs_no_order(a, b, c, d):
+    for lo, hi in ((0, 8), (2, 5), (3, 3)):
+        found = suffix.repeated_offsets([a, b], [c, d], [1, 1], SMALL, lo, hi)
+        assert [suffix._runs(f, SMALL, lo) for f in found] == [suffix.pair_ranges([a, b], [c, d], SMALL, lo, hi)] * 2
