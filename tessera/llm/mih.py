@@ -145,7 +145,8 @@ def _true_neighbours(distinct: DataFrame, probe: np.ndarray, k: int) -> list[tup
 
 def fit(distinct: DataFrame, p: Params = Params()) -> Model | None:
     """distinct: node, embedding (valid ones).  Learns from the p.sample rows with the smallest hashes."""
-    taken = distinct.orderBy(F.xxhash64("node"), "node").limit(p.sample).select("embedding").collect()
+    rows = distinct.count()
+    taken = _sampled(distinct, rows, p.sample)
     if not taken:
         return None
     dim = Counter(len(r[0]) for r in taken).most_common(1)[0][0]
@@ -159,10 +160,20 @@ def fit(distinct: DataFrame, p: Params = Params()) -> Model | None:
         # Probes with fewer than k neighbours count with those they have.
         near = np.stack([bits[i] ^ model.bits(np.array(v)) for i, v in pairs])[None, :, :]
         others = model.bits(x[-min(len(x), 256) :])
-        model.radius, model.rerank, model.reach, model.share = tune(near, bits[:128, None, :] ^ others[None, :, :], distinct.count(), p)
+        model.radius, model.rerank, model.reach, model.share = tune(near, bits[:128, None, :] ^ others[None, :, :], rows, p)
     return model
 
 
+def _sampled(distinct: DataFrame, rows: int, n: int) -> list[tuple[list[float]]]:
+    """embedding of the n rows with the smallest hashes.  A bound on the hashes lets little more than n rows come to the
+    driver; a limit would bring n of every task there."""
+    some = distinct.select(F.xxhash64("node").alias("h"), "node", "embedding")
+    share = (n + 10 * n**0.5 + 100) / max(1, rows)
+    found = some if share >= 1 else some.filter(F.col("h") < int(-(2**63) + share * 2**64))
+    taken = found.toArrow().sort_by([("h", "ascending"), ("node", "ascending")]).slice(0, n)
+    return [(x,) for x in taken["embedding"].to_pylist()]
+
+
 def valid(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     """vec_id, embedding (floats if they are, else doubles) of the rows that take part."""
     kind = vectors.schema[embedding].dataType.simpleString()
@@ -232,7 +243,8 @@ def retrieved(index: DataFrame, asked: DataFrame, model: Model, p: Params) -> Da
     probes = probed(asked, model).withColumnsRenamed({"node": "q", "code": "q_code"}).join(hot, ["sub", "value"], "left")
     probes = probes.withColumn("part", F.explode(F.sequence(F.lit(0), one - 1)))
     apart = sum((F.bit_count(F.col("code")[i].bitwiseXOR(F.col("q_code")[i])) for i in range(p.bits // 64)), F.lit(0))
-    return postings.join(probes, ["sub", "value", "part"]).filter(apart <= model.rerank).select("q", "node").distinct()
+    # Merged: a plan takes the probes for as small as the queries that they come from, and would send them all to the driver.
+    return postings.join(probes.hint("merge"), ["sub", "value", "part"]).filter(apart <= model.rerank).select("q", "node").distinct()
 
 
 def _dot(a: str, b: str) -> Column:
@@ -266,7 +278,7 @@ def _scan(index: DataFrame, asked: DataFrame, k: int, p: Params) -> DataFrame:
                 row = np.repeat(np.arange(len(qm)), best.shape[1])
                 yield pa.RecordBatch.from_arrays([qs.take(pa.array(row)), xs.take(pa.array(best.ravel()))], names=["q", "node"])
 
-    return x.join(q, "shard").drop("shard").mapInArrow(run, "q binary, node binary")
+    return x.join(q.hint("merge"), "shard").drop("shard").mapInArrow(run, "q binary, node binary")
 
 
 def _ranked(pairs: DataFrame, index: DataFrame, ids: DataFrame, asked: DataFrame, own: DataFrame, k: int) -> DataFrame:
